@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ["features"]
+SUBJECTS = ["features", "catalog"]
 
 
 def load_all() -> None:
