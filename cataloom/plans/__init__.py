@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ["features", "catalog"]
+SUBJECTS = ["features", "catalog", "evaluation", "routing"]
 
 
 def load_all() -> None:
