@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SUBJECTS = ["features", "catalog", "evaluation", "routing"]
+SUBJECTS = ["features", "catalog", "evaluation", "routing", "search", "live"]
 
 
 def load_all() -> None:

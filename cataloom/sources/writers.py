@@ -14,7 +14,8 @@ def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    df.write.mode(mode).option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_vocab(vocab: DataFrame, path: str, mode: str = "errorifexists") -> None:
