@@ -12,23 +12,23 @@ from .keywords import (assembly_flag, first_group, infer_from_text, keyword_vote
 from .text import has_any, let, strip, text_or_empty, words
 
 
-def _known(c: Column) -> Column:
-    return F.when(c != "other", c)
+def _listed(c: Column) -> Column:
+    """A known group as a one-element list, else null."""
+    return let(c, lambda v: F.when(v != "other", F.array(v)))
 
 
 def color_from_name(name: Column) -> Column:
     """Colours named in a product name: trailing `in <colour>`, then `a/b` pairs, then safe words."""
     low = F.lower(text_or_empty(name))
     end = strip(low)
-    one = _known(normalize_value(F.regexp_extract(end, r"(?U)\bin\s+(\w+)\s*$", 1), lx.COLOR_FAMILIES))
-    two = _known(normalize_value(F.regexp_extract(end, r"(?U)\bin\s+(\w+\s+\w+)\s*$", 1), lx.COLOR_FAMILIES))
+    one = _listed(normalize_value(F.regexp_extract(end, r"(?U)\bin\s+(\w+)\s*$", 1), lx.COLOR_FAMILIES))
+    two = _listed(normalize_value(F.regexp_extract(end, r"(?U)\bin\s+(\w+\s+\w+)\s*$", 1), lx.COLOR_FAMILIES))
     pair = r"(?U)(?:dark\s+|light\s+)?(\w+)\s*/\s*(?:dark\s+|light\s+)?(\w+)"
     sides = F.flatten(F.zip_with(F.regexp_extract_all(low, F.lit(pair), F.lit(1)),
                                  F.regexp_extract_all(low, F.lit(pair), F.lit(2)), lambda a, b: F.array(a, b)))
     pairs = F.when(F.contains(low, F.lit("/")), normalize_values(sides, lx.COLOR_FAMILIES))
     safe = normalize_values(F.filter(words(low), lambda w: w.isin(lx.SAFE_NAME_COLORS)), lx.COLOR_FAMILIES)
-    return F.coalesce(F.when(one.isNotNull(), F.array(one)), F.when(two.isNotNull(), F.array(two)),
-                      let(pairs, lambda p: F.when(F.size(p) > 0, p)), safe)
+    return F.coalesce(one, two, let(pairs, lambda p: F.when(F.size(p) > 0, p)), safe)
 
 
 def colors_smart(name_colors: Column, feature_colors: Column, taxonomy: Column, description: Column) -> Column:
@@ -37,9 +37,9 @@ def colors_smart(name_colors: Column, feature_colors: Column, taxonomy: Column,
     desc = infer_from_text(description, lx.COLOR_FAMILIES)
 
     def decide(listed: Column) -> Column:
-        first = F.coalesce(F.get(listed, F.lit(0)), F.get(desc, F.lit(0)))
-        second = F.get(F.filter(listed, lambda c: c != first), F.lit(0))
-        return F.struct(first.alias("primary_color"), second.alias("secondary_color"))
+        return let(F.coalesce(F.get(listed, F.lit(0)), F.get(desc, F.lit(0))), lambda first: F.struct(
+            first.alias("primary_color"),
+            F.get(F.filter(listed, lambda c: c != first), F.lit(0)).alias("secondary_color")))
     return let(F.array_distinct(F.concat(name_colors, feature_colors, tax)), decide)
 
 
@@ -61,6 +61,10 @@ def name_surface(name: Column, cls: Column) -> Column:
 
 def materials_smart(multi: Column, name: Column, cls: Column, description: Column) -> Column:
     """Primary and secondary material; upholstered rows show their surface, the frame is second."""
+    return let(multi, lambda m: _materials(m, name, cls, description))
+
+
+def _materials(multi: Column, name: Column, cls: Column, description: Column) -> Column:
     text = all_values_text(multi)
     listed = F.array_distinct(F.concat(
         normalize_values(values_of(multi, lx.MATERIAL_FEATURE_KEYS), lx.MATERIAL_GROUPS),
@@ -73,10 +77,13 @@ def materials_smart(multi: Column, name: Column, cls: Column, description: Colum
     def decide(all_: Column) -> Column:
         surface = F.coalesce(F.get(F.filter(all_, lambda m: m.isin(lx.SURFACE_MATERIALS)), F.lit(0)), guess)
         frame = F.get(F.filter(all_, lambda m: m.isin(lx.FRAME_MATERIALS)), F.lit(0))
-        covered = soft & surface.isNotNull()
-        first = F.when(covered, surface).otherwise(F.get(all_, F.lit(0)))
-        second = F.when(covered, frame).otherwise(F.get(all_, F.lit(1)))
-        return F.when(F.size(all_) > 0, F.struct(first.alias("p"), second.alias("s"), F.get(all_, F.lit(2)).alias("t")))
+        cover = F.when(soft, surface)  # the visible surface of an upholstered row, else null
+
+        def order(over: Column) -> Column:
+            return F.struct(F.coalesce(over, F.get(all_, F.lit(0))).alias("p"),
+                            F.when(over.isNotNull(), frame).otherwise(F.get(all_, F.lit(1))).alias("s"),
+                            F.get(all_, F.lit(2)).alias("t"))
+        return F.when(F.size(all_) > 0, let(cover, order))
 
     def settle(d: Column) -> Column:
         return F.struct(d["p"].alias("primary_material"),

@@ -21,15 +21,15 @@ def make_vague(c: Column, listed: list[str] = VAGUE_WORDS) -> Column:
 
 def swap_term(c: Column, truth: Column, listed: list[str], draw: Column) -> Column:
     """Replace the first listed term inside the text (all occurrences) by a wrong one."""
-    gt = F.lower(text_or_empty(truth))
     terms = F.lit(listed)
+    gt = F.lower(text_or_empty(truth))
+    wrong = F.when(gt != "", let(gt, lambda g: F.filter(terms, lambda t: ~F.contains(g, t))))
+    choice = let(wrong, lambda w: F.get(w, F.pmod(draw, F.nullif(F.size(w), F.lit(0))).cast("int")))
 
     def swapped(text: Column) -> Column:
-        present = F.get(F.filter(terms, lambda t: F.contains(F.lower(text), t)), F.lit(0))
-        wrong = F.filter(terms, lambda t: ~F.contains(gt, t))
-        choice = F.get(wrong, F.pmod(draw, F.size(wrong)).cast("int"))
-        return F.when((gt != "") & present.isNotNull() & (F.size(wrong) > 0),
-                      F.regexp_replace(text, F.concat(F.lit("(?i)"), present), choice)).otherwise(text)
+        present = let(F.lower(text), lambda low: F.get(F.filter(terms, lambda t: F.contains(low, t)), F.lit(0)))
+        # null when there is no truth, no wrong term or no term in the text
+        return F.coalesce(F.regexp_replace(text, F.concat(F.lit("(?i)"), present), choice), text)
     return let(c, swapped)
 
 

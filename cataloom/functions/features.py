@@ -63,8 +63,8 @@ def parse_features_multi(c: Column) -> Column:
 
 def values_of(multi: Column, keys: list[str]) -> Column:
     """Values of the given keys of a multi map, in key order."""
-    return F.flatten(F.transform(
-        F.lit(keys), lambda k: F.coalesce(F.try_element_at(multi, k), F.array().cast("array<string>"))))
+    return let(multi, lambda m: F.flatten(F.transform(
+        F.lit(keys), lambda k: F.coalesce(F.try_element_at(m, k), F.array().cast("array<string>")))))
 
 
 def all_values_text(multi: Column) -> Column:

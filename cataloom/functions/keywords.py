@@ -70,7 +70,7 @@ def keyword_vote(c: Column, groups: Groups) -> Column:
     """Label with the most keywords inside the (lower-case) text; ties to the earlier label."""
     rows = [(label, kw) for label, kws in groups.items() for kw in kws]
     table = string_table(rows, "label", "kw")
-    hits = F.transform(F.filter(table, lambda e: F.contains(c, e["kw"])), lambda e: e["label"])
+    hits = F.transform(let(c, lambda t: F.filter(table, lambda e: F.contains(t, e["kw"]))), lambda e: e["label"])
     labels = list(groups)
 
     def best(found: Column) -> Column:
@@ -84,8 +84,9 @@ def labels_present(c: Column, groups: Groups) -> Column:
     """All labels with a keyword inside the text, in table order; null when none."""
     rows = [(label, kw) for label, kws in groups.items() for kw in _minimal(kws)]
     table = string_table(rows, "label", "kw")
-    found = F.array_distinct(F.transform(F.filter(table, lambda e: F.contains(c, e["kw"])), lambda e: e["label"]))
-    return F.when(F.size(found) > 0, found)
+    hits = let(c, lambda t: F.filter(table, lambda e: F.contains(t, e["kw"])))
+    found = F.array_distinct(F.transform(hits, lambda e: e["label"]))
+    return let(found, lambda f: F.when(F.size(f) > 0, f))
 
 
 def room_types(c: Column) -> Column:
@@ -93,4 +94,4 @@ def room_types(c: Column) -> Column:
 
 
 def assembly_flag(c: Column) -> Column:
-    return F.when(any_contains(c, lx.ASSEMBLY_TRUE), True).when(any_contains(c, lx.ASSEMBLY_FALSE), False)
+    return let(c, lambda t: F.when(any_contains(t, lx.ASSEMBLY_TRUE), True).when(any_contains(t, lx.ASSEMBLY_FALSE), False))

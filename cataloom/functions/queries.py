@@ -54,7 +54,7 @@ def stock_query(name: Column, cls: Column, adjectives: list[str] = lx.STOCK_ADJE
     bare = reduce(lambda c, p: F.regexp_replace(c, p, ""), removed, text_or_empty(name))
     bare = strip(F.regexp_replace(bare, r"\s+", " "))
     low_cls = F.lower(F.nullif(cls, F.lit("")))
-    useful = F.filter(words(F.lower(bare)), lambda w: w.isin(adjectives) & ~F.contains(low_cls, w))
+    useful = let(low_cls, lambda lc: F.filter(words(F.lower(bare)), lambda w: w.isin(adjectives) & ~F.contains(lc, w)))
     by_class = F.concat_ws(" ", F.slice(useful, 1, 2), low_cls)
     by_name = F.array_join(F.slice(words(bare), 1, 5), " ")
     query = F.when(low_cls.isNotNull(), by_class).otherwise(by_name)

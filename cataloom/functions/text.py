@@ -17,7 +17,11 @@ SPACE_RUN = f"[{WHITESPACE}]+"
 
 
 def let(value: Column, body) -> Column:
-    """Bind `value` once and use it many times inside `body` (a one-element transform)."""
+    """Bind `value` once and use it many times inside `body` (a one-element transform).
+
+    Also needed for a single use inside another lambda: the optimizer may push the
+    expression of a projected column into that lambda, where it would run per element.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -40,7 +44,7 @@ def words(c: Column) -> Column:
 
 def has_any(c: Column, needles: list[str]) -> Column:
     """True when any needle is a substring of `c`."""
-    return F.exists(F.lit(list(needles)), lambda n: F.contains(c, n))
+    return let(c, lambda v: F.exists(F.lit(list(needles)), lambda n: F.contains(v, n)))
 
 
 def any_contains(c: Column, needles: list[str]) -> Column:

@@ -20,10 +20,10 @@ def with_features(df: DataFrame, col: str = "product_features") -> DataFrame:
 def by_id(df: DataFrame, value: int, id_col: str = "product_id") -> DataFrame:
     """Row of one id; a missing id fails when the result is read."""
     hit = df.filter(F.col(id_col) == F.lit(value))
-    found = hit.groupBy().agg(F.count("*").alias("_n")).select(
-        F.when(F.col("_n") > 0, F.col("_n")).otherwise(
-            F.raise_error(F.lit(f"{id_col} {value} not found")).cast("long")).alias("_n"))
-    return hit.join(found, F.col("_n") > 0, "right").drop("_n")
+    error = F.raise_error(F.lit(f"{id_col} {value} not found")).cast("boolean")
+    # a count that never passes the filter: it adds no row, only the error
+    check = hit.agg(F.count("*").alias("_n")).filter(F.when(F.col("_n") == 0, error).otherwise(F.lit(False)))
+    return hit.unionByName(check.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
 
 
 def count_present(cols: list[str]) -> Column:

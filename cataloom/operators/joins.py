@@ -45,14 +45,16 @@ def align_predictions(pred: DataFrame, truth: DataFrame, key: str = "product_id"
 
     Records whose prediction or truth is null are dropped (columns `prediction`, `ground_truth`).
     """
+    usable = F.col("prediction").isNotNull() & F.col("ground_truth").isNotNull()
     p = pred.withColumn("_p", F.lit(True))
     t = truth.withColumn("_t", F.lit(True))
     both = p.join(t, key, "full_outer" if strict else "inner")
     if strict:
+        # one expression: a separate null filter would turn the outer join into an inner one
         lonely = F.col("_p").isNull() | F.col("_t").isNull()
-        both = both.filter(F.when(lonely, F.raise_error(F.concat(F.lit("record on one side only: "), F.col(key).cast("string")))
-                                  .cast("boolean")).otherwise(F.lit(True)))
-    return both.filter(F.col("prediction").isNotNull() & F.col("ground_truth").isNotNull()).drop("_p", "_t")
+        error = F.raise_error(F.concat(F.lit("record on one side only: "), F.col(key).cast("string"))).cast("boolean")
+        return both.filter(F.when(lonely, error).otherwise(usable)).drop("_p", "_t")
+    return both.filter(usable).drop("_p", "_t")
 
 
 def skip_cached(products: DataFrame, cache: DataFrame, key: str = "product_id") -> tuple[DataFrame, DataFrame]:

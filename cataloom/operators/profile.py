@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions import features as fe
-from ..functions.text import text_or_empty
+from ..functions.text import let, text_or_empty
 from .ranking import order_statistics, topk_per_key
 
 
@@ -108,7 +108,7 @@ def feature_key_presence(df: DataFrame, targets: list[str] = lx.TARGET_KEYS) ->
 
 def chosen_keys(keys: DataFrame, targets: list[str], exact_first: bool) -> DataFrame:
     """(target, key): the exact key, else the alphabetically first key containing the target."""
-    ts = F.filter(F.lit(list(targets)), lambda t: F.contains(F.col("k"), t))
+    ts = let(F.col("k"), lambda k: F.filter(F.lit(list(targets)), lambda t: F.contains(k, t)))
     pairs = keys.select("k", F.explode(ts).alias("target"))
     score = F.struct((F.col("k") != F.col("target")) if exact_first else F.lit(False), F.col("k"))
     return pairs.groupBy("target").agg(F.min_by("k", score).alias("key"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.queries import name_words, query_attributes
-from ..functions.text import any_contains, domain_of, is_blocked, text_or_empty, words
+from ..functions.text import any_contains, domain_of, is_blocked, let, text_or_empty, words
 from ..functions.vectors import clip_norm
 from .joins import attach_attributes
 from .ranking import final_rank, topk_per_key
@@ -286,7 +286,7 @@ def score_image_candidates(cands: DataFrame, preferred: dict[str, float] | None
     staged = cands.withColumns({"_all": everything, "_nw": name_words(F.col("product_name")), "_di": domain_of(image), "_du": domain_of(url)})
 
     def share(col: str, points: int) -> Column:
-        found = F.size(F.filter(col, lambda w: F.contains("_all", w)))
+        found = let(F.col("_all"), lambda text: F.size(F.filter(col, lambda w: F.contains(text, w))))
         return F.when(F.size(col) > 0, found / F.size(col) * points).otherwise(0.0)
     bonus = F.lit(0.0)
     for domain, points in reversed(list((preferred or {}).items())):
@@ -294,9 +294,9 @@ def score_image_candidates(cands: DataFrame, preferred: dict[str, float] | None
     score = bonus + share("_nw", 10)
     if attr_words:
         score = score + share(attr_words, 5)
-    score = score + F.when(any_contains(low, lx.LARGE_HINTS), 1.0).otherwise(0.0)
-    score = score - F.when(any_contains(low, lx.THUMB_HINTS), 5.0).otherwise(0.0)
-    ends = F.exists(F.lit(lx.IMAGE_EXTENSIONS), lambda e: F.endswith(low, e))
+    score = score + let(low, lambda v: F.when(any_contains(v, lx.LARGE_HINTS), 1.0).otherwise(0.0))
+    score = score - let(low, lambda v: F.when(any_contains(v, lx.THUMB_HINTS), 5.0).otherwise(0.0))
+    ends = let(low, lambda v: F.exists(F.lit(lx.IMAGE_EXTENSIONS), lambda e: F.endswith(v, e)))
     score = score + F.when(ends, 0.5).otherwise(0.0)
     blocked = is_blocked(image) | is_blocked(url)
     return staged.withColumn("score", F.when(blocked, -1.0).otherwise(score)).drop("_all", "_nw", "_di", "_du")

@@ -50,12 +50,12 @@ _PRICE = ("CASE model " + " ".join(f"WHEN '{m}' THEN input_tokens / 1000.0::DOUB
 _CLOSED = "WHERE start + INTERVAL '{w}' <= (SELECT max(ts) FROM events) - INTERVAL '{d}'"
 
 
-@query("call_log_stream", f"""{with_views('v_calls')}, g AS (SELECT date_trunc('hour', ts) AS start, model, count(*) AS calls, count(*) FILTER (NOT success) AS errors, round(avg(latency_ms), 4) AS avg_latency_ms, round(sum({_PRICE}), 6) AS cost FROM v_calls GROUP BY 1, 2)
+@query("call_log_stream", f"""{with_views('v_calls')}, g AS (SELECT date_trunc('hour', ts) AS start, model, count(*) AS calls, count(*) FILTER (NOT success) AS errors, round(avg(latency_ms), 4) AS avg_latency_ms, round(sum({_PRICE}), 9) AS cost FROM v_calls GROUP BY 1, 2)
 SELECT strftime(start, '%Y-%m-%d %H') AS hour, model, calls, errors, avg_latency_ms, cost FROM g {_CLOSED.format(w='1 hour', d='10 minutes')}""")
 def _(t):
     out = st.drain(st.call_log_stream(calls_stream(t), "ts"), "calls")
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "model", "calls", "errors",
-                      F.round("avg_latency_ms", 4).alias("avg_latency_ms"), F.round("cost", 6).alias("cost"))
+                      F.round("avg_latency_ms", 4).alias("avg_latency_ms"), F.round("cost", 9).alias("cost"))
 
 
 @query("call_log_sliding", f"""{with_views('v_calls')}, s AS (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL '1 hour']) AS start FROM v_calls),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import lexicon as lx
+from ..functions.text import let
 
 S, L, D = T.StringType(), T.LongType(), T.DoubleType()
 
@@ -75,7 +76,7 @@ def read_embeddings(spark: SparkSession, path: str, dim: int, vector: str = "emb
 def is_image(content: Column, length: Column, limits: tuple[int, int] = lx.IMAGE_BYTES) -> Column:
     """Size within limits and the magic bytes of a JPEG, PNG, RIFF or GIF file."""
     head = F.hex(F.substring(content, 1, 8))
-    magic = F.exists(F.lit(lx.IMAGE_MAGIC), lambda m: F.startswith(head, m))
+    magic = let(head, lambda h: F.exists(F.lit(lx.IMAGE_MAGIC), lambda m: F.startswith(h, m)))
     return length.between(*limits) & magic
 
 
