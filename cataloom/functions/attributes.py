@@ -9,7 +9,7 @@ from .. import lexicon as lx
 from .features import all_values_text, parse_features_multi, values_of
 from .keywords import (assembly_flag, first_group, infer_from_text, keyword_vote, normalize_value, normalize_values,
                        room_types)
-from .text import has_any, let, strip, text_or_empty, words
+from .text import has_any, let, one_of, strip, text_or_empty, words
 
 
 def _listed(c: Column) -> Column:
@@ -27,7 +27,7 @@ def color_from_name(name: Column) -> Column:
     sides = F.flatten(F.zip_with(F.regexp_extract_all(low, F.lit(pair), F.lit(1)),
                                  F.regexp_extract_all(low, F.lit(pair), F.lit(2)), lambda a, b: F.array(a, b)))
     pairs = F.when(F.contains(low, F.lit("/")), normalize_values(sides, lx.COLOR_FAMILIES))
-    safe = normalize_values(F.filter(words(low), lambda w: w.isin(lx.SAFE_NAME_COLORS)), lx.COLOR_FAMILIES)
+    safe = normalize_values(F.filter(words(low), lambda w: one_of(w, lx.SAFE_NAME_COLORS)), lx.COLOR_FAMILIES)
     return F.coalesce(one, two, let(pairs, lambda p: F.when(F.size(p) > 0, p)), safe)
 
 
@@ -45,7 +45,7 @@ def colors_smart(name_colors: Column, feature_colors: Column, taxonomy: Column,
 
 def is_upholstered(name: Column, cls: Column, features_text: Column) -> Column:
     everything = F.lower(F.concat_ws(" ", text_or_empty(name), text_or_empty(cls), text_or_empty(features_text)))
-    return text_or_empty(cls).isin(lx.UPHOLSTERED_CLASSES) | has_any(everything, lx.UPHOLSTERY_SIGNALS)
+    return one_of(text_or_empty(cls), lx.UPHOLSTERED_CLASSES) | has_any(everything, lx.UPHOLSTERY_SIGNALS)
 
 
 def name_surface(name: Column, cls: Column) -> Column:
@@ -75,8 +75,8 @@ def _materials(multi: Column, name: Column, cls: Column, description: Column) ->
     guess = name_surface(name, cls)
 
     def decide(all_: Column) -> Column:
-        surface = F.coalesce(F.get(F.filter(all_, lambda m: m.isin(lx.SURFACE_MATERIALS)), F.lit(0)), guess)
-        frame = F.get(F.filter(all_, lambda m: m.isin(lx.FRAME_MATERIALS)), F.lit(0))
+        surface = F.coalesce(F.get(F.filter(all_, lambda m: one_of(m, lx.SURFACE_MATERIALS)), F.lit(0)), guess)
+        frame = F.get(F.filter(all_, lambda m: one_of(m, lx.FRAME_MATERIALS)), F.lit(0))
         cover = F.when(soft, surface)  # the visible surface of an upholstered row, else null
 
         def order(over: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
-from .text import let, strip, text_or_empty
+from .text import let, one_of, string_list, strip, text_or_empty
 
 
 def raw_entries(c: Column) -> Column:
@@ -64,7 +64,7 @@ def parse_features_multi(c: Column) -> Column:
 def values_of(multi: Column, keys: list[str]) -> Column:
     """Values of the given keys of a multi map, in key order."""
     return let(multi, lambda m: F.flatten(F.transform(
-        F.lit(keys), lambda k: F.coalesce(F.try_element_at(m, k), F.array().cast("array<string>")))))
+        string_list(keys), lambda k: F.coalesce(F.try_element_at(m, k), F.array().cast("array<string>")))))
 
 
 def all_values_text(multi: Column) -> Column:
@@ -92,7 +92,7 @@ def normalize_attributes(entries: Column, attribute_keys: dict[str, list[str]] =
     value is unreadable.  Multi-label: the sorted union over all matching keys.
     """
     def value(es: Column, name: str, keys: list[str]) -> Column:
-        found = F.filter(es, lambda e: F.lower(strip(e["k"])).isin(keys))
+        found = F.filter(es, lambda e: one_of(F.lower(strip(e["k"])), keys))
         if name == "assembly_required":
             return norm_boolean(F.try_element_at(found, F.lit(-1))["v"])
         if name == "room_type":

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
-from .text import any_contains, let, string_map, string_table, strip, text_or_empty
+from .text import any_contains, let, string_list, string_map, string_table, strip, text_or_empty
 
 Groups = dict[str, list[str]]
 
@@ -74,7 +74,7 @@ def keyword_vote(c: Column, groups: Groups) -> Column:
     labels = list(groups)
 
     def best(found: Column) -> Column:
-        scored = F.transform(F.lit(labels), lambda l, i: F.struct(
+        scored = F.transform(string_list(labels), lambda l, i: F.struct(
             F.size(F.filter(found, lambda f: f == l)).alias("n"), (-i).alias("i"), l.alias("label")))
         return F.when(F.size(found) > 0, F.array_max(scored)["label"])
     return let(hits, best)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
@@ -25,6 +25,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def each(df: DataFrame, values: Column, name: str, *keep: str) -> DataFrame:
+    """One row per element of an array, null elements dropped.
+
+    An inner explode makes the optimizer add a `size(array) > 0` filter at the scan, which
+    computes an expensive array twice; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
@@ -44,7 +53,7 @@ def words(c: Column) -> Column:
 
 def has_any(c: Column, needles: list[str]) -> Column:
     """True when any needle is a substring of `c`."""
-    return let(c, lambda v: F.exists(F.lit(list(needles)), lambda n: F.contains(v, n)))
+    return let(c, lambda v: F.exists(string_list(list(needles)), lambda n: F.contains(v, n)))
 
 
 def any_contains(c: Column, needles: list[str]) -> Column:
@@ -56,6 +65,16 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def string_list(items: list[str]) -> Column:
+    """A constant array of strings, folded to one literal."""
+    return F.expr("array(" + ", ".join(_quoted(i) for i in items) + ")")
+
+
+def one_of(c: Column, items: list[str]) -> Column:
+    """Membership in a constant list; one parsed literal instead of a Column per item."""
+    return F.array_contains(string_list(items), c)
+
+
 def string_map(entries: dict[str, str]) -> Column:
     """A constant map, folded to one literal."""
     return F.expr("map(" + ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in entries.items()) + ")")

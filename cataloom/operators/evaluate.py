@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
-from ..functions.text import string_map, strip
+from ..functions.text import let, strip
 from ..functions.vectors import ndcg
+from ..session import written
 from .ranking import interpolated_percentiles, topk_per_key
 
 
@@ -203,21 +204,21 @@ def gate_summary(heads: DataFrame, names: Sequence[str] = ("image", "text")) ->
 
 
 # --- score correlation ----------------------------------------------------------------------------------
-def average_ranks(df: DataFrame, value: str, splits: int = 200, parts: int = 64) -> DataFrame:
-    """(value, avg_rank) over the rows of df; ties share their mean rank.
+def average_ranks(counts: DataFrame, value: str, n: str = "n", splits: int = 200, parts: int = 64) -> DataFrame:
+    """(value, avg_rank) from value counts; ties share their mean rank.
 
     Values are cut into order-preserving buckets (sketch quantiles, then even widths), so
     running counts are taken inside small buckets and shifted by the bucket totals.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(
-        F.count("*").alias("_n"))
-    q = counts.agg(F.percentile_approx("_v", [i / splits for i in range(splits + 1)], 2000).alias("_q"))  # one row
-    v = F.col("_v")
-    i = F.greatest(F.size(F.filter("_q", lambda x: x <= v)) - 1, F.lit(0))
+    per_value = counts.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(
+        F.sum(n).alias("_n"))
+    q = per_value.agg(F.percentile_approx("_v", [i / splits for i in range(splits + 1)], 2000).alias("_q"))  # one row
+    i = let(F.col("_v"), lambda v: F.greatest(F.size(F.filter("_q", lambda x: x <= v)) - 1, F.lit(0)))
     lo, hi = F.get("_q", F.col("_i")), F.get("_q", F.col("_i") + 1)
-    sub = F.coalesce(F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor(F.try_divide(v - lo, hi - lo) * parts).cast("int"))), F.lit(0))
-    cut = counts.crossJoin(F.broadcast(q)).withColumn("_i", i).select("_v", "_n", (F.col("_i") * parts + sub).alias("_b"))
-    totals = cut.groupBy("_b").agg(F.sum("_n").alias("_t")).withColumn(
+    sub = F.coalesce(F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor(
+        F.try_divide(F.col("_v") - lo, hi - lo) * parts).cast("int"))), F.lit(0))
+    cut = per_value.crossJoin(F.broadcast(q)).withColumn("_i", i).select("_v", "_n", (F.col("_i") * parts + sub).alias("_b"))
+    totals = cut.groupBy("_b").agg(F.sum("_n").alias("_t")).withColumn(  # at most splits x parts rows
         "_before", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     run = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     inside = cut.withColumn("_r", F.coalesce(F.sum("_n").over(run), F.lit(0)))
@@ -225,16 +226,28 @@ def average_ranks(df: DataFrame, value: str, splits: int = 200, parts: int = 64)
         F.col("_v").alias(value), (F.col("_before") + F.col("_r") + (F.col("_n") + 1) / 2).alias("avg_rank"))
 
 
+def _weighted_corr(x: str, y: str, n: str, name: str) -> list[Column]:
+    c = F.col
+    return [F.sum(n).alias(f"{name}_n"), *[F.sum(c(n) * e).alias(f"{name}_{k}") for k, e in {
+        "x": c(x), "y": c(y), "xx": c(x) * c(x), "yy": c(y) * c(y), "xy": c(x) * c(y)}.items()]]
+
+
+def _corr_of(name: str) -> Column:
+    n, x, y, xx, yy, xy = (F.col(f"{name}_{k}") for k in ("n", "x", "y", "xx", "yy", "xy"))
+    return F.round((n * xy - x * y) / (F.sqrt(n * xx - x * x) * F.sqrt(n * yy - y * y)), 6).alias(name)
+
+
 def score_correlation(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Pearson and Spearman correlation; ranks are joined to (score, label) counts, not to rows."""
-    pearson = df.agg(F.round(F.corr(F.col(score).cast("double"), F.col(label).cast("double")), 6).alias("pearson"))
-    cells = df.groupBy(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias(label)).agg(
-        F.count("*").alias("_n"))
-    rx = average_ranks(df, score).withColumnRenamed("avg_rank", "_x")
-    ry = average_ranks(df, label).withColumnRenamed("avg_rank", "_y")
-    c = cells.join(rx, score).join(ry, label)
-    n, x, y = F.col("_n"), F.col("_x"), F.col("_y")
-    m = c.agg(F.sum(n).alias("N"), F.sum(n * x).alias("sx"), F.sum(n * y).alias("sy"), F.sum(n * x * x).alias("sxx"),
-              F.sum(n * y * y).alias("syy"), F.sum(n * x * y).alias("sxy"))
-    rho = F.expr("(N * sxy - sx * sy) / (sqrt(N * sxx - sx * sx) * sqrt(N * syy - sy * sy))")
-    return pearson.crossJoin(F.broadcast(m.select(F.round(rho, 6).alias("spearman"))))
+    """Pearson and Spearman correlation.
+
+    Everything is computed from (score, label) counts: the rows are read once, and ranks
+    are joined to distinct values, so equal scores cannot pile up in a join.
+    """
+    cells = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(
+        F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_l")).agg(F.count("*").alias("n"))
+    cells = written(cells, "cells")  # read three times below
+    rx = average_ranks(cells, "_s").withColumnRenamed("avg_rank", "_x")
+    ry = average_ranks(cells, "_l").withColumnRenamed("avg_rank", "_y")
+    ranked = cells.join(rx, "_s").join(ry, "_l")
+    return ranked.agg(*_weighted_corr("_s", "_l", "n", "pearson"), *_weighted_corr("_x", "_y", "n", "spearman")).select(
+        _corr_of("pearson"), _corr_of("spearman"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.keywords import plain_text
-from ..functions.text import search_text, text_or_empty
+from ..functions.text import each, search_text, text_or_empty
 
 
 def _literal(c: Column, table: dict) -> Column:
@@ -98,7 +98,7 @@ def keyword_join(docs: DataFrame, vocab: DataFrame, doc_key: str, text: str, sal
     emitted = plain.crossJoin(F.broadcast(sizes)).select(  # one row
         doc_key, "_t", F.array_distinct(F.flatten(F.transform(distinct_tokens, grams))).alias("_g"))
     # the anchor probe carries only the key; the text is joined back for the pairs that share an anchor
-    probe = emitted.select(doc_key, F.explode("_g").alias("anchor")).withColumn(
+    probe = each(emitted, F.col("_g"), "anchor", doc_key).withColumn(
         "_salt", F.pmod(F.xxhash64(doc_key), F.lit(salts)).cast("int"))
     pairs = probe.join(anchored, ["anchor", "_salt"]).select(doc_key, "kw", "label").distinct()
     hits = pairs.join(plain, doc_key).filter(F.contains("_t", F.col("kw")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions import features as fe
-from ..functions.text import let, text_or_empty
+from ..functions.text import each, let, text_or_empty
 from .ranking import order_statistics, topk_per_key
 
 
@@ -93,7 +93,7 @@ def taxonomy_profile(df: DataFrame, path: str = "taxonomy") -> tuple[DataFrame,
 
 
 def _features(df: DataFrame) -> DataFrame:
-    return df.select("product_id", "product_class", F.explode(fe.lower_entries(F.col("product_features"))).alias("e")).select(
+    return each(df, fe.lower_entries(F.col("product_features")), "e", "product_id", "product_class").select(
         "product_id", "product_class", "e.k", "e.v")
 
 
@@ -155,7 +155,7 @@ def feature_count_stats(df: DataFrame) -> DataFrame:
     """
     rows = df.filter(F.col("product_features").isNotNull()).select(
         F.size(F.split("product_features", r"\|")).alias("features"))
-    stats = order_statistics(rows, "features", {"_lo": F.floor((F.col("n") - 1) / 2), "_hi": F.floor(F.col("n") / 2)})
+    stats = order_statistics(rows, "features", {"_lo": (0.5, F.floor((F.col("n") - 1) / 2)), "_hi": (0.5, F.floor(F.col("n") / 2))})
     mean = rows.agg(F.round(F.avg("features"), 4).alias("mean"))
     one = stats.crossJoin(F.broadcast(mean)).select(((F.col("_lo") + F.col("_hi")) / 2).alias("median"), "mean")  # one row
     return rows.groupBy("features").agg(F.count("*").alias("n")).crossJoin(F.broadcast(one))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
+from ..functions.text import let
 
 
 def _same(left: str, right: str, keys: Sequence[str]):
@@ -57,39 +58,38 @@ def shuffled_rank(df: DataFrame, by: Sequence[str], seed: int | str, ids: Sequen
     return out.drop("_h")
 
 
-def order_statistics(df: DataFrame, value: str, targets: dict[str, Column], by: Sequence[str] = (),
-                     count: str = "n", accuracy: int = 20_000) -> DataFrame:
+def order_statistics(df: DataFrame, value: str, targets: dict[str, tuple[float, Column]], by: Sequence[str] = (),
+                     count: str = "n", accuracy: int = 100_000) -> DataFrame:
     """Exact order statistics: for each target the value at a 0-based rank.
 
-    A target is a Column over the group size `n`.  A quantile sketch bounds each answer
-    between two values; rows below are counted, only distinct values in between are ordered.
+    A target is (fraction, rank), the rank a Column over the group size `n` within one of
+    fraction x n.  A quantile sketch bounds each answer between two values; the rows below
+    are counted and only the distinct values in between, a few in `accuracy` of all, are
+    ordered.  Groups too small for the sketch to matter are ordered whole.
     """
     by = list(by)
     names = list(targets)
     base = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    # The sketch error is below n/accuracy ranks; twice that on each side is a safe bracket.
-    grid = [i / 200 for i in range(201)]
-    sketch = base.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_v", grid, accuracy).alias("_q"),
+    margin = 2.0 / accuracy  # twice the sketch error on each side
+    edges = [min(1.0, max(0.0, f + side * margin)) for f, _ in targets.values() for side in (-1, 1)]
+    sketch = base.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_v", edges, accuracy).alias("_q"),
                                    F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    n, q = F.col("n"), F.col("_q")
-
-    def bracket(name: str) -> Column:
-        at = targets[name]
-        lo = F.floor(at * 200 / n).cast("int") - 1
-        return F.struct(F.lit(name).alias("name"), at.cast("long").alias("at"),
-                        F.when(lo >= 1, F.get(q, lo)).otherwise(F.col("_min")).alias("lo"),
-                        F.when(lo + 4 <= 199, F.get(q, lo + 4)).otherwise(F.col("_max")).alias("hi"))
-    bounds = sketch.select(*by, "n", F.array(*[bracket(t) for t in names]).alias("_b"))
+
+    def bracket(i: int, name: str) -> Column:
+        whole = F.col("n") < 10 * accuracy
+        lo = F.col("_min") if edges[2 * i] <= 0 else F.when(whole, F.col("_min")).otherwise(F.get("_q", F.lit(2 * i)))
+        hi = F.col("_max") if edges[2 * i + 1] >= 1 else F.when(whole, F.col("_max")).otherwise(F.get("_q", F.lit(2 * i + 1)))
+        return F.struct(F.lit(name).alias("name"), targets[name][1].cast("long").alias("at"), lo.alias("lo"), hi.alias("hi"))
+    bounds = sketch.select(*by, "n", F.array(*[bracket(i, t) for i, t in enumerate(names)]).alias("_b"))
     if by:
         joined = base.alias("a").join(bounds.alias("b"), _same("a", "b", by)).select(
             *[F.col(f"a.{k}") for k in by], "_v", "_b")
     else:
         joined = base.crossJoin(F.broadcast(bounds.select("_b")))  # exactly one row
-    # one pre-aggregated record per (target, value inside its bracket); below-bracket rows collapse to one
-    hit = F.filter(F.transform("_b", lambda b: F.struct(
-        b["name"].alias("name"), b["at"].alias("at"),
-        F.when(F.col("_v") >= b["lo"], F.col("_v")).alias("v"), (F.col("_v") <= b["hi"]).alias("keep"))),
-        lambda h: h["keep"])
+    # one record per (target, value inside its bracket) after the map-side combine; rows below collapse to one
+    hit = let(F.col("_v"), lambda v: F.filter(F.transform("_b", lambda b: F.struct(
+        b["name"].alias("name"), b["at"].alias("at"), F.when(v >= b["lo"], v).alias("v"), (v <= b["hi"]).alias("keep"))),
+        lambda h: h["keep"]))
     counted = joined.select(*by, F.explode(hit).alias("h")).groupBy(*by, "h.name", "h.at", "h.v").agg(
         F.count("*").alias("_c"))
     run = Window.partitionBy(*by, "name").orderBy(F.col("v").asc_nulls_first())
@@ -104,17 +104,18 @@ def order_statistics(df: DataFrame, value: str, targets: dict[str, Column], by:
 
 
 def interpolated_percentiles(df: DataFrame, value: str, fractions: dict[str, float], by: Sequence[str] = (),
-                             count: str = "n") -> DataFrame:
+                             count: str = "n", accuracy: int = 100_000) -> DataFrame:
     """Exact linearly interpolated percentiles built from two neighbouring order statistics."""
+    def position(f: float) -> Column:
+        return F.lit(f) * (F.col("n") - 1)
     targets = {}
     for name, f in fractions.items():
-        pos = F.lit(f) * (F.col("n") - 1)
-        targets[f"_{name}_lo"] = F.floor(pos)
-        targets[f"_{name}_hi"] = F.ceil(pos)
-    stats = order_statistics(df, value, targets, by, count="n")
-    out = [F.col(f"_{n}_lo") + (F.lit(f) * (F.col("n") - 1) - F.floor(F.lit(f) * (F.col("n") - 1)))
-           * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) for n, f in fractions.items()]
-    return stats.select(*by, F.col("n").alias(count), *[c.alias(n) for c, n in zip(out, fractions)])
+        targets[f"_{name}_lo"] = (f, F.floor(position(f)))
+        targets[f"_{name}_hi"] = (f, F.ceil(position(f)))
+    stats = order_statistics(df, value, targets, by, "n", accuracy)
+    out = [(F.col(f"_{n}_lo") + (position(f) - F.floor(position(f))) * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))).alias(n)
+           for n, f in fractions.items()]
+    return stats.select(*by, F.col("n").alias(count), *out)
 
 
 # --- top-k and re-ranking -------------------------------------------------------------------

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.queries import name_words, query_attributes
-from ..functions.text import any_contains, domain_of, is_blocked, let, text_or_empty, words
+from ..functions.text import any_contains, domain_of, each, is_blocked, let, text_or_empty, words
 from ..functions.vectors import clip_norm
+from ..session import written
 from .joins import attach_attributes
 from .ranking import final_rank, topk_per_key
 
@@ -26,13 +27,17 @@ from .ranking import final_rank, topk_per_key
 def bm25_index(corpus: DataFrame, doc: str, text: str) -> dict[str, DataFrame]:
     """Token lists with lengths, one-row corpus statistics and document frequencies with idf.
 
+    One pass over the texts counts documents per term; the empty term, which no text holds,
+    counts the documents and their words.  The counts are written to the shared folder.
     Okapi idf; a negative one is replaced by epsilon x the mean idf of all terms.
     """
-    docs = corpus.select(F.col(doc), words(F.lower(F.col(text))).alias("_tokens")).withColumn("_dl", F.size("_tokens"))
-    stats = docs.agg(F.count("*").alias("_N"), F.avg("_dl").alias("_avgdl"))
-    df = docs.select(F.explode(F.array_distinct("_tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("_df"))
-    raw = df.crossJoin(F.broadcast(stats)).withColumn(  # one row
-        "_raw", F.ln(F.col("_N") - F.col("_df") + 0.5) - F.ln(F.col("_df") + 0.5)).select("term", "_df", "_raw")
+    docs = corpus.select(F.col(doc), words(F.lower(F.col(text))).alias("_tokens"))
+    marked = docs.select(F.concat(F.array(F.lit("")), F.array_distinct("_tokens")).alias("_terms"), F.size("_tokens").alias("_dl"))
+    counts = written(each(marked, F.col("_terms"), "term", "_dl").groupBy("term").agg(
+        F.count("*").alias("_df"), F.sum(F.when(F.col("term") == "", F.col("_dl"))).alias("_words")), "terms")
+    stats = counts.filter(F.col("term") == "").select(F.col("_df").alias("_N"), (F.col("_words") / F.col("_df")).alias("_avgdl"))
+    raw = counts.filter(F.col("term") != "").crossJoin(F.broadcast(stats)).select(  # one row
+        "term", "_df", (F.ln(F.col("_N") - F.col("_df") + 0.5) - F.ln(F.col("_df") + 0.5)).alias("_raw"))
     return {"docs": docs, "stats": stats, "terms": raw, "mean_idf": raw.agg(F.avg("_raw").alias("_mean"))}
 
 
@@ -51,7 +56,7 @@ def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, do
             F.col("_raw")).alias("_idf"))
     weights = asked.join(idf, "term").withColumn("_w", F.col("_qtf") * F.col("_idf")).select(
         query, "term", "_w", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    tokens = index["docs"].select(doc, "_dl", F.explode("_tokens").alias("term"))
+    tokens = each(index["docs"].withColumn("_dl", F.size("_tokens")), F.col("_tokens"), "term", doc, "_dl")
     postings = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc, "_dl", "term").agg(
         F.count("*").alias("_tf")).withColumn("_salt", F.pmod(F.xxhash64(doc), F.lit(salts)).cast("int"))
     norm = postings.crossJoin(F.broadcast(index["stats"])).withColumn(  # one row
@@ -62,21 +67,22 @@ def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, do
 
 
 # --- vectors --------------------------------------------------------------------------------
+_QUERY_CHUNK = 256  # queries scored at once, so a score matrix stays a few megabytes
+
+
 def _best_of_block(qid: np.ndarray, qv: np.ndarray, cid: np.ndarray, cv: np.ndarray, k: int) -> pd.DataFrame:
     """k best corpus rows per query inside one block; ties by id."""
-    scores = np.round(qv @ cv.T, 6)
-    out_q, out_c, out_s = [], [], []
-    take = min(k, scores.shape[1])
-    for i in range(len(qid)):
-        row = scores[i]
-        edge = np.partition(row, len(row) - take)[len(row) - take]
-        near = np.flatnonzero(row >= edge)
-        near = near[np.lexsort((cid[near], -row[near]))][:take]
-        out_q.append(np.full(len(near), qid[i]))
-        out_c.append(cid[near])
-        out_s.append(row[near])
-    if not out_q:
-        return pd.DataFrame({"query_id": [], "product_id": [], "score": []})
+    out_q, out_c, out_s = [np.empty(0, "int64")], [np.empty(0, "int64")], [np.empty(0)]
+    take = min(k, len(cid))
+    for start in range(0, len(qid), _QUERY_CHUNK):
+        scores = np.round(qv[start:start + _QUERY_CHUNK] @ cv.T, 6)
+        edges = np.partition(scores, scores.shape[1] - take, axis=1)[:, scores.shape[1] - take]
+        for i, edge in enumerate(edges):
+            near = np.flatnonzero(scores[i] >= edge)
+            near = near[np.lexsort((cid[near], -scores[i, near]))][:take]
+            out_q.append(np.full(len(near), qid[start + i]))
+            out_c.append(cid[near])
+            out_s.append(scores[i, near])
     return pd.DataFrame({"query_id": np.concatenate(out_q), "product_id": np.concatenate(out_c), "score": np.concatenate(out_s)})
 
 
@@ -192,26 +198,32 @@ def encode_corpus(df: DataFrame, text: str, encoder: Callable[[Column], Column]
 
 
 # --- second and third stage -----------------------------------------------------------------
-def idf_overlap(candidates: DataFrame, index: dict[str, DataFrame], key: Sequence[str] = ("query_id", "product_id")) -> DataFrame:
+def idf_overlap(candidates: DataFrame, queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     """Default pair score: idf share of the query words that the text holds (columns query, text).
 
-    Scores are counted over distinct (query word) rows of the bounded candidate lists.
+    Each query carries its distinct words with their idf, a list as long as the query, so
+    candidates are scored row by row after one join on the query.
     """
-    asked = F.array_distinct(words(F.lower(F.col("query"))))
-    pairs = candidates.select(*key, F.explode(asked).alias("term"), words(F.lower(F.col("text"))).alias("_t"))
-    marked = pairs.select(*key, "term", F.array_contains("_t", F.col("term")).alias("_in"))
-    idf = index["terms"].select("term", F.greatest("_raw", F.lit(0.0)).alias("_idf"))
-    score = marked.join(idf, "term").groupBy(*key).agg(F.round(F.coalesce(F.try_divide(
-        F.sum(F.when(F.col("_in"), F.col("_idf")).otherwise(0.0)), F.sum("_idf")), F.lit(0.0)), 6).alias("ce_score"))
-    return candidates.join(score, list(key), "left").withColumn("ce_score", F.coalesce("ce_score", F.lit(0.0)))
+    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.lower(F.col("query"))))).alias("term"))
+    idf = index["terms"].select("term", F.greatest("_raw", F.lit(0.0)).alias("idf"))
+    lists = asked.join(idf, "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("_w"))
+
+    def total(entries: Column) -> Column:
+        return F.aggregate(entries, F.lit(0.0), lambda s, e: s + e["idf"])
+    tokens = words(F.lower(text_or_empty(F.col("text"))))
+    held = let(tokens, lambda ts: total(F.filter("_w", lambda e: F.array_contains(ts, e["term"]))))
+    return candidates.join(lists, "query_id", "left").withColumn("ce_score", F.coalesce(
+        F.round(F.try_divide(held, total(F.col("_w"))), 6), F.lit(0.0))).drop("_w")
 
 
-def rerank(candidates: DataFrame, scorer: Column | None = None, k: int = 10, index: dict[str, DataFrame] | None = None) -> DataFrame:
+def rerank(candidates: DataFrame, scorer: Column | None = None, k: int = 10, queries: DataFrame | None = None,
+           index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Pair scores for candidate lists (query_id, product_id, rnk, query, text), the k best kept.
 
-    `scorer` is a Column (a pandas_udf call for a neural model); default is the idf overlap.
+    `scorer` is a Column (a pandas_udf call for a neural model); default is the idf overlap,
+    which needs the queries and the index.
     """
-    scored = idf_overlap(candidates, index) if scorer is None else candidates.withColumn("ce_score", scorer)
+    scored = idf_overlap(candidates, queries, index) if scorer is None else candidates.withColumn("ce_score", scorer)
     return final_rank(scored, "query_id", "ce_score", "rnk", "ce_rank").filter(F.col("ce_rank") <= k)
 
 
@@ -255,7 +267,7 @@ def staged_search(queries: DataFrame, first_stage: DataFrame | None, corpus: Dat
         corpus.select("product_id", "product_name", "text"), "product_id", "left").withColumn("product_name", text_or_empty(F.col("product_name")))
     order = "rnk"
     if "rerank" in stages:
-        hits = rerank(hits, scorer, rerank_k, index)
+        hits = rerank(hits, scorer, rerank_k, queries, index)
         order = "ce_rank"
     if "boost" in stages and catalog is not None:
         hits = attribute_boost(hits, catalog, alpha, previous=order)

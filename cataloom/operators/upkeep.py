@@ -45,7 +45,7 @@ def latency_report(preds: DataFrame) -> DataFrame:
                        F.count(F.when(F.col("cached"), 1)).alias("cached"), F.count("error").alias("errors"),
                        F.count("*").alias("_rows"), F.sum("latency_ms").alias("_total"))
     ran = preds.filter(~F.col("cached") & F.col("error").isNull())
-    p = order_statistics(ran, "latency_ms", {"p50": F.floor(F.col("n") / 2), "p99": F.floor(F.col("n") * 0.99)})
+    p = order_statistics(ran, "latency_ms", {"p50": (0.5, F.floor(F.col("n") / 2)), "p99": (0.99, F.floor(F.col("n") * 0.99))})
     return counts.crossJoin(F.broadcast(p.select("p50", "p99"))).select(  # one row each
         "processed", "cached", "errors", "p50", "p99",
         F.round(F.try_divide(F.col("_rows") * 1000.0, F.col("_total")), 4).alias("throughput"))

@@ -14,6 +14,7 @@ from ..operators import profile as pr
 from ..operators import ranking as rk
 from ..operators import sampling as sa
 from ..operators import taxonomy as ta
+from ..session import written
 from . import sqlkit as k
 from .features import PROCESSED_SQL, PRODUCTS, RICH, V2_STAGES, rich_products, v1_sql
 from .registry import query
@@ -23,7 +24,7 @@ c = F.col
 
 
 def processed(t):
-    return fi.process_products(t.v_products)
+    return fi.process_products(t.wide.v_products)
 
 
 def flat(df):
@@ -34,7 +35,7 @@ def flat(df):
 # --- filters and projections ------------------------------------------------------------
 @query("with_features", f"{PRODUCTS} SELECT product_id, product_name FROM v_products WHERE product_features IS NOT NULL AND {k.strip('product_features')} <> ''")
 def _(t):
-    return fi.with_features(t.v_products).select("product_id", "product_name")
+    return fi.with_features(t.wide.v_products).select("product_id", "product_name")
 
 
 @query("by_id", f"{PRODUCTS} SELECT product_id, product_name, product_class FROM v_products WHERE product_id = 42")
@@ -65,13 +66,13 @@ def images(t):
 
 @query("with_image", f"{PRODUCTS}, {_IMAGES} SELECT product_id FROM v_products WHERE 'img/' || product_id || '.jpg' IN (SELECT image_path FROM images)")
 def _(t):
-    df = t.v_products.withColumn("image_path", F.concat(F.lit("img/"), c("product_id").cast("string"), F.lit(".jpg")))
+    df = t.wide.v_products.withColumn("image_path", F.concat(F.lit("img/"), c("product_id").cast("string"), F.lit(".jpg")))
     return fi.with_image(df, images(t)).select("product_id")
 
 
 @query("with_image_counts", f"{PRODUCTS}, {_IMAGES} SELECT count(*) FILTER ('img/' || product_id || '.jpg' IN (SELECT image_path FROM images)) AS kept, count(*) AS total FROM v_products")
 def _(t):
-    df = t.v_products.withColumn("image_path", F.concat(F.lit("img/"), c("product_id").cast("string"), F.lit(".jpg")))
+    df = t.wide.v_products.withColumn("image_path", F.concat(F.lit("img/"), c("product_id").cast("string"), F.lit(".jpg")))
     return fi.kept_counts(df, images(t))
 
 
@@ -112,7 +113,7 @@ def _(t):
 
 
 def _long_desc(t):
-    return t.v_products.join(t.documents.select(c("doc_id").alias("product_id"), c("text").alias("long_text")), "product_id")
+    return t.wide.v_products.join(t.wide.documents.select(c("doc_id").alias("product_id"), c("text").alias("long_text")), "product_id")
 
 
 _LONG = "FROM v_products JOIN documents ON doc_id = product_id"
@@ -130,7 +131,7 @@ SEARCH_TEXT = "concat_ws(' | ', nullif(product_name, ''), nullif(product_class,
 
 @query("search_text", f"{PRODUCTS} SELECT product_id, {SEARCH_TEXT} AS text FROM v_products")
 def _(t):
-    return t.v_products.select("product_id", tx.search_text(c("product_name"), c("product_class"), c("product_description")).alias("text"))
+    return t.wide.v_products.select("product_id", tx.search_text(c("product_name"), c("product_class"), c("product_description")).alias("text"))
 
 
 @query("encoder_text", f"""{PRODUCTS} SELECT product_id, concat_ws(' ', '[TITLE] ' || nullif(product_name, ''), '[CLASS] ' || nullif(product_class, ''),
@@ -151,18 +152,18 @@ FROM v_products p JOIN w USING (product_id)""")
 def _(t):
     fields = t.v_heads.filter(c("confidence") < 0.5).groupBy("product_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "field"))), lambda f: f["field"]).alias("fields"))  # at most 6 per product
-    return t.v_products.join(fields, "product_id").select(
+    return t.wide.v_products.join(fields, "product_id").select(
         "product_id", tx.prompt_for_fields(c("fields"), c("product_name")).alias("prompt"))
 
 
 @query("extraction_prompt", f"""{PRODUCTS} SELECT product_id, CASE WHEN product_id % 2 = 0 THEN {k.q(lx.IMAGE_PROMPT[0])} || product_name || {k.q(lx.IMAGE_PROMPT[1])}
  ELSE {k.q(lx.TEXT_PROMPT[0])} || product_name || {k.q(lx.TEXT_PROMPT[1])} END AS prompt FROM v_products""")
 def _(t):
-    return t.v_products.select("product_id", tx.extraction_prompt(c("product_name"), c("product_id") % 2 == 0).alias("prompt"))
+    return t.wide.v_products.select("product_id", tx.extraction_prompt(c("product_name"), c("product_id") % 2 == 0).alias("prompt"))
 
 
 def _v1(t):
-    return A.extract_attributes_v1(t.v_products).select("product_id", *lx.SCHEMA1)
+    return A.extract_attributes_v1(t.wide.v_products).select("product_id", *lx.SCHEMA1)
 
 
 V1_CTE = f"{PRODUCTS}, x AS (SELECT *, lower(concat_ws(' ', product_name, product_description, product_class)) AS t FROM v_products), v1 AS ({v1_sql('t', 'x')})"
@@ -209,7 +210,7 @@ def _(t):
 @query("domain_of", f"""SELECT page_id, regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.\\-]*:)?//([^/?#]*)', 1), '^www\\.', '') AS domain,
   {k.any_of("regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.\\-]*:)?//([^/?#]*)', 1)", ["example.net", "shop."])} AS blocked FROM pages""")
 def _(t):
-    return t.pages.select("page_id", tx.domain_of(c("url")).alias("domain"), tx.is_blocked(c("url"), ["example.net", "shop."]).alias("blocked"))
+    return t.wide.pages.select("page_id", tx.domain_of(c("url")).alias("domain"), tx.is_blocked(c("url"), ["example.net", "shop."]).alias("blocked"))
 
 
 # --- profiles --------------------------------------------------------------------------------
@@ -229,12 +230,12 @@ UNION ALL SELECT 'products_with_features', count(product_features) FROM v_produc
 UNION ALL SELECT 'num_product_classes', count(DISTINCT product_class) FROM v_products UNION ALL SELECT 'num_queries', count(*) FROM v_queries
 UNION ALL SELECT 'num_labels', count(*) FROM v_labels UNION ALL SELECT 'label_' || label, count(*) FROM v_labels GROUP BY label""")
 def _(t):
-    return pr.dataset_summary(t.v_products, t.v_queries, t.v_labels)
+    return pr.dataset_summary(t.wide.v_products, t.v_queries, t.v_labels)
 
 
 @query("product_classes", f"{PRODUCTS} SELECT DISTINCT product_class FROM v_products WHERE product_class IS NOT NULL")
 def _(t):
-    return pr.product_classes(t.v_products)
+    return pr.product_classes(t.wide.v_products)
 
 
 _SIZES = f"{PRODUCTS}, s AS (SELECT coalesce(product_class, 'unknown') AS class, count(*) AS n FROM v_products GROUP BY 1)"
@@ -243,13 +244,13 @@ _SIZES = f"{PRODUCTS}, s AS (SELECT coalesce(product_class, 'unknown') AS class,
 @query("category_size_buckets", f"""{_SIZES} SELECT CASE WHEN n < 5 THEN 'tiny' WHEN n < 20 THEN 'small' WHEN n < 100 THEN 'medium' ELSE 'large' END AS bucket,
   count(*) AS classes, sum(n)::BIGINT AS products FROM s GROUP BY 1""")
 def _(t):
-    return pr.category_sizes(t.v_products)[0]
+    return pr.category_sizes(t.wide.v_products)[0]
 
 
 @query("category_extremes", f"""{_SIZES} SELECT * FROM (SELECT class, n, 'top' AS side FROM s ORDER BY n DESC, class LIMIT 20)
 UNION ALL SELECT * FROM (SELECT class, n, 'bottom' AS side FROM s ORDER BY n, class DESC LIMIT 20)""")
 def _(t):
-    return pr.category_sizes(t.v_products)[1]
+    return pr.category_sizes(t.wide.v_products)[1]
 
 
 @query("taxonomy_depths", f"""{RICH}, g AS (SELECT taxonomy_depth::INT AS depth, count(*) AS n FROM rich GROUP BY 1)
@@ -271,7 +272,7 @@ _FEATS = f"""{PRODUCTS}, fx AS (SELECT product_id, product_class, unnest({k.last
 @query("feature_key_presence", f"""{_FEATS} SELECT k AS key, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM v_products), 4) AS pct,
   k IN {k.inlist(lx.TARGET_KEYS)} AS is_target FROM f GROUP BY k""")
 def _(t):
-    return pr.feature_key_presence(t.v_products)
+    return pr.feature_key_presence(t.wide.v_products)
 
 
 def _chosen(targets, exact: bool) -> str:
@@ -285,14 +286,14 @@ def _chosen(targets, exact: bool) -> str:
   count(*) OVER (PARTITION BY k) AS n_unique, (sum((n < 5)::INT) OVER (PARTITION BY k))::BIGINT AS rare FROM g)
 SELECT *, round(100.0::DOUBLE * n / total, 4) AS pct FROM r WHERE rnk <= 15""")
 def _(t):
-    return pr.feature_value_profile(t.v_products)
+    return pr.feature_value_profile(t.wide.v_products)
 
 
 @query("sampling_plan", f"""{_SIZES}, x AS (SELECT cap::INT AS cap, least(n, cap) AS s FROM s, (SELECT unnest([5, 10, 15, 25, 50]) AS cap))
 SELECT cap, sum(s)::BIGINT AS sampled, count(*) AS classes, sum((s >= 10)::INT)::BIGINT AS well_covered,
   sum((s >= 3 AND s < 10)::INT)::BIGINT AS partly_covered, sum((s < 3)::INT)::BIGINT AS barely_covered FROM x GROUP BY cap""")
 def _(t):
-    return pr.sampling_plan(t.v_products)
+    return pr.sampling_plan(t.wide.v_products)
 
 
 @query("coverage_by_class", f"""{_FEATS}, {_chosen(lx.COVERAGE_TARGETS, False)}, s AS (SELECT product_class, count(*) AS n FROM v_products GROUP BY 1 ORDER BY n DESC, product_class LIMIT 30),
@@ -301,13 +302,13 @@ SELECT s.product_class, s.n, """ + ", ".join(
     f"round(100.0::DOUBLE * coalesce(max(h) FILTER (target = '{a}'), 0) / s.n, 4) AS {a}" for a in lx.COVERAGE_TARGETS)
     + " FROM s LEFT JOIN h USING (product_class) GROUP BY s.product_class, s.n")
 def _(t):
-    return pr.coverage_by_class(t.v_products)
+    return pr.coverage_by_class(t.wide.v_products)
 
 
 @query("feature_count_stats", f"""{PRODUCTS}, x AS (SELECT len(string_split(product_features, '|'))::INT AS features FROM v_products WHERE product_features IS NOT NULL)
 SELECT features, count(*) AS n, (SELECT quantile_cont(features, 0.5) FROM x)::DOUBLE AS median, (SELECT round(avg(features), 4) FROM x) AS mean FROM x GROUP BY 1""")
 def _(t):
-    return pr.feature_count_stats(t.v_products)
+    return pr.feature_count_stats(t.wide.v_products)
 
 
 _RICHNESS = " + ".join(f"CASE WHEN {a} IS NOT NULL THEN {w} ELSE 0 END" for a, w in lx.RICHNESS.items()) + " + CASE WHEN taxonomy_depth >= 4 THEN 1 ELSE 0 END"
@@ -341,8 +342,8 @@ _QUEUE = f"""{SCORED}, cl AS (SELECT *, coalesce(trim(split_part(product_class,
 
 
 def queue(t):
-    """Balanced queue of valid products."""
-    return rk.balanced_queue(fi.valid_taxonomy(scored(t)))
+    """Balanced queue of valid products; their attributes are extracted once."""
+    return rk.balanced_queue(written(fi.valid_taxonomy(scored(t)), "scored"))
 
 
 @query("balanced_queue", f"{_QUEUE} SELECT product_id, class_clean, class_size, class_rank::INT AS class_rank, tier, attr_score FROM queue")
@@ -407,6 +408,11 @@ def lookup(t):
     return ta.build_lookup(rich_products(t))
 
 
+def extracted(t):
+    """Schema-2 attributes of the catalog, extracted once for queries that read them several times."""
+    return written(A.extract_attributes_v2(rich_products(t)), "extracted")
+
+
 @query("build_lookup", f"{_TAXP} SELECT * FROM lookup")
 def _(t):
     return lookup(t)
@@ -423,7 +429,7 @@ _PRED = f"""{_TAXP}, pred AS (SELECT product_id, primary_color, primary_material
 
 
 def predicted_paths(t):
-    v2 = A.extract_attributes_v2(rich_products(t)).filter((F.size("taxonomy") > 0) & (c("product_class") != ""))
+    v2 = extracted(t).filter((F.size("taxonomy") > 0) & (c("product_class") != ""))
     return v2.withColumn("taxonomy", F.when(c("product_id") % 4 == 0, F.concat("taxonomy", F.array(F.lit("Unseen"))))
                          .when(c("product_id") % 9 == 0, F.array(F.lit("Elsewhere")))
                          .when(c("product_id") % 7 == 0, F.slice("taxonomy", 1, 1)).otherwise(c("taxonomy")))
@@ -453,8 +459,8 @@ _VOCAB = f"""{V2_STAGES}, items AS (""" + " UNION ALL ".join(f"SELECT '{a}' AS k
  vocab AS (SELECT kind, value, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY value) AS idx FROM items WHERE value IS NOT NULL GROUP BY kind, value)"""
 
 
-def vocab(t):
-    return ta.build_vocab(A.extract_attributes_v2(rich_products(t)), lx.SCHEMA2)
+def vocab(t, source=None):
+    return ta.build_vocab(extracted(t) if source is None else source, lx.SCHEMA2)
 
 
 @query("build_vocab", f"{_VOCAB} SELECT * FROM vocab")
@@ -468,14 +474,15 @@ def _(t):
     + """) SELECT product_id, kind, CASE WHEN value IS NULL THEN -1 ELSE coalesce(idx, 0) END::INT AS idx FROM want LEFT JOIN tr USING (kind, value)""")
 def _(t):
     # only values seen at least 40 times are known, the others encode as unknown
-    return ta.encode_labels(A.extract_attributes_v2(rich_products(t)), vocab(t).filter(c("n") >= 40), lx.SCHEMA2)
+    source = extracted(t)
+    return ta.encode_labels(source, vocab(t, source).filter(c("n") >= 40), lx.SCHEMA2)
 
 
 @query("vocab_drift", f"""{_VOCAB}, d AS (SELECT 'style' AS kind, unnest({k.lst(list(lx.STYLE_GROUPS))}) AS value UNION ALL SELECT 'primary_color', unnest({k.lst(list(lx.COLOR_FAMILIES))})),
  v AS (SELECT kind, value FROM vocab WHERE kind IN ('style', 'primary_color'))
 SELECT *, 'default' AS only_in FROM (SELECT * FROM d EXCEPT ALL SELECT * FROM v) UNION ALL SELECT *, 'data' FROM (SELECT * FROM v EXCEPT ALL SELECT * FROM d)""")
 def _(t):
-    return ta.vocab_drift(vocab(t), {"style": list(lx.STYLE_GROUPS), "primary_color": list(lx.COLOR_FAMILIES)})
+    return ta.vocab_drift(written(vocab(t), "vocab"), {"style": list(lx.STYLE_GROUPS), "primary_color": list(lx.COLOR_FAMILIES)})
 
 
 # --- sampling -----------------------------------------------------------------------------------------
@@ -487,7 +494,7 @@ def _split_sql(src: str, strata: str, ident: str, train: float, both: float, see
 
 @query("stratified_split", f"{PRODUCTS}, x AS ({_split_sql('v_products', 'product_class', 'product_id', 0.8, 0.9)}) SELECT product_id, product_class, split FROM x")
 def _(t):
-    return sa.stratified_split(t.v_products.select("product_id", "product_class"), ["product_class"])
+    return sa.stratified_split(t.wide.v_products.select("product_id", "product_class"), ["product_class"])
 
 
 QSPLIT = f"{with_views('v_labels', 'v_queries', 'v_products')}, qs AS ({_split_sql('(SELECT DISTINCT query_id FROM v_labels)', '', 'query_id', 0.7, 0.85)})"
@@ -500,12 +507,12 @@ def _(t):
 
 @query("sample_n", f"{PRODUCTS} SELECT product_id, product_name FROM v_products ORDER BY md5('7:' || product_id), product_id LIMIT 150")
 def _(t):
-    return sa.sample_n(t.v_products.select("product_id", "product_name"), 150, seed=7)
+    return sa.sample_n(t.wide.v_products.select("product_id", "product_name"), 150, seed=7)
 
 
 @query("holdout", f"""{PRODUCTS} SELECT product_id, row_number() OVER (ORDER BY md5('42:' || product_id), product_id) <= floor(count(*) OVER () * 0.1::DOUBLE) AS is_val FROM v_products""")
 def _(t):
-    return sa.holdout(t.v_products.select("product_id"))
+    return sa.holdout(t.wide.v_products.select("product_id"))
 
 
 def _neg_sql(src: str) -> str:
@@ -517,14 +524,14 @@ def _neg_sql(src: str) -> str:
 
 @query("sample_negatives", f"{with_views('v_labels')}, {_neg_sql('v_labels')} SELECT * FROM drawn")
 def _(t):
-    return sa.sample_negatives(t.v_labels, t.v_products)
+    return sa.sample_negatives(t.kept("v_labels"), t.wide.v_products)
 
 
 @query("search_triplets", f"""{QSPLIT}, lt AS (SELECT l.* FROM v_labels l JOIN qs USING (query_id) WHERE split = 'train'), {_neg_sql('lt')}, tx AS (SELECT product_id, {SEARCH_TEXT} AS text FROM v_products)
 SELECT q.query, a.text AS positive, b.text AS negative, d.query_id, d.pos_product_id, d.neg_product_id FROM drawn d JOIN v_queries q USING (query_id)
 JOIN tx a ON a.product_id = d.pos_product_id JOIN tx b ON b.product_id = d.neg_product_id""")
 def _(t):
-    return sa.search_datasets(t.v_labels, t.v_queries, t.v_products)["triplets"]
+    return sa.search_datasets(t.kept("v_labels"), t.v_queries, t.wide.v_products)["triplets"]
 
 
 _PAIRS = f"tx AS (SELECT product_id, product_name, {SEARCH_TEXT} AS product_text FROM v_products)"
@@ -533,14 +540,14 @@ _PAIRS = f"tx AS (SELECT product_id, product_name, {SEARCH_TEXT} AS product_text
 @query("search_pairs", f"""{QSPLIT}, {_PAIRS} SELECT l.query_id, l.product_id, query, product_text, CASE label WHEN 'Exact' THEN 1.0::DOUBLE WHEN 'Partial' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score, label
 FROM v_labels l JOIN qs ON qs.query_id = l.query_id AND split = 'val' JOIN v_queries q ON q.query_id = l.query_id JOIN tx ON tx.product_id = l.product_id""")
 def _(t):
-    return sa.search_datasets(t.v_labels, t.v_queries, t.v_products)["pairs_val"]
+    return sa.search_datasets(t.kept("v_labels"), t.v_queries, t.wide.v_products)["pairs_val"]
 
 
 @query("search_test_pairs", f"""{QSPLIT}, {_PAIRS} SELECT l.query_id, l.product_id, query, coalesce(product_text, '') AS product_text, coalesce(product_name, '') AS product_name,
  CASE label WHEN 'Exact' THEN 2 WHEN 'Partial' THEN 1 ELSE 0 END AS relevance, label
 FROM v_labels l JOIN qs ON qs.query_id = l.query_id AND split = 'test' JOIN v_queries q ON q.query_id = l.query_id LEFT JOIN tx ON tx.product_id = l.product_id""")
 def _(t):
-    return sa.search_datasets(t.v_labels, t.v_queries, t.v_products)["test"]
+    return sa.search_datasets(t.kept("v_labels"), t.v_queries, t.wide.v_products)["test"]
 
 
 _RATES = {"Exact": 2.5, "Partial": 1.0, "Irrelevant": 0.3}
@@ -572,19 +579,19 @@ def _(t):
 SELECT query_id, product_id, query, product_text, CASE label WHEN 'Exact' THEN 1.0::DOUBLE WHEN 'Partial' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score, label
 FROM v_labels JOIN v_queries USING (query_id) JOIN tx USING (product_id)""")
 def _(t):
-    return jo.relevance_pairs(t.v_labels, t.v_queries, t.v_products)
+    return jo.relevance_pairs(t.v_labels, t.v_queries, t.wide.v_products)
 
 
 @query("attach_images", f"{PRODUCTS}, {_IMAGES} SELECT product_id, image_path, image_path IS NOT NULL AS has_image FROM v_products LEFT JOIN images USING (product_id)")
 def _(t):
-    return jo.attach_images(t.v_products, images(t)).select("product_id", "image_path", "has_image")
+    return jo.attach_images(t.wide.v_products, images(t)).select("product_id", "image_path", "has_image")
 
 
 @query("split_card", f"""{PRODUCTS}, {_IMAGES}, x AS ({_split_sql('(SELECT product_id, image_path IS NOT NULL AS has_image FROM v_products LEFT JOIN images USING (product_id))', 'has_image', 'product_id', 0.8, 0.9)})
 SELECT split, count(*) AS n_rows, count(*) FILTER (has_image) AS with_images, count(*) FILTER (NOT has_image) AS text_only FROM x GROUP BY 1""")
 def _(t):
     from ..operators.upkeep import split_card
-    both = jo.attach_images(t.v_products.select("product_id"), images(t))
+    both = jo.attach_images(t.wide.v_products.select("product_id"), images(t))
     with_img = sa.stratified_split(both.filter("has_image"), [])
     text_only = sa.stratified_split(both.filter("NOT has_image"), [])
     return split_card(jo.union_splits(with_img, text_only))
@@ -598,21 +605,21 @@ def _(t):
 
 @query("skip_cached", f"""{PRODUCTS}, {_IMAGES} SELECT product_id, product_id IN (SELECT product_id FROM images) AS cached FROM v_products""")
 def _(t):
-    todo, cached = jo.skip_cached(t.v_products.select("product_id"), images(t).select("product_id"))
+    todo, cached = jo.skip_cached(t.wide.v_products.select("product_id"), images(t).select("product_id"))
     return todo.withColumn("cached", F.lit(False)).unionByName(cached.withColumn("cached", F.lit(True)))
 
 
 @query("resume_queue", f"""{with_views('v_products', 'v_manifest')} SELECT product_id, false AS retry FROM v_products WHERE product_id NOT IN (SELECT product_id FROM v_manifest WHERE image_count > 0 OR status IN {k.inlist(lx.FAILED_STATUSES)})
 UNION ALL SELECT product_id, true FROM v_products WHERE product_id NOT IN (SELECT product_id FROM v_manifest WHERE image_count > 0)""")
 def _(t):
-    q = t.v_products.select("product_id")
+    q = t.wide.v_products.select("product_id")
     return jo.resume_queue(q, t.v_manifest).withColumn("retry", F.lit(False)).unionByName(
         jo.resume_queue(q, t.v_manifest, retry_failed=True).withColumn("retry", F.lit(True)))
 
 
 @query("missing_ids", f"{PRODUCTS}, {_IMAGES} SELECT product_id FROM v_products EXCEPT SELECT product_id FROM images")
 def _(t):
-    return jo.missing_ids(t.v_products, images(t))
+    return jo.missing_ids(t.wide.v_products, images(t))
 
 
 _PLAIN = "regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')"
@@ -626,18 +633,18 @@ def _(t):
     # vocabulary: the product names of the catalog and their single words, labelled by name
     names = t.part.select(c("p_name").alias("label")).distinct()
     vocabulary = names.select("label", F.explode(F.concat(F.array("label"), F.split("label", " "))).alias("keyword"))
-    return jo.keyword_join(t.documents, vocabulary, "doc_id", "text")
+    return jo.keyword_join(t.wide.documents, vocabulary, "doc_id", "text")
 
 
 @query("attach_descriptions", f"{PRODUCTS} SELECT product_id, substr(coalesce(text, ''), 1, 400) AS description FROM v_products LEFT JOIN documents ON doc_id = product_id")
 def _(t):
-    d = t.documents.select(c("doc_id").alias("product_id"), c("text").alias("product_description"))
-    return jo.attach_descriptions(t.v_products.select("product_id"), d)
+    d = t.wide.documents.select(c("doc_id").alias("product_id"), c("text").alias("product_description"))
+    return jo.attach_descriptions(t.wide.v_products.select("product_id"), d)
 
 
 @query("union_splits", f"""{PRODUCTS}, {_IMAGES} SELECT product_id, image_path FROM v_products LEFT JOIN images USING (product_id)""")
 def _(t):
-    both = jo.attach_images(t.v_products.select("product_id"), images(t))
+    both = jo.attach_images(t.wide.v_products.select("product_id"), images(t))
     return jo.union_splits(both.filter("has_image").select("product_id", "image_path"), both.filter("NOT has_image").select("product_id")).select("product_id", "image_path")
 
 
@@ -645,4 +652,4 @@ def _(t):
 SELECT product_id, array_to_string(list_filter(w, lambda x: x IN {k.inlist(lx.COLOR_TERMS)}), '|') AS shared, array_to_string(list_filter(w, lambda x: x NOT IN {k.inlist(lx.COLOR_TERMS)}), '|') AS extra FROM w""")
 def _(t):
     shared, extra, _all = jo.term_overlap(tx.words(F.lower("product_name")), F.lit(lx.COLOR_TERMS))
-    return t.v_products.select("product_id", F.array_join(shared, "|").alias("shared"), F.array_join(extra, "|").alias("extra"))
+    return t.wide.v_products.select("product_id", F.array_join(shared, "|").alias("shared"), F.array_join(extra, "|").alias("extra"))

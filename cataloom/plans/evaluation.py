@@ -148,7 +148,7 @@ def _(t):
 @query("search_metrics", f"""{JUDGED}, {_metric_sql('j')} SELECT sm.*, (SELECT round(quantile_cont(value, 0.5), 1) FROM events) AS latency_p50_ms,
   (SELECT round(quantile_cont(value, 0.95), 1) FROM events) AS latency_p95_ms, (SELECT round(quantile_cont(value, 0.99), 1) FROM events) AS latency_p99_ms FROM sm""")
 def _(t):
-    return ev.search_metrics(t.v_results, t.v_labels, t.v_calls.select("latency_ms"))
+    return ev.search_metrics(t.v_results, t.kept("v_labels"), t.v_calls.select("latency_ms"))
 
 
 @query("compare_search", f"""{JUDGED}, {_metric_sql('j')}, jr AS (SELECT query_id, product_id, 21 - rnk AS rnk, rel FROM j), """
@@ -156,8 +156,9 @@ def _(t):
        .replace("allq AS", "allq2 AS").replace("FROM allq)", "FROM allq2)").replace("sm AS", "sm2 AS")
        + " SELECT 'shuffled' AS system, sm.* FROM sm UNION ALL SELECT 'reversed', sm2.* FROM sm2")
 def _(t):
-    back = t.v_results.withColumn("rnk", 21 - c("rnk"))
-    return ev.compare_search({"shuffled": ev.search_metrics(t.v_results, t.v_labels), "reversed": ev.search_metrics(back, t.v_labels)})
+    results, labels = t.kept("v_results"), t.kept("v_labels")
+    back = results.withColumn("rnk", 21 - c("rnk"))
+    return ev.compare_search({"shuffled": ev.search_metrics(results, labels), "reversed": ev.search_metrics(back, labels)})
 
 
 # --- classifier outputs ------------------------------------------------------------------------
@@ -167,7 +168,7 @@ _PRED = """pred AS (SELECT l.doc_id, d.lang, d.source, CASE WHEN l.doc_id % 11 =
 
 
 def label_predictions(t):
-    d = t.documents.select("doc_id", "lang", "source")
+    d = t.wide.documents.select("doc_id", "lang", "source")
     q = c("quality")
     return t.labels.join(d, "doc_id").select(
         "doc_id", "lang", "source", F.when(c("doc_id") % 11 == 0, -1).otherwise(q).alias("label"),

@@ -30,7 +30,7 @@ _NONEMPTY = f"list_filter({k.entries('product_features')}, lambda e: e.k <> '' A
 
 @query("parse_features", f"{PRODUCTS} SELECT product_id, {k.show_entries(k.last_wins(_NONEMPTY))} AS features FROM v_products")
 def _(t):
-    return t.v_products.select("product_id", _show(F.map_entries(fe.parse_features(F.col("product_features"))).cast(
+    return t.wide.v_products.select("product_id", _show(F.map_entries(fe.parse_features(F.col("product_features"))).cast(
         "array<struct<k:string,v:string>>")).alias("features"))
 
 
@@ -39,7 +39,7 @@ _LOWER = f"list_transform({k.entries('product_features')}, lambda e: {{'k': lowe
 
 @query("parse_features_lower", f"{PRODUCTS} SELECT product_id, {k.show_entries(k.last_wins(_LOWER))} AS features FROM v_products")
 def _(t):
-    return t.v_products.select("product_id", _show(F.map_entries(fe.parse_features_lower(F.col("product_features"))).cast(
+    return t.wide.v_products.select("product_id", _show(F.map_entries(fe.parse_features_lower(F.col("product_features"))).cast(
         "array<struct<k:string,v:string>>")).alias("features"))
 
 
@@ -51,7 +51,7 @@ FROM e""")
 def _(t):
     shown = F.transform(F.map_entries(fe.parse_features_multi(F.col("product_features"))),
                         lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ";")))
-    return t.v_products.select("product_id", _join(shown).alias("features"))
+    return t.wide.v_products.select("product_id", _join(shown).alias("features"))
 
 
 _FIRST_VALUE = "split_part(split_part(product_features, '|', 1), ':', 2)"
@@ -60,7 +60,7 @@ _FIRST_VALUE = "split_part(split_part(product_features, '|', 1), ':', 2)"
 @query("norm_categorical", f"""{PRODUCTS} SELECT product_id,
   {k.strip("regexp_replace(lower(" + k.strip(_FIRST_VALUE) + r"), '\s*\(.*?\)\s*', '', 'g')")} AS value FROM v_products""")
 def _(t):
-    return t.v_products.select("product_id", fe.norm_categorical(
+    return t.wide.v_products.select("product_id", fe.norm_categorical(
         F.split_part(F.split_part("product_features", F.lit("|"), F.lit(1)), F.lit(":"), F.lit(2))).alias("value"))
 
 
@@ -76,7 +76,7 @@ def _bool_sql(x: str) -> str:
 def _(t):
     last = F.try_element_at(F.filter(fe.raw_entries(F.col("product_features")),
                                      lambda e: e["k"] == "Assembly Required"), F.lit(-1))["v"]
-    return t.v_products.select("product_id", fe.norm_boolean(last).alias("value"))
+    return t.wide.v_products.select("product_id", fe.norm_boolean(last).alias("value"))
 
 
 def _multi_label_sql(x: str) -> str:
@@ -86,7 +86,7 @@ def _multi_label_sql(x: str) -> str:
 
 @query("norm_multi_label", f"{PRODUCTS} SELECT product_id, array_to_string({_multi_label_sql('category_hierarchy')}, '|') AS labels FROM v_products")
 def _(t):
-    return t.v_products.select("product_id", _join(fe.norm_multi_label(F.col("category_hierarchy"))).alias("labels"))
+    return t.wide.v_products.select("product_id", _join(fe.norm_multi_label(F.col("category_hierarchy"))).alias("labels"))
 
 
 def _attr_sql(name: str) -> str:
@@ -112,7 +112,7 @@ def attributes_of(df):
 
 @query("normalize_attributes", f"{_ENTRIES_CTE} SELECT product_id, {_ATTRS_SQL} FROM e")
 def _(t):
-    return attributes_of(t.v_products).select("product_id", *[
+    return attributes_of(t.wide.v_products).select("product_id", *[
         _join(c).alias(c) if c == "room_type" else F.col(c) for c in lx.SCHEMA1])
 
 
@@ -120,7 +120,7 @@ def _(t):
 WHERE product_features IS NOT NULL AND {k.strip('product_features')} <> ''""")
 def _(t):
     from ..operators.filters import process_products
-    return process_products(t.v_products).select("product_id", "product_name", "product_class", *[
+    return process_products(t.wide.v_products).select("product_id", "product_name", "product_class", *[
         _join(c).alias(c) if c == "room_type" else F.col(c) for c in lx.SCHEMA1])
 
 
@@ -134,7 +134,7 @@ WHERE product_features IS NOT NULL AND {k.strip('product_features')} <> '')"""
 def _(t):
     from ..operators.filters import process_products
     from ..operators.profile import coverage
-    return coverage(process_products(t.v_products), lx.SCHEMA1)
+    return coverage(process_products(t.wide.v_products), lx.SCHEMA1)
 
 
 # --- cleaning and text layouts ---------------------------------------------------------
@@ -161,12 +161,12 @@ def truncate_sql(x: str, n: int = 500) -> str:
 
 @query("clean_text", f"SELECT page_id, {clean_sql('html')} AS text FROM pages")
 def _(t):
-    return t.pages.select("page_id", tx.clean_text(F.col("html")).alias("text"))
+    return t.wide.pages.select("page_id", tx.clean_text(F.col("html")).alias("text"))
 
 
 @query("truncate_sentence", f"SELECT doc_id, {truncate_sql('text')} AS text FROM documents")
 def _(t):
-    return t.documents.select("doc_id", tx.truncate_sentence(F.col("text")).alias("text"))
+    return t.wide.documents.select("doc_id", tx.truncate_sentence(F.col("text")).alias("text"))
 
 
 @query("format_input", f"""{PRODUCTS} SELECT product_id, concat_ws(chr(10), 'Product: ' || {clean_sql('product_name')},
@@ -175,14 +175,14 @@ def _(t):
 FROM v_products""")
 def _(t):
     c = F.col
-    return t.v_products.select("product_id", tx.format_input(
+    return t.wide.v_products.select("product_id", tx.format_input(
         c("product_name"), c("product_class"), c("product_description"), 40).alias("text"))
 
 
 @query("parse_hierarchy", f"""{PRODUCTS} SELECT product_id, array_to_string(list_filter(list_transform(string_split(
   trim({k.strip("coalesce(category_hierarchy, '')")}, '"'), '/'), lambda p: {k.strip('p')}), lambda p: p <> ''), '>') AS path FROM v_products""")
 def _(t):
-    return t.v_products.select("product_id", F.array_join(fe.parse_hierarchy(F.col("category_hierarchy")), ">").alias("path"))
+    return t.wide.v_products.select("product_id", F.array_join(fe.parse_hierarchy(F.col("category_hierarchy")), ">").alias("path"))
 
 
 # --- keyword matching ----------------------------------------------------------------------
@@ -195,7 +195,7 @@ _MULTI_CTE = f"{PRODUCTS}, m AS (SELECT *, {k.multi('product_features')} AS es F
 def _(t):
     m = fe.parse_features_multi(F.col("product_features"))
     pick = lambda key: F.get(fe.values_of(m, [key]), F.lit(0))
-    return t.v_products.select("product_id",
+    return t.wide.v_products.select("product_id",
                                kw.normalize_value(pick("color"), lx.COLOR_FAMILIES).alias("color"),
                                kw.normalize_value(pick("material"), lx.MATERIAL_GROUPS).alias("material"))
 
@@ -203,7 +203,7 @@ def _(t):
 @query("infer_from_text", f"""SELECT doc_id, array_to_string({k.infer('text', lx.COLOR_FAMILIES)}, '|') AS colors,
   array_to_string({k.infer('text', lx.MATERIAL_GROUPS)}, '|') AS materials FROM documents""")
 def _(t):
-    return t.documents.select("doc_id", _join(kw.infer_from_text(F.col("text"), lx.COLOR_FAMILIES)).alias("colors"),
+    return t.wide.documents.select("doc_id", _join(kw.infer_from_text(F.col("text"), lx.COLOR_FAMILIES)).alias("colors"),
                               _join(kw.infer_from_text(F.col("text"), lx.MATERIAL_GROUPS)).alias("materials"))
 
 
@@ -225,7 +225,7 @@ NAMED = with_views("v_named")
 
 @query("color_from_name", f"{NAMED} SELECT product_id, array_to_string({color_name_sql('product_name')}, '|') AS colors FROM v_named")
 def _(t):
-    return t.v_named.select("product_id", _join(A.color_from_name(F.col("product_name"))).alias("colors"))
+    return t.wide.v_named.select("product_id", _join(A.color_from_name(F.col("product_name"))).alias("colors"))
 
 
 def _colors_stage(src: str) -> str:
@@ -264,9 +264,9 @@ RICH = with_views("v_products", "v_named") + f""", rich AS (
 
 def rich_products(t):
     """Catalog with colour-carrying names, taxonomy text and depth."""
-    named = t.v_named.select("product_id", "product_name")
+    named = t.wide.v_named.select("product_id", "product_name")
     path = F.col("taxonomy")
-    return t.v_products.drop("product_name").join(named, "product_id").withColumn(
+    return t.wide.v_products.drop("product_name").join(named, "product_id").withColumn(
         "taxonomy", fe.parse_hierarchy(F.col("category_hierarchy"))).withColumns({
             "taxonomy_full": F.array_join(path, " / "), "taxonomy_depth": F.size(path)})
 
@@ -332,14 +332,14 @@ def _(t):
 # --- the simple keyword extractor ----------------------------------------------------------
 @query("keyword_vote", f"SELECT doc_id, {k.vote('lower(text)', lx.STYLE_KEYWORDS)} AS style, {k.vote('lower(text)', lx.MATERIAL_KEYWORDS)} AS material FROM documents")
 def _(t):
-    low = t.documents.select("doc_id", F.lower("text").alias("t"))
+    low = t.wide.documents.select("doc_id", F.lower("text").alias("t"))
     return low.select("doc_id", kw.keyword_vote(F.col("t"), lx.STYLE_KEYWORDS).alias("style"),
                       kw.keyword_vote(F.col("t"), lx.MATERIAL_KEYWORDS).alias("material"))
 
 
 @query("room_types", f"SELECT doc_id, {k.present('lower(text)', lx.ROOM_KEYWORDS)} AS rooms FROM documents")
 def _(t):
-    return t.documents.select("doc_id", _join(kw.room_types(F.lower("text"))).alias("rooms"))
+    return t.wide.documents.select("doc_id", _join(kw.room_types(F.lower("text"))).alias("rooms"))
 
 
 def _flag_sql(x: str) -> str:
@@ -348,7 +348,7 @@ def _flag_sql(x: str) -> str:
 
 @query("assembly_flag", f"{PRODUCTS} SELECT product_id, {_flag_sql('lower(product_description)')} AS flag FROM v_products")
 def _(t):
-    return t.v_products.select("product_id", kw.assembly_flag(F.lower("product_description")).alias("flag"))
+    return t.wide.v_products.select("product_id", kw.assembly_flag(F.lower("product_description")).alias("flag"))
 
 
 def v1_sql(text: str, src: str) -> str:
@@ -360,12 +360,12 @@ def v1_sql(text: str, src: str) -> str:
 @query("extract_attributes_v1", f"""{PRODUCTS}, x AS (SELECT *, lower(concat_ws(' ', product_name, product_description, product_class)) AS t FROM v_products)
 {v1_sql('t', 'x')}""")
 def _(t):
-    out = A.extract_attributes_v1(t.v_products)
+    out = A.extract_attributes_v1(t.wide.v_products)
     return out.select("product_id", *[_join(c).alias(c) if c == "room_type" else F.col(c) for c in lx.SCHEMA1])
 
 
 @query("enrich_catalog", f"""{PRODUCTS}, x AS (SELECT *, lower(concat_ws(' ', product_name, product_name || ' ' || coalesce(product_description, '') || ' ' || coalesce(product_features, ''), product_class)) AS t FROM v_products)
 {v1_sql('t', 'x')}""")
 def _(t):
-    out = A.enrich_catalog(t.v_products).select("product_id", "attributes.*")
+    out = A.enrich_catalog(t.wide.v_products).select("product_id", "attributes.*")
     return out.withColumn("room_type", _join(F.col("room_type")))

@@ -33,7 +33,7 @@ _X1 = f"{PRODUCTS}, x AS (SELECT *, lower(concat_ws(' ', product_name, product_d
 def _(t):
     # every shipment is an arrival of its product; repeats are ignored
     arrivals = st.file_stream(t.spark, t.folder, "lineitem").select(c("l_partkey").alias("product_id"), c("l_shipdate").cast("timestamp").alias("seen"))
-    out = st.enrich_stream(arrivals.join(t.v_products, "product_id"), "seen", "36500 days")
+    out = st.enrich_stream(arrivals.join(t.wide.v_products, "product_id"), "seen", "36500 days")
     return flat(st.drain(out.select("product_id", *lx.SCHEMA1), "enrich"))
 
 
@@ -50,12 +50,12 @@ _PRICE = ("CASE model " + " ".join(f"WHEN '{m}' THEN input_tokens / 1000.0::DOUB
 _CLOSED = "WHERE start + INTERVAL '{w}' <= (SELECT max(ts) FROM events) - INTERVAL '{d}'"
 
 
-@query("call_log_stream", f"""{with_views('v_calls')}, g AS (SELECT date_trunc('hour', ts) AS start, model, count(*) AS calls, count(*) FILTER (NOT success) AS errors, round(avg(latency_ms), 4) AS avg_latency_ms, round(sum({_PRICE}), 9) AS cost FROM v_calls GROUP BY 1, 2)
+@query("call_log_stream", f"""{with_views('v_calls')}, g AS (SELECT date_trunc('hour', ts) AS start, model, count(*) AS calls, count(*) FILTER (NOT success) AS errors, round(avg(latency_ms), 8) AS avg_latency_ms, round(sum({_PRICE}), 9) AS cost FROM v_calls GROUP BY 1, 2)
 SELECT strftime(start, '%Y-%m-%d %H') AS hour, model, calls, errors, avg_latency_ms, cost FROM g {_CLOSED.format(w='1 hour', d='10 minutes')}""")
 def _(t):
     out = st.drain(st.call_log_stream(calls_stream(t), "ts"), "calls")
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "model", "calls", "errors",
-                      F.round("avg_latency_ms", 4).alias("avg_latency_ms"), F.round("cost", 9).alias("cost"))
+                      F.round("avg_latency_ms", 8).alias("avg_latency_ms"), F.round("cost", 9).alias("cost"))
 
 
 @query("call_log_sliding", f"""{with_views('v_calls')}, s AS (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL '1 hour']) AS start FROM v_calls),
@@ -90,7 +90,7 @@ def _(t):
 @query("read_catalog", f"{PRODUCTS} SELECT * FROM v_products")
 def _(t):
     path = fresh_path(t.spark, "catalog")
-    wr.write_tsv(t.v_products, path)
+    wr.write_tsv(t.wide.v_products, path)
     return rd.read_catalog(t.spark, path)
 
 
@@ -105,7 +105,7 @@ def _(t):
 @query("read_jsonl", f"{PRODUCTS} SELECT product_id, product_name, product_class, category_hierarchy, product_description, product_features, CASE WHEN product_id % 3 = 0 THEN 'val' ELSE 'train' END AS split FROM v_products")
 def _(t):
     path = fresh_path(t.spark, "splits")
-    wr.write_jsonl(t.v_products.withColumn("split", F.when(c("product_id") % 3 == 0, "val").otherwise("train")), path, ["split"])
+    wr.write_jsonl(t.wide.v_products.withColumn("split", F.when(c("product_id") % 3 == 0, "val").otherwise("train")), path, ["split"])
     return rd.read_jsonl(t.spark, path, rd.fields(**{f.name: f.dataType for f in rd.CATALOG}, split=rd.S))
 
 
@@ -146,7 +146,7 @@ def _(t):
 def _(t):
     heads = F.lit(["FFD8FFE000000000", "89504E470D0A1A0A", "5249464600000000", "4749463839610000", "0000000000000000"])
     content = F.concat(F.unhex(F.get(heads, (c("page_id") % 5).cast("int"))), F.encode("html", "UTF-8"))
-    return t.pages.select("page_id", content.alias("content")).select("page_id", rd.is_image(c("content"), F.length("content").cast("long")).alias("valid"))
+    return t.wide.pages.select("page_id", content.alias("content")).select("page_id", rd.is_image(c("content"), F.length("content").cast("long")).alias("valid"))
 
 
 @query("write_vocab", f"{_VOCAB} SELECT kind, value, n, idx FROM vocab")
@@ -203,11 +203,11 @@ def _(t):
     blank = F.struct(*[F.lit("cached style" if a == "style" else None).cast("string").alias(a) for a in lx.SCHEMA1])
     cache = images(t).select("product_id", blank.alias("prediction"), F.lit(1.0).alias("latency_ms"), F.lit("plain").alias("model"), F.lit(None).cast("string").alias("error"))
     extractor = ex.PythonExtractor("plain", lambda: None, _plain_extract)
-    out = ex.run_extraction(t.v_products.select("product_id", "product_name", "product_description", "product_class"), extractor, cache)
+    out = ex.run_extraction(t.wide.v_products.select("product_id", "product_name", "product_description", "product_class"), extractor, cache)
     return out.select("product_id", c("prediction.style").alias("style"), "error", "cached")
 
 
 @query("rule_extraction", f"{PRODUCTS}, x AS (SELECT *, lower(concat_ws(' ', product_name, product_description, product_class)) AS t FROM v_products), v AS ({v1_sql('t', 'x')}) SELECT product_id, style, replace(room_type, '|', ', ') AS room_type, 'rule-based' AS model FROM v")
 def _(t):
-    out = ex.run_extraction(t.v_products, ex.RuleExtractor())
+    out = ex.run_extraction(t.wide.v_products, ex.RuleExtractor())
     return out.select("product_id", c("prediction.style").alias("style"), c("prediction.room_type").alias("room_type"), "model")

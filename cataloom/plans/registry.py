@@ -14,9 +14,21 @@ ORACLES: dict[str, str] = {}
 class Tables:
     """Lazy access to the parquet tables and standing views of one data folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, spread: bool = False):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._spread = spread
+
+    @property
+    def wide(self) -> Tables:
+        """The same tables for work that is heavy per row: a table stored in fewer splits than
+        there are cores is spread over the cores; any larger table is read as it is."""
+        return Tables(self.spark, self.folder, spread=True)
+
+    def kept(self, name: str) -> DataFrame:
+        """A view that a query reads several times, written once to the shared folder."""
+        from ..session import written
+        return written(getattr(self, name), name)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -24,7 +36,11 @@ class Tables:
         from . import views
         if name in views.VIEWS:
             return views.view(self, name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if self._spread and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
 
 
 def query(name: str, sql: str | None = None):

@@ -71,7 +71,7 @@ def _(t):
 @query("pad_and_mask", """SELECT page_id, array_to_string(list_resize(w[1:6], 6, '-'), ' ') AS padded, list_sum(list_transform(range(1, 7), lambda i: CASE WHEN i <= len(w) THEN 1.0::DOUBLE ELSE 0 END)) AS real
 FROM (SELECT page_id, string_split(url, '/') AS w FROM pages)""")
 def _(t):
-    return t.pages.select("page_id", ve.pad_and_mask(F.split("url", "/"), 6, F.lit("-")).alias("p")).select(
+    return t.wide.pages.select("page_id", ve.pad_and_mask(F.split("url", "/"), 6, F.lit("-")).alias("p")).select(
         "page_id", F.array_join("p.padded", " ").alias("padded"), F.aggregate("p.mask", F.lit(0.0), lambda s, x: s + x).alias("real"))
 
 
@@ -240,14 +240,14 @@ def _pick(key: str) -> str:
 
 @query("parse_model_output", f"{_STAGES} SELECT product_id, {', '.join(_pick(x) for x in _KEYS)} FROM a1")
 def _(t):
-    return t.v_answers.select("product_id", mt.parse_model_output(c("answer")).alias("a")).select("product_id", "a.*")
+    return t.wide.v_answers.select("product_id", mt.parse_model_output(c("answer")).alias("a")).select("product_id", "a.*")
 
 
 @query("parse_json_output", f"""{ANSWERS}, x AS (SELECT product_id, coalesce({_JSON_OBJ.format(k.strip('answer'))}, {_JSON_OBJ.format("regexp_extract(answer, '[{][^{}]+[}]', 0)")}) AS js FROM v_answers)
 SELECT product_id, array_to_string(list_transform(json_keys(js), lambda j: j || '=' || json_extract_string(js, '$."' || j || '"')), '|') AS entries FROM x""")
 def _(t):
     shown = F.transform(mt.parse_json_output(c("answer")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return t.v_answers.select("product_id", F.array_join(shown, "|").alias("entries"))
+    return t.wide.v_answers.select("product_id", F.array_join(shown, "|").alias("entries"))
 
 
 @query("parse_kv_output", _STAGES.replace("regexp_replace(split_part(answer, chr(10) || chr(10), 1), '([\\p{L}\\p{N}_]+)(?:/[\\p{L}\\p{N}_]+){5,}', '\\1', 'g')", "answer").replace(", 1, 500) END AS txt", ", 1, 100000) END AS txt")
@@ -255,18 +255,18 @@ def _(t):
 def _(t):
     from ..functions.text import none_if_blank
     shown = F.transform(mt.parse_kv_output(none_if_blank(c("answer"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return t.v_answers.select("product_id", F.array_join(shown, "|").alias("entries"))
+    return t.wide.v_answers.select("product_id", F.array_join(shown, "|").alias("entries"))
 
 
 @query("parse_regex_output", f"""{ANSWERS} SELECT product_id, concat_ws('|', {', '.join("'" + x + "=' || " + k.strip(f"nullif(regexp_extract(lower(answer), '{x}" + chr(92) + "s*[:=]" + chr(92) + "s*([^;" + chr(92) + "n]+)', 1), '')") for x in _KEYS)}) AS entries FROM v_answers""")
 def _(t):
     shown = F.transform(mt.parse_regex_output(c("answer")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return t.v_answers.select("product_id", F.array_join(shown, "|").alias("entries"))
+    return t.wide.v_answers.select("product_id", F.array_join(shown, "|").alias("entries"))
 
 
 @query("normalize_model_output", f"{ANSWERS} SELECT product_id, {_value_sql('answer')} AS value FROM v_answers")
 def _(t):
-    return t.v_answers.select("product_id", mt.normalize_model_value(c("answer")).alias("value"))
+    return t.wide.v_answers.select("product_id", mt.normalize_model_value(c("answer")).alias("value"))
 
 
 _FENCE = f"""{k.strip("regexp_replace(CASE WHEN starts_with(f, '```') THEN CASE WHEN contains(f, chr(10)) THEN substr(f, instr(f, chr(10)) + 1) ELSE substr(f, 4) END ELSE f END, '```$', '')")}"""
@@ -279,18 +279,18 @@ def _from_js(col: str, key: str) -> str:
 @query("parse_fenced_json", f"""{ANSWERS}, f AS (SELECT product_id, {k.strip('fenced')} AS f FROM v_answers), g AS (SELECT product_id, {_JSON_OBJ.format(_FENCE)} AS js FROM f)
 SELECT product_id, {', '.join(_from_js('js', x) for x in _KEYS)} FROM g""")
 def _(t):
-    return t.v_answers.select("product_id", mt.parse_fenced_json(c("fenced")).alias("a")).select("product_id", "a.*")
+    return t.wide.v_answers.select("product_id", mt.parse_fenced_json(c("fenced")).alias("a")).select("product_id", "a.*")
 
 
 @query("parse_braced_json", f"""{ANSWERS}, g AS (SELECT product_id, {_JSON_OBJ.format("regexp_extract(fenced, '(?s)[{].*[}]', 0)")} AS js FROM v_answers)
 SELECT product_id, {', '.join(_from_js('js', x) for x in _KEYS)} FROM g""")
 def _(t):
-    return t.v_answers.select("product_id", mt.parse_fenced_json(c("fenced"), braces_only=True).alias("a")).select("product_id", "a.*")
+    return t.wide.v_answers.select("product_id", mt.parse_fenced_json(c("fenced"), braces_only=True).alias("a")).select("product_id", "a.*")
 
 
 @query("validate_vocab", f"""{PROCESSED_SQL} SELECT product_id, CASE WHEN style IN {k.inlist(list(lx.STYLE_GROUPS))} THEN style END AS style, CASE WHEN color_family IN {k.inlist(list(lx.COLOR_FAMILIES))} THEN color_family END AS color_family FROM processed""")
 def _(t):
-    return fi.process_products(t.v_products).select(
+    return fi.process_products(t.wide.v_products).select(
         "product_id", mt.valid_or_null(c("style"), list(lx.STYLE_GROUPS)).alias("style"), mt.valid_or_null(c("color_family"), list(lx.COLOR_FAMILIES)).alias("color_family"))
 
 
@@ -367,7 +367,7 @@ _BARE = k.strip(f"regexp_replace({_BARE}, '\\s+', ' ', 'g')")
 SELECT product_id, {k.strip("CASE WHEN len(" + k.words('q') + ") <= 2 AND NOT contains(lower(q), 'furniture') THEN q || ' furniture' ELSE q END")} AS q FROM u""")
 def _(t):
     cls = F.when(c("product_id") % 3 > 0, c("product_class"))
-    return t.v_named.select("product_id", qu.stock_query(F.concat("product_name", F.lit(" "), "extra"), cls).alias("q"))
+    return t.wide.v_named.select("product_id", qu.stock_query(F.concat("product_name", F.lit(" "), "extra"), cls).alias("q"))
 
 
 _QTEXT = "CASE product_id % 3 WHEN 0 THEN 'Modern ' || product_name || ' chair under $' || (product_id % 900) WHEN 1 THEN product_name || ' oak table below 99.50' ELSE upper(product_name) || ' mid-century rug' END"
@@ -386,7 +386,7 @@ def _qattr_sql(x: str) -> str:
 
 @query("query_attributes", f"{PRODUCTS}, q AS (SELECT product_id, {_QTEXT} AS q FROM v_products) SELECT product_id, {_qattr_sql('q')} FROM q")
 def _(t):
-    return t.v_products.select("product_id", qu.query_attributes(_qcol()).alias("a")).select("product_id", "a.*")
+    return t.wide.v_products.select("product_id", qu.query_attributes(_qcol()).alias("a")).select("product_id", "a.*")
 
 
 _KNOWN = k.inlist(sorted({x for v in lx.QUERY_TERMS.values() for x in v}))
@@ -396,7 +396,7 @@ _PRICE_RX = r"(?:under|below|less than)\s*\$?\s*(\d+(?:\.\d+)?)"
 @query("query_parse", f"""{PRODUCTS}, q AS (SELECT product_id, {_QTEXT} AS q FROM v_products) SELECT product_id, {_qattr_sql('q')}, nullif(regexp_extract(lower(q), '{_PRICE_RX}', 1), '')::DOUBLE AS max_price,
  array_to_string(list_filter({k.words("regexp_replace(lower(q), '" + _PRICE_RX + "', ' ', 'g')")}, lambda w: w NOT IN {_KNOWN}), ' ') AS text FROM q""")
 def _(t):
-    return t.v_products.select("product_id", qu.query_parse(_qcol()).alias("a")).select("product_id", "a.*")
+    return t.wide.v_products.select("product_id", qu.query_parse(_qcol()).alias("a")).select("product_id", "a.*")
 
 
 # --- text corruption --------------------------------------------------------------------------------
@@ -407,7 +407,7 @@ def vague_sql(x: str, listed) -> str:
 
 @query("make_vague", f"{PRODUCTS} SELECT product_id, {vague_sql('product_description', co.VAGUE_WORDS)} AS vague, {vague_sql('product_description', co.VAGUE_WORDS_ROOMS)} AS vague_rooms FROM v_products")
 def _(t):
-    return t.v_products.select("product_id", co.make_vague(c("product_description")).alias("vague"),
+    return t.wide.v_products.select("product_id", co.make_vague(c("product_description")).alias("vague"),
                                co.make_vague(c("product_description"), co.VAGUE_WORDS_ROOMS).alias("vague_rooms"))
 
 
@@ -423,7 +423,7 @@ _ADV = f"""{PROCESSED_SQL}, s0 AS (SELECT *, coalesce(product_description, '') |
 
 
 def _adv_source(t):
-    return fi.process_products(t.v_products).withColumn("t0", F.concat(F.coalesce("product_description", F.lit("")), F.lit(" Modern brown wood, MODERN!")))
+    return fi.process_products(t.wide.v_products).withColumn("t0", F.concat(F.coalesce("product_description", F.lit("")), F.lit(" Modern brown wood, MODERN!")))
 
 
 @query("make_adversarial", f"{_ADV} SELECT product_id, t3 AS text FROM s3")
@@ -454,7 +454,7 @@ def mask_sql(x: str, listed) -> str:
 
 @query("mask_words", f"SELECT doc_id, {mask_sql('text', lx.MASK_COLORS + ['the', 'und', 'le'])} AS text FROM documents")
 def _(t):
-    return t.documents.select("doc_id", co.mask_words(c("text"), lx.MASK_COLORS + ["the", "und", "le"]).alias("text"))
+    return t.wide.documents.select("doc_id", co.mask_words(c("text"), lx.MASK_COLORS + ["the", "und", "le"]).alias("text"))
 
 
 def preserved_sql(x: str) -> str:
@@ -473,7 +473,7 @@ def _pres_col():
 
 @query("preserved_phrases", f"{PRODUCTS} SELECT product_id, {preserved_sql(_PRES_SRC)} AS phrases FROM v_products")
 def _(t):
-    return t.v_products.select("product_id", co.preserved_phrases(_pres_col()).alias("phrases"))
+    return t.wide.v_products.select("product_id", co.preserved_phrases(_pres_col()).alias("phrases"))
 
 
 _U = {n: k.uniform(7, n, "product_id") for n in ("level", "mask_color", "mask_shape", "mask_style", "mask_material")}

@@ -9,6 +9,7 @@ from ..functions.attributes import enrich_catalog, extract_attributes_v2
 from ..operators import ranking as rk
 from ..operators import search as se
 from ..operators.joins import attach_attributes, product_texts
+from ..session import written
 from . import sqlkit as k
 from .catalog import SEARCH_TEXT
 from .features import PRODUCTS, V2_STAGES, rich_products, v1_sql
@@ -34,7 +35,7 @@ def bm25_sql(docs: str, queries: str, top: int, tag: str = "") -> str:
 @query("bm25_search", f"""WITH d AS (SELECT doc_id AS product_id, text FROM documents), q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {bm25_sql('d', 'q', 10)}
 SELECT query_id, product_id, score, rnk::INT AS rnk FROM bm""")
 def _(t):
-    index = se.bm25_index(t.documents, "doc_id", "text")
+    index = se.bm25_index(t.wide.documents, "doc_id", "text")
     q = t.benchmark.select(c("item_id").alias("query_id"), c("text").alias("query"))
     out = se.bm25_search(index, q, 10, doc="doc_id")
     return out.select("query_id", c("doc_id").alias("product_id"), "score", "rnk")
@@ -43,7 +44,7 @@ def _(t):
 @query("bm25_index", f"""WITH d AS (SELECT doc_id AS product_id, text FROM documents), q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {bm25_sql('d', 'q', 10)}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
 SELECT term, df, round(raw, 6) AS idf FROM df JOIN raw USING (term)""")
 def _(t):
-    return se.bm25_index(t.documents, "doc_id", "text")["terms"].select("term", c("_df").alias("df"), F.round("_raw", 6).alias("idf"))
+    return se.bm25_index(t.wide.documents, "doc_id", "text")["terms"].select("term", c("_df").alias("df"), F.round("_raw", 6).alias("idf"))
 
 
 # --- vectors: one query per label, the mean of its vectors, against all vectors ------------
@@ -84,7 +85,7 @@ def _(t):
 
 @query("encode_corpus")
 def _(t):
-    df, _model = se.encode_corpus(t.documents.select("doc_id", "text"), "text", dim=64)
+    df, _model = se.encode_corpus(t.wide.documents.select("doc_id", "text"), "text", dim=64)
     return df.select("doc_id", "vector")
 
 
@@ -99,7 +100,7 @@ def catalog_queries(t):
 
 
 def corpus(t):
-    return product_texts(t.v_products).withColumnRenamed("product_text", "text")
+    return product_texts(t.wide.v_products).withColumnRenamed("product_text", "text")
 
 
 _CORPUS = f"cp AS (SELECT product_id, product_name, {SEARCH_TEXT} AS text FROM v_products)"
@@ -107,7 +108,7 @@ _ENRICHED = f"""ex AS (SELECT *, lower(concat_ws(' ', product_name, product_name
 
 
 def enriched(t):
-    return enrich_catalog(t.v_products).select("product_id", "attributes.*")
+    return enrich_catalog(t.wide.v_products).select("product_id", "attributes.*")
 
 
 _STAGE1 = f"{with_views('v_products', 'v_queries')}, {_CQ}, {_CORPUS}, {_ENRICHED}, {bm25_sql('cp', 'cq', 50)}, hits AS (SELECT b.*, query, product_name, text FROM bm b JOIN cq USING (query_id) JOIN cp USING (product_id))"
@@ -138,7 +139,7 @@ def _hits(t):
 @query("rerank", f"{_STAGE2} SELECT query_id, product_id, ce_score, ce_rank::INT AS ce_rank, rnk::INT AS rnk FROM rr")
 def _(t):
     index, hits = _hits(t)
-    return se.rerank(hits, index=index).select("query_id", "product_id", "ce_score", "ce_rank", "rnk")
+    return se.rerank(hits, queries=catalog_queries(t), index=index).select("query_id", "product_id", "ce_score", "ce_rank", "rnk")
 
 
 @query("attribute_boost", f"{_STAGE1}, {_boost_sql('hits', 'score', 'rnk')} SELECT query_id, product_id, q_style, p_style, attribute_boost, boosted_score, final_rank::INT AS final_rank FROM b3")
@@ -173,8 +174,9 @@ def _(t):
 SELECT query_id, rnk::INT AS rnk, max(product_id) FILTER (s = 'bm25') AS bm25, max(product_id) FILTER (s = 'reranked') AS reranked, max(product_id) FILTER (s = 'boosted') AS boosted FROM u GROUP BY 1, 2""")
 def _(t):
     index, first = _first(t)
+    first = written(first, "first-stage")
     hits = first.join(catalog_queries(t), "query_id").join(corpus(t), "product_id")
-    ranked = se.rerank(hits, index=index)
+    ranked = written(se.rerank(hits, queries=catalog_queries(t), index=index), "reranked")
     boosted = se.attribute_boost(ranked, enriched(t), previous="ce_rank")
     return se.compare_approaches({"bm25": first, "reranked": ranked.withColumn("rnk", c("ce_rank")), "boosted": boosted.withColumn("rnk", c("final_rank"))})
 
