@@ -67,15 +67,15 @@ _EXACT = f"""WITH {_CENTRES}, s AS (SELECT query_id, vec_id AS product_id, round
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rnk FROM s) """
 
 
-@query("vector_topk", _EXACT + "SELECT query_id::BIGINT AS query_id, product_id, round(score, 4) AS score, rnk::INT AS rnk FROM r WHERE rnk <= 20")
+@query("vector_topk", _EXACT + "SELECT query_id::BIGINT AS query_id, product_id, score, rnk::INT AS rnk FROM r WHERE rnk <= 20")
 def _(t):
-    return se.vector_topk(centres(t), vectors(t), 20).withColumn("score", F.round("score", 4))
+    return se.vector_topk(centres(t), vectors(t), 20)
 
 
-@query("vector_topk_blocks", _EXACT + "SELECT query_id::BIGINT AS query_id, product_id, round(score, 4) AS score, rnk::INT AS rnk FROM r WHERE rnk <= 20")
+@query("vector_topk_blocks", _EXACT + "SELECT query_id::BIGINT AS query_id, product_id, score, rnk::INT AS rnk FROM r WHERE rnk <= 20")
 def _(t):
     # the path for query sets too large to send to every task, forced by small block sizes
-    return se.vector_topk(centres(t), vectors(t), 20, small_queries=0, block_rows=300, block_queries=4).withColumn("score", F.round("score", 4))
+    return se.vector_topk(centres(t), vectors(t), 20, small_queries=0, block_rows=300, block_queries=4)
 
 
 @query("ivf_topk")
