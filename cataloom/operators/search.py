@@ -46,24 +46,27 @@ def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, do
                 epsilon: float = 0.25, salts: int = 8) -> DataFrame:
     """(query, doc, score, rnk): k best documents per query; documents that share no term are not returned.
 
+    Queries with the same text are answered once and the answer is handed to all of them.
     Only postings of query terms leave the documents, already counted per document.  The
     term join is salted by document, so a term that occurs everywhere is split.
     """
-    asked = queries.select(F.col(query), F.explode(words(F.lower(F.col(text)))).alias("term")).groupBy(query, "term").agg(
-        F.count("*").alias("_qtf"))
+    texts = queries.select(F.col(query), F.lower(text_or_empty(F.col(text))).alias("_text"))
+    spoken = texts.groupBy("_text").agg(F.min(query).alias("_rep"))
+    asked = each(spoken, words(F.col("_text")), "term", "_rep").groupBy("_rep", "term").agg(F.count("*").alias("_qtf"))
     idf = index["terms"].join(asked.select("term").distinct(), "term", "left_semi").crossJoin(
         F.broadcast(index["mean_idf"])).select("term", F.when(F.col("_raw") < 0, F.lit(epsilon) * F.col("_mean")).otherwise(
             F.col("_raw")).alias("_idf"))
     weights = asked.join(idf, "term").withColumn("_w", F.col("_qtf") * F.col("_idf")).select(
-        query, "term", "_w", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+        "_rep", "term", "_w", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     tokens = each(index["docs"].withColumn("_dl", F.size("_tokens")), F.col("_tokens"), "term", doc, "_dl")
     postings = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc, "_dl", "term").agg(
         F.count("*").alias("_tf")).withColumn("_salt", F.pmod(F.xxhash64(doc), F.lit(salts)).cast("int"))
     norm = postings.crossJoin(F.broadcast(index["stats"])).withColumn(  # one row
         "_part", F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_dl") / F.col("_avgdl"))))
-    scores = norm.join(weights, ["term", "_salt"]).groupBy(query, doc).agg(
+    scores = norm.join(weights, ["term", "_salt"]).groupBy("_rep", doc).agg(
         F.round(F.sum(F.col("_w") * F.col("_part")), 6).alias("score")).filter(F.col("score") != 0)
-    return topk_per_key(scores, [query], [F.col("score").desc(), F.col(doc).asc()], k)
+    best = topk_per_key(scores, ["_rep"], [F.col("score").desc(), F.col(doc).asc()], k)
+    return texts.join(spoken, "_text").select(query, "_rep").join(best, "_rep").select(query, doc, "score", "rnk")
 
 
 # --- vectors --------------------------------------------------------------------------------

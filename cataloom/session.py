@@ -12,6 +12,8 @@ def local_session(cpus: int = 8, memory: str = "16g") -> SparkSession:
     """Session for tests and the bench; on a cluster the caller brings its own."""
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("cataloom")
              .config("spark.sql.shuffle.partitions", str(cpus)).config("spark.sql.adaptive.enabled", "true")
+             # small test tables: keep the cores busy where a join multiplies few bytes into many rows
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", memory)
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
