@@ -44,7 +44,7 @@ def bm25_index(corpus: DataFrame, doc: str, text: str) -> dict[str, DataFrame]:
 def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, doc: str = "product_id",
                 query: str = "query_id", text: str = "query", k1: float = 1.5, b: float = 0.75,
                 epsilon: float = 0.25, salts: int = 8) -> DataFrame:
-    """(query, doc, score, rnk): k best documents per query; documents that share no term are not returned.
+    """(query, doc, score, rnk): k best documents per query; documents with score 0 are not returned.
 
     Queries with the same text are answered once and the answer is handed to all of them.
     Only postings of query terms leave the documents, already counted per document.  The

@@ -186,3 +186,21 @@ def test_upholstered_material_logic(spark):
     out = [tuple(r.m) if r.m else None for r in df.select(A.materials_smart(parse_features_multi(F.col("f")), F.col("n"), F.col("c"), F.lit("")).alias("m")).collect()]
     assert out[0] == ("leather", "wood") or out[0] == ("velvet", "wood")
     assert out[1] == ("metal", "glass") and out[2] == ("leather", "metal")
+
+
+def test_encoded_texts_are_unit_vectors_and_rank_their_own_text_first(spark):
+    df = spark.createDataFrame([(0, "red oak table"), (1, "blue steel chair"), (2, "green velvet sofa bed"), (3, "")], "product_id long, text string")
+    vectors, model = se.encode_corpus(df, "text", dim=512)
+    rows = {r.product_id: np.array(r.vector) for r in vectors.collect()}
+    assert all(len(v) == 512 for v in rows.values()) and not rows[3].any()
+    assert all(np.linalg.norm(rows[i]) == pytest.approx(1.0, abs=1e-5) for i in range(3))
+    queries, _ = se.encode_corpus(df.filter("product_id < 3").withColumnRenamed("product_id", "query_id"), "text", dim=512, fitted=model)
+    assert {(r.query_id, r.product_id) for r in se.vector_topk(queries, vectors, 1).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_bm25_gives_repeated_queries_the_same_answer(spark):
+    docs = spark.createDataFrame([(0, "red oak oak"), (1, "red steel"), (2, "blue"), (3, ""), (4, "green")], "product_id long, text string")  # df(red) = N/2 would give idf 0
+    queries = spark.createDataFrame([(7, "Red oak"), (8, "red  Oak"), (9, "red oak"), (10, "none")], "query_id long, query string")
+    out = se.bm25_search(se.bm25_index(docs, "product_id", "text"), queries, 5).collect()
+    by_query = {q: [(r.product_id, r.score) for r in sorted(out, key=lambda r: r.rnk) if r.query_id == q] for q in (7, 8, 9, 10)}
+    assert by_query[7] == by_query[8] == by_query[9] and [p for p, _ in by_query[7]] == [0, 1] and by_query[10] == []
