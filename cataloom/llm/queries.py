@@ -38,5 +38,18 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("op9_secrets")
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    from .secrets import scan_secrets
+    from .secretscan import scan_secrets
     return scan_secrets(_table(spark, folder, "documents")).drop("n_random")
+
+
+@register("op8_language_id")
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from .langid import identify, train
+    docs = _table(spark, folder, "documents")
+    return identify(docs, train(docs))
+
+
+@register("op4_simhash")
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from .simhash import near_duplicates
+    return near_duplicates(_table(spark, folder, "documents"))
