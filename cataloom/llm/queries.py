@@ -53,3 +53,9 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from .simhash import near_duplicates
     return near_duplicates(_table(spark, folder, "documents"))
+
+
+@register("op10_repeated_strings")
+def op10_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    from .substrings import remove_repeats
+    return remove_repeats(_table(spark, folder, "documents")).drop("kept")
