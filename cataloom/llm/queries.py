@@ -59,3 +59,12 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op10_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     from .substrings import remove_repeats
     return remove_repeats(_table(spark, folder, "documents")).drop("kept")
+
+
+@register("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .lines import dedup_lines
+    cleaned = dedup_lines(_table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -14,13 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import KMER, anchor_positions, mixed, range_hashes
 from .common import kept
+from .lines import packed_texts, placed_texts
 
 RECORD = np.dtype([("kmer", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("twin", "<u4"), ("pos", "<u4")])
+_SPANS = np.dtype([("doc", "<i8"), ("twin", "<u4"), ("lo", "<u4"), ("hi", "<u4")])
 _LAST = 2**63 - 1
 
 
@@ -94,12 +97,6 @@ FOUND = "kind int, doc bigint, twin bigint, lo bigint, hi bigint, kmer bigint"
 SPAN, ASKED = 0, 1
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, twin, text): the place of a row is its id (null: last), then a hash of its text; equal rows are one document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(2**32 - 1)).alias("twin"), text.alias("text"))
-
-
 def _anchor_records(texts: list[bytes], doc: np.ndarray, twin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Records of the anchors of some texts, and the stretch [lo, hi) that all strings around an anchor cover."""
     size = np.array([len(t) for t in texts], np.int64)
@@ -117,7 +114,7 @@ def _anchor_records(texts: list[bytes], doc: np.ndarray, twin: np.ndarray, lengt
 
 def sample_anchors(docs: DataFrame, length: int, buckets: int, id_col: str, text_col: str, flush: int = 400_000) -> DataFrame:
     """Packed records by bucket of the k-mer. Surroundings met before in the same task settle there, so that a passage in
-    any share of all documents leaves one record per task; those spans come along in bucket -1."""
+    any share of all documents leaves one record per task; those spans come along in buckets below 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -128,7 +125,7 @@ def sample_anchors(docs: DataFrame, length: int, buckets: int, id_col: str, text
             records, lo, hi = records[order], lo[order], hi[order]
             again = np.zeros(len(records), bool)
             again[1:] = (records["kmer"][1:] == records["kmer"][:-1]) & (records["around"][1:] == records["around"][:-1])
-            spans = np.zeros(int(again.sum()), np.dtype([("doc", "<i8"), ("twin", "<u4"), ("lo", "<u4"), ("hi", "<u4")]))
+            spans = np.zeros(int(again.sum()), _SPANS)
             spans["doc"], spans["twin"], spans["lo"], spans["hi"] = records["doc"][again], records["twin"][again], lo[again], hi[again]
             # one place twice: equal rows; nothing is earlier there
             real = (records["doc"][1:] != records["doc"][:-1]) | (records["twin"][1:] != records["twin"][:-1]) | (records["pos"][1:] != records["pos"][:-1])
@@ -141,7 +138,7 @@ def sample_anchors(docs: DataFrame, length: int, buckets: int, id_col: str, text
             blobs = [records[a:b].tobytes() for a, b in zip(first, [*first[1:], len(records)])]
             numbers = [*names.tolist()]
             if len(spans):
-                numbers.append(-1)
+                numbers.append(-1 - int(spans["doc"][0] % buckets))
                 blobs.append(spans.tobytes())
             return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
@@ -161,7 +158,7 @@ def sample_anchors(docs: DataFrame, length: int, buckets: int, id_col: str, text
         if held:
             yield out()
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "bucket int, data binary")
+    return placed_texts(docs, id_col, text_col).mapInArrow(run, "bucket int, data binary")
 
 
 def settle(packed: DataFrame, length: int, buckets: int, batch: int = 65_536) -> DataFrame:
@@ -191,6 +188,10 @@ def settle(packed: DataFrame, length: int, buckets: int, batch: int = 65_536) ->
 
         for b in batches:
             for number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if number < 0:
+                    s = np.frombuffer(data, _SPANS)
+                    yield _span_batch(s["doc"], s["twin"], s["lo"], s["hi"], SPAN)
+                    continue
                 if number != now and held:
                     yield from close()
                     held.clear()
@@ -199,15 +200,7 @@ def settle(packed: DataFrame, length: int, buckets: int, batch: int = 65_536) ->
         if held:
             yield from close()
 
-    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([("doc", "<i8"), ("twin", "<u4"), ("lo", "<u4"), ("hi", "<u4")])
-        for b in batches:
-            for data in b.column(1).to_pylist():
-                s = np.frombuffer(data, kind)
-                yield _span_batch(s["doc"], s["twin"], s["lo"], s["hi"], SPAN)
-
-    dealt = packed.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
-    return dealt.unionByName(packed.where("bucket < 0").mapInArrow(direct, FOUND))
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
 
 
 AROUND = "kmer bigint, doc bigint, twin bigint, pos bigint, lo bigint, data binary"
@@ -218,12 +211,13 @@ def fetch(asked: DataFrame, docs: DataFrame, length: int, id_col: str, text_col:
     reach = length - KMER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 out = [[], [], [], [], [], []]
                 for doc, twin, text, wanted, kmers in zip(*(c.to_pylist() for c in part.columns)):
-                    raw = text.encode()
+                    raw = open_.decompress(text)
                     for pos, kmer in zip(wanted, kmers):
                         lo = max(0, pos - reach)
                         for column, v in zip(out, (kmer, doc, twin, pos, lo, raw[lo:pos + length])):
@@ -232,7 +226,7 @@ def fetch(asked: DataFrame, docs: DataFrame, length: int, id_col: str, text_col:
                                                  names=["kmer", "doc", "twin", "pos", "lo", "data"])
 
     by_doc = asked.groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "kmer")).alias("wanted"))
-    joined = _texts(docs, id_col, text_col).join(by_doc, ["doc", "twin"]).select("doc", "twin", "text", F.col("wanted.lo").alias("pos"), F.col("wanted.kmer").alias("kmer"))
+    joined = packed_texts(placed_texts(docs, id_col, text_col)).join(by_doc, ["doc", "twin"]).select("doc", "twin", "text", F.col("wanted.lo").alias("pos"), F.col("wanted.kmer").alias("kmer"))
     return joined.mapInArrow(run, AROUND)
 
 
@@ -343,15 +337,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """
     spans = repeated_spans(docs, length, id_col, text_col)
     packed = spans.groupBy("doc", "twin").agg(F.collect_list(F.shiftleft("lo", 32).bitwiseOR(F.col("hi"))).alias("spans"))
-    joined = _texts(docs, id_col, text_col).join(packed, ["doc", "twin"], "left").select("doc", "text", "spans")
+    joined = packed_texts(placed_texts(docs, id_col, text_col)).join(packed, ["doc", "twin"], "left").select("doc", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 out = [[], [], [], [], [], []]
                 for doc, text, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                    raw = text.encode()
+                    raw = open_.decompress(text)
                     removed, runs = 0, 0
                     if found.is_valid and len(found):
                         packed = np.sort(found.values.to_numpy())
