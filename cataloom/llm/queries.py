@@ -68,3 +68,9 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from .lines import dedup_lines
     cleaned = dedup_lines(_table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@register("op6_embedding_dedup")
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .embeddings import near_vectors
+    return near_vectors(_table(spark, folder, "embeddings"))
