@@ -28,56 +28,48 @@ _LAST = 2**63 - 1
 
 
 class LevelFamily:
-    """Sorted levels of records, unique by (first, second) key, each kept at its earliest place. Records must
-    come in order of place; `add` tells which of them repeat an earlier key."""
-
-    def __init__(self, first: str, second: str):
-        self.first, self.second, self.levels = first, second, []
-
-    def _scan(self, older: np.ndarray, newer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Merge of two sorted levels; which records of the newer one the older one has, and has at another place."""
-        both = np.concatenate([older, newer])
-        order = np.lexsort((np.arange(len(both)) >= len(older), both[self.second], both[self.first]))
-        both = both[order]
-        again, other = self._again(both)
-        known, repeated = np.zeros(len(order), bool), np.zeros(len(order), bool)
-        known[order[again]] = True
-        repeated[order[again & other]] = True
-        return both[~again], known[len(older):], repeated[len(older):]
-
-    def _again(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of a sorted level: which records have the key of the one before, and which another place than that one."""
-        again, other = np.zeros(len(level), bool), np.zeros(len(level), bool)
-        again[1:] = (level[self.first][1:] == level[self.first][:-1]) & (level[self.second][1:] == level[self.second][:-1])
-        for place in ("doc", "twin", "pos"):
-            other[1:] |= level[place][1:] != level[place][:-1]
-        return again, other
+    """Sorted levels of records (kmer, around, place), unique by both keys, each kept at its earliest place. Records must
+    come in order of place; `add` tells which of them repeat an earlier record at another place."""
+
+    def __init__(self):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    @staticmethod
+    def _other_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a["doc"] != b["doc"]) | (a["twin"] != b["twin"]) | (a["pos"] != b["pos"])
 
     def add(self, batch: np.ndarray) -> np.ndarray:
-        """Whether each record of the batch repeats the key of an earlier record at another place."""
-        order = np.lexsort((np.arange(len(batch)), batch[self.second], batch[self.first]))
-        level = batch[order]
-        again, other = self._again(level)
+        key = mixed(batch["kmer"] + batch["around"] * np.uint64(0xD6E8FEB86659FD93))
+        order = np.argsort(key, kind="stable")
+        key, level = key[order], batch[order]
+        again = np.zeros(len(batch), bool)
+        again[1:] = (key[1:] == key[:-1]) & (level["kmer"][1:] == level["kmer"][:-1])
         repeated = np.zeros(len(batch), bool)
-        repeated[order[again & other]] = True
-        level, order = level[~again], order[~again]
-        for older in self.levels:
-            _, known, elsewhere = self._scan(older, level)
-            repeated[order[elsewhere]] = True
-            level, order = level[~known], order[~known]
+        repeated[order[1:][again[1:] & self._other_place(level[1:], level[:-1])]] = True
+        key, level, order = key[~again], level[~again], order[~again]
+        for old_key, old in self.levels:  # merge scan: both are sorted
+            at = np.minimum(np.searchsorted(old_key, key), len(old_key) - 1)
+            known = (old_key[at] == key) & (old["kmer"][at] == level["kmer"])
+            repeated[order[known & self._other_place(old[at], level)]] = True
+            key, level, order = key[~known], level[~known], order[~known]
         if len(level):
-            self.levels.append(level)
-        while len(self.levels) > 1 and len(self.levels[-1]) >= len(self.levels[-2]):
-            newer = self.levels.pop()
-            self.levels[-1] = self._scan(self.levels[-1], newer)[0]
+            self.levels.append((key, level))
+        while len(self.levels) > 1 and len(self.levels[-1][0]) >= len(self.levels[-2][0]):
+            self._merge()
         return repeated
 
+    def _merge(self) -> None:
+        newer, older = self.levels.pop(), self.levels.pop()
+        key = np.concatenate([older[0], newer[0]])
+        order = np.argsort(key, kind="stable")
+        self.levels.append((key[order], np.concatenate([older[1], newer[1]])[order]))
+
     def all(self) -> np.ndarray:
-        """Every key once, sorted."""
+        """Every record once, sorted by k-mer."""
         while len(self.levels) > 1:
-            newer = self.levels.pop()
-            self.levels[-1] = self._scan(self.levels[-1], newer)[0]
-        return self.levels[0] if self.levels else np.zeros(0, RECORD)
+            self._merge()
+        found = self.levels[0][1] if self.levels else np.zeros(0, RECORD)
+        return found[np.argsort(found["kmer"], kind="stable")]
 
 
 def _ordered(records: np.ndarray) -> np.ndarray:
@@ -171,7 +163,7 @@ def settle(packed: DataFrame, length: int, buckets: int, batch: int = 65_536) ->
 
         def close() -> Iterator[pa.RecordBatch]:
             records = _ordered(np.frombuffer(b"".join(held), RECORD))
-            family = LevelFamily("kmer", "around")
+            family = LevelFamily()
             for at in range(0, len(records), batch):
                 part = records[at:at + batch]
                 again = part[family.add(part)]
@@ -266,12 +258,10 @@ def compare(around: DataFrame, length: int, buckets: int, batch: int = 2_000) ->
             table = pa.Table.from_batches(held).sort_by([("doc", "ascending"), ("twin", "ascending"), ("pos", "ascending")])
             kmer, doc, twin, lo = (table[c].to_numpy() for c in ("kmer", "doc", "twin", "lo"))
             data = table["data"].to_pylist()
-            family, found = LevelFamily("kmer", "around"), []
+            family, found = LevelFamily(), []
             for at in range(0, len(data), batch):
                 part = _windows(kmer[at:at + batch].view(np.uint64), doc[at:at + batch], twin[at:at + batch], lo[at:at + batch], data[at:at + batch], length)
-                # a string may stand around two anchors with the same k-mer: one record of it
-                part = np.unique(_ordered(part), axis=0) if len(part) else part
-                part = _ordered(part)
+                part = _ordered(part)  # a string may stand around two anchors with the same k-mer, at one place
                 found.append(part[family.add(part)][["doc", "twin", "pos"]])
             return _merge_starts(np.concatenate(found), length)
 
