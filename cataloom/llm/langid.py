@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,3 +144,16 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs, run, [id_col, text_col], f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows whose language is told without ambiguity, all columns unchanged, in one narrow pass."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
+                lang, _, unsure = predict(model, part.column(place).to_pylist())
+                yield part.filter(pa.array([x != "und" and not u for x, u in zip(lang, unsure)], pa.bool_()))
+
+    place = docs.columns.index(text_col)
+    return docs.mapInArrow(run, docs.schema)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .anchors import mixed, range_hashes
 from .common import kept
@@ -19,13 +20,14 @@ _LAST = 2**63 - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 ROW = [("token", np.uint64), ("bits", np.uint64), ("doc", np.int64), ("twin", np.uint32), ("line", np.uint32), ("size", np.uint32), ("at", np.uint32)]
-PLACE = "doc bigint, twin bigint, line bigint"
+PLACED = "doc bigint, twin bigint"
+PLACE = f"{PLACED}, line bigint"
 
 
-def placed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def placed_texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(doc, twin, text): the place of a row is its id (null: last), then a hash of its text; equal rows are one document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(2**32 - 1)).alias("twin"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(2**32 - 1)).alias("twin"), text.alias("text"), *more)
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
@@ -335,44 +337,42 @@ def repeated_lines(texts: DataFrame, share: float = 0.8, buckets: int | None = N
 
 
 def dedup_lines(docs: DataFrame, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without repeated lines: (id, n_lines, n_removed, text), one row per input row.
+    """The documents without repeated lines: all columns, then n_lines and n_removed; one row per input row.
 
     A line (between line feeds) is a set of words between ASCII white space. A line goes if an earlier line, in a document
     with a smaller id or before it in its own, has Jaccard similarity `share` or more; lines are judged on the input, and
     lines without words stay. A null text stays null with 0 lines, an empty text has one empty line. A null id comes after
     all others; rows of equal id and different text are ordered by a hash of the text; rows that are equal count as one
-    document, and each is returned. Other columns are left aside; an empty table gives an empty result.
+    document, and each is returned. Other columns are carried along; an empty table gives an empty result.
     """
-    texts = placed_texts(docs, id_col, text_col)
-    gone = repeated_lines(texts, share).groupBy("doc", "twin").agg(F.collect_list("line").alias("gone"))
+    gone = repeated_lines(placed_texts(docs, id_col, text_col), share).groupBy("doc", "twin").agg(F.collect_list("line").alias("gone"))
+    others = [c for c in docs.columns if c != text_col]
+    placed = placed_texts(docs.withColumn("__rest", F.struct(*others, F.col(text_col).isNull().alias("__void"))), id_col, text_col, "__rest")
+    rest = placed.schema["__rest"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress(t.encode()) for t in b.column(2).to_pylist()], pa.binary()), b.column(3)],
+                                             names=["doc", "twin", "text", "__rest"])
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                out = [[], [], [], []]
-                for doc, raw, void, lines_gone in zip(*(c.to_pylist() for c in b.slice(at, 500).columns)):
+                part = b.slice(at, 500)
+                out = [[], [], []]
+                for raw, lines_gone in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     lines = open_.decompress(raw).decode().split("\n")
                     drop = set(lines_gone or ())
-                    text = "\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else "\n".join(lines)
-                    for column, v in zip(out, (None if doc == _LAST else doc, 0 if void else len(lines), len(drop), None if void else text)):
+                    for column, v in zip(out, ("\n".join(x for i, x in enumerate(lines) if i not in drop), len(lines), len(drop))):
                         column.append(v)
-                yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in out[:3]), pa.array(out[3], pa.string())], names=["doc", "n_lines", "n_removed", "text"])
-
-    void = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
-    packed = packed_texts_with_null(void)
-    return packed.join(gone, ["doc", "twin"], "left").select("doc", "text", "void", "gone").mapInArrow(run, "doc bigint, n_lines bigint, n_removed bigint, text string").select(
-        F.col("doc").alias(id_col), "n_lines", "n_removed", F.col("text").alias(text_col))
-
-
-def packed_texts_with_null(texts: DataFrame) -> DataFrame:
-    """(doc, twin, text, void): compressed texts for a shuffle, and whether they were null."""
-    placed = texts.select("doc", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(2**32 - 1)).alias("twin"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            raw = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress((t or "").encode()) for t in raw], pa.binary()), pa.array([t is None for t in raw])],
-                                             names=["doc", "twin", "text", "void"])
-    return placed.mapInArrow(run, "doc bigint, twin bigint, text binary, void boolean")
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), part.column(2)],
+                                                 names=["text", "n_lines", "n_removed", "__rest"])
+
+    packed = placed.mapInArrow(pack, StructType.fromDDL(PLACED).add("text", "binary").add(rest))
+    joined = packed.join(gone, ["doc", "twin"], "left").select("text", "gone", "__rest")
+    done = joined.mapInArrow(clean, StructType().add("text", "string").add("n_lines", "long").add("n_removed", "long").add(rest))
+    void = F.col("__rest.__void")
+    columns = [F.when(~void, F.col("text")).alias(c) if c == text_col else F.col("__rest")[c].alias(c) for c in docs.columns]
+    return done.select(*columns, F.when(void, 0).otherwise(F.col("n_lines")).alias("n_lines"), "n_removed")

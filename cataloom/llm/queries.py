@@ -74,3 +74,25 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from .embeddings import near_vectors
     return near_vectors(_table(spark, folder, "embeddings"))
+
+
+@register("op3_decontamination")
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from .decontaminate import contaminated
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN m.top IS NOT NULL AND m.top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN m.top <> p.page_id THEN m.top END AS refers_to
+FROM p LEFT JOIN m ON p.n >= 1000 AND p.d = m.d
+"""
+
+
+@register("op1_warc_index", WARC_SQL)
+def op1_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    from .warc import archive_round_trip
+    return archive_round_trip(_table(spark, folder, "pages")).drop("payload")
