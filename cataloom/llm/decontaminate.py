@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import kept
 
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"  # private-use signs, one word each
@@ -28,12 +29,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
 
+def _paired(hashes: Column, apart: int) -> Column:
+    """Each hash with the one `apart` places on; the array is bound, so that it is not evaluated twice."""
+    return let(hashes, lambda x: F.zip_with(x, F.slice(x, F.lit(1 + apart), F.greatest(F.size(x), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+
+
 def window_hashes(tokens: Column, doublings: int = 3) -> Column:
     """Hash of the 2 ** doublings tokens from each token on; nothing for the last ones."""
     h = F.transform(tokens, lambda w: F.xxhash64(w))
     for k in range(doublings):
-        h = F.zip_with(h, F.slice(h, F.lit(1 + (1 << k)), F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    return F.slice(h, F.lit(1), F.greatest(F.size(h) - F.lit((1 << doublings) - 1), F.lit(0)))
+        h = _paired(h, 1 << k)
+    return let(h, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - F.lit((1 << doublings) - 1), F.lit(0))))
 
 
 def benchmark_windows(benchmark: DataFrame, doublings: int, id_col: str, text_col: str) -> DataFrame:
@@ -68,7 +74,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doublings: int = 3, leas
     if wanted.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = (rows.select("id", "row", "text", F.posexplode(window_hashes(words(template(F.col("text"))), doublings)).alias("at", "hash")).join(wanted, "hash"))
+    # outer: an inner explode would first test the array's size, and so make it twice
+    found = rows.select("id", "row", "text", F.posexplode_outer(window_hashes(words(template(F.col("text"))), doublings)).alias("at", "hash")).join(wanted, "hash")
     slots = F.when(F.size("item_slots") > 0, F.slice(words(F.lower("text")), F.col("at") + 1, width))
     marked = F.when(F.size("item_slots") > 0, F.slice(words(template(F.col("text"))), F.col("at") + 1, width))
     doc_slots = F.transform(F.filter(F.arrays_zip(marked.alias("t"), slots.alias("p")), lambda x: x["t"].isin(NAME, NUMBER, UNIT)), lambda x: x["p"])
