@@ -140,36 +140,40 @@ def format_input(name: Column, cls: Column, desc: Column, n: int = 500) -> Colum
 
 
 # --- training and search texts ----------------------------------------------------------
-def training_text(name: Column, cls: Column, desc: Column) -> Column:
+def training_text(name: Column, cls: Column, desc: Column, n: int = 500) -> Column:
+    """`Product / Category / Description` block of a training example, the description cut at `n` characters."""
     return F.concat_ws(
         "\n",
         F.concat(F.lit("Product: "), F.coalesce(name, F.lit("Unknown"))),
         F.concat(F.lit("Category: "), cls),
-        F.concat(F.lit("Description: "), F.substring(desc, 1, 500)))
+        F.concat(F.lit("Description: "), F.substring(desc, 1, n)))
 
 
-def classifier_text(name: Column, cls: Column, desc: Column) -> Column:
-    """`name [SEP] class [SEP] description`, the last cut near 200 characters at a space."""
+def classifier_text(name: Column, cls: Column, desc: Column, n: int = 200) -> Column:
+    """`name [SEP] class [SEP] description`, the last cut near `n` characters at a space."""
     d = strip(desc)
-    short = F.when(F.length(d) > 200, F.concat(cut_at_last_space(F.substring(d, 1, 200)), F.lit("..."))).otherwise(d)
+    short = F.when(F.length(d) > n, F.concat(cut_at_last_space(F.substring(d, 1, n)), F.lit("..."))).otherwise(d)
     return F.concat_ws(" [SEP] ", strip(text_or_empty(name)), strip(none_if_blank(cls)),
                        F.when(text_or_empty(d) != "", short))
 
 
-def search_text(name: Column, cls: Column, desc: Column) -> Column:
-    return F.concat_ws(" | ", F.nullif(name, F.lit("")), F.nullif(cls, F.lit("")),
-                       F.substring(F.nullif(desc, F.lit("")), 1, 200))
+def search_text(name: Column, cls: Column, desc: Column, n: int | None = None) -> Column:
+    """`name | class | description`; the whole description is searchable unless cut at `n` characters."""
+    body = F.nullif(desc, F.lit(""))
+    return F.concat_ws(" | ", F.nullif(name, F.lit("")), F.nullif(cls, F.lit("")), body if n is None else F.substring(body, 1, n))
 
 
-def encoder_text(name: Column, cls: Column, desc: Column) -> Column:
+def encoder_text(name: Column, cls: Column, desc: Column, n: int = 300) -> Column:
+    """Tagged title, class and description, the last cut at `n` characters."""
     def part(tag: str, c: Column) -> Column:
         return F.concat(F.lit(f"[{tag}] "), F.nullif(c, F.lit("")))
-    return F.concat_ws(" ", part("TITLE", name), part("CLASS", cls), part("DESC", F.substring(desc, 1, 300)))
+    return F.concat_ws(" ", part("TITLE", name), part("CLASS", cls), part("DESC", F.substring(desc, 1, n)))
 
 
-def encoder_text_sep(name: Column, cls: Column, desc: Column) -> Column:
+def encoder_text_sep(name: Column, cls: Column, desc: Column, n: int = 300) -> Column:
+    """Title, class and description between separators, the last cut at `n` characters."""
     return F.concat_ws(" [SEP] ", text_or_empty(name), F.nullif(cls, F.lit("")),
-                       F.substring(F.nullif(desc, F.lit("")), 1, 300))
+                       F.substring(F.nullif(desc, F.lit("")), 1, n))
 
 
 def prompt_for_fields(fields: Column, text: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import lexicon as lx
 from ..functions.text import hash_long, hash_uniform
 from .joins import product_texts, relevance_pairs
-from .ranking import shuffled_rank
+from .ranking import hash_order, shuffled_rank
 
 
 def stratified_split(df: DataFrame, strata: Sequence[str], train: float = 0.8, val: float = 0.1, seed: int = 42,
@@ -33,8 +33,9 @@ def query_split(labels: DataFrame, train: float = 0.7, val: float = 0.15, seed:
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, ids: Sequence[str] = ("product_id",)) -> DataFrame:
-    """Exactly n rows, or all when there are fewer."""
-    return shuffled_rank(df, [], seed, ids, "_r").filter(F.col("_r") <= n).drop("_r")
+    """Exactly n rows, or all when there are fewer; every task forwards n rows at most."""
+    order = [hash_order(seed, *ids), *[F.col(i) for i in ids]]
+    return df.orderBy(*order).limit(n)
 
 
 def holdout(df: DataFrame, share: float = 0.1, seed: int = 42, ids: Sequence[str] = ("product_id",)) -> DataFrame:

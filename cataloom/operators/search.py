@@ -1,12 +1,15 @@
 """Retrieval and ranking for all queries at once.
 
-Lexical search is an equi-join on terms; vector search is a blocked matrix product whose
-tasks forward only their k best rows per query; reranking and boosting work on candidate
+Lexical search scores documents where they lie; vector search is a blocked matrix product; tasks
+forward only their k best rows per query; reranking and boosting work on candidate
 lists that the first stage has bounded.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.queries import name_words, query_attributes
-from ..functions.text import any_contains, domain_of, each, is_blocked, let, text_or_empty, words
+from ..functions.text import SPACE_RUN, any_contains, domain_of, each, is_blocked, let, text_or_empty, words
 from ..functions.vectors import clip_norm
 from ..session import written
 from .joins import attach_attributes
@@ -25,14 +28,15 @@ from .ranking import final_rank, topk_per_key
 
 # --- BM25 ---------------------------------------------------------------------------------
 def bm25_index(corpus: DataFrame, doc: str, text: str) -> dict[str, DataFrame]:
-    """Token lists with lengths, one-row corpus statistics and document frequencies with idf.
+    """Lower-case texts, one-row corpus statistics and document frequencies with idf.
 
     One pass over the texts counts documents per term; the empty term, which no text holds,
     counts the documents and their words.  The counts are written to the shared folder.
     Okapi idf; a negative one is replaced by epsilon x the mean idf of all terms.
     """
-    docs = corpus.select(F.col(doc), words(F.lower(F.col(text))).alias("_tokens"))
-    marked = docs.select(F.concat(F.array(F.lit("")), F.array_distinct("_tokens")).alias("_terms"), F.size("_tokens").alias("_dl"))
+    docs = corpus.select(F.col(doc), F.lower(text_or_empty(F.col(text))).alias("_text"))
+    marked = docs.select(words(F.col("_text")).alias("_tokens")).select(
+        F.concat(F.array(F.lit("")), F.array_distinct("_tokens")).alias("_terms"), F.size("_tokens").alias("_dl"))
     counts = written(each(marked, F.col("_terms"), "term", "_dl").groupBy("term").agg(
         F.count("*").alias("_df"), F.sum(F.when(F.col("term") == "", F.col("_dl"))).alias("_words")), "terms")
     stats = counts.filter(F.col("term") == "").select(F.col("_df").alias("_N"), (F.col("_words") / F.col("_df")).alias("_avgdl"))
@@ -43,32 +47,73 @@ def bm25_index(corpus: DataFrame, doc: str, text: str) -> dict[str, DataFrame]:
 
 def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, doc: str = "product_id",
                 query: str = "query_id", text: str = "query", k1: float = 1.5, b: float = 0.75,
-                epsilon: float = 0.25, salts: int = 8) -> DataFrame:
+                epsilon: float = 0.25, block_weights: int = 200_000) -> DataFrame:
     """(query, doc, score, rnk): k best documents per query; documents with score 0 are not returned.
 
     Queries with the same text are answered once and the answer is handed to all of them.
-    Only postings of query terms leave the documents, already counted per document.  The
-    term join is salted by document, so a term that occurs everywhere is split.
+    Documents are scored where they lie: each task holds the term weights of a block of
+    queries and forwards its k best documents per query, so that no (query, document) row
+    is ever shuffled.  Blocks are dealt from a count of weights and hold about
+    `block_weights`; more queries mean more blocks, and the corpus is read once per block.
     """
     texts = queries.select(F.col(query), F.lower(text_or_empty(F.col(text))).alias("_text"))
     spoken = texts.groupBy("_text").agg(F.min(query).alias("_rep"))
     asked = each(spoken, words(F.col("_text")), "term", "_rep").groupBy("_rep", "term").agg(F.count("*").alias("_qtf"))
-    idf = index["terms"].join(asked.select("term").distinct(), "term", "left_semi").crossJoin(
-        F.broadcast(index["mean_idf"])).select("term", F.when(F.col("_raw") < 0, F.lit(epsilon) * F.col("_mean")).otherwise(
-            F.col("_raw")).alias("_idf"))
-    weights = asked.join(idf, "term").withColumn("_w", F.col("_qtf") * F.col("_idf")).select(
-        "_rep", "term", "_w", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    tokens = each(index["docs"].withColumn("_dl", F.size("_tokens")), F.col("_tokens"), "term", doc, "_dl")
-    postings = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc, "_dl", "term").agg(
-        F.count("*").alias("_tf")).withColumn("_salt", F.pmod(F.xxhash64(doc), F.lit(salts)).cast("int"))
-    norm = postings.crossJoin(F.broadcast(index["stats"])).withColumn(  # one row
-        "_part", F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_dl") / F.col("_avgdl"))))
-    scores = norm.join(weights, ["term", "_salt"]).groupBy("_rep", doc).agg(
-        F.round(F.sum(F.col("_w") * F.col("_part")), 6).alias("score")).filter(F.col("score") != 0)
-    best = topk_per_key(scores, ["_rep"], [F.col("score").desc(), F.col(doc).asc()], k)
+    idf = index["terms"].crossJoin(F.broadcast(index["mean_idf"])).select(  # one row
+        "term", F.when(F.col("_raw") < 0, F.lit(epsilon) * F.col("_mean")).otherwise(F.col("_raw")).alias("_idf"))
+    weights = written(asked.join(idf, "term").select("_rep", "term", (F.col("_qtf") * F.col("_idf")).alias("_w")), "weights")
+    mean_length = (index["stats"].first() or {"_avgdl": None})["_avgdl"] or 1.0  # one row
+    blocks = max(1, -(-weights.count() // block_weights))
+    schema = f"_rep {texts.schema[query].dataType.simpleString()}, {doc} {index['docs'].schema[doc].dataType.simpleString()}, score double"
+    hits = None
+    for block in range(blocks):
+        part = weights.where(F.pmod(F.xxhash64("_rep"), F.lit(blocks)) == block).toPandas()  # about block_weights rows
+        scored = index["docs"].mapInPandas(_bm25_scorer(part, k, mean_length, k1, b), schema)
+        hits = scored if hits is None else hits.union(scored)
+    best = topk_per_key(hits, ["_rep"], [F.col("score").desc(), F.col(doc).asc()], k)
     return texts.join(spoken, "_text").select(query, "_rep").join(best, "_rep").select(query, doc, "score", "rnk")
 
 
+def _bm25_scorer(weights: pd.DataFrame, k: int, mean_length: float, k1: float, b: float, rows: int = 256):
+    """Task function (id, text) -> k best (query, id, score) per query of the block.
+
+    Scores are products of a (documents x terms) and a (terms x queries) matrix over the block's terms,
+    `rows` documents at a time."""
+    terms = {t: i for i, t in enumerate(sorted(set(weights["term"])))}
+    reps = sorted(set(weights["_rep"]))
+    place = {r: i for i, r in enumerate(reps)}
+    matrix = np.zeros((len(terms), len(reps)), np.float64)
+    matrix[[terms[t] for t in weights["term"]], [place[r] for r in weights["_rep"]]] = weights["_w"]
+    space = re.compile(SPACE_RUN)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, list[tuple[float, object]]] = {}
+        for f in frames:
+            ids, texts = f.iloc[:, 0].tolist(), f.iloc[:, 1].tolist()
+            for at in range(0, len(ids) if reps else 0, rows):
+                part = np.zeros((min(rows, len(ids) - at), len(terms)))
+                for i, text in enumerate(texts[at:at + rows]):
+                    tokens = [w for w in space.split(text) if w]
+                    found = Counter(map(terms.get, tokens))
+                    found.pop(None, None)
+                    if found:
+                        tf = np.fromiter(found.values(), np.float64, len(found))
+                        part[i, list(found)] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens) / mean_length))
+                scores = np.round(part @ matrix, 6)
+                take = min(k, len(scores))
+                edge = np.partition(scores, len(scores) - take, axis=0)[len(scores) - take]
+                doc, q = np.nonzero((scores >= edge) & (scores != 0))
+                for d, j in zip(doc.tolist(), q.tolist()):
+                    best.setdefault(j, []).append((-scores[d, j], ids[at + d]))
+                for j, held in best.items():
+                    if len(held) > 4 * k:
+                        best[j] = sorted(held)[:k]
+        out = [(reps[j], d, -s) for j, held in best.items() for s, d in sorted(held)[:k]]
+        if out:
+            yield pd.DataFrame(out, columns=["_rep", f.columns[0], "score"])
+    return run
+
+
 # --- vectors --------------------------------------------------------------------------------
 _QUERY_CHUNK = 256  # queries scored at once, so a score matrix stays a few megabytes
 
@@ -117,54 +162,31 @@ def _block_hits(q: DataFrame, c: DataFrame, k: int, block_rows: int, block_queri
         cb.select(*keys, "product_id", "vector").groupBy(*keys)).applyInPandas(block, _HITS)
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, small_queries: int = 4096, block_rows: int = 20_000,
-                block_queries: int = 2_000) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = 20_000, block_queries: int = 2_000) -> DataFrame:
     """Exact inner-product top k (query_id, product_id, score, rnk).
 
-    `queries` has query_id and vector, `corpus` product_id and vector.  Up to
-    `small_queries` query vectors travel to every task and the corpus is not shuffled;
-    beyond that both sides are cut into blocks.
+    `queries` has query_id and vector, `corpus` product_id and vector.  Both sides are cut
+    into blocks sized from counts; every pair of blocks meets in a task, which forwards k
+    rows per query.  The corpus travels once per `block_queries` queries, which exact search needs.
     """
-    q = queries.select(F.col("query_id").cast("long"), "vector")
-    c = corpus.select(F.col("product_id").cast("long"), "vector")
-    few = q.limit(small_queries + 1).toPandas()  # bounded by the limit
-    if few.empty:
-        hits = q.select("query_id", F.lit(0).cast("long").alias("product_id"), F.lit(0.0).alias("score"))
-    elif len(few) <= small_queries:
-        qid, qv = few["query_id"].to_numpy(), _matrix(few["vector"])
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                new = _best_of_block(qid, qv, pdf["product_id"].to_numpy(), _matrix(pdf["vector"]), k)
-                both = new if best is None else pd.concat([best, new])
-                both = both.sort_values(["query_id", "score", "product_id"], ascending=[True, False, True])
-                best = both.groupby("query_id", sort=False).head(k)  # at most k rows per query are kept
-            if best is not None:
-                yield best
-        hits = c.mapInPandas(scan, _HITS)
-    else:
-        hits = _block_hits(q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0)), k, block_rows, block_queries)
-    return topk_per_key(hits, ["query_id"], [F.col("score").desc(), F.col("product_id").asc()], k)
+    q = queries.select(F.col("query_id").cast("long"), "vector", F.lit(0).alias("cell"))
+    c = corpus.select(F.col("product_id").cast("long"), "vector", F.lit(0).alias("cell"))
+    return topk_per_key(_block_hits(q, c, k, block_rows, block_queries), ["query_id"], [F.col("score").desc(), F.col("product_id").asc()], k)
 
 
 def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int, nlist: int | None = None, nprobe: int | None = None,
-             seed: int = 42, exact_below: int = 10_000, block_rows: int = 20_000, block_queries: int = 2_000) -> DataFrame:
-    """Approximate top k: k-means cells, each query against its nearest cells only.
+             seed: int = 42, block_rows: int = 20_000, block_queries: int = 2_000) -> DataFrame:
+    """Approximate top k: k-means cells, each query against its `nprobe` nearest cells only.
 
-    Below `exact_below` rows the exact search is used.  At most 256 centres exist, so they
-    are literals in the plan.
+    `nlist` defaults to the square root of the corpus size, `nprobe`, which sets the recall,
+    to the square root of `nlist`; as many probes as cells give the exact answer.  Callers who
+    want the exact search call `vector_topk`.  The centres, sqrt(n) vectors, go to every task.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = corpus.count()
-    if n < exact_below:
-        return vector_topk(queries, corpus, k)
-    nlist = nlist or min(int(n ** 0.5), 256)
-    nprobe = nprobe or min(16, nlist)
+    nlist = nlist or max(2, int(corpus.count() ** 0.5))
+    nprobe = nprobe or math.ceil(nlist ** 0.5)
     model = KMeans(k=nlist, seed=seed, maxIter=10, featuresCol="_f", predictionCol="cell").fit(
         corpus.select(array_to_vector(F.col("vector").cast("array<double>")).alias("_f")))
     c = model.transform(corpus.withColumn("_f", array_to_vector(F.col("vector").cast("array<double>")))).select(

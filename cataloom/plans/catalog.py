@@ -113,10 +113,10 @@ def _(t):
 
 
 def _long_desc(t):
-    return t.wide.v_products.join(t.wide.documents.select(c("doc_id").alias("product_id"), c("text").alias("long_text")), "product_id")
+    return t.wide.v_products.join(t.wide.documents.select(c("doc_id").alias("product_id"), c("text").alias("long_text")), "product_id", "left")
 
 
-_LONG = "FROM v_products JOIN documents ON doc_id = product_id"
+_LONG = "FROM v_products LEFT JOIN documents ON doc_id = product_id"
 _D = k.strip("text")
 
 
@@ -126,7 +126,7 @@ def _(t):
     return _long_desc(t).select("product_id", tx.classifier_text(c("product_name"), c("product_class"), c("long_text")).alias("text"))
 
 
-SEARCH_TEXT = "concat_ws(' | ', nullif(product_name, ''), nullif(product_class, ''), substr(nullif(product_description, ''), 1, 200))"
+SEARCH_TEXT = "concat_ws(' | ', nullif(product_name, ''), nullif(product_class, ''), nullif(product_description, ''))"
 
 
 @query("search_text", f"{PRODUCTS} SELECT product_id, {SEARCH_TEXT} AS text FROM v_products")

@@ -151,13 +151,14 @@ def _(t):
     return ev.search_metrics(t.v_results, t.kept("v_labels"), t.v_calls.select("latency_ms"))
 
 
-@query("compare_search", f"""{JUDGED}, {_metric_sql('j')}, jr AS (SELECT query_id, product_id, 21 - rnk AS rnk, rel FROM j), """
+@query("compare_search", f"""{JUDGED}, {_metric_sql('j')}, jr AS (SELECT query_id, product_id, count(*) OVER (PARTITION BY query_id) + 1 - rnk AS rnk, rel FROM j), """
        + _metric_sql("jr").replace("id AS", "id2 AS", 1).replace("FROM id ", "FROM id2 ").replace("pq AS", "pq2 AS").replace("JOIN pq ", "JOIN pq2 ")
        .replace("allq AS", "allq2 AS").replace("FROM allq)", "FROM allq2)").replace("sm AS", "sm2 AS")
        + " SELECT 'shuffled' AS system, sm.* FROM sm UNION ALL SELECT 'reversed', sm2.* FROM sm2")
 def _(t):
     results, labels = t.kept("v_results"), t.kept("v_labels")
-    back = results.withColumn("rnk", 21 - c("rnk"))
+    sizes = results.groupBy("query_id").agg(F.max("rnk").alias("_n"))
+    back = results.join(sizes, "query_id").withColumn("rnk", c("_n") + 1 - c("rnk")).drop("_n")
     return ev.compare_search({"shuffled": ev.search_metrics(results, labels), "reversed": ev.search_metrics(back, labels)})
 
 

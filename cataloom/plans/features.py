@@ -171,12 +171,12 @@ def _(t):
 
 @query("format_input", f"""{PRODUCTS} SELECT product_id, concat_ws(chr(10), 'Product: ' || {clean_sql('product_name')},
  CASE WHEN coalesce(product_class, '') <> '' THEN 'Category: ' || {clean_sql('product_class')} END,
- CASE WHEN {truncate_sql('product_description', 40)} <> '' THEN 'Description: ' || {truncate_sql('product_description', 40)} END) AS text
+ CASE WHEN {truncate_sql('product_description', 500)} <> '' THEN 'Description: ' || {truncate_sql('product_description', 500)} END) AS text
 FROM v_products""")
 def _(t):
     c = F.col
     return t.wide.v_products.select("product_id", tx.format_input(
-        c("product_name"), c("product_class"), c("product_description"), 40).alias("text"))
+        c("product_name"), c("product_class"), c("product_description")).alias("text"))
 
 
 @query("parse_hierarchy", f"""{PRODUCTS} SELECT product_id, array_to_string(list_filter(list_transform(string_split(

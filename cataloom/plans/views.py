@@ -59,13 +59,12 @@ FROM (SELECT DISTINCT l_suppkey AS query_id, l_partkey AS product_id FROM lineit
 JOIN part q ON q.p_partkey = d.query_id
 JOIN part p ON p.p_partkey = d.product_id""")
 
-# Search results to judge: parts that one supplier shipped in the top 20 of a fixed shuffle.
+# Search results to judge: all parts that one supplier shipped, in a fixed shuffle.
 _add("v_results", ["lineitem"], """
 SELECT query_id, product_id, rnk
 FROM (SELECT query_id, product_id,
              row_number() OVER (PARTITION BY query_id ORDER BY md5(concat(CAST(query_id AS STRING), ':', CAST(product_id AS STRING)))) AS rnk
-      FROM (SELECT DISTINCT l_suppkey AS query_id, l_partkey + CAST(l_linenumber = 1 AS INT) AS product_id FROM lineitem) d) t
-WHERE rnk <= 20""")
+      FROM (SELECT DISTINCT l_suppkey AS query_id, l_partkey + CAST(l_linenumber = 1 AS INT) AS product_id FROM lineitem) d) t""")
 
 # Product names that carry their colour in every layout the colour reader knows.
 _add("v_named", ["part"], """
@@ -105,12 +104,10 @@ FROM part""")
 
 # Head outputs in long form: one row per product and field.
 _add("v_heads", ["part"], """
-SELECT p_partkey AS product_id, 1 AS i, 'level_1' AS field, CASE WHEN (p_partkey * 31 + 17) % 23 = 0 THEN '<UNK>' ELSE concat('level_1_', CAST(p_partkey % 5 AS STRING)) END AS val, ((p_partkey * 37 + 11) % 100) / CAST(100 AS DOUBLE) AS confidence FROM part
-UNION ALL SELECT p_partkey, 2, 'level_2', CASE WHEN (p_partkey * 31 + 34) % 23 = 0 THEN '<UNK>' ELSE concat('level_2_', CAST(p_partkey % 5 AS STRING)) END, ((p_partkey * 37 + 22) % 100) / CAST(100 AS DOUBLE) FROM part
-UNION ALL SELECT p_partkey, 3, 'level_3', CASE WHEN (p_partkey * 31 + 51) % 23 = 0 THEN '<UNK>' ELSE concat('level_3_', CAST(p_partkey % 5 AS STRING)) END, ((p_partkey * 37 + 33) % 100) / CAST(100 AS DOUBLE) FROM part
-UNION ALL SELECT p_partkey, 4, 'primary_color', CASE WHEN (p_partkey * 31 + 68) % 23 = 0 THEN '<UNK>' ELSE concat('primary_color_', CAST(p_partkey % 5 AS STRING)) END, ((p_partkey * 37 + 44) % 100) / CAST(100 AS DOUBLE) FROM part
-UNION ALL SELECT p_partkey, 5, 'style', CASE WHEN (p_partkey * 31 + 85) % 23 = 0 THEN '<UNK>' ELSE concat('style_', CAST(p_partkey % 5 AS STRING)) END, ((p_partkey * 37 + 55) % 100) / CAST(100 AS DOUBLE) FROM part
-UNION ALL SELECT p_partkey, 6, 'assembly', CASE WHEN (p_partkey * 31 + 102) % 23 = 0 THEN '<UNK>' ELSE concat('assembly_', CAST(p_partkey % 5 AS STRING)) END, ((p_partkey * 37 + 66) % 100) / CAST(100 AS DOUBLE) FROM part""")
+SELECT p_partkey AS product_id, f.i, f.field,
+       CASE WHEN (p_partkey * 31 + f.i * 17) % 23 = 0 THEN '<UNK>' ELSE concat(f.field, '_', CAST(p_partkey % 5 AS STRING)) END AS val,
+       ((p_partkey * 37 + f.i * 11) % 100) / CAST(100 AS DOUBLE) AS confidence
+FROM part CROSS JOIN (VALUES (1, 'level_1'), (2, 'level_2'), (3, 'level_3'), (4, 'primary_color'), (5, 'style'), (6, 'assembly')) AS f(i, field)""")
 
 # Raw answers of an attribute model in every layout the parsers must read.
 _add("v_answers", ["part"], """
@@ -134,18 +131,20 @@ SELECT p_partkey AS product_id,
          ELSE 'not json' END AS fenced
 FROM part""")
 
-# Image candidates per product: every page is a candidate of two products.
+# Image candidates per product: every page is a candidate of two products, dealt over all of them.
 _add("v_candidates", ["part", "pages"], """
 SELECT p_partkey AS product_id, c.page_id AS position, p_name AS product_name,
        concat(c.url, CASE c.page_id % 4 WHEN 0 THEN '/large.jpg' WHEN 1 THEN '/thumb.png' WHEN 2 THEN '.webp' ELSE '' END) AS image,
        CASE WHEN (p_partkey + c.page_id) % 6 = 0 THEN 'https://www.Pinterest.com/x' ELSE c.url END AS url,
        CASE (p_partkey + c.page_id) % 3 WHEN 0 THEN concat('Buy ', p_name) WHEN 1 THEN split_part(p_name, ' ', 2) ELSE 'modern oak thing' END AS title,
        c.url AS source
-FROM pages c JOIN part ON p_partkey = c.page_id % 200
+FROM (SELECT page_id, url, low + page_id % n AS part_key FROM pages CROSS JOIN (SELECT count(*) AS n, min(p_partkey) AS low FROM part) k) c
+JOIN part ON p_partkey = c.part_key
 UNION ALL
 SELECT p_partkey, c.page_id, p_name, concat(c.url, '/1200/full.jpg'), 'https://img.example.com/a',
        concat(p_name, ' wood'), 'shop'
-FROM pages c JOIN part ON p_partkey = (c.page_id + 1) % 200""")
+FROM (SELECT page_id, url, low + (page_id + 1) % n AS part_key FROM pages CROSS JOIN (SELECT count(*) AS n, min(p_partkey) AS low FROM part) k) c
+JOIN part ON p_partkey = c.part_key""")
 
 # Progress manifest of an image job.
 _add("v_manifest", ["part"], """

@@ -91,7 +91,7 @@ def test_vector_topk_paths_match_brute_force(spark):
     scores = np.round(qv.astype("float64") @ cv.astype("float64").T, 6)
     want = {(i, int(j)) for i in range(30) for j in np.lexsort((np.arange(400), -scores[i]))[:10]}
     small = {(r.query_id, r.product_id) for r in se.vector_topk(q, c, 10).collect()}
-    blocks = {(r.query_id, r.product_id) for r in se.vector_topk(q, c, 10, small_queries=5, block_rows=60, block_queries=7).collect()}
+    blocks = {(r.query_id, r.product_id) for r in se.vector_topk(q, c, 10, block_rows=60, block_queries=7).collect()}
     assert small == want and blocks == want
 
 
@@ -100,8 +100,8 @@ def test_ivf_recall(spark):
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(cv)], "product_id long, vector array<float>")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qv)], "query_id long, vector array<float>")
     exact = {(r.query_id, r.product_id) for r in se.vector_topk(q, c, 10).collect()}
-    near = {(r.query_id, r.product_id) for r in se.ivf_topk(q, c, 10, nlist=20, nprobe=8, exact_below=10, block_rows=200).collect()}
-    every = {(r.query_id, r.product_id) for r in se.ivf_topk(q, c, 10, nlist=20, nprobe=20, exact_below=10, block_rows=200).collect()}
+    near = {(r.query_id, r.product_id) for r in se.ivf_topk(q, c, 10, nlist=20, nprobe=8, block_rows=200).collect()}
+    every = {(r.query_id, r.product_id) for r in se.ivf_topk(q, c, 10, nlist=20, nprobe=20, block_rows=200).collect()}
     assert every == exact and len(near & exact) / len(exact) > 0.6
 
 
