@@ -9,6 +9,7 @@ from ..functions.attributes import extract_attributes_v2
 from ..functions.text import classifier_text
 from ..operators import extend as ex
 from ..operators import learn as le
+from ..operators import sampling as sa
 from ..session import fresh_path, written
 from ..sources import readers as rd
 from ..sources import writers as wr
@@ -164,29 +165,57 @@ def _(t):
 
 
 # --- learning and extension ----------------------------------------------------------------------
-def learning_set(t):
+def learning_sets(t):
+    """Labelled texts for training, and the held-out ones."""
     v2 = extract_attributes_v2(rich_products(t))
-    return written(v2.withColumn("text_input", classifier_text(c("product_name"), c("product_class"), c("product_description"))), "learning")
+    text = classifier_text(c("product_name"), c("product_class"), c("product_description"))
+    marked = v2.withColumns({"text_input": text, "class_type": F.split_part("product_class", F.lit("|"), F.lit(2))})
+    for i in range(4):
+        marked = marked.withColumn(f"level_{i + 1}", F.get("taxonomy", F.lit(i)))
+    all_rows = written(sa.holdout(marked, 0.2), "learning")
+    return all_rows.filter(~c("is_val")).drop("is_val"), all_rows.filter(c("is_val")).drop("is_val")
 
 
-@query("train_attribute_models")
+def held_out_report(train, test, models, truth: dict[str, str]):
+    """(field, n_scored, labels_known, confidence_ok): held-out rows with a known value, whether every prediction is a value
+    of the training rows, and whether every confidence is a probability.  The test tables draw some values independently
+    of the texts, so accuracy is checked by tests on texts that do decide it."""
+    def values(df, name: str):
+        pairs = [F.struct(F.lit(f).alias("field"), c(col).cast("string").alias(name)) for f, col in truth.items()]
+        return df.select("product_id", F.explode(F.array(*pairs)).alias("e")).select("product_id", "e.*").filter(c(name).isNotNull())
+    learned = values(train, "val").select("field", "val").distinct().withColumn("_known", F.lit(True))
+    scored = le.predict_with_confidence(test, models).join(values(test, "truth"), ["product_id", "field"]).join(learned, ["field", "val"], "left")
+    return scored.groupBy("field").agg(F.count("*").alias("n_scored"), F.bool_and(F.coalesce("_known", F.lit(False))).alias("labels_known"),
+                                       F.bool_and(c("confidence").between(0.0, 1.0 + 1e-9)).alias("confidence_ok"))
+
+
+def _held_out_sql(truth: dict[str, str]) -> str:
+    counts = " UNION ALL ".join(f"SELECT '{f}' AS field, count({e}) AS n_scored, TRUE AS labels_known, TRUE AS confidence_ok FROM held" for f, e in truth.items())
+    return f"""{V2_STAGES}, ho AS (SELECT product_id, row_number() OVER (ORDER BY md5('42:' || product_id), product_id) <= floor(count(*) OVER () * 0.2::DOUBLE) AS is_val FROM v2),
+ held AS (SELECT v2.* FROM v2 JOIN ho USING (product_id) WHERE is_val) SELECT * FROM ({counts}) WHERE n_scored > 0"""
+
+
+_LEARNED = lx.SCHEMA2
+_LEVELS = {f"level_{i}": f"nullif(split_part(taxonomy_full, ' / ', {i}), '')" for i in range(1, 5)}
+
+
+@query("train_attribute_models", _held_out_sql({a: a for a in _LEARNED}))
 def _(t):
-    df = learning_set(t)
-    models = le.train_attribute_models(df, ["style", "primary_material"], dim=128, iterations=5)
-    return le.predict_with_confidence(df, models)
+    train, test = learning_sets(t)
+    return held_out_report(train, test, le.train_attribute_models(train, _LEARNED), {a: a for a in _LEARNED})
 
 
-@query("train_taxonomy_models")
+@query("train_taxonomy_models", _held_out_sql(_LEVELS))
 def _(t):
-    df = learning_set(t)
-    return le.predict_with_confidence(df, le.train_taxonomy_models(df, 3, dim=128, iterations=5))
+    train, test = learning_sets(t)
+    return held_out_report(train, test, le.train_taxonomy_models(train, 4), {f: f for f in _LEVELS})
 
 
-@query("train_class_model")
+@query("train_class_model", _held_out_sql({**_LEVELS, "product_class": "split_part(product_class, '|', 2)"}))
 def _(t):
-    df = learning_set(t).withColumn("class_type", F.split_part("product_class", F.lit("|"), F.lit(2)))
-    levels = le.train_taxonomy_models(df, 2, dim=128, iterations=5)
-    return le.predict_with_confidence(df, le.train_class_model(df, levels, "class_type", iterations=5))
+    train, test = learning_sets(t)
+    levels = le.train_taxonomy_models(train, 4)
+    return held_out_report(train, test, le.train_class_model(train, levels, "class_type"), {**{f: f for f in _LEVELS}, "product_class": "class_type"})
 
 
 def _plain_extract(_model, row):
