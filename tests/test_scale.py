@@ -145,7 +145,7 @@ def test_extraction_is_one_stage_without_python(spark):
     assert "p_retailprice" not in physical and "p_size" not in physical
 
 
-@pytest.mark.parametrize("name", ["extract_attributes_v2", "parse_model_output", "balanced_queue", "bm25_search", "staged_search", "search_metrics",
+@pytest.mark.parametrize("name", ["extract_attributes_v2", "parse_model_output", "balanced_queue", "search_metrics",
                                   "route_tiers", "augment_text", "resolve_class", "stratified_split", "keyword_join", "score_correlation"])
 def test_no_python_udf_and_no_cartesian(spark, name):
     load_all()
@@ -155,6 +155,14 @@ def test_no_python_udf_and_no_cartesian(spark, name):
     assert "CartesianProduct" not in physical
 
 
+@pytest.mark.parametrize("name", ["bm25_search", "staged_search"])
+def test_documents_are_scored_where_they_lie(spark, name):
+    """Blocks of documents meet blocks of query weights in a map over batches; no Python per row, no product of rows."""
+    load_all()
+    physical = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")).split("== Physical Plan ==")[1]
+    assert "MapInPandas" in physical and "EvalPython" not in physical and "CartesianProduct" not in physical
+
+
 def test_topk_uses_limit_before_shuffle(spark):
     load_all()
     for name in ("topk_per_query", "balanced_queue", "bm25_search"):
@@ -204,3 +212,56 @@ def test_bm25_gives_repeated_queries_the_same_answer(spark):
     out = se.bm25_search(se.bm25_index(docs, "product_id", "text"), queries, 5).collect()
     by_query = {q: [(r.product_id, r.score) for r in sorted(out, key=lambda r: r.rnk) if r.query_id == q] for q in (7, 8, 9, 10)}
     assert by_query[7] == by_query[8] == by_query[9] and [p for p, _ in by_query[7]] == [0, 1] and by_query[10] == []
+
+
+def test_bm25_shuffles_no_query_document_rows(spark):
+    docs = spark.createDataFrame([(i, f"oak table number{i} {'velvet ' * (i % 4)}") for i in range(300)], "product_id long, text string").repartition(6)
+    queries = spark.createDataFrame([(i, f"oak velvet number{i}") for i in range(40)], "query_id long, query string")
+    index = se.bm25_index(docs, "product_id", "text")
+    out = se.bm25_search(index, queries, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("Exchange hashpartitioning(")[1:] if "_rep" in x.split(")")[0] and "product_id" in x.split(")")[0]]
+    blocks = se.bm25_search(index, queries, 3, block_weights=15)  # many blocks of queries, the same answer
+    key = lambda df: sorted((r.query_id, r.product_id, r.score, r.rnk) for r in df.collect())
+    assert key(out) == key(blocks) and len(key(out)) == 120
+
+
+def test_shared_folder(spark, monkeypatch):
+    """The session's folder is used; without one, a cluster is refused and a single machine gets a temporary one."""
+    from cataloom import session
+
+    class Context:
+        master, folder = "spark://host:7077", None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, path):
+            self.folder = f"file:{path}"
+
+    class Session:
+        class conf:
+            named = None
+
+            @classmethod
+            def get(cls, key, default):
+                return cls.named or default
+        sparkContext = Context()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert session.shared_dir(Session).startswith("file:") and session.shared_dir(Session) == session.shared_dir(Session)
+    Session.conf.named = "hdfs://store/shared/"
+    assert session.shared_dir(Session) == "hdfs://store/shared"
+
+
+def test_views_keep_every_row(spark):
+    """Row counts of the views, worked out from the tables alone."""
+    from cataloom.plans.registry import Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    parts, pages = t.part.count(), t.pages.count()
+    assert t.v_products.count() == parts and t.v_named.count() == parts and t.v_pairs.count() == parts and t.v_answers.count() == parts
+    assert t.v_heads.count() == 6 * parts and t.v_candidates.count() == 2 * pages and t.v_calls.count() == t.events.count()
+    shipped = t.lineitem.selectExpr("l_suppkey", "l_partkey + CAST(l_linenumber = 1 AS INT) AS p").distinct().count()
+    assert t.v_results.count() == shipped and t.v_labels.count() == t.lineitem.select("l_suppkey", "l_partkey").distinct().count()
+    assert t.v_heads._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
