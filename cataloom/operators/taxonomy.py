@@ -45,12 +45,15 @@ def resolve_class(products: DataFrame, lookup: DataFrame, path: str = "taxonomy"
     """product_class, class_match (exact/partial/fallback) and matched depth per product.
 
     Works on distinct (path, colour, material, style) combinations: the best known prefix
-    per distinct path first, then the best class at that prefix.
+    per distinct path first, then the best class at that prefix.  Classes are reduced once
+    per prefix to the smallest class for every set of attribute words that it holds; a
+    combination then looks up the eight subsets of its words instead of all classes.
     """
-    attrs = ["primary_color", "primary_material", "style"]
+    points = {"primary_color": 3, "primary_material": 2, "style": 1}
+    names = [f"_{a}" for a in points]
     keyed = products.withColumn("_path", F.array_join(path, "/")).withColumns(
-        {f"_{a}": F.lower(text_or_empty(F.col(a))) for a in attrs})
-    combo_keys = ["_path", *[f"_{a}" for a in attrs]]
+        {f"_{a}": F.lower(text_or_empty(F.col(a))) for a in points})
+    combo_keys = ["_path", *names]
     paths = keyed.groupBy("_path").agg(F.first(path).alias("_levels"))
     known = lookup.groupBy("path").agg(F.max("full_rows").alias("_full"))
     tried = paths.select("_path", F.size("_levels").alias("_len"), F.explode(_prefixes(F.col("_levels"))).alias("e"))
@@ -59,19 +62,28 @@ def resolve_class(products: DataFrame, lookup: DataFrame, path: str = "taxonomy"
     best = usable.groupBy("_path").agg(F.max_by(F.struct(
         F.col("e.prefix").alias("prefix"), F.col("e.depth").alias("depth"),
         (F.col("e.depth") == F.col("_len")).alias("exact")), F.col("e.depth")).alias("_b"))
-    combos = keyed.select(*combo_keys).distinct().join(best, "_path")
-    # at the full path only classes that occur at the full path count
-    classes = lookup.select(F.col("path").alias("_lp"), F.col("product_class").alias("_cls"), "full_rows")
-    cand = combos.join(classes, (F.col("_b.prefix") == F.col("_lp")) & (~F.col("_b.exact") | (F.col("full_rows") > 0)))
-    low = F.lower("_cls")
-
-    def hit(a: str, points: int) -> Column:
-        c = F.col(f"_{a}")
-        return F.when((c != "") & F.contains(low, c), points).otherwise(0)
-    score = hit("primary_color", 3) + hit("primary_material", 2) + hit("style", 1)
-    chosen = cand.groupBy(*combo_keys).agg(
-        F.min_by("_cls", F.struct(-score, F.col("_cls"))).alias("product_class"),
-        F.first("_b").alias("_b"))
+    combos = keyed.select(*combo_keys).distinct()
+    # the words in use, one row: attributes come from closed vocabularies
+    vocabulary = combos.agg(*[F.collect_set(n).alias(f"{n}_words") for n in names])
+    classes = lookup.select("path", F.col("product_class").alias("_cls"), F.lower("product_class").alias("_low"),
+                            # at the full path only classes that occur at the full path count
+                            F.explode(F.when(F.col("full_rows") > 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("_exact"))
+    held = classes.crossJoin(F.broadcast(vocabulary))
+
+    def words_held(n: str) -> Column:
+        low = F.col("_low")
+        return F.concat(F.array(F.lit("")), F.filter(f"{n}_words", lambda w: (w != "") & F.contains(low, w)))
+    for n in names:
+        held = held.withColumn(n, F.explode(words_held(n)))
+    smallest = held.groupBy("path", "_exact", *names).agg(F.min("_cls").alias("_cls"))
+    subsets = F.array(*[F.struct(*[(F.col(n) if m >> i & 1 else F.lit("")).alias(n) for i, n in enumerate(names)],
+                                 sum([F.when(F.col(n) != "", p).otherwise(0) for i, (n, p) in enumerate(zip(names, points.values())) if m >> i & 1], F.lit(0)).alias("score"))
+                        for m in range(8)])
+    asked = combos.join(best, "_path").select(*combo_keys, "_b", F.explode(F.array_distinct(subsets)).alias("k"))
+    hit = asked.join(smallest.select("path", "_exact", *[F.col(n).alias(f"{n}_k") for n in names], "_cls"), [
+        F.col("_b.prefix") == F.col("path"), F.col("_b.exact") == F.col("_exact"), *[F.col(f"k.{n}") == F.col(f"{n}_k") for n in names]])
+    chosen = hit.groupBy(*combo_keys).agg(
+        F.min_by("_cls", F.struct(-F.col("k.score"), F.col("_cls"))).alias("product_class"), F.first("_b").alias("_b"))
     out = keyed.drop("product_class").join(chosen, combo_keys, "left")
     return out.select(key, "product_class", F.when(F.col("_b").isNull(), "fallback").when(F.col("_b.exact"), "exact")
                       .otherwise("partial").alias("class_match"), F.coalesce("_b.depth", F.lit(0)).alias("matched_depth"))
