@@ -104,12 +104,19 @@ def error_report(errors: DataFrame, key: str = "product_id") -> DataFrame:
         return df.select(F.lit(name).alias("section"), attribute.alias("attribute"), item.alias("item"),
                          F.col("n").cast("long").alias("n"), rnk.cast("int").alias("rnk"))
     none = F.lit(None).cast("string")
-    by_attr = errors.groupBy("attribute").agg(F.count("*").alias("n"))
-    by_mode = errors.groupBy("failure_mode").agg(F.count("*").alias("n"))
     pair = F.concat_ws(" -> ", "ground_truth", F.coalesce("predicted", F.lit("None")))
-    confusions = topk_per_key(errors.groupBy("attribute", pair.alias("pair")).agg(F.count("*").alias("n")),
+
+    def entry(name: str, attribute: Column, item: Column) -> Column:
+        return F.struct(F.lit(name).alias("section"), attribute.alias("attribute"), item.alias("item"))
+    # all counts in one pass over the errors; what is left is small and stored
+    entries = F.array(entry("by_attribute", F.col("attribute"), none), entry("by_mode", none, F.col("failure_mode")),
+                      entry("confusion", F.col("attribute"), pair), entry("hardest_class", none, F.col("product_class")))
+    counts = written(errors.select(F.explode(entries).alias("e")).groupBy("e.section", "e.attribute", "e.item").agg(F.count("*").alias("n")), "error-counts")
+    by_attr = counts.filter(F.col("section") == "by_attribute")
+    by_mode = counts.filter(F.col("section") == "by_mode").withColumnRenamed("item", "failure_mode")
+    confusions = topk_per_key(counts.filter(F.col("section") == "confusion").withColumnRenamed("item", "pair"),
                               ["attribute"], [F.col("n").desc(), F.col("pair").asc()], 5)
-    per_class = errors.filter(F.col("product_class") != "").groupBy("product_class").agg(F.count("*").alias("n"))
+    per_class = counts.filter((F.col("section") == "hardest_class") & (F.col("item") != "")).withColumnRenamed("item", "product_class")
     hardest = per_class.orderBy(F.col("n").desc(), "product_class").limit(10)
     first = errors.orderBy(key, "pos").limit(20).withColumn("n", F.col(key))
     parts = [section("by_attribute", by_attr, F.col("attribute"), none, F.lit(0)),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
+from ..session import written
 from .joins import price_calls
 from .ranking import order_statistics
 
@@ -53,20 +54,26 @@ def latency_report(preds: DataFrame) -> DataFrame:
 
 def manifest_summary(manifest: DataFrame, domains: int = 15) -> DataFrame:
     """(section, item, n, value): totals, counts by status, most frequent source domains."""
-    has = F.col("image_count") > 0
-    n = F.count("*")
+    has = F.coalesce(F.col("image_count") > 0, F.lit(False))
+    # one pass over the manifest; the stored counts by status and domain answer every section
+    pre = written(manifest.groupBy(has.alias("_has"), "status", "source_domain").agg(
+        F.count("*").alias("_n"), F.sum("image_count").alias("_images")), "manifest-counts")
+    n = F.sum("_n")
+
+    def rows(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0))
     empty = F.col("status").isin("no_results", "no_good_images")
-    totals = manifest.agg(
-        n.alias("total"), F.count(F.when(has, 1)).alias("with_images"),
-        F.count(F.when(empty | (F.col("status") == "download_failed"), 1)).alias("without_images"),
-        F.count(F.when(empty, 1)).alias("no_results"), F.count(F.when(F.col("status") == "download_failed", 1)).alias("download_failed"),
-        F.coalesce(F.sum("image_count"), F.lit(0)).cast("long").alias("total_images"))
+    totals = pre.agg(
+        F.coalesce(n, F.lit(0)).alias("total"), rows(F.col("_has")).alias("with_images"),
+        rows(empty | (F.col("status") == "download_failed")).alias("without_images"),
+        rows(empty).alias("no_results"), rows(F.col("status") == "download_failed").alias("download_failed"),
+        F.coalesce(F.sum("_images"), F.lit(0)).cast("long").alias("total_images"))
     t = totals.withColumns({"mean_images": F.round(F.try_divide("total_images", "with_images"), 4),
                             "success_rate": F.round(100.0 * F.col("with_images") / F.greatest("total", F.lit(1)), 4)})
     counts = t.unpivot([], ["total", "with_images", "without_images", "no_results", "download_failed", "total_images"], "item", "n")
     rates = t.unpivot([], ["mean_images", "success_rate"], "item", "value")
-    status = manifest.groupBy(F.coalesce("status", F.lit("unknown")).alias("item")).agg(n.alias("n"))
-    top = manifest.filter(F.col("source_domain") != "").groupBy(F.col("source_domain").alias("item")).agg(
+    status = pre.groupBy(F.coalesce("status", F.lit("unknown")).alias("item")).agg(n.alias("n"))
+    top = pre.filter(F.col("source_domain") != "").groupBy(F.col("source_domain").alias("item")).agg(
         n.alias("n")).orderBy(F.col("n").desc(), "item").limit(domains)
     none = F.lit(None)
 

@@ -34,7 +34,7 @@ _X1 = f"{PRODUCTS}, x AS (SELECT *, lower(concat_ws(' ', product_name, product_d
 def _(t):
     # every shipment is an arrival of its product; repeats are ignored
     arrivals = st.file_stream(t.spark, t.folder, "lineitem").select(c("l_partkey").alias("product_id"), c("l_shipdate").cast("timestamp").alias("seen"))
-    out = st.enrich_stream(arrivals.join(t.wide.v_products, "product_id"), "seen", "36500 days")
+    out = st.enrich_stream(arrivals.join(t.wide.v_products, "product_id"), "seen", "30 days")
     return flat(st.drain(out.select("product_id", *lx.SCHEMA1), "enrich"))
 
 
