@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.text import text_or_empty
+from ..session import written
 from .ranking import bucketed_rank
 
 
@@ -98,10 +99,11 @@ def valid_classes(paths: DataFrame, lookup: DataFrame, path: str = "taxonomy") -
 
 
 def build_vocab(df: DataFrame, attributes: Sequence[str], path: str = "taxonomy", cls: str = "product_class",
-                prefix: int = 2) -> DataFrame:
+                bucket_rows: int = 50_000) -> DataFrame:
     """(kind, value, n, idx): sorted distinct values per attribute, level and class; idx from 1.
 
-    The index is counted inside value-prefix buckets, which follow the value order.
+    The index is counted inside ranges of (kind, value) of about `bucket_rows` values, which
+    Spark draws from the values themselves, so a prefix that all of them share does not matter.
     """
     parts = F.array(*[F.struct(F.lit(a).alias("kind"), F.col(a).cast("string").alias("value")) for a in attributes],
                     F.struct(F.lit("product_class").alias("kind"), F.col(cls).alias("value")),
@@ -110,7 +112,10 @@ def build_vocab(df: DataFrame, attributes: Sequence[str], path: str = "taxonomy"
         F.concat(F.lit("level_"), (i + 1).cast("string")).alias("kind"), v.alias("value")))
     values = df.select(F.explode(F.concat(parts, levels)).alias("e")).select("e.*").filter(
         F.col("value").isNotNull()).groupBy("kind", "value").agg(F.count("*").alias("n"))
-    return bucketed_rank(values, ["kind"], [F.col("value")], F.substring("value", 1, prefix), "idx")
+    values = written(values, "values")
+    ranges = max(1, -(-values.count() // bucket_rows))
+    ranged = written(values.repartitionByRange(ranges, "kind", "value").withColumn("_range", F.spark_partition_id()), "ranges")
+    return bucketed_rank(ranged, ["kind"], [F.col("value")], F.col("_range"), "idx").drop("_range")
 
 
 def encode_labels(df: DataFrame, vocab: DataFrame, attributes: Sequence[str], path: str = "taxonomy",

@@ -265,3 +265,13 @@ def test_views_keep_every_row(spark):
     shipped = t.lineitem.selectExpr("l_suppkey", "l_partkey + CAST(l_linenumber = 1 AS INT) AS p").distinct().count()
     assert t.v_results.count() == shipped and t.v_labels.count() == t.lineitem.select("l_suppkey", "l_partkey").distinct().count()
     assert t.v_heads._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_vocabulary_of_one_shared_prefix(spark):
+    """Ranges of values, not prefixes: the index is right however many ranges there are."""
+    from cataloom.operators.taxonomy import build_vocab
+    df = spark.range(500).selectExpr("array('Furniture', concat('Furniture ', lpad(id % 90, 3, '0'))) AS taxonomy", "concat('c', id % 7) AS product_class", "concat('s', id % 3) AS style")
+    one, many = (sorted(map(tuple, build_vocab(df, ["style"], bucket_rows=n).collect())) for n in (50_000, 4))
+    assert one == many
+    paths = [r for r in one if r[0] == "level_2"]
+    assert [r[3] for r in paths] == list(range(1, 91)) and sum(r[2] for r in paths) == 500
