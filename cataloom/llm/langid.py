@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text holds a character of Unicode category L (other word characters, such as Roman numerals, are none)."""
+    return any(c.isalpha() for m in _WORD.finditer(text) for c in m[0])
 
 
 def codewords(languages: int, seed: int = 11) -> np.ndarray:
@@ -100,7 +105,7 @@ def train(docs: DataFrame, sample_rows: int = 3_000, buckets: int = 2_048, id_co
     def features(frames):
         for f in frames:
             out = [(lang, ngram_shares(part, buckets).astype(np.float16).tobytes()) for lang, text in zip(f["lang"], f["text"])
-                   if _LETTER.search(text) for part in snippets(text) if _LETTER.search(part)]
+                   if has_letter(text) for part in snippets(text) if has_letter(part)]
             yield pd.DataFrame(out, columns=["lang", "x"])
 
     sample = picked.select("lang", "text").mapInPandas(features, "lang string, x binary").toPandas()
@@ -117,7 +122,7 @@ def predict(model: dict, texts: list[str | None], gain: float = 8.0, ambiguous_b
     """Language, score and ambiguity of whole texts. `und` with score 0 if a text is null, has no letter or nothing was
     learned; ambiguous if the two best shares differ by less than `ambiguous_below`."""
     lang, score, unsure = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-    at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model["languages"] else []
+    at = [i for i, t in enumerate(texts) if t and has_letter(t)] if model["languages"] else []
     for begin in range(0, len(at), 500):
         part = at[begin:begin + 500]
         x = np.stack([ngram_shares(texts[i], model["buckets"]) for i in part])

@@ -80,7 +80,7 @@ def test_languages(spark):
     held = [d for d in docs.collect() if zlib.crc32(str(d.doc_id).encode()) % 5 == 0]
     assert all(got[d.doc_id].held_out for d in held) and sum(r.held_out for r in got.values()) == len(held)
     assert sum(got[d.doc_id].lang_pred == d.lang for d in held) / len(held) > 0.95
-    odd = spark.createDataFrame([(1, None, "de"), (2, "", "de"), (3, "123 !?", "de"), (None, "and the of that with", None), (4, "und die der " * 20_000, None), (4, "x", "de")], "doc_id bigint, text string, lang string")
+    odd = spark.createDataFrame([(1, None, "de"), (2, "", "de"), (3, "123 !? Ⅷ ²", "de"), (None, "and the of that with", None), (4, "und die der " * 20_000, None), (4, "x", "de")], "doc_id bigint, text string, lang string")
     rows = identify(odd, train(docs)).orderBy("doc_id").collect()
     assert [r.lang_pred for r in rows][1:4] == ["und"] * 3 and rows[0].lang_pred == "en" and len(rows) == 6
     assert all(0 <= r.score <= 1 for r in rows)
