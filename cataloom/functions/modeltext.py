@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
+from .features import norm_boolean, norm_multi_label
 from .text import WORD_CLASS, let, string_table, strip, text_or_empty
 
 _JSON = {"allowSingleQuotes": "false"}
@@ -22,11 +23,11 @@ def clean_key(c: Column) -> Column:
     return F.replace(F.lower(strip(c)), F.lit(" "), F.lit("_"))
 
 
-def shorten_output(c: Column) -> Column:
-    """Up to the first blank line; long slash lists keep their first item; 500 characters."""
+def shorten_output(c: Column, n: int = 500) -> Column:
+    """Up to the first blank line; long slash lists keep their first item; `n` characters."""
     head = F.substring_index(c, "\n\n", 1)
     short = F.regexp_replace(head, f"([{WORD_CLASS}]+)(?:/[{WORD_CLASS}]+){{5,}}", "$1")
-    return F.substring(short, 1, 500)
+    return F.substring(short, 1, n)
 
 
 def parse_json_output(c: Column) -> Column:
@@ -79,14 +80,26 @@ def normalize_model_output(entries: Column, keys: list[str] = lx.SCHEMA1) -> Col
 
 
 def parse_model_output(c: Column, keys: list[str] = lx.SCHEMA1) -> Column:
-    """Raw model text to the seven keys: JSON, else key-value pairs, else regular expressions."""
+    """Raw model text to the seven keys: JSON anywhere in it, else key-value pairs, else regular expressions of its head."""
     def choose(t: Column) -> Column:
         as_json = let(parse_json_output(t), lambda j: F.when(F.size(j) > 0, j))
-        return F.coalesce(as_json, parse_kv_output(t, keys), parse_regex_output(t, keys))
-    text = F.when(strip(text_or_empty(c)) != "", shorten_output(c))
+        return F.coalesce(as_json, let(shorten_output(t), lambda h: F.coalesce(parse_kv_output(h, keys), parse_regex_output(h, keys))))
+    text = F.when(strip(text_or_empty(c)) != "", c)
     return normalize_model_output(F.coalesce(let(text, choose), F.array().cast(_ENTRIES)), keys)
 
 
+def typed_answer(parsed: Column, keys: list[str] = lx.SCHEMA1) -> Column:
+    """A parsed answer of strings with its rooms as an array and assembly as a boolean, as `align_model_schema` takes it.
+
+    Null where the answer holds none of the keys."""
+    def typed(key: str) -> Column:
+        v = parsed[key]
+        if key == "room_type":
+            return F.when(v.isNotNull(), norm_multi_label(v))
+        return norm_boolean(v) if key == "assembly_required" else v
+    return F.when(F.coalesce(*[parsed[k] for k in keys]).isNotNull(), F.struct(*[typed(k).alias(k) for k in keys]))
+
+
 def parse_fenced_json(c: Column, keys: list[str] = lx.SCHEMA1, braces_only: bool = False) -> Column:
     """JSON answer inside code fences, or from the first `{` to the last `}`."""
     text = strip(text_or_empty(c))

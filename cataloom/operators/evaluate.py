@@ -143,15 +143,25 @@ def judge_results(results: DataFrame, labels: DataFrame) -> DataFrame:
         "relevance", F.coalesce("_rel", F.lit(0))).drop("_rel")
 
 
-def query_metrics(results: DataFrame, labels: DataFrame, ks: Sequence[int] = (5, 10, 20)) -> DataFrame:
-    """NDCG@k and reciprocal rank of every judged query; queries without hits score 0."""
+def query_metrics(results: DataFrame, labels: DataFrame, ks: Sequence[int] = (5, 10, 20), judged_ideal: bool = False) -> DataFrame:
+    """NDCG@k and reciprocal rank of every judged query; queries without hits score 0.
+
+    The ideal order is that of the retrieved list, or with `judged_ideal` that of all judgements of the query,
+    which is the standard measure; for that the judgements are counted per relevance, never listed."""
     judged = judge_results(results.filter(F.col("rnk") <= max(ks)), labels)  # at most max(ks) hits per query
     lists = judged.groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rnk", "relevance"))), lambda r: r["relevance"]).alias("_rels"),
         F.min(F.when(F.col("relevance") >= 1, F.col("rnk"))).alias("_first"))
     every = labels.select("query_id").distinct().join(lists, "query_id", "left")
     rels = F.coalesce("_rels", F.array().cast("array<int>"))
-    return every.select("query_id", *[ndcg(rels, k).alias(f"ndcg_{k}") for k in ks],
+    ideal = None
+    if judged_ideal:
+        grades = sorted(set(lx.RELEVANCE.values()), reverse=True)
+        names = [name for g in grades for name, v in lx.RELEVANCE.items() if v == g][:len(grades)]
+        counts = labels.groupBy("query_id").agg(*[F.count(F.when(F.col("label") == n, 1)).alias(f"_g{lx.RELEVANCE[n]}") for n in names])
+        every = every.join(counts, "query_id")
+        ideal = F.concat(*[F.array_repeat(F.lit(g), F.least(F.col(f"_g{g}"), F.lit(max(ks))).cast("int")) for g in grades])
+    return every.select("query_id", *[ndcg(rels, k, ideal).alias(f"ndcg_{k}") for k in ks],
                         F.coalesce(1.0 / F.col("_first"), F.lit(0.0)).alias("rr"))
 
 

@@ -145,6 +145,17 @@ def _(t):
     return q.select("query_id", *[F.round(x, 6).alias(x) for x in ("ndcg_5", "ndcg_10", "ndcg_20", "rr")])
 
 
+_IDEAL = ", ".join(f"sum((power(2.0, rel) - 1) / log2(r + 1)) FILTER (r <= {x}) AS b{x}" for x in (5, 10, 20))
+
+
+@query("ndcg_judged", f"""{JUDGED}, {_metric_sql('j')}, lr AS (SELECT query_id, CASE label WHEN 'Exact' THEN 2 WHEN 'Partial' THEN 1 ELSE 0 END AS rel FROM v_labels),
+ lo AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC) AS r FROM lr), best AS (SELECT query_id, {_IDEAL} FROM lo GROUP BY 1)
+SELECT query_id, {', '.join(f'round(CASE WHEN coalesce(b{x}, 0) > 0 THEN coalesce(d{x}, 0) / b{x} ELSE 0 END, 6)::DOUBLE AS ndcg_{x}' for x in (5, 10, 20))}, round(coalesce(rr, 0), 6)::DOUBLE AS rr FROM best LEFT JOIN pq USING (query_id)""")
+def _(t):
+    q = ev.query_metrics(t.v_results, t.kept("v_labels"), judged_ideal=True)
+    return q.select("query_id", *[F.round(x, 6).alias(x) for x in ("ndcg_5", "ndcg_10", "ndcg_20", "rr")])
+
+
 @query("search_metrics", f"""{JUDGED}, {_metric_sql('j')} SELECT sm.*, (SELECT round(quantile_cont(value, 0.5), 1) FROM events) AS latency_p50_ms,
   (SELECT round(quantile_cont(value, 0.95), 1) FROM events) AS latency_p95_ms, (SELECT round(quantile_cont(value, 0.99), 1) FROM events) AS latency_p99_ms FROM sm""")
 def _(t):

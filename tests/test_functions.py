@@ -148,3 +148,15 @@ def test_vectors(values):
     padded = values(lambda c: ve.pad_and_mask(c, 3, F.lit(0.0)), [[1.0], [1.0, 2.0, 3.0, 4.0]], "array<double>")
     assert padded[0]["padded"] == [1.0, 0.0, 0.0] and padded[0]["mask"] == [1.0, 0.0, 0.0]
     assert padded[1]["padded"] == [1.0, 2.0, 3.0]
+
+
+def test_parse_then_align(spark):
+    """A raw answer goes through parsing, typing and alignment; JSON behind a long preamble is not lost."""
+    long = "So many words. " * 60 + '{"style": "Rustic", "room_type": "Living Room, office", "assembly_required": "Yes", "color_family": "Red"}'
+    rows = spark.createDataFrame([(1, long), (2, "style: modern; assembly_required: No"), (3, "nothing to see"), (4, None)], "i int, a string")
+    typed = rows.select("i", mt.typed_answer(mt.parse_model_output(F.col("a"))).alias("t"))
+    out = {r.i: r for r in typed.select("i", "t", mt.align_model_schema(F.col("t"), F.array(), F.create_map().cast("map<string,string>")).alias("r")).collect()}
+    assert out[1].t.room_type == ["living room", "office"] and out[1].t.assembly_required is True and out[1].t.style.lower() == "rustic"
+    assert out[2].t.assembly_required is False and out[2].t.room_type is None
+    assert out[3].t is None and out[4].t is None
+    assert "yes" in out[1].r.attributes.values() and "no" in out[2].r.attributes.values()
