@@ -95,6 +95,19 @@ def rarity_table(docs: DataFrame, text_col: str) -> np.ndarray:
     return table.ravel()
 
 
+def wide_words(size: np.ndarray) -> np.ndarray:
+    """64-bit words of the wide bitmap of a set: none up to 112 tokens, then 4, 16, 64, ... as the size quadruples."""
+    words, limit = np.where(size > 112, 4, 0), 448
+    while (size > limit).any():
+        words, limit = np.where(size > limit, words * 4, words), limit * 4
+    return words
+
+
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions begin[i] .. begin[i] + size[i] - 1 of all i, one after the other."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 def line_sets(texts: list[bytes], table: np.ndarray) -> dict[str, np.ndarray]:
     """Token sets of the lines that have tokens, rarest token first."""
     token, line, lines = token_hashes(texts)
@@ -108,7 +121,13 @@ def line_sets(texts: list[bytes], table: np.ndarray) -> dict[str, np.ndarray]:
     text = np.repeat(np.arange(len(texts)), lines)
     number = np.arange(lines.sum()) - np.repeat(np.cumsum(lines) - lines, lines)
     at = line[start]
-    return {"token": token, "start": start, "size": size, "text": text[at], "line": number[at],
+    words = wide_words(size)
+    wide = np.zeros(words.sum(), np.uint64)
+    own = np.repeat(words, size)
+    long = own > 0
+    place = np.repeat(np.cumsum(words) - words, size)[long] + ((token[long] >> np.uint64(6)) & (own[long] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(wide, place, np.uint64(1) << (token[long] & np.uint64(63)))
+    return {"wide": wide, "token": token, "start": start, "size": size, "text": text[at], "line": number[at],
             "bits": np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), start) if len(start) else np.zeros(0, np.uint64),
             "whole": np.add.reduceat(mixed(token), start) if len(start) else np.zeros(0, np.uint64)}
 
@@ -122,9 +141,13 @@ def _pack(rows: dict[str, np.ndarray], buckets: int, removed: dict[str, np.ndarr
     press = zstandard.ZstdCompressor(level=1)
     bucket = (rows["token"] >> np.uint64(20)) % np.uint64(buckets)
     order = np.lexsort((rows["token"], bucket))
+    wide = rows.pop("wide")
     rows, bucket = {k: v[order] for k, v in rows.items()}, bucket[order].astype(np.int64)
     names, first = np.unique(bucket, return_index=True)
-    blobs = [press.compress(b"".join(rows[k][a:b].astype(t).tobytes() for k, t in ROW)) for a, b in zip(first, [*first[1:], len(bucket)])]
+    blobs = []
+    for a, b in zip(first, [*first[1:], len(bucket)]):
+        bits = wide[ragged(rows["wide_at"][a:b], wide_words(rows["size"][a:b]))]
+        blobs.append(press.compress(b"".join(rows[k][a:b].astype(t).tobytes() for k, t in ROW) + bits.tobytes()))
     counts = np.diff([*first, len(bucket)]).tolist()
     if len(removed["doc"]):
         names, counts = [*names.tolist(), -1 - int(removed["doc"][0] % buckets)], [*counts, len(removed["doc"])]
@@ -140,7 +163,9 @@ def prefixes(texts: DataFrame, table: np.ndarray, share: float, buckets: int, fl
 
         def out() -> pa.RecordBatch:
             lines = {k: np.concatenate([h[k] for h in held]) for k in ("doc", "twin", "line", "size", "bits", "whole")}
-            token = np.concatenate([h["token"] for h in held])
+            token, wide = (np.concatenate([h[k] for h in held]) for k in ("token", "wide"))
+            words = wide_words(lines["size"])
+            lines["wide_at"] = np.cumsum(words) - words
             held.clear()
             begin = np.cumsum(lines["size"]) - lines["size"]
             order = np.lexsort((lines["line"], lines["twin"], lines["doc"], lines["size"], lines["bits"], lines["whole"]))
@@ -156,13 +181,13 @@ def prefixes(texts: DataFrame, table: np.ndarray, share: float, buckets: int, fl
             n = prefix_length(lines["size"][stay], share)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             own = np.repeat(stay, n)
-            rows = {k: lines[k][own] for k in ("doc", "twin", "line", "size", "bits")} | {"token": token[begin[own] + at], "at": at}
+            rows = {k: lines[k][own] for k in ("doc", "twin", "line", "size", "bits", "wide_at")} | {"token": token[begin[own] + at], "at": at, "wide": wide}
             return _pack(rows, buckets, removed)
 
         for b in batches:
             for doc, twin, part in chunks(b):
                 s = line_sets(part, table)
-                held.append({"doc": doc[s["text"]], "twin": twin[s["text"]], **{k: s[k] for k in ("line", "size", "bits", "whole", "token")}})
+                held.append({"doc": doc[s["text"]], "twin": twin[s["text"]], **{k: s[k] for k in ("line", "size", "bits", "whole", "token", "wide")}})
                 if sum(len(h["doc"]) for h in held) >= flush:
                     yield out()
         if held:
@@ -171,12 +196,30 @@ def prefixes(texts: DataFrame, table: np.ndarray, share: float, buckets: int, fl
     return texts.mapInArrow(run, "bucket int, rows bigint, data binary")
 
 
-def may_match(a: dict, i: np.ndarray, b: dict, j: np.ndarray, share: float) -> np.ndarray:
-    """Length, positional and bitmap filters for rows i and j of one token; a similar pair passes them at its first common token."""
-    na, nb = a["size"][i].astype(np.int64), b["size"][j].astype(np.int64)
+def may_match(r: dict, i: np.ndarray, j: np.ndarray, share: float) -> np.ndarray:
+    """Length, positional and bitmap filters for rows i and j of one token; a similar pair passes them at its first common
+    token. Two sets differ in at least as many tokens as their parity bitmaps differ in bits; wide bitmaps are folded to
+    the narrower one's width."""
+    na, nb = r["size"][i].astype(np.int64), r["size"][j].astype(np.int64)
     need = np.ceil(share / (1 + share) * (na + nb) - 1e-9)
-    ok = (np.minimum(na, nb) >= share * np.maximum(na, nb) - 1e-9) & (1 + np.minimum(na - 1 - a["at"][i], nb - 1 - b["at"][j]) >= need)
-    return ok & (np.bitwise_count(a["bits"][i] ^ b["bits"][j]) <= na + nb - 2 * need)
+    ok = (np.minimum(na, nb) >= share * np.maximum(na, nb) - 1e-9) & (1 + np.minimum(na - 1 - r["at"][i], nb - 1 - r["at"][j]) >= need)
+    ok &= np.bitwise_count(r["bits"][i] ^ r["bits"][j]) <= na + nb - 2 * need
+    both = np.minimum(r["words"][i], r["words"][j])
+    left = np.flatnonzero(ok & (both > 0))
+    for width in np.unique(both[left]):
+        k = left[both[left] == width]
+        apart = _folded(r, i[k], width) ^ _folded(r, j[k], width)
+        ok[k] = np.bitwise_count(apart).sum(1, dtype=np.int64) <= na[k] + nb[k] - 2 * need[k]
+    return ok
+
+
+def _folded(r: dict, i: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(i), width), np.uint64)
+    for words in np.unique(r["words"][i]):
+        k = np.flatnonzero(r["words"][i] == words)
+        bits = r["wide"][r["wide_at"][i[k], None] + np.arange(words)[None, :]]
+        out[k] = np.bitwise_xor.reduce(bits.reshape(len(k), words // width, width), axis=1)
+    return out
 
 
 def candidates(packed: DataFrame, share: float, buckets: int, small: int = 512, first: int = 16) -> DataFrame:
@@ -191,7 +234,7 @@ def candidates(packed: DataFrame, share: float, buckets: int, small: int = 512,
         row = np.flatnonzero(light & (end - np.arange(n) > 1))
         step = 1
         while len(row):
-            ok = may_match(r, row, r, row + step, share)
+            ok = may_match(r, row, row + step, share)
             yield row[ok], row[ok] + step, np.zeros(int(ok.sum()), bool)
             step += 1
             row = row[row + step < end[row]]
@@ -205,7 +248,7 @@ def candidates(packed: DataFrame, share: float, buckets: int, small: int = 512,
                     j, i = (x.ravel() for x in np.meshgrid(later, np.arange(at, stop), indexing="ij"))
                     ok = i < j
                     i, j = i[ok], j[ok]
-                    ok = may_match(r, i, r, j, share)
+                    ok = may_match(r, i, j, share)
                     i, j = i[ok], j[ok]
                     order = np.lexsort((i, j))
                     i, j = i[order], j[order]
@@ -225,8 +268,10 @@ def candidates(packed: DataFrame, share: float, buckets: int, small: int = 512,
 
         def close() -> pa.RecordBatch:
             r = {k: np.concatenate([h[k] for h in held]) for k, _ in ROW}
+            r["words"] = wide_words(r["size"])
+            r["wide_at"] = np.cumsum(r["words"]) - r["words"]
             order = np.lexsort((r["line"], r["twin"], r["doc"], r["token"]))
-            r = {k: v[order] for k, v in r.items()}
+            r = {k: v[order] for k, v in r.items()} | {"wide": np.concatenate([h["wide"] for h in held])}
             parts = list(pairs(r))
             i, j, more = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
             other = (r["doc"][i] != r["doc"][j]) | (r["twin"][i] != r["twin"][j]) | (r["line"][i] != r["line"][j])
@@ -247,7 +292,7 @@ def candidates(packed: DataFrame, share: float, buckets: int, small: int = 512,
                 for k, t in ROW:
                     part[k] = np.frombuffer(raw, t, rows, at)
                     at += rows * np.dtype(t).itemsize
-                held.append(part)
+                held.append(part | {"wide": np.frombuffer(raw, np.uint64, offset=at)})
         if held:
             yield close()
 
