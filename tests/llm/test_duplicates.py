@@ -163,3 +163,22 @@ def test_vectors(spark):
             assert (r.n_links, r.component_id, r.kept) == (links[r.vec_id], group[r.vec_id], group[r.vec_id] == r.vec_id), r.vec_id
     assert len(got) == 540 + len(odd) + 1
     assert near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
+
+
+def test_long_lines(spark):
+    """Lines of hundreds of words, similar by more or less than the share, where wide bitmaps decide."""
+    rnd = random.Random(9)
+    docs = []
+    for i in range(60):
+        n = rnd.choice([100, 113, 130, 300, 449, 600])
+        base = [f"w{n}x{k}" for k in range(n)]
+        for k in rnd.sample(range(n), int(n * rnd.choice([0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.4]))):
+            base[k] = f"own{i}y{k}"
+        if rnd.random() < 0.4:
+            base += [f"more{i}z{k}" for k in range(int(n * rnd.choice([0.1, 0.2, 0.3])))]
+        rnd.shuffle(base)
+        docs.append((i, " ".join(base), "x"))
+    rows = dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string, gone string").repartition(3)).collect()
+    want = expected_lines(docs)
+    assert {r.doc_id: r.text for r in rows} == want
+    assert 5 < sum(t == "" for t in want.values()) < 55
