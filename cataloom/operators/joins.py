@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.keywords import plain_text
-from ..functions.text import each, search_text, text_or_empty
+from ..functions.text import each, let, search_text, text_or_empty
+from ..session import written
 
 
 def _literal(c: Column, table: dict) -> Column:
@@ -74,34 +75,25 @@ def missing_ids(wanted: DataFrame, present: DataFrame, key: str = "product_id")
     return wanted.join(present.select(key), key, "left_anti").select(key)
 
 
-def keyword_join(docs: DataFrame, vocab: DataFrame, doc_key: str, text: str, salts: int = 8) -> DataFrame:
+def keyword_join(docs: DataFrame, vocab: DataFrame, doc_key: str, text: str, block: int = 2_000) -> DataFrame:
     """Labels of a large vocabulary whose keyword is inside the text, best keyword first.
 
-    `vocab` has keyword and label.  Instead of testing every pair, each keyword is anchored
-    on the first letters of its longest token; texts emit the letter groups of their
-    distinct tokens, and only texts sharing the anchor are tested.  Frequent anchors are
-    spread over salts.
+    `vocab` has keyword and label.  Keywords are tested where the text is: each task gets the
+    distinct keywords in lists of at most `block`, counted before, and forwards only hits.
+    Texts are never shuffled or copied; a vocabulary of more keywords reads them once per list.
     """
-    kw = vocab.select(F.trim(plain_text(F.col("keyword"))).alias("kw"), "label").filter(F.col("kw") != "").distinct()
-    tokens = F.split("kw", " ")
-    longest = F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    anchored = kw.withColumn("anchor", F.substring(longest, 1, 3)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    sizes = kw.select(F.least(F.length(longest), F.lit(3)).alias("g")).distinct().agg(F.collect_set("g").alias("_sizes"))  # 1-3
-
+    kw = written(vocab.select(F.trim(plain_text(F.col("keyword"))).alias("kw"), "label").filter(F.col("kw") != "").distinct(), "keywords")
     plain = docs.select(doc_key, plain_text(F.col(text)).alias("_t"))
-    distinct_tokens = F.array_distinct(F.split("_t", " "))
-
-    def grams(token: Column) -> Column:
-        return F.flatten(F.transform("_sizes", lambda g: F.when(F.length(token) >= g, F.transform(
-            F.sequence(F.lit(1), F.length(token) - g + 1), lambda i: F.substring(token, i, g))).otherwise(
-            F.array().cast("array<string>"))))
-    emitted = plain.crossJoin(F.broadcast(sizes)).select(  # one row
-        doc_key, "_t", F.array_distinct(F.flatten(F.transform(distinct_tokens, grams))).alias("_g"))
-    # the anchor probe carries only the key; the text is joined back for the pairs that share an anchor
-    probe = each(emitted, F.col("_g"), "anchor", doc_key).withColumn(
-        "_salt", F.pmod(F.xxhash64(doc_key), F.lit(salts)).cast("int"))
-    pairs = probe.join(anchored, ["anchor", "_salt"]).select(doc_key, "kw", "label").distinct()
-    hits = pairs.join(plain, doc_key).filter(F.contains("_t", F.col("kw")))
+    distinct = kw.select("kw").distinct()
+    lists = max(1, -(-distinct.count() // block))
+    found = None
+    for i in range(lists):
+        mine = distinct.filter(F.pmod(F.xxhash64("kw"), F.lit(lists)) == i).agg(F.collect_list("kw").alias("_kws"))  # one row
+        held = plain.crossJoin(F.broadcast(mine)).select(
+            doc_key, let(F.col("_t"), lambda t: F.filter("_kws", lambda k: F.contains(t, k))).alias("_hits"))
+        rows = each(held, F.col("_hits"), "kw", doc_key)
+        found = rows if found is None else found.unionByName(rows)
+    hits = found.distinct().join(kw, "kw")
     return hits.groupBy(doc_key, "label").agg(
         F.min_by("kw", F.struct(-F.length("kw"), F.col("kw"))).alias("keyword"), F.count("*").alias("n_keywords"))
 
