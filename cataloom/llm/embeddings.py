@@ -73,12 +73,12 @@ def vectors(table: DataFrame, id_col: str, vec_col: str, label_col: str) -> Data
     return table.where(usable).groupBy(F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec")).agg(F.min(id_col).alias("least"), F.count("*").alias("copies"))
 
 
-def near_vectors(table: DataFrame, share: float = 0.98, train_rows: int = 20_000, per_list: int = 256, parts: int = 16, most: int = 2_048,
+def near_vectors(table: DataFrame, share: float = 0.98, train_rows: int = 20_000, per_list: int = 1_024, parts: int = 16, most: int = 2_048,
                  id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links between vectors of the same label with cosine `share` or more: (id, n_links, component_id, kept), one row per input row.
 
     Equal vectors collapse first. Coarse centres and codewords are learned on at most about `train_rows` distinct vectors,
-    chosen by hash; there are as many lists as vectors / `per_list`, at most train_rows / 40. Every vector is indexed. Probes are sufficient:
+    chosen by hash; there are as many lists as the largest label has times `per_list` vectors, at most train_rows / 40. Every vector is indexed. Probes are sufficient:
     a vector visits every list whose centre is at most twice the link radius farther than its own one, outside of which
     no partner can lie; a coded partner passes if its table distance is within the radius plus its own coding error,
     which the true distance cannot undercut; what passes is compared exactly in double precision. So no link is lost
@@ -92,7 +92,8 @@ def near_vectors(table: DataFrame, share: float = 0.98, train_rows: int = 20_000
     spark = table.sparkSession
     rows = table.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
     distinct = kept(vectors(rows, "id", "vec", "label").withColumn("node", F.xxhash64("label", "vec")), "vectors")
-    number = distinct.count()
+    sizes = distinct.groupBy("label").count().agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()  # one row
+    number = sizes["all"] or 0
     out_columns = [F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")]
     if not number:
         return rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")).select(*out_columns)
@@ -102,7 +103,7 @@ def near_vectors(table: DataFrame, share: float = 0.98, train_rows: int = 20_000
         sample = distinct.select("vec").limit(train_rows).toPandas()
     width = sample["vec"].map(len).mode()[0]
     x, _ = _unit([v for v in sample["vec"] if len(v) == width])
-    lists = max(1, min(number // per_list, train_rows // 40))
+    lists = max(1, min(sizes["most"] // per_list, train_rows // 40))
     book = spark.sparkContext.broadcast(Codebook(x, lists, parts))  # size bound by train_rows and the width
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
