@@ -42,26 +42,43 @@ def window_hashes(tokens: Column, doublings: int = 3) -> Column:
     return let(h, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - F.lit((1 << doublings) - 1), F.lit(0))))
 
 
-def benchmark_windows(benchmark: DataFrame, doublings: int, id_col: str, text_col: str) -> DataFrame:
-    """(hash, item, at, windows, slots): windows in which at least half of the tokens are words; slots are the replaced tokens."""
+def joined_hashes(text: Column, doublings: int) -> Column:
+    """For each window of a text the hash of its template and, where that differs, of its own lower-cased tokens."""
+    pairs = (window_hashes(words(template(text)), doublings), window_hashes(words(F.lower(text)), doublings))
+    return F.zip_with(*pairs, lambda t, p: F.when(t == p, F.array(t)).otherwise(F.array(t, p)))
+
+
+def benchmark_windows(benchmark: DataFrame, doublings: int, id_col: str, text_col: str, literal: bool = False) -> DataFrame:
+    """(hash, item, item_at, windows, typed, plain, by_template, item_slots): windows of which at least half of the tokens are words, by
+    template, `typed` of them in an item; and the literal tokens of the others (`literal`: of all). `plain` tells that a hash
+    stands for the tokens themselves; slots are the replaced tokens."""
     width = 1 << doublings
     rows = benchmark.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("item", words(template(F.col("text"))).alias("tokens"), words(F.lower("text")).alias("plain"))
-    rows = rows.select("item", "tokens", "plain", F.size(window_hashes(F.col("tokens"), doublings)).alias("windows"), F.posexplode(window_hashes(F.col("tokens"), doublings)).alias("at", "hash"))
-    part = F.slice("tokens", F.col("at") + 1, width)
-    held = F.filter(part, lambda t: t.isin(NAME, NUMBER, UNIT))
-    pairs = F.arrays_zip(part.alias("t"), F.slice("plain", F.col("at") + 1, width).alias("p"))
-    slots = F.transform(F.filter(pairs, lambda x: x["t"].isin(NAME, NUMBER, UNIT)), lambda x: x["p"])
-    return rows.where(F.size(held) * 2 <= width).select("hash", "item", F.col("at").alias("item_at"), "windows", slots.alias("item_slots"))
+    rows = rows.select("item", words(template(F.col("text"))).alias("tokens"), words(F.lower(F.col("text"))).alias("plain_tokens"))
+    held = F.size(F.filter("part", lambda x: x["t"].isin(NAME, NUMBER, UNIT)))
+    rows = rows.select("item", F.arrays_zip(F.col("tokens").alias("t"), F.col("plain_tokens").alias("p")).alias("pairs"),
+                       F.arrays_zip(window_hashes(F.col("tokens"), doublings).alias("t"), window_hashes(F.col("plain_tokens"), doublings).alias("p")).alias("hashes"))
+    parts = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at"), F.slice("pairs", i + 1, width).alias("part")))
+    count = F.size(F.filter(parts, lambda w: F.size(F.filter(w["part"], lambda x: x["t"].isin(NAME, NUMBER, UNIT))) * 2 <= width))
+    rows = rows.select("item", F.size("hashes").alias("windows"), count.alias("typed"), F.explode(parts).alias("w")).select("item", "windows", "typed", "w.h", "w.at", "w.part")
+    rows = rows.select("*", (held * 2 <= width).alias("light"), (held == 0).alias("bare"))
+    slots = F.transform(F.filter("part", lambda x: x["t"].isin(NAME, NUMBER, UNIT)), lambda x: x["p"])
+    place = [F.col("item"), F.col("at").alias("item_at"), F.col("windows"), F.col("typed")]
+    by_template = rows.where("light").select(F.col("h.t").alias("hash"), *place, F.col("bare").alias("plain"), F.lit(True).alias("by_template"), slots.alias("item_slots"))
+    by_tokens = rows.where(F.lit(literal) | ~F.col("light")).where("NOT bare").select(F.col("h.p").alias("hash"), *place, F.lit(True).alias("plain"), F.lit(False).alias("by_template"), F.array().cast("array<string>").alias("item_slots"))
+    return by_template.union(by_tokens)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doublings: int = 3, least: int = 6, broadcast_rows: int = 200_000, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+                 item_col: str = "item_id", item_text: str = "text", literal: bool = False) -> DataFrame:
     """Documents that hold passages of benchmark items, literally or with other numbers, names and units:
     (id, item, n_windows, share, reparameterised), one row per document row and item, and none for clean documents.
 
     A passage counts if `least` windows of 2 ** doublings tokens (all windows, if the item has fewer) follow each other at
     the same distance in document and item, and if every slot value of the item maps to one value of the document.
+    Windows with more placeholders than words are too weak as templates and are looked up by their own tokens; of the others
+    `least`, or all that the item has, are enough. `literal` looks up the tokens of every window as well, so that
+    `least` windows of equal lower-cased tokens count whatever their capitals, and whatever other places of the document hold.
     `share` is the part of the item's windows found; `reparameterised` tells whether a slot value differs.
     Benchmark windows are sent to all tasks if they are counted to be `broadcast_rows` or fewer (about 100 bytes each);
     more are joined by shuffle. Windows are made and joined inside one stage there: only matches are shuffled.
@@ -70,20 +87,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doublings: int = 3, leas
     aside; empty tables give an empty result.
     """
     width = 1 << doublings
-    wanted = kept(benchmark_windows(benchmark, doublings, item_col, item_text), "benchmark_windows")
+    wanted = kept(benchmark_windows(benchmark, doublings, item_col, item_text, literal), "benchmark_windows")
     if wanted.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # outer: an inner explode would first test the array's size, and so make it twice
-    found = rows.select("id", "row", "text", F.posexplode_outer(window_hashes(words(template(F.col("text"))), doublings)).alias("at", "hash")).join(wanted, "hash")
+    found = rows.select("id", "row", "text", F.posexplode_outer(joined_hashes(F.col("text"), doublings)).alias("at", "hashes")).select("id", "row", "text", "at", F.explode("hashes").alias("hash")).join(wanted, "hash")
     slots = F.when(F.size("item_slots") > 0, F.slice(words(F.lower("text")), F.col("at") + 1, width))
     marked = F.when(F.size("item_slots") > 0, F.slice(words(template(F.col("text"))), F.col("at") + 1, width))
     doc_slots = F.transform(F.filter(F.arrays_zip(marked.alias("t"), slots.alias("p")), lambda x: x["t"].isin(NAME, NUMBER, UNIT)), lambda x: x["p"])
     pairs = F.coalesce(F.arrays_zip(F.col("item_slots").alias("b"), doc_slots.alias("d")), F.array().cast("array<struct<b:string,d:string>>"))
-    aligned = (found.select("id", "row", "item", (F.col("at") - F.col("item_at")).alias("shift"), "windows", pairs.alias("pairs"))
-               .groupBy("id", "row", "item", "shift", "windows").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")))
+    group = ["id", "row", "item", "windows", "typed"]
+    aligned = (found.select(*group, (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "plain", "by_template", pairs.alias("pairs"))
+               .groupBy(*group, "shift").agg(F.size(F.collect_set("item_at")).alias("n"),
+                                             F.size(F.collect_set(F.when(F.col("by_template"), F.col("item_at")))).alias("n_typed"),
+                                             F.size(F.collect_set(F.when(F.col("plain"), F.col("item_at")))).alias("n_plain"),
+                                             F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))
     changed = F.exists("pairs", lambda p: p["b"] != p["d"])
-    good = aligned.where((F.col("n") >= F.least(F.lit(least), F.col("windows"))) & consistent)
+    all_ = F.least(F.lit(least), F.col("windows"))
+    typed = (F.col("typed") > 0) & (F.col("n_typed") >= F.least(F.lit(least), F.col("typed")))
+    good = aligned.where((consistent & (typed | (F.col("n") >= all_))) | (F.lit(literal) & (F.col("n_plain") >= all_)))
     return (good.groupBy("id", "row", "item", "windows").agg(F.sum("n").alias("n_windows"), F.max(changed).alias("reparameterised"))
             .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", F.least(F.col("n_windows") / F.col("windows"), F.lit(1.0)).alias("share"), "reparameterised"))

@@ -157,3 +157,16 @@ def test_pipeline(spark, corpus):
 def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLES) == {"op1_warc_index"} and corpus_pipeline.ORACLE_SQL is None
+
+
+HEAVY = ["Compute 3 * 4 + 5 * 6 - 7 * 8 and give the result.", "A train goes 60 km in 2 h, then 90 km in 3 h, then 120 km in 5 h. Find its speed.",
+         "Solve 3x + 5 = 20 and 2y - 7 = 9 for x and y.", "What is 12 + 7 * 3 - 45 / 9 + 18?"]
+
+
+def test_items_full_of_numbers_are_found(spark):
+    items = spark.createDataFrame(list(enumerate(HEAVY)), "item_id int, text string")
+    changed = [re.sub(r"\d+", lambda m: str(int(m[0]) * 7 + 100), t) for t in HEAVY]
+    docs = [(i, f"Some words before it. {t} And others after it.") for i, t in enumerate(HEAVY + changed)] + [(20, "1 2 3 4 5 6 7 8 9 10 " * 50), (21, "What is 13 + 7 * 3 - 45 / 9 + 18?")]
+    found = contaminated(spark.createDataFrame(docs, "doc_id int, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in found if not r.reparameterised} == {(i, i) for i in range(4)}
+    assert {(r.doc_id, r.item_id) for r in found if r.reparameterised} == {(4, 0), (5, 1), (6, 2)}  # without words left, only the same numbers tell
