@@ -25,6 +25,11 @@ def template(text: Column) -> Column:
     return F.regexp_replace(out, rf"(?<={NUMBER}|{NUMBER} )(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{M}}])", UNIT)
 
 
+def spaced(text: Column) -> Column:
+    """The text with one plain space for every run of white space."""
+    return F.regexp_replace(text, r"(?U)[\s&&[^ ]]\s*| \s+", " ")
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
@@ -54,7 +59,7 @@ def benchmark_windows(benchmark: DataFrame, doublings: int, id_col: str, text_co
     stands for the tokens themselves; slots are the replaced tokens."""
     width = 1 << doublings
     rows = benchmark.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("item", words(template(F.col("text"))).alias("tokens"), words(F.lower(F.col("text"))).alias("plain_tokens"))
+    rows = rows.select("item", words(template(spaced(F.col("text")))).alias("tokens"), words(F.lower(spaced(F.col("text")))).alias("plain_tokens"))
     held = F.size(F.filter("part", lambda x: x["t"].isin(NAME, NUMBER, UNIT)))
     rows = rows.select("item", F.arrays_zip(F.col("tokens").alias("t"), F.col("plain_tokens").alias("p")).alias("pairs"),
                        F.arrays_zip(window_hashes(F.col("tokens"), doublings).alias("t"), window_hashes(F.col("plain_tokens"), doublings).alias("p")).alias("hashes"))
@@ -79,6 +84,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doublings: int = 3, leas
     Windows with more placeholders than words are too weak as templates and are looked up by their own tokens; of the others
     `least`, or all that the item has, are enough. `literal` looks up the tokens of every window as well, so that
     `least` windows of equal lower-cased tokens count whatever their capitals, and whatever other places of the document hold.
+    White space of any kind and length counts as one space.
     `share` is the part of the item's windows found; `reparameterised` tells whether a slot value differs.
     Benchmark windows are sent to all tasks if they are counted to be `broadcast_rows` or fewer (about 100 bytes each);
     more are joined by shuffle. Windows are made and joined inside one stage there: only matches are shuffled.
@@ -90,7 +96,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doublings: int = 3, leas
     wanted = kept(benchmark_windows(benchmark, doublings, item_col, item_text, literal), "benchmark_windows")
     if wanted.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), spaced(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     # outer: an inner explode would first test the array's size, and so make it twice
     found = rows.select("id", "row", "text", F.posexplode_outer(joined_hashes(F.col("text"), doublings)).alias("at", "hashes")).select("id", "row", "text", "at", F.explode("hashes").alias("hash")).join(wanted, "hash")
     slots = F.when(F.size("item_slots") > 0, F.slice(words(F.lower("text")), F.col("at") + 1, width))

@@ -79,7 +79,7 @@ def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @register("op3_decontamination")
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from .decontaminate import contaminated
-    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), literal=True)
 
 
 WARC_SQL = """

@@ -170,3 +170,13 @@ def test_items_full_of_numbers_are_found(spark):
     found = contaminated(spark.createDataFrame(docs, "doc_id int, text string"), items).collect()
     assert {(r.doc_id, r.item_id) for r in found if not r.reparameterised} == {(i, i) for i in range(4)}
     assert {(r.doc_id, r.item_id) for r in found if r.reparameterised} == {(4, 0), (5, 1), (6, 2)}  # without words left, only the same numbers tell
+
+
+def test_case_and_line_breaks_hide_nothing(spark, tmp_path):
+    copies = [QUESTION, QUESTION.lower(), QUESTION.upper(), QUESTION.replace(" ", "\n"), QUESTION.replace(" ", "  "), QUESTION.replace(" ", "\u00a0"), QUESTION.replace("Alice", "Carol").replace(" ", "\r\n")]
+    docs = spark.createDataFrame([(i, f"Words before. {t} Words after.", "x") for i, t in enumerate(copies)] + [(50, "clean words of no matter " * 50, "x")], "doc_id bigint, text string, lang string")
+    spark.createDataFrame([(1, QUESTION)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.reparameterised for r in QUERIES["op3_decontamination"](spark, str(tmp_path)).collect()}
+    assert found == {**dict.fromkeys(range(6), False), 6: True}
+    assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [50]
