@@ -19,7 +19,7 @@ BUCKETS = 1 << 20  # of the rarity table, whatever the corpus: 4 MB
 _LAST = 2**63 - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-ROW = [("token", np.uint64), ("bits", np.uint64), ("doc", np.int64), ("twin", np.uint32), ("line", np.uint32), ("size", np.uint32), ("at", np.uint32)]
+ROW = [("token", np.uint64), ("bits", np.uint64), ("doc", np.int64), ("twin", np.int64), ("line", np.uint32), ("size", np.uint32), ("at", np.uint32)]
 PLACED = "doc bigint, twin bigint"
 PLACE = f"{PLACED}, line bigint"
 
@@ -27,7 +27,7 @@ PLACE = f"{PLACED}, line bigint"
 def placed_texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(doc, twin, text): the place of a row is its id (null: last), then a hash of its text; equal rows are one document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(2**32 - 1)).alias("twin"), text.alias("text"), *more)
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"), *more)
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ from .anchors import KMER, anchor_positions, mixed, range_hashes
 from .common import kept
 from .lines import packed_texts, placed_texts
 
-RECORD = np.dtype([("kmer", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("twin", "<u4"), ("pos", "<u4")])
-_SPANS = np.dtype([("doc", "<i8"), ("twin", "<u4"), ("lo", "<u4"), ("hi", "<u4")])
+RECORD = np.dtype([("kmer", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("twin", "<i8"), ("pos", "<u4")])
+_SPANS = np.dtype([("doc", "<i8"), ("twin", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
 _LAST = 2**63 - 1
 
 
