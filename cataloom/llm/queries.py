@@ -96,3 +96,13 @@ FROM p LEFT JOIN m ON p.n >= 1000 AND p.d = m.d
 def op1_warc_index(spark: SparkSession, folder: str) -> DataFrame:
     from .warc import archive_round_trip
     return archive_round_trip(_table(spark, folder, "pages")).drop("payload")
+
+
+@register("op11_bpe_round_trip")
+def op11_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .backtrack import decode_ids, encode_texts
+    both = decode_ids(encode_texts(_table(spark, folder, "documents")))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
