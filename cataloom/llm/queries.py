@@ -131,3 +131,10 @@ SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BI
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     from .collocations import collocations
     return collocations(_table(spark, folder, "documents"))
+
+
+@register("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from .repair import damaged, repair_report
+    conversations = _table(spark, folder, "conversations")
+    return repair_report(conversations, damaged(conversations))
