@@ -16,9 +16,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe import ByteBpe, byte_chars
+from .common import by_size
 from .tokens import vocabulary
 
 BYTE = -1  # rank of a token that no merge makes
@@ -30,32 +32,34 @@ class PairCompatibility:
     `rank[t]` is the rank of the merge that makes token t, `left[t]` and `right[t]` its two parts.
     """
 
-    def __init__(self, merges: list[tuple[int, int, int]], entries: int = 1_000_000):
+    def __init__(self, merges: list[tuple[int, int, int]], entries: int = 250_000):
         size = max((max(m) for m in merges), default=0) + 1
-        self.merge = {(a, b): n for n, (a, b, _) in enumerate(merges)}
+        self.size = size
+        self.merge = {a * size + b: n for n, (a, b, _) in enumerate(merges)}
         self.rank, self.left, self.right = [BYTE] * size, [BYTE] * size, [BYTE] * size
         for n, (a, b, t) in enumerate(merges):
             if self.rank[t] != BYTE:
                 raise ValueError("a token that two merges make is not handled")
             self.rank[t], self.left[t], self.right[t] = n, a, b
         self.entries = entries
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
 
     def ask(self, a: int, b: int) -> bool:
-        known = self.table.get((a, b))
+        pair = a * self.size + b
+        known = self.table.get(pair)
         if known is None:
             if len(self.table) >= self.entries:
                 self.table.clear()
-            known = self.table[a, b] = self.border_holds(a, b, len(self.merge))
+            known = self.table[pair] = self.border_holds(a, b, len(self.merge))
         return known
 
     def border_holds(self, a: int, b: int, before: int) -> bool:
         """Undo the later of the two tokens' merges again and again; the parts at the border at any moment must not
         have a merge that would have come `before` the one just undone. Equal ranks go from left to right, so the
         border's merge yields to one on its left and wins over one on its right."""
-        merge, rank = self.merge, self.rank
+        merge, rank, size = self.merge, self.rank, self.size
         while True:
-            if merge.get((a, b), before) < before:
+            if merge.get(a * size + b, before) < before:
                 return False
             ra, rb = rank[a], rank[b]
             if ra > rb:
@@ -126,7 +130,7 @@ class BacktrackBpe(ByteBpe):
     """Word boundaries, special strings and distinct words of a batch as in `ByteBpe`; the words themselves
     are encoded by backtracking. At most `remember` words of up to 64 bytes are kept for later batches."""
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 150_000):
         super().__init__(path, remember)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -186,19 +190,19 @@ def _loaded(kind: type, path: str):
     return _LOADED[kind, path]
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", rows: int = 2_000) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", at_once: int = 1_000_000) -> DataFrame:
     """Token ids of every text: (id, ids array<int>), one row per input row, in one narrow pass.
 
     Whole texts are encoded as the vocabulary's library does without added special tokens, truncation or
     padding; a special string inside a text is one token. A null or empty text has no ids, a null id stays null,
     repeated rows are encoded each, other columns are left aside and an empty table gives an empty result.
-    Memory follows `rows` texts and the longest text, not the partition.
+    Memory follows `at_once` bytes of text or the longest text, not the partition.
     """
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
+            for at, rows in by_size(pc.binary_length(batch.column(1)), at_once):
                 part = batch.slice(at, rows)
                 found = _loaded(BacktrackBpe, path).encode(part.column(1).to_pylist())
                 edge = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
@@ -209,16 +213,17 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
-def decode_ids(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", rows: int = 2_000) -> DataFrame:
+def decode_ids(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", at_once: int = 250_000) -> DataFrame:
     """Texts of id sequences: (id, ids, text), special tokens spelled out, in one narrow pass.
 
-    Null sequences and null ids inside one count as absent ids; ids that the vocabulary does not have are skipped.
+    Null sequences and null ids inside one count as absent ids; ids that the vocabulary does not have are skipped. Memory
+    follows `at_once` ids or the longest sequence.
     """
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
+            for at, rows in by_size(batch.column(1).value_lengths(), at_once):
                 part = batch.slice(at, rows)
                 lists = part.column(1)
                 size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import kept
+from .common import by_size, kept
 
 LONGEST = 4  # words of the longest phrase
 OVERLAP = LONGEST - 1
@@ -87,16 +87,6 @@ def chunks_of(texts: pa.StringArray, modulus: int) -> tuple[np.ndarray, np.ndarr
     return text[first], after - first, until - after, _strings(spaced, place[first], place[until - 1] + size[until - 1] - place[first])
 
 
-def _by_bytes(texts: pa.StringArray, most: int) -> Iterator[tuple[int, int]]:
-    """(start, rows) of parts of the texts with about `most` bytes; a longer text is a part of its own."""
-    size = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)
-        yield at, end - at
-        at = end
-
-
 def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", modulus: int = 16, at_once: int = 1_500_000) -> DataFrame:
     """(lang, tail, chunk, own, freq): distinct chunks, their own and overlapping words and how often each occurs.
 
@@ -106,7 +96,7 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.string())
-            for at, rows in _by_bytes(texts, at_once):
+            for at, rows in by_size(pc.binary_length(texts), at_once):
                 text, own, tail, chunk = chunks_of(texts.slice(at, rows), modulus)
                 lang = batch.column(0).slice(at, rows).dictionary_encode()
                 chunk = chunk.dictionary_encode()

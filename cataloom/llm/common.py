@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,17 @@ def _parsed(spark: SparkSession, schema: str):
     return StructType.fromDDL(schema).fields
 
 
+def by_size(sizes: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, rows) of parts of a batch whose rows have about `most` of the given sizes together (null: 0); a larger
+    row is a part of its own."""
+    total = np.concatenate([[0], np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        yield at, end - at
+        at = end
+
+
 def salts_for(rows: int, per_salt: int = 50_000) -> int:
     """How many parts to deal a table into so that one part holds about `per_salt` rows of any key."""
     return max(1, -(-rows // per_salt))

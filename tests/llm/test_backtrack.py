@@ -80,7 +80,7 @@ def test_decoding_of_any_ids():
 def test_frames_with_odd_rows(spark):
     rows = [(1, "x y", "q"), (1, "x y", "q"), (None, None, None), (2, "", "r"), (3, "le été, 12's", None)]
     docs = spark.createDataFrame(rows, "doc_id smallint, text string, ids string")
-    out = decode_ids(encode_texts(docs, rows=2))
+    out = decode_ids(encode_texts(docs, at_once=5), at_once=3)
     found = sorted((r.doc_id or 0, list(r.ids), r.text) for r in out.collect())
     assert found == sorted((d or 0, e, t or "") for (d, t, _), e in zip(rows, expected([r[1] for r in rows])))
     assert decode_ids(encode_texts(docs.limit(0))).count() == 0
