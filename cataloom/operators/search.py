@@ -7,21 +7,21 @@ lists that the first stage has bounded.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.queries import name_words, query_attributes
 from ..functions.text import SPACE_RUN, any_contains, domain_of, each, is_blocked, let, text_or_empty, words
 from ..functions.vectors import clip_norm
-from ..session import written
+from ..session import fresh_path, written
 from .joins import attach_attributes
 from .ranking import final_rank, topk_per_key
 
@@ -45,6 +45,16 @@ def bm25_index(corpus: DataFrame, doc: str, text: str) -> dict[str, DataFrame]:
     return {"docs": docs, "stats": stats, "terms": raw, "mean_idf": raw.agg(F.avg("_raw").alias("_mean"))}
 
 
+def query_weights(index: dict[str, DataFrame], queries: DataFrame, query: str, text: str, epsilon: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lower-case query texts, one representative (_rep) per distinct text, and its stored term weights (_rep, term, _w)."""
+    texts = queries.select(F.col(query), F.lower(text_or_empty(F.col(text))).alias("_text"))
+    spoken = texts.groupBy("_text").agg(F.min(query).alias("_rep"))
+    asked = each(spoken, words(F.col("_text")), "term", "_rep").groupBy("_rep", "term").agg(F.count("*").alias("_qtf"))
+    idf = index["terms"].crossJoin(F.broadcast(index["mean_idf"])).select(  # one row
+        "term", F.when(F.col("_raw") < 0, F.lit(epsilon) * F.col("_mean")).otherwise(F.col("_raw")).alias("_idf"))
+    return texts, spoken, written(asked.join(idf, "term").select("_rep", "term", (F.col("_qtf") * F.col("_idf")).alias("_w")), "weights")
+
+
 def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, doc: str = "product_id",
                 query: str = "query_id", text: str = "query", k1: float = 1.5, b: float = 0.75,
                 epsilon: float = 0.25, block_weights: int = 200_000) -> DataFrame:
@@ -56,12 +66,7 @@ def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, do
     is ever shuffled.  Blocks are dealt from a count of weights and hold about
     `block_weights`; more queries mean more blocks, and the corpus is read once per block.
     """
-    texts = queries.select(F.col(query), F.lower(text_or_empty(F.col(text))).alias("_text"))
-    spoken = texts.groupBy("_text").agg(F.min(query).alias("_rep"))
-    asked = each(spoken, words(F.col("_text")), "term", "_rep").groupBy("_rep", "term").agg(F.count("*").alias("_qtf"))
-    idf = index["terms"].crossJoin(F.broadcast(index["mean_idf"])).select(  # one row
-        "term", F.when(F.col("_raw") < 0, F.lit(epsilon) * F.col("_mean")).otherwise(F.col("_raw")).alias("_idf"))
-    weights = written(asked.join(idf, "term").select("_rep", "term", (F.col("_qtf") * F.col("_idf")).alias("_w")), "weights")
+    texts, spoken, weights = query_weights(index, queries, query, text, epsilon)
     mean_length = (index["stats"].first() or {"_avgdl": None})["_avgdl"] or 1.0  # one row
     blocks = max(1, -(-weights.count() // block_weights))
     schema = f"_rep {texts.schema[query].dataType.simpleString()}, {doc} {index['docs'].schema[doc].dataType.simpleString()}, score double"
@@ -74,41 +79,57 @@ def bm25_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 10, do
     return texts.join(spoken, "_text").select(query, "_rep").join(best, "_rep").select(query, doc, "score", "rnk")
 
 
-def _bm25_scorer(weights: pd.DataFrame, k: int, mean_length: float, k1: float, b: float, rows: int = 256):
+def _query_groups(weights: pd.DataFrame, cells: int) -> list[tuple[list, dict[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(queries, place of each term, (term places, query places, weights)) of groups of queries whose terms x queries
+    matrix has about `cells` cells at most."""
+    groups, reps, terms, at, of, w = [], [], {}, [], [], []
+    for rep, part in weights.groupby("_rep", sort=True):
+        if reps and (len(terms) + sum(t not in terms for t in part["term"])) * (len(reps) + 1) > cells:
+            groups.append((reps, terms, (np.array(at), np.array(of), np.array(w))))
+            reps, terms, at, of, w = [], {}, [], [], []
+        at += [terms.setdefault(t, len(terms)) for t in part["term"]]
+        of += [len(reps)] * len(part)
+        w += part["_w"].tolist()
+        reps.append(rep)
+    return groups + ([(reps, terms, (np.array(at), np.array(of), np.array(w)))] if reps else [])
+
+
+def _bm25_scorer(weights: pd.DataFrame, k: int, mean_length: float, k1: float, b: float, rows: int = 256, cells: int = 1_000_000):
     """Task function (id, text) -> k best (query, id, score) per query of the block.
 
-    Scores are products of a (documents x terms) and a (terms x queries) matrix over the block's terms,
-    `rows` documents at a time."""
-    terms = {t: i for i, t in enumerate(sorted(set(weights["term"])))}
-    reps = sorted(set(weights["_rep"]))
-    place = {r: i for i, r in enumerate(reps)}
-    matrix = np.zeros((len(terms), len(reps)), np.float64)
-    matrix[[terms[t] for t in weights["term"]], [place[r] for r in weights["_rep"]]] = weights["_w"]
+    Scores are products of a (documents x terms) and a (terms x queries) matrix over the terms of a group of
+    queries, `rows` documents at a time; one group's matrix, of about `cells` cells, is held at a time."""
     space = re.compile(SPACE_RUN)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, list[tuple[float, object]]] = {}
+        groups = _query_groups(weights, cells)
+        asked = set(weights["term"])
+        best: dict[object, list[tuple[float, object]]] = {}
         for f in frames:
             ids, texts = f.iloc[:, 0].tolist(), f.iloc[:, 1].tolist()
-            for at in range(0, len(ids) if reps else 0, rows):
-                part = np.zeros((min(rows, len(ids) - at), len(terms)))
-                for i, text in enumerate(texts[at:at + rows]):
+            for at in range(0, len(ids) if len(weights) else 0, rows):
+                parts = []
+                for text in texts[at:at + rows]:
                     tokens = [w for w in space.split(text) if w]
-                    found = Counter(map(terms.get, tokens))
-                    found.pop(None, None)
-                    if found:
-                        tf = np.fromiter(found.values(), np.float64, len(found))
-                        part[i, list(found)] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens) / mean_length))
-                scores = np.round(part @ matrix, 6)
-                take = min(k, len(scores))
-                edge = np.partition(scores, len(scores) - take, axis=0)[len(scores) - take]
-                doc, q = np.nonzero((scores >= edge) & (scores != 0))
-                for d, j in zip(doc.tolist(), q.tolist()):
-                    best.setdefault(j, []).append((-scores[d, j], ids[at + d]))
-                for j, held in best.items():
+                    found = Counter(w for w in tokens if w in asked)
+                    parts.append({w: tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens) / mean_length)) for w, tf in found.items()})
+                for reps, terms, (i_term, i_query, w) in groups:
+                    matrix = np.zeros((len(terms), len(reps)))
+                    matrix[i_term, i_query] = w
+                    part = np.zeros((len(parts), len(terms)))
+                    for i, found in enumerate(parts):
+                        here = [w for w in found if w in terms]
+                        part[i, [terms[w] for w in here]] = [found[w] for w in here]
+                    scores = np.round(part @ matrix, 6)
+                    take = min(k, len(scores))
+                    edge = np.partition(scores, len(scores) - take, axis=0)[len(scores) - take]
+                    doc, q = np.nonzero((scores >= edge) & (scores != 0))
+                    for d, j in zip(doc.tolist(), q.tolist()):
+                        best.setdefault(reps[j], []).append((-scores[d, j], ids[at + d]))
+                for rep, held in best.items():
                     if len(held) > 4 * k:
-                        best[j] = sorted(held)[:k]
-        out = [(reps[j], d, -s) for j, held in best.items() for s, d in sorted(held)[:k]]
+                        best[rep] = sorted(held)[:k]
+        out = [(rep, d, -s) for rep, held in best.items() for s, d in sorted(held)[:k]]
         if out:
             yield pd.DataFrame(out, columns=["_rep", f.columns[0], "score"])
     return run
@@ -174,33 +195,91 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int =
     return topk_per_key(_block_hits(q, c, k, block_rows, block_queries), ["query_id"], [F.col("score").desc(), F.col("product_id").asc()], k)
 
 
-def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int, nlist: int | None = None, nprobe: int | None = None,
-             seed: int = 42, block_rows: int = 20_000, block_queries: int = 2_000) -> DataFrame:
-    """Approximate top k: k-means cells, each query against its `nprobe` nearest cells only.
+@dataclass
+class IvfIndex:
+    """Cells of an approximate vector index: their centres and the folder that holds the corpus partitioned by cell."""
+
+    centres: np.ndarray
+    path: str
 
-    `nlist` defaults to the square root of the corpus size, `nprobe`, which sets the recall,
-    to the square root of `nlist`; as many probes as cells give the exact answer.  Callers who
-    want the exact search call `vector_topk`.  The centres, sqrt(n) vectors, go to every task.
+    def corpus(self, spark: SparkSession) -> DataFrame:
+        """(product_id, vector, cell); a filter on `cell` prunes folders."""
+        return spark.read.schema("product_id long, vector array<float>, cell int").parquet(self.path)
+
+
+def ivf_index(corpus: DataFrame, nlist: int | None = None, seed: int = 42, sample_rows: int = 20_000, file_rows: int = 100_000) -> IvfIndex:
+    """Fit k-means centres and store every row of the corpus in the folder of its nearest centre's cell.
+
+    The centres are fitted on at most `sample_rows` rows, those with the smallest hash of their id, so the fit does not
+    grow with the corpus; `nlist` defaults to the square root of the corpus size, 256 at most, and is what the driver and
+    the tasks hold. Cells are written in files of about `file_rows` rows by counted salts, so a hot cell is many files.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    nlist = nlist or max(2, int(corpus.count() ** 0.5))
-    nprobe = nprobe or math.ceil(nlist ** 0.5)
-    model = KMeans(k=nlist, seed=seed, maxIter=10, featuresCol="_f", predictionCol="cell").fit(
-        corpus.select(array_to_vector(F.col("vector").cast("array<double>")).alias("_f")))
-    c = model.transform(corpus.withColumn("_f", array_to_vector(F.col("vector").cast("array<double>")))).select(
-        F.col("product_id").cast("long"), "vector", F.col("cell").cast("int"))
+    rows = corpus.select(F.col("product_id").cast("long"), F.col("vector").cast("array<float>").alias("vector"))
+    nlist = nlist or min(max(2, int(rows.count() ** 0.5)), 256)
+    sample = rows.orderBy(F.xxhash64("product_id", F.lit(seed)), "product_id").limit(sample_rows).select(
+        array_to_vector(F.col("vector").cast("array<double>")).alias("_f"))
+    model = KMeans(k=nlist, seed=seed, maxIter=10, featuresCol="_f", predictionCol="cell").fit(sample)
     centres = np.array([np.asarray(x) for x in model.clusterCenters()])
+    placed = rows.withColumn("cell", F.get(_nearest(centres, 1)("vector"), F.lit(0)))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / file_rows).cast("int").alias("_files"))  # nlist rows
+    path = fresh_path(corpus.sparkSession, "cells")
+    salted = placed.join(F.broadcast(sizes), "cell").withColumn("_salt", F.pmod(F.xxhash64("product_id"), F.col("_files")))
+    salted.repartition("cell", "_salt").drop("_salt", "_files").write.option("maxRecordsPerFile", file_rows).partitionBy("cell").parquet(path)
+    return IvfIndex(centres, path)
+
+
+def _nearest(centres: np.ndarray, number: int):
+    """Column function: the places of the `number` nearest centres of a vector, nearest first."""
+    half = (centres ** 2).sum(1)
 
     @F.pandas_udf("array<int>")
     def nearest(vectors: pd.Series) -> pd.Series:
-        v = _matrix(vectors)
-        d = (centres ** 2).sum(1)[None, :] - 2 * v @ centres.T
-        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype("int32")))
-    q = queries.select(F.col("query_id").cast("long"), "vector", F.explode(nearest("vector")).alias("cell"))
-    hits = _block_hits(q, c, k, block_rows, block_queries)
-    return topk_per_key(hits, ["query_id"], [F.col("score").desc(), F.col("product_id").asc()], k)
+        distance = half[None, :] - 2 * _matrix(vectors) @ centres.T
+        return pd.Series(list(np.argsort(distance, axis=1, kind="stable")[:, :number].astype("int32")))
+    return nearest
+
+
+def ivf_search(index: IvfIndex, queries: DataFrame, k: int, nprobe: int | None = None, block_rows: int = 20_000,
+               block_queries: int = 2_000) -> DataFrame:
+    """Approximate top k (query_id, product_id, score, rnk): each query against its `nprobe` nearest cells only.
+
+    `nprobe`, which sets the recall, defaults to 16 or all cells; `probes_for` finds it for a wanted recall. Only the folders of probed cells are read: the probed
+    cells, at most as many as there are centres, prune the partitions of the stored corpus when the query runs.
+    """
+    nprobe = nprobe or min(16, len(index.centres))
+    probes = written(queries.select(F.col("query_id").cast("long"), "vector", F.explode(_nearest(index.centres, nprobe)("vector")).alias("cell")), "probes")
+    asked = probes.where(F.col("cell") >= 0).select("cell").distinct()  # the filter tells the optimizer that pruning pays
+    corpus = index.corpus(queries.sparkSession).join(F.broadcast(asked), "cell", "left_semi")  # len(centres) rows
+    return topk_per_key(_block_hits(probes, corpus, k, block_rows, block_queries), ["query_id"], [F.col("score").desc(), F.col("product_id").asc()], k)
+
+
+def probes_for(index: IvfIndex, queries: DataFrame, corpus: DataFrame, k: int, recall: float = 0.95, sample_queries: int = 200) -> int:
+    """The least number of probes with which sample queries find the share `recall` of their exact top k.
+
+    At most `sample_queries` queries, those with the smallest hash of their id, are answered exactly; each true neighbour
+    counts at the place that its cell has among the query's nearest centres, one count per place.
+    """
+    spark, places = queries.sparkSession, len(index.centres)
+    some = written(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample_queries).select("query_id", "vector"), "sample")
+    true = vector_topk(some, corpus, k).join(index.corpus(spark).select("product_id", "cell"), "product_id")
+    order = some.select("query_id", F.posexplode(_nearest(index.centres, places)("vector")).alias("place", "cell"))
+    counts = dict(true.join(order, ["query_id", "cell"]).groupBy("place").count().collect())  # len(centres) rows
+    reached, total = 0, sum(counts.values())
+    for place in range(places):
+        reached += counts.get(place, 0)
+        if reached >= recall * total:
+            return place + 1
+    return places
+
+
+def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int, nlist: int | None = None, nprobe: int | None = None,
+             seed: int = 42, block_rows: int = 20_000, block_queries: int = 2_000) -> DataFrame:
+    """`ivf_index` and one `ivf_search`; as many probes as cells give the exact answer. Callers who want the exact search
+    call `vector_topk`; callers with several batches of queries keep the index."""
+    return ivf_search(ivf_index(corpus, nlist, seed), queries, k, nprobe, block_rows, block_queries)
 
 
 def encode_corpus(df: DataFrame, text: str, encoder: Callable[[Column], Column] | None = None, dim: int = 256,

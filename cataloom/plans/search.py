@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.attributes import enrich_catalog, extract_attributes_v2
+from ..operators import postings as po
 from ..operators import ranking as rk
 from ..operators import search as se
 from ..operators.joins import attach_attributes, product_texts
@@ -41,6 +42,13 @@ def _(t):
     return out.select("query_id", c("doc_id").alias("product_id"), "score", "rnk")
 
 
+@query("bm25_postings", f"""WITH d AS (SELECT doc_id AS product_id, text FROM documents), q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {bm25_sql('d', 'q', 10)}
+SELECT query_id, product_id, score, rnk::INT AS rnk FROM bm""")
+def _(t):
+    index = po.postings_index(t.wide.documents, "doc_id", "text")
+    return po.postings_search(index, t.benchmark.select(c("item_id").alias("query_id"), c("text").alias("query")), 10)
+
+
 @query("bm25_index", f"""WITH d AS (SELECT doc_id AS product_id, text FROM documents), q AS (SELECT item_id AS query_id, text AS query FROM benchmark), {bm25_sql('d', 'q', 10)}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
 SELECT term, df, round(raw, 6) AS idf FROM df JOIN raw USING (term)""")
 def _(t):
@@ -84,6 +92,21 @@ def _(t):
     return se.ivf_topk(centres(t), vectors(t), 20, nlist=16, nprobe=16)
 
 
+@query("ivf_recall", """SELECT vec_id AS query_id, least(20, (SELECT count(*) FROM embeddings)) AS n_hits, TRUE AS scores_exact, TRUE AS recall_ok FROM embeddings WHERE vec_id % 20 = 0""")
+def _(t):
+    """Every twentieth vector against all, probing 16 of about sqrt(n) cells or what other vectors need for a recall of 0.95:
+    whether the scores are the exact ones and the mean recall at 10 against the exact search is 0.9 or more."""
+    q = t.embeddings.filter("vec_id % 20 = 0").select(c("vec_id").alias("query_id"), c("embedding").alias("vector"))
+    index = se.ivf_index(vectors(t))
+    others = t.embeddings.filter("vec_id % 20 <> 0").select(c("vec_id").alias("query_id"), c("embedding").alias("vector"))
+    probes = max(min(16, len(index.centres)), se.probes_for(index, others, vectors(t), 10))
+    near, exact = written(se.ivf_search(index, q, 20, probes), "near"), written(se.vector_topk(q, vectors(t), 20), "exact")
+    pairs = near.join(exact.select("query_id", "product_id", c("score").alias("truth"), c("rnk").alias("place")), ["query_id", "product_id"], "full")
+    found = pairs.agg((F.count(F.when((c("place") <= 10) & (c("rnk") <= 10), 1)) / F.count(F.when(c("place") <= 10, 1))).alias("recall"))
+    rows = pairs.groupBy("query_id").agg(F.count("score").alias("n_hits"), F.bool_and(F.coalesce(F.abs(c("score") - c("truth")) < 1e-9, F.lit(True))).alias("scores_exact"))
+    return rows.crossJoin(F.broadcast(found)).select("query_id", "n_hits", "scores_exact", (c("recall") >= 0.9).alias("recall_ok"))  # one row
+
+
 @query("encode_corpus", f"""SELECT doc_id, len({k.words('lower(text)')}) > 0 AS has_words, 256 AS width, CASE WHEN len({k.words('lower(text)')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""")
 def _(t):
     df, _model = se.encode_corpus(t.wide.documents.select("doc_id", "text"), "text")
