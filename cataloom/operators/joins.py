@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.keywords import plain_text
-from ..functions.text import each, let, search_text, text_or_empty
+from ..functions.text import each, search_text, text_or_empty
 from ..session import written
 
 
@@ -75,26 +75,43 @@ def missing_ids(wanted: DataFrame, present: DataFrame, key: str = "product_id")
     return wanted.join(present.select(key), key, "left_anti").select(key)
 
 
-def keyword_join(docs: DataFrame, vocab: DataFrame, doc_key: str, text: str, block: int = 2_000) -> DataFrame:
+def _grams(text: Column, size: int) -> Column:
+    """Distinct pieces of `size` letters of a plain text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def keyword_candidates(texts: DataFrame, keywords: DataFrame, gram: int = 3) -> DataFrame:
+    """(_row, kw) pairs worth a test, from `texts` (_row, _t) and `keywords` (kw), both in plain text.
+
+    Each keyword is filed under the one of its `gram`-letter pieces that the fewest texts hold, a shorter one under itself,
+    and meets only the texts that hold that piece. Plain text has 37 letters, so at most 37**gram pieces are counted. Keywords
+    with a piece that no text holds are in no text.
+    """
+    sizes = [r.n for r in keywords.select(F.least(F.length("kw"), F.lit(gram)).alias("n")).distinct().collect()]  # 1 .. gram
+    pieces = F.concat(*[_grams(F.col("_t"), n) for n in sorted(sizes)]) if sizes else F.array().cast("array<string>")
+    held = each(texts, pieces, "gram", "_row")
+    common = written(held.groupBy("gram").count(), "grams")
+    own = F.when(F.length("kw") < gram, F.array("kw")).otherwise(_grams(F.col("kw"), gram))
+    filed = each(keywords, own, "gram", "kw").join(common, "gram", "left")
+    anchors = filed.groupBy("kw").agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram"),
+                                      F.min(F.coalesce("count", F.lit(0))).alias("n")).where("n > 0")
+    return held.join(anchors.select("gram", "kw"), "gram").select("_row", "kw")
+
+
+def keyword_join(docs: DataFrame, vocab: DataFrame, doc_key: str, text: str, gram: int | None = None) -> DataFrame:
     """Labels of a large vocabulary whose keyword is inside the text, best keyword first.
 
-    `vocab` has keyword and label.  Keywords are tested where the text is: each task gets the
-    distinct keywords in lists of at most `block`, counted before, and forwards only hits.
-    Texts are never shuffled or copied; a vocabulary of more keywords reads them once per list.
+    `vocab` has keyword and label. Keywords meet texts through their rarest `gram` letters (three, or five for more than
+    5,000 keywords) and are then looked for in full, so a text is tested against few keywords however large the vocabulary
+    is; the plan has one branch. Texts are written once in plain form and shuffled once, by row, to meet their candidates.
+    A null text holds nothing.
     """
     kw = written(vocab.select(F.trim(plain_text(F.col("keyword"))).alias("kw"), "label").filter(F.col("kw") != "").distinct(), "keywords")
-    plain = docs.select(doc_key, plain_text(F.col(text)).alias("_t"))
+    plain = written(docs.select(F.monotonically_increasing_id().alias("_row"), doc_key, plain_text(F.col(text)).alias("_t")), "plain")
     distinct = kw.select("kw").distinct()
-    lists = max(1, -(-distinct.count() // block))
-    found = None
-    for i in range(lists):
-        mine = distinct.filter(F.pmod(F.xxhash64("kw"), F.lit(lists)) == i).agg(F.collect_list("kw").alias("_kws"))  # one row
-        held = plain.crossJoin(F.broadcast(mine)).select(
-            doc_key, let(F.col("_t"), lambda t: F.filter("_kws", lambda k: F.contains(t, k))).alias("_hits"))
-        rows = each(held, F.col("_hits"), "kw", doc_key)
-        found = rows if found is None else found.unionByName(rows)
-    hits = found.distinct().join(kw, "kw")
-    return hits.groupBy(doc_key, "label").agg(
+    pairs = keyword_candidates(plain, distinct, gram or (3 if distinct.count() <= 5_000 else 5))
+    found = plain.join(pairs, "_row").where(F.contains("_t", "kw")).select(doc_key, "kw").distinct()
+    return found.join(kw, "kw").groupBy(doc_key, "label").agg(
         F.min_by("kw", F.struct(-F.length("kw"), F.col("kw"))).alias("keyword"), F.count("*").alias("n_keywords"))
 
 

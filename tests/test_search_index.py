@@ -122,3 +122,27 @@ def test_a_hot_cell_is_many_files(spark, tmp_path):
     folder = index.path.removeprefix("file:")
     files = {d: len([f for f in os.listdir(f"{folder}/{d}") if f.endswith(".parquet")]) for d in os.listdir(folder) if d.startswith("cell=")}
     assert max(files.values()) >= 4 and index.corpus(spark).count() == 3_000
+
+
+def test_a_large_vocabulary_meets_few_texts(spark):
+    from cataloom.operators import joins as jo
+    r = random.Random(5)
+    syllables = ["ta", "ro", "men", "li", "kor", "a", "es", "ti", "on", "ve", "sha", "u", "bri", "x", "yn"]
+    words = {"".join(r.choices(syllables, k=r.randint(1, 5))) for _ in range(300_000)}
+    words = [*sorted(words)[:99_000], *{f"{a} {b}" for a, b in zip(sorted(words)[::90], sorted(words)[7::90])}][:100_000]
+    texts = [(i, " ".join(r.choices(words, k=r.randint(0, 12))) + r.choice(["", " Solid-OAK", "!"])) for i in range(150)] + [(150, None)]
+    vocab = spark.createDataFrame([(w, f"l{i % 7}") for i, w in enumerate(words)], "keyword string, label string")
+    docs = spark.createDataFrame(texts, "d long, t string").repartition(4)
+    plain = docs.selectExpr("d AS _row", "regexp_replace(lower(t), '[^a-z0-9]+', ' ') AS _t").cache()
+    tested = jo.keyword_candidates(plain, vocab.selectExpr("keyword AS kw"), 5).count()
+    want, hits = {}, 0
+    for d, t in texts:
+        low = re.sub("[^a-z0-9]+", " ", (t or "").lower())
+        for i, w in enumerate(words):
+            if w in low:
+                hits += 1
+                want.setdefault((d, f"l{i % 7}"), []).append(w)
+    assert len(words) > 90_000 and hits < tested < 4 * hits
+    out = jo.keyword_join(docs, vocab, "d", "t")
+    assert {(x.d, x.label): (x.keyword, x.n_keywords) for x in out.collect()} == {k: (min(v, key=lambda w: (-len(w), w)), len(v)) for k, v in want.items()}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 8
