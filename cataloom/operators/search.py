@@ -301,6 +301,30 @@ def encode_corpus(df: DataFrame, text: str, encoder: Callable[[Column], Column]
     return out.drop("_tokens", "_tf", "_idf", "_unit"), model
 
 
+def hashed_words(dim: int = 64) -> Callable[[Column], Column]:
+    """Encoder without a fit: counts of a text's words by a hash of the word, as a unit vector; no words give zeros."""
+    def encode(text: Column) -> Column:
+        places = F.transform(words(F.lower(text)), lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim)
+        counts = let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(p, lambda x: x == d)).cast("double")))
+        return let(counts, lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(
+            v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))))
+    return encode
+
+
+def fuse(stages: Sequence[DataFrame], k: int = 50, offset: int = 60) -> DataFrame:
+    """(query_id, product_id, score, rnk): the k best products of several first stages by the sum of 1 / (offset + rank).
+
+    Each stage has at most its own k rows per query, so the union is bounded; a product that one stage does not list gets
+    nothing from it. Equal sums go to the smaller id.
+    """
+    rows = None
+    for s in stages:
+        part = s.select("query_id", "product_id", "rnk")
+        rows = part if rows is None else rows.unionByName(part)
+    merged = rows.groupBy("query_id", "product_id").agg(F.round(F.sum(1.0 / (F.col("rnk") + offset)), 6).alias("score"))
+    return topk_per_key(merged, ["query_id"], [F.col("score").desc(), F.col("product_id").asc()], k)
+
+
 # --- second and third stage -----------------------------------------------------------------
 def idf_overlap(candidates: DataFrame, queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     """Default pair score: idf share of the query words that the text holds (columns query, text).

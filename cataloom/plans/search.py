@@ -136,12 +136,37 @@ def enriched(t):
     return enrich_catalog(t.wide.v_products).select("product_id", "attributes.*")
 
 
-_STAGE1 = f"{with_views('v_products', 'v_queries')}, {_CQ}, {_CORPUS}, {_ENRICHED}, {bm25_sql('cp', 'cq', 50)}, hits AS (SELECT b.*, query, product_name, text FROM bm b JOIN cq USING (query_id) JOIN cp USING (product_id))"
-_STAGE2 = f"""{_STAGE1}, pw AS (SELECT query_id, product_id, unnest(list_distinct({k.words('lower(query)')})) AS term, {k.words('lower(text)')} AS ws FROM hits),
+# word vectors of queries and products, and all their products
+_DIM = 64
+
+
+def _vectors_sql(name: str, src: str, key: str, text: str) -> str:
+    return f"""{name} AS (SELECT {key}, b, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS x FROM (SELECT {key}, b, count(*)::DOUBLE AS n FROM
+   (SELECT {key}, ('0x' || substr(md5(w), 1, 4))::INT % {_DIM} AS b FROM (SELECT {key}, unnest({k.words(f'lower({text})')}) AS w FROM {src})) GROUP BY 1, 2))"""
+
+
+_VECTOR = f"""{_vectors_sql('qv', 'cq', 'query_id', 'query')}, {_vectors_sql('pv', 'cp', 'product_id', 'text')},
+ vs AS (SELECT query_id, product_id, sum(qv.x * pv.x) AS s FROM qv JOIN pv USING (b) GROUP BY 1, 2),
+ vm AS (SELECT query_id, product_id, round(coalesce(s, 0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 6) DESC, product_id) AS rnk
+   FROM (SELECT query_id, product_id FROM cq, cp) LEFT JOIN vs USING (query_id, product_id) QUALIFY rnk <= 50),
+ fu AS (SELECT query_id, product_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rnk
+   FROM (SELECT query_id, product_id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM (SELECT query_id, product_id, rnk AS r FROM bm UNION ALL SELECT query_id, product_id, rnk FROM vm) GROUP BY 1, 2) QUALIFY rnk <= 50)"""
+
+
+def _stage1(first: str, more: str = "") -> str:
+    return f"{with_views('v_products', 'v_queries')}, {_CQ}, {_CORPUS}, {_ENRICHED}, {bm25_sql('cp', 'cq', 50)}, {more}hits AS (SELECT b.*, query, product_name, text FROM {first} b JOIN cq USING (query_id) JOIN cp USING (product_id))"
+
+
+def _stage2(stage1: str) -> str:
+    return f"""{stage1}, pw AS (SELECT query_id, product_id, unnest(list_distinct({k.words('lower(query)')})) AS term, {k.words('lower(text)')} AS ws FROM hits),
  ce AS (SELECT query_id, product_id, round(coalesce(sum(CASE WHEN list_contains(ws, term) THEN greatest(raw, 0) ELSE 0 END) / nullif(sum(greatest(raw, 0)), 0), 0), 6) AS ce_score FROM pw JOIN raw USING (term) GROUP BY 1, 2),
  rr AS (SELECT hits.*, coalesce(ce_score, 0) AS ce_score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(ce_score, 0) DESC, rnk) AS ce_rank FROM hits LEFT JOIN ce USING (query_id, product_id) QUALIFY ce_rank <= 10)"""
 
 
+_STAGE1 = _stage1("bm")
+_STAGE2 = _stage2(_STAGE1)
+
+
 def _boost_sql(src: str, base: str, prev: str) -> str:
     qa = ", ".join(f"list_min(list_filter(regexp_extract_all(lower(query), '\\w+'), lambda w: w IN {k.inlist(v)})) AS q_{a}" for a, v in lx.QUERY_TERMS.items())
     hit = " + ".join(f"CASE WHEN q_{a} IS NOT NULL AND coalesce(p_{a}, '') <> '' AND contains(p_{a}, q_{a}) THEN {w}::DOUBLE ELSE 0 END" for a, w in lx.BOOST_WEIGHTS.items())
@@ -185,6 +210,37 @@ def _(t):
         "query_id", "product_id", "product_name", "ce_score", "boosted_score", "position")
 
 
+def _vector_first(t):
+    """Top 50 by word vectors: every product against every query, in blocks."""
+    encode = se.hashed_words(_DIM)
+    q = catalog_queries(t).select("query_id", encode(c("query")).alias("vector"))
+    return se.vector_topk(q, corpus(t).select("product_id", encode(c("text")).alias("vector")), 50)
+
+
+_STAGED = "SELECT query_id, product_id, product_name, ce_score, boosted_score, final_rank::INT AS position FROM b3 WHERE final_rank <= 10"
+
+
+@query("vector_first_stage", f"{_stage1('vm', _VECTOR + ', ')} SELECT query_id, product_id, score, rnk::INT AS rnk FROM vm")
+def _(t):
+    return _vector_first(t)
+
+
+@query("staged_search_vector", f"{_stage2(_stage1('vm', _VECTOR + ', '))}, {_boost_sql('rr', 'ce_score', 'ce_rank')} {_STAGED}")
+def _(t):
+    index = se.bm25_index(corpus(t), "product_id", "text")
+    return se.staged_search(catalog_queries(t), written(_vector_first(t), "vector-stage"), corpus(t), enriched(t), index).select(
+        "query_id", "product_id", "product_name", "ce_score", "boosted_score", "position")
+
+
+@query("staged_search_fused", f"{_stage2(_stage1('fu', _VECTOR + ', '))}, {_boost_sql('rr', 'ce_score', 'ce_rank')} {_STAGED}")
+def _(t):
+    index = po.postings_index(corpus(t), "product_id", "text")
+    lexical = po.postings_search(index, catalog_queries(t), 50)
+    first = written(se.fuse([lexical, _vector_first(t)]), "fused")
+    return se.staged_search(catalog_queries(t), first, corpus(t), enriched(t), index).select(
+        "query_id", "product_id", "product_name", "ce_score", "boosted_score", "position")
+
+
 @query("tiered_boost", f"""{V2_STAGES}, q AS (SELECT *, split_part(product_name, ' ', 1) AS q_color, 'velvet' AS q_material, split_part(product_class, '|', 2) AS q_category FROM v2)
 SELECT product_id, round(CASE WHEN q_color = primary_color THEN 0.3 WHEN q_color = secondary_color THEN 0.15 ELSE 0 END + CASE WHEN q_material = primary_material THEN 0.3 WHEN q_material = secondary_material THEN 0.15 ELSE 0 END
  + CASE WHEN list_contains(string_split(taxonomy_full, ' / '), q_category) THEN 0.2 ELSE 0 END, 4)::DOUBLE AS boost FROM q""")
@@ -195,15 +251,15 @@ def _(t):
     return v2.select("product_id", F.round(se.tiered_boost(v2), 4).alias("boost"))
 
 
-@query("compare_approaches", f"""{_STAGE2}, {_boost_sql('rr', 'ce_score', 'ce_rank')}, u AS (SELECT query_id, rnk, product_id, 'bm25' AS s FROM bm WHERE rnk <= 5 UNION ALL SELECT query_id, ce_rank, product_id, 'reranked' FROM rr WHERE ce_rank <= 5 UNION ALL SELECT query_id, final_rank, product_id, 'boosted' FROM b3 WHERE final_rank <= 5)
-SELECT query_id, rnk::INT AS rnk, max(product_id) FILTER (s = 'bm25') AS bm25, max(product_id) FILTER (s = 'reranked') AS reranked, max(product_id) FILTER (s = 'boosted') AS boosted FROM u GROUP BY 1, 2""")
+@query("compare_approaches", f"""{_stage2(_stage1('bm', _VECTOR + ', '))}, {_boost_sql('rr', 'ce_score', 'ce_rank')}, u AS (SELECT query_id, rnk, product_id, 'bm25' AS s FROM bm WHERE rnk <= 5 UNION ALL SELECT query_id, rnk, product_id, 'vector' FROM vm WHERE rnk <= 5 UNION ALL SELECT query_id, ce_rank, product_id, 'reranked' FROM rr WHERE ce_rank <= 5 UNION ALL SELECT query_id, final_rank, product_id, 'boosted' FROM b3 WHERE final_rank <= 5)
+SELECT query_id, rnk::INT AS rnk, max(product_id) FILTER (s = 'bm25') AS bm25, max(product_id) FILTER (s = 'vector') AS vector, max(product_id) FILTER (s = 'reranked') AS reranked, max(product_id) FILTER (s = 'boosted') AS boosted FROM u GROUP BY 1, 2""")
 def _(t):
     index, first = _first(t)
     first = written(first, "first-stage")
     hits = first.join(catalog_queries(t), "query_id").join(corpus(t), "product_id")
     ranked = written(se.rerank(hits, queries=catalog_queries(t), index=index), "reranked")
     boosted = se.attribute_boost(ranked, enriched(t), previous="ce_rank")
-    return se.compare_approaches({"bm25": first, "reranked": ranked.withColumn("rnk", c("ce_rank")), "boosted": boosted.withColumn("rnk", c("final_rank"))})
+    return se.compare_approaches({"bm25": first, "vector": _vector_first(t), "reranked": ranked.withColumn("rnk", c("ce_rank")), "boosted": boosted.withColumn("rnk", c("final_rank"))})
 
 
 # --- image candidates ---------------------------------------------------------------------------
