@@ -123,6 +123,29 @@ def parsed_safety_net(merged: DataFrame, parsed: DataFrame, fields: tuple[str, .
         F.when(take, "parsed_features").otherwise(F.col("source")).alias("source"))
 
 
+def routed_catalog(heads: DataFrame, fallback: DataFrame, fallback_taxonomy: DataFrame, parsed: DataFrame | None = None,
+                   threshold: float = 0.5) -> DataFrame:
+    """Catalog rows from predictions: (product_id, taxonomy, attributes, confidence, routed_fields, method).
+
+    `heads` is the long form of `predict_with_confidence`. Weak fields and taxonomies are routed and take the answers of
+    `fallback` (product_id, field, fb_val) and `fallback_taxonomy` (product_id, fb_taxonomy) where there are any, assembly and shape
+    those of `parsed`; the confidence is that of the least sure field that has a value, and `method` tells who answered.
+    """
+    routed = fields_to_route(heads, threshold)
+    merged = merge_fallback(heads, fallback, threshold)
+    if parsed is not None:
+        merged = parsed_safety_net(merged, parsed)
+    fields = merged.groupBy("product_id").agg(  # one row per head
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "val")))).alias("_fields"),
+        F.min(F.when(F.col("val").isNotNull(), F.col("confidence"))).alias("confidence"),
+        F.bool_or(F.col("source") == "pending_vlm").alias("_pending"))
+    asked = F.size("routed_fields") > 0
+    return routed.join(merge_taxonomy(routed, fallback_taxonomy).select("product_id", F.col("taxonomy").alias("_path")), "product_id").join(
+        fields, "product_id", "left").select(
+            "product_id", F.col("_path").alias("taxonomy"), decode_attributes(F.col("_fields")).alias("attributes"), "confidence", "routed_fields",
+            F.when(~asked, "classifier").when(F.col("_pending"), "pending").otherwise("fallback").alias("method"))
+
+
 def unavailable_fallback(tiers: DataFrame, answers: DataFrame) -> DataFrame:
     """Tier-3 rows without a fallback answer keep the classifier result with confidence 0.5."""
     j = tiers.join(answers, "product_id", "left")

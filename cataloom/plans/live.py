@@ -9,6 +9,7 @@ from ..functions.attributes import extract_attributes_v2
 from ..functions.text import classifier_text
 from ..operators import extend as ex
 from ..operators import learn as le
+from ..operators import routing as ro
 from ..operators import sampling as sa
 from ..session import fresh_path, written
 from ..sources import readers as rd
@@ -218,6 +219,71 @@ def _(t):
     return held_out_report(train, test, le.train_class_model(train, levels, "class_type"), {**{f: f for f in _LEVELS}, "product_class": "class_type"})
 
 
+# predictions on texts that decide the label, value by value
+_DECIDED = f"{with_views('v_decided')}, held AS (SELECT * FROM v_decided WHERE held_out)"
+
+
+def decided(t):
+    """Training rows with their path, and the held-out rows."""
+    rows = written(t.v_decided.withColumn("taxonomy", F.array("level_1", "level_2")), "decided")
+    return rows.filter(~c("held_out")), rows.filter("held_out")
+
+
+def _decided_sql(fields: dict[str, str], where: str = "NOT blank") -> str:
+    rows = " UNION ALL ".join(f"SELECT product_id, '{f}' AS field, {e} AS val FROM held WHERE {where}" for f, e in fields.items())
+    return f"{_DECIDED} SELECT product_id, field, val, FALSE AS needs_vlm FROM ({rows})"
+
+
+def _shown(df, *fields: str):
+    return df.filter(c("field").isin(*fields)).select("product_id", "field", "val", "needs_vlm")
+
+
+@query("predict_attributes", _decided_sql({"style": "style", "primary_material": "primary_material"}))
+def _(t):
+    train, held = decided(t)
+    models = le.train_attribute_models(train, ["style", "primary_material"])
+    return _shown(le.predict_with_confidence(held.filter("NOT blank"), models), "style", "primary_material")
+
+
+@query("predict_taxonomy", _decided_sql({"level_1": "level_1", "level_2": "level_2"}))
+def _(t):
+    train, held = decided(t)
+    return _shown(le.predict_with_confidence(held.filter("NOT blank"), le.train_taxonomy_models(train, 2)), "level_1", "level_2")
+
+
+@query("predict_class", _decided_sql({"product_class": "class_type"}))
+def _(t):
+    train, held = decided(t)
+    models = le.train_class_model(train, le.train_taxonomy_models(train, 2), "class_type")
+    return _shown(le.predict_with_confidence(held.filter("NOT blank"), models), "product_class")
+
+
+@query("predict_with_confidence", f"""{_DECIDED} SELECT product_id, field, CASE WHEN NOT blank THEN val END AS val, blank AS needs_vlm FROM
+ (SELECT product_id, blank, 'style' AS field, style AS val FROM held UNION ALL SELECT product_id, blank, 'primary_material', primary_material FROM held)""")
+def _(t):
+    # a product without text is predicted from the intercepts alone, which no label dominates, and must be routed
+    train, held = decided(t)
+    out = le.predict_with_confidence(held, le.train_attribute_models(train, ["style", "primary_material"]))
+    return out.select("product_id", "field", F.when(~c("needs_vlm"), c("val")).alias("val"), "needs_vlm")
+
+
+@query("predict_to_catalog", f"""{_DECIDED} SELECT product_id, CASE WHEN blank THEN 'Asked' ELSE concat(level_1, '>', level_2) END AS taxonomy,
+ CASE WHEN blank THEN 'style=asked' ELSE concat('material=', primary_material, '|style=', style) END AS attributes,
+ CASE WHEN blank THEN 'primary_material|style|taxonomy' ELSE '' END AS routed_fields, CASE WHEN blank THEN 'pending' ELSE 'classifier' END AS method FROM held""")
+def _(t):
+    """From text to catalog row: two kinds of heads, routing of weak fields, a fallback that knows the style and the taxonomy."""
+    train, held = decided(t)
+    features = le.text_features(train, "text_input")
+    attributes = le.train_attribute_models(train, ["primary_material", "style"], features=features)
+    levels = le.train_taxonomy_models(train, 2, features=features)
+    heads = written(le.predict_with_confidence(held, le.TextModels(features, {**levels.heads, **attributes.heads})), "heads")
+    answers = held.select("product_id", F.lit("style").alias("field"), F.lit("asked").alias("fb_val"))
+    out = ro.routed_catalog(heads, answers, held.select("product_id", F.array(F.lit("Asked")).alias("fb_taxonomy")))
+    shown = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("product_id", F.array_join("taxonomy", ">").alias("taxonomy"), F.array_join(shown, "|").alias("attributes"),
+                      F.array_join("routed_fields", "|").alias("routed_fields"), "method")
+
+
 def _plain_extract(_model, row):
     if row["product_id"] % 50 == 7:
         raise ValueError("unreadable")

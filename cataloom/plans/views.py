@@ -131,6 +131,19 @@ SELECT p_partkey AS product_id,
          ELSE 'not json' END AS fenced
 FROM part""")
 
+# Products whose text decides every label; each eleventh is held out, and a fifth of these has no text.
+_add("v_decided", ["part"], """
+SELECT product_id, held_out, CASE WHEN NOT blank THEN concat_ws(' ', p_name, CASE s WHEN 0 THEN 'sleek minimal' WHEN 1 THEN 'reclaimed barn' ELSE 'mirrored gilded' END,
+         CASE m WHEN 0 THEN 'oak' WHEN 1 THEN 'steel' WHEN 2 THEN 'velvet' ELSE 'tempered' END,
+         CASE l WHEN 0 THEN 'with cushioned seat' WHEN 1 THEN 'hanging on a wall' ELSE 'with bulb and shade' END) END AS text_input,
+       blank, CASE s WHEN 0 THEN 'modern' WHEN 1 THEN 'rustic' ELSE 'glam' END AS style,
+       CASE WHEN NOT held_out AND product_id % 7 = 0 THEN NULL ELSE CASE m WHEN 0 THEN 'wood' WHEN 1 THEN 'metal' WHEN 2 THEN 'fabric' ELSE 'glass' END END AS primary_material,
+       CASE l WHEN 0 THEN 'Furniture' WHEN 1 THEN 'Decor' ELSE 'Lighting' END AS level_1,
+       concat(CASE l WHEN 0 THEN 'Seating' WHEN 1 THEN 'Wall Art' ELSE 'Lamps' END, CASE m WHEN 0 THEN ' of Wood' ELSE '' END) AS level_2,
+       concat(CASE l WHEN 0 THEN 'Chair' WHEN 1 THEN 'Frame' ELSE 'Lamp' END, CASE s WHEN 1 THEN ' Classic' ELSE '' END) AS class_type
+FROM (SELECT p_partkey AS product_id, p_name, p_partkey % 3 AS s, p_partkey % 4 AS m, CAST(floor(p_partkey / 7) AS BIGINT) % 3 AS l, p_partkey % 11 = 0 AS held_out,
+        p_partkey % 11 = 0 AND CAST(floor(p_partkey / 11) AS BIGINT) % 5 = 0 AS blank FROM part) d""")
+
 # Image candidates per product: every page is a candidate of two products, dealt over all of them.
 _add("v_candidates", ["part", "pages"], """
 SELECT p_partkey AS product_id, c.page_id AS position, p_name AS product_name,
