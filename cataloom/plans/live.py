@@ -88,6 +88,22 @@ def _(t):
     return st.drain(st.streak_alerts(log, "worker", "event_id", "failed", 4), "alerts")
 
 
+@query("streak_alerts_timed", """WITH f AS (SELECT user_id % 10 AS worker, event_id, ts, event_type IN ('error', 'view', 'click') AS failed FROM events
+   WHERE date_trunc('hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'),
+ g AS (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY worker ORDER BY ts, event_id) AS island FROM f),
+ p AS (SELECT *, sum(failed::INT) OVER (PARTITION BY worker, island ORDER BY ts, event_id) AS pos FROM g WHERE failed)
+SELECT worker::BIGINT AS worker, event_id::BIGINT AS event_id, 4::BIGINT AS streak FROM p WHERE pos % 4 = 0""")
+def _(t):
+    # four arrivals, each the events of a span of time; the job stops after each and goes on from its checkpoint
+    log = t.events.select((c("user_id") % 10).cast("long").alias("worker"), c("event_id").cast("long").alias("event_id"),
+                          c("event_type").isin("error", "view", "click").alias("failed"), c("ts").cast("timestamp").alias("ts"))
+    low, high = log.agg(F.min("ts"), F.max("ts")).first() or (None, None)
+    edges = [low + (high - low) * i / 4 for i in range(1, 4)] if low else []
+    bounds = zip([F.lit(None), *map(F.lit, edges)], [*map(F.lit, edges), F.lit(None)])
+    steps = [log.filter((a.isNull() | (c("ts") >= a)) & (b.isNull() | (c("ts") < b))) for a, b in bounds]
+    return st.drain_steps(t.spark, steps, lambda s: st.timed_streak_alerts(s, "worker", "event_id", "failed", "ts", 4, idle="60 days"), "streaks")
+
+
 # --- sources and sinks ------------------------------------------------------------------------
 @query("read_catalog", f"{PRODUCTS} SELECT * FROM v_products")
 def _(t):
