@@ -8,7 +8,9 @@ from .. import lexicon as lx
 from ..operators import evaluate as ev
 from ..operators import joins as jo
 from ..operators import ranking as rk
+from ..operators import sketches as sk
 from ..operators import upkeep as up
+from ..session import fresh_path
 from . import sqlkit as k
 from .registry import query
 from .views import with_views
@@ -265,6 +267,33 @@ def _(t):
     return up.latency_report(p)
 
 
+@query("daily_sketches", """SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, TRUE AS p50_ok, TRUE AS p95_ok, TRUE AS users_ok, TRUE AS returning_ok FROM events GROUP BY 1""")
+def _(t):
+    """Sketches stored per day, merged over all days and over two halves, against exact counts: whether the quantiles, the
+    distinct users and those that came back lie within the errors that the sketches state."""
+    path = fresh_path(t.spark, "sketches")
+    log = t.events.select("event_type", c("value"), c("user_id"), c("ts").cast("timestamp").alias("ts"))
+    sk.store_days(log, path, "ts", ["event_type"], "value", "user_id")
+    days = sk.stored_days(t.spark, path)
+    span = days.agg(F.min("day"), F.max("day")).first()
+    half = span[0] + (span[1] - span[0]) / 2 if span[0] else None
+    whole = sk.merge_days(days, ["event_type"]).select("event_type", "n", sk.quantile(0.5).alias("p50"), sk.quantile(0.95).alias("p95"), sk.members().alias("users"))
+    first, last = (sk.merge_days(d, ["event_type"]).select("event_type", c("theta").alias(f"theta_{i}")) for i, d in enumerate(
+        (days.where(c("day") <= F.lit(half)), days.where(c("day") > F.lit(half)))))
+    both = first.join(last, "event_type", "full").select("event_type", F.coalesce(sk.shared_members("theta_0", "theta_1"), F.lit(0)).alias("back"))
+    facts = log.join(whole.select("event_type", "p50", "p95"), "event_type").groupBy("event_type").agg(
+        F.countDistinct("user_id").alias("true_users"), *[F.avg((c("value") < c(p)).cast("double")).alias(f"{p}_low") for p in ("p50", "p95")],
+        *[F.avg((c("value") <= c(p)).cast("double")).alias(f"{p}_high") for p in ("p50", "p95")])
+    halves = log.groupBy("event_type", "user_id").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")).groupBy("event_type").agg(
+        F.count(F.when((c("a") <= F.lit(half)) & (c("b") > F.lit(half)), 1)).alias("true_back"))
+    e = sk.rank_error()
+    inside = lambda p, q: c(f"{p}_low").between(0, q + e) & c(f"{p}_high").between(q - e, 1)
+    j = whole.join(facts, "event_type").join(both, "event_type").join(halves, "event_type")
+    return j.select("event_type", "n", c("true_users").alias("users"), inside("p50", 0.5).alias("p50_ok"), inside("p95", 0.95).alias("p95_ok"),
+                    (F.abs(c("users") - c("true_users")) <= sk.distinct_error() * c("true_users") + 0.5).alias("users_ok"),
+                    (F.abs(c("back") - c("true_back")) <= sk.set_error() * c("true_users") + 0.5).alias("returning_ok"))
+
+
 @query("manifest_summary", f"""{with_views('v_manifest')}, tt AS (SELECT count(*) AS total, count(*) FILTER (image_count > 0) AS w, count(*) FILTER (status IN ('no_results', 'no_good_images', 'download_failed')) AS wo,
    count(*) FILTER (status IN ('no_results', 'no_good_images')) AS nr, count(*) FILTER (status = 'download_failed') AS df, sum(image_count)::BIGINT AS ti FROM v_manifest)
 SELECT 'count' AS section, unnest(['total', 'with_images', 'without_images', 'no_results', 'download_failed', 'total_images']) AS item, unnest([total, w, wo, nr, df, ti]) AS n, NULL::DOUBLE AS value FROM tt
