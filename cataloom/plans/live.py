@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
@@ -11,6 +13,7 @@ from ..operators import extend as ex
 from ..operators import learn as le
 from ..operators import routing as ro
 from ..operators import sampling as sa
+from ..operators.cache import PredictionCache, cached_extraction
 from ..session import fresh_path, written
 from ..sources import readers as rd
 from ..sources import writers as wr
@@ -318,6 +321,20 @@ def _(t):
     return out.select("product_id", c("prediction.style").alias("style"), "error", "cached")
 
 
+@query("cached_extraction", f"""{PRODUCTS} SELECT product_id, CASE WHEN product_id % 50 <> 7 AND contains(coalesce(product_description, ''), 'steel') THEN 'modern' END AS style,
+ CASE WHEN product_id % 50 = 7 THEN 'ValueError: unreadable' END AS error, product_id % 3 = 0 AND product_id % 50 <> 7 AS cached, product_id % 50 <> 7 AS kept FROM v_products""")
+def _(t):
+    """A third of the catalog is predicted first, then all of it; afterwards only the unreadable products are missing."""
+    name = f"predictions_{uuid.uuid4().hex}"
+    cache = PredictionCache(t.spark, name, fresh_path(t.spark, name), f"struct<{', '.join(f'{a}: string' for a in lx.SCHEMA1)}>", 16)
+    catalog = t.wide.v_products.select("product_id", "product_name", "product_description", "product_class")
+    extractor = ex.PythonExtractor("plain", lambda: None, _plain_extract)
+    cached_extraction(catalog.filter("product_id % 3 = 0"), extractor, cache)
+    out = cached_extraction(catalog, extractor, cache)
+    missing = cache.missing(catalog.select("product_id")).withColumn("_missing", F.lit(True))
+    return out.join(missing, "product_id", "left").select("product_id", c("prediction.style").alias("style"), "error", "cached", c("_missing").isNull().alias("kept"))
+
+
 @query("rule_extraction", f"{PRODUCTS}, x AS (SELECT *, lower(concat_ws(' ', product_name, product_description, product_class)) AS t FROM v_products), v AS ({v1_sql('t', 'x')}) SELECT product_id, style, replace(room_type, '|', ', ') AS room_type, 'rule-based' AS model FROM v")
 def _(t):
     out = ex.run_extraction(t.wide.v_products, ex.RuleExtractor())
