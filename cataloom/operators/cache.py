@@ -18,10 +18,10 @@ def bucketed_table(spark: SparkSession, name: str, path: str, schema: str, key:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
 
 
-def append_bucketed(df: DataFrame, name: str, key: str, buckets: int, overwrite: bool = False) -> None:
+def append_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
     """Add rows, one task and one file per bucket; a bucket of a hot key is a large file, which is written as a stream."""
     spark = df.sparkSession
-    df.select(*spark.table(name).columns).repartition(buckets, key).write.insertInto(name, overwrite=overwrite)
+    df.select(*spark.table(name).columns).repartition(buckets, key).write.insertInto(name)
 
 
 def latest_rows(stored: DataFrame, key: str, order: str) -> DataFrame:
@@ -61,7 +61,7 @@ class PredictionCache:
         append_bucketed(good.withColumn("batch", F.lit((last or 0) + 1).cast("long")), self.name, self.KEY, self.buckets)
 
     def clear(self) -> None:
-        append_bucketed(self.spark.table(self.name).limit(0), self.name, self.KEY, self.buckets, overwrite=True)
+        self.spark.createDataFrame([], self.spark.table(self.name).schema).write.insertInto(self.name, overwrite=True)
 
 
 def cached_extraction(products: DataFrame, extractor: Extractor, cache: PredictionCache) -> DataFrame:
