@@ -15,6 +15,7 @@ from ..operators import routing as ro
 from ..operators import sampling as sa
 from ..operators.cache import PredictionCache, cached_extraction
 from ..session import fresh_path, written
+from ..sources import heads as hd
 from ..sources import readers as rd
 from ..sources import writers as wr
 from ..streaming import streams as st
@@ -163,11 +164,21 @@ def _(t):
     return rd.read_manifest(t.spark, f"{path}/part=*").select("product_id", "image_count", "status", "source_domain")
 
 
-@query("read_images_validated", """SELECT page_id, octet_length(encode(html)) + 8 BETWEEN 3000 AND 15000000 AND page_id % 5 < 4 AS valid FROM pages""")
+_HEADS = ["FFD8FFE000000000", "89504E470D0A1A0A", "5249464600000000", "4749463839610000", "0000000000000000"]
+
+
+@query("read_images_validated", """SELECT page_id, octet_length(encode(html)) + 8 BETWEEN 3000 AND 15000000 AND page_id % 5 < 4 AS valid,
+ CASE WHEN octet_length(encode(html)) + 8 BETWEEN 3000 AND 15000000 THEN 12 ELSE 0 END::BIGINT AS bytes_read FROM pages""")
 def _(t):
-    heads = F.lit(["FFD8FFE000000000", "89504E470D0A1A0A", "5249464600000000", "4749463839610000", "0000000000000000"])
-    content = F.concat(F.unhex(F.get(heads, (c("page_id") % 5).cast("int"))), F.encode("html", "UTF-8"))
-    return t.wide.pages.select("page_id", content.alias("content")).select("page_id", rd.is_image(c("content"), F.length("content").cast("long")).alias("valid"))
+    """Every page as an object with the head of an image or of nothing, written to the shared folder and read back by its head."""
+    content = F.concat(F.unhex(F.get(F.lit(_HEADS), (c("page_id") % 5).cast("int"))), F.encode("html", "UTF-8"))
+    folder = fresh_path(t.spark, "objects")
+    pages = t.wide.pages.select("page_id", F.concat(c("page_id"), F.lit(".img")).alias("name"), content.alias("content"))
+    written(hd.write_objects(pages, folder, "name", "content"), "objects")
+    heads = hd.read_object_heads(t.spark, folder, lx.IMAGE_BYTES)
+    found = heads.select(F.regexp_extract("path", r"(\d+)\.img$", 1).cast("long").alias("page_id"), "bytes_read", rd.is_image(c("head"), c("length")).alias("_image"))
+    return t.pages.select("page_id").join(found, "page_id", "left").select(
+        "page_id", F.coalesce("_image", F.lit(False)).alias("valid"), F.coalesce("bytes_read", F.lit(0)).cast("long").alias("bytes_read"))
 
 
 @query("write_vocab", f"{_VOCAB} SELECT kind, value, n, idx FROM vocab")

@@ -13,6 +13,8 @@ from ..operators import filters as fi
 from ..operators import ranking as rk
 from ..operators import routing as ro
 from ..operators import upkeep as up
+from ..session import fresh_path
+from ..sources.readers import read_embeddings
 from . import sqlkit as k
 from .catalog import flat
 from .features import PROCESSED_SQL, PRODUCTS, RICH, V2_STAGES, rich_products
@@ -82,9 +84,9 @@ def _(t):
 
 @query("read_embeddings", "SELECT vec_id, round(list_sum(list_transform(CASE WHEN label = 3 THEN list_resize([0.0::DOUBLE], 64, 0.0::DOUBLE) ELSE embedding::DOUBLE[] END, lambda x: abs(x))), 4) AS l1 FROM embeddings")
 def _(t):
-    from ..sources.readers import fill_missing_vectors
-    some = t.embeddings.withColumn("embedding", F.when(c("label") != 3, c("embedding")))
-    filled = fill_missing_vectors(some, "embedding", 64)
+    path = fresh_path(t.spark, "embeddings")
+    t.embeddings.withColumn("embedding", F.when(c("label") != 3, c("embedding"))).write.parquet(path)
+    filled = read_embeddings(t.spark, path, 64)
     return filled.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))), 4).alias("l1"))
 
 
