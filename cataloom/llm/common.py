@@ -8,21 +8,44 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import fresh_path
 
 
+_MADE: list[str] = []  # tables written by `kept` in this driver
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write a result once to the folder that all executors share and read it back: the lineage ends
-    there, so that a lost executor costs one task and not the whole chain."""
+    there, so that a lost executor costs one task and not the whole chain. `forget_since` removes such tables."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _MADE.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def made_so_far() -> int:
+    return len(_MADE)
+
+
+def forget_since(spark: SparkSession, mark: int, *spare: DataFrame) -> None:
+    """Remove the tables that `kept` wrote after `mark` (`made_so_far`) but for the spared ones. Call it when what was
+    computed from them is stored itself."""
+    held = {df.kept_path for df in spare}
+    gone = [p for p in _MADE[mark:] if p not in held]
+    for p in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(p)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _MADE[mark:] = [p for p in _MADE[mark:] if p in held]
 
 
 def map_batches(df: DataFrame, fn: Callable[[list[list]], list[list]], columns: list[str], schema: str, rows: int = 2_000) -> DataFrame:
     """Apply `fn` to lists of column values, at most `rows` rows at a time; it returns the output columns as lists."""
-    out = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in _parsed(df.sparkSession, schema)])
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -34,15 +57,6 @@ def map_batches(df: DataFrame, fn: Callable[[list[list]], list[list]], columns:
     return df.select(*columns).mapInArrow(run, schema)
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(),
-          "boolean": pa.bool_(), "float": pa.float32()}
-
-
-def _parsed(spark: SparkSession, schema: str):
-    from pyspark.sql.types import StructType
-    return StructType.fromDDL(schema).fields
-
-
 def by_size(sizes: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """(start, rows) of parts of a batch whose rows have about `most` of the given sizes together (null: 0); a larger
     row is a part of its own."""

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import forget_since, kept, made_so_far
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -14,10 +14,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round hooks neighbours to the smallest one they know (large star), then collapses chains (small star),
     as joins and minima over the edge table: no group, component or edge list is collected anywhere, and each
-    round is written to the shared folder. A hot centre is a skewed join between two stored tables, which
+    round is written to the shared folder and removed when the next one is. A hot centre is a skewed join between two stored tables, which
     adaptive execution splits.
     """
     step = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    begun = made_so_far()
     step, mark = kept(step, "edges"), None
     for _ in range(rounds):
         both = step.union(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,6 +27,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = kept(large.groupBy("u").agg(F.min("v").alias("low")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").union(low.select("u", "low")).distinct()
         step = kept(small, "edges")
+        forget_since(step.sparkSession, begun, step)
         now = tuple(step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == mark:
             return step.select(F.col("u").alias("node"), F.col("v").alias("component")).union(step.select("v", "v").distinct())
