@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .anchors import mixed, range_hashes
-from .common import kept
+from .common import forget_since, kept, made_so_far
 
 BUCKETS = 1 << 20  # of the rarity table, whatever the corpus: 4 MB
 _LAST = 2**63 - 1
@@ -312,7 +312,7 @@ def fetch_lines(places: DataFrame, texts: DataFrame) -> DataFrame:
                         column.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in out[:3]), pa.array(out[3], pa.binary())], names=["doc", "twin", "line", "words"])
 
-    wanted = places.groupBy("doc", "twin").agg(F.collect_set("line").alias("wanted"))
+    wanted = kept(places.groupBy("doc", "twin").agg(F.collect_set("line").alias("wanted")), "wanted")  # its size is known: few places are sent to the texts
     return packed_texts(texts).join(wanted, ["doc", "twin"]).select("doc", "twin", "text", "wanted").dropDuplicates(["doc", "twin"]).mapInArrow(run, PLACE + ", words binary")
 
 
@@ -353,8 +353,10 @@ def remaining(unsettled: DataFrame, texts: DataFrame, table: np.ndarray, share:
                      for v in (s["token"][s["start"][own] + at], s["bits"][own], doc[s["text"][own]], twin[s["text"][own]], s["line"][own], s["size"][own], at)],
                     names=[k for k, _ in ROW])
 
-    everybody = texts.mapInArrow(rows, ", ".join(f"{k} bigint" for k, _ in ROW))
-    ours = kept(everybody.join(unsettled, ["doc", "twin", "line"], "left_semi"), "unsettled_rows")
+    columns = ", ".join(f"{k} bigint" for k, _ in ROW)
+    theirs = texts.join(unsettled.select("doc", "twin").distinct(), ["doc", "twin"], "left_semi")  # only the texts that hold an open line
+    ours = kept(theirs.mapInArrow(rows, columns).join(unsettled, ["doc", "twin", "line"], "left_semi"), "unsettled_rows")
+    everybody = texts.mapInArrow(rows, columns)
     a, b = everybody.alias("a"), ours.alias("b")
     need = F.ceil(F.lit(share / (1 + share)) * (F.col("a.size") + F.col("b.size")) - 1e-9)
     before = F.struct("a.doc", "a.twin", "a.line") < F.struct("b.doc", "b.twin", "b.line")
@@ -365,6 +367,7 @@ def remaining(unsettled: DataFrame, texts: DataFrame, table: np.ndarray, share:
 
 def repeated_lines(texts: DataFrame, share: float = 0.8, buckets: int | None = None) -> DataFrame:
     """(doc, twin, line) of every line to remove: one whose token set has similarity `share` or more with that of an earlier line."""
+    begun = made_so_far()
     buckets = buckets or max(1, 4 * texts.rdd.getNumPartitions())
     table = rarity_table(texts, "text")
     packed = prefixes(texts, table, share, buckets)
@@ -378,7 +381,9 @@ def repeated_lines(texts: DataFrame, share: float = 0.8, buckets: int | None = N
     out = at_once.union(gone)
     if not open_.isEmpty():
         out = out.union(verified(kept(remaining(open_, texts, table, share), "more_pairs"), texts, share))
-    return kept(out.distinct(), "repeated_lines")
+    done = kept(out.distinct(), "repeated_lines")
+    forget_since(texts.sparkSession, begun, done)
+    return done
 
 
 def dedup_lines(docs: DataFrame, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
