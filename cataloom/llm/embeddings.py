@@ -51,9 +51,27 @@ class Codebook:
         return home, codes, np.sqrt(((rest - again) ** 2).sum(1))
 
     def tables(self, q: np.ndarray, home: int) -> list[np.ndarray]:
-        """Per subspace, squared distances of each query's residual in a list to every codeword."""
+        """Per subspace, squared distances of each query's residual in a list to every codeword, in single precision."""
         rest = q - self.coarse[home]
-        return [((rest[:, None, a:b] - w[None]) ** 2).sum(2) for a, b, w in zip(self.edges, self.edges[1:], self.words)]
+        return [(((rest[:, a:b] ** 2).sum(1)[:, None] - 2 * rest[:, a:b] @ w.T) + (w * w).sum(1)[None]).astype(np.float32)
+                for a, b, w in zip(self.edges, self.edges[1:], self.words)]
+
+    def visits(self, x: np.ndarray, radius: float, near: int = 8) -> list[list[int]]:
+        """Lists of each vector that may hold a partner within `radius`.
+
+        A partner in the list of centre c is no farther from c than from any other centre o, so the vector lies within the
+        radius of the half-space nearer to c: (d(x, c)^2 - d(x, o)^2) / (2 d(c, o)) <= radius, asked for its `near` nearest centres.
+        """
+        square = np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ self.coarse.T + (self.coarse ** 2).sum(1)[None])
+        between = np.sqrt(np.maximum(0, (self.coarse ** 2).sum(1)[:, None] - 2 * self.coarse @ self.coarse.T + (self.coarse ** 2).sum(1)[None]))
+        reach = np.full(square.shape, -np.inf)
+        order = np.argsort(square, axis=1)[:, :near]
+        for k in range(order.shape[1]):
+            apart = between[order[:, k]]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bound = (square - np.take_along_axis(square, order[:, k:k + 1], 1)) / (2 * apart)
+            reach = np.maximum(reach, np.where(apart > 1e-9, bound, -np.inf))
+        return [np.flatnonzero(r <= radius).tolist() for r in reach]
 
 
 def _unit(frame_vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -73,21 +91,24 @@ def vectors(table: DataFrame, id_col: str, vec_col: str, label_col: str) -> Data
     return table.where(usable).groupBy(F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec")).agg(F.min(id_col).alias("least"), F.count("*").alias("copies"))
 
 
-def near_vectors(table: DataFrame, share: float = 0.98, train_rows: int = 20_000, per_list: int = 1_024, parts: int = 16, most: int = 2_048,
+def near_vectors(table: DataFrame, share: float = 0.98, train_rows: int = 20_000, per_list: int | None = None, parts: int = 16, most: int = 2_048, books: int = 16,
                  id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links between vectors of the same label with cosine `share` or more: (id, n_links, component_id, kept), one row per input row.
 
     Equal vectors collapse first. Coarse centres and codewords are learned on at most about `train_rows` distinct vectors,
-    chosen by hash; there are as many lists as the largest label has times `per_list` vectors, at most train_rows / 40. Every vector is indexed. Probes are sufficient:
-    a vector visits every list whose centre is at most twice the link radius farther than its own one, outside of which
-    no partner can lie; a coded partner passes if its table distance is within the radius plus its own coding error,
-    which the true distance cannot undercut; what passes is compared exactly in double precision. So no link is lost
-    but by rounding. A list with more than `most` vectors is dealt into parts, and all visitors see every part. A task
-    sends counts and one link per vector and part, never the pairs.
-
-    Vectors that are null, empty, zero or hold null or non-finite components, null labels and vectors of another length link
-    with nothing: they are their own component. A null id is counted in its partners' links but is no candidate for
-    the smallest id. Repeated rows are each returned; other columns are left aside; an empty table gives an empty result.
+    chosen by hash, for each of the `books` most frequent widths; there are as many lists as the square root of the largest
+    label's vectors (or one for each `per_list`), at most train_rows / 40. Every vector is indexed; vectors of other widths make one list of each
+    label and width. Probes are sufficient: a vector visits every list on whose side of the bisectors between the centres
+    a partner within the link radius can lie; a coded partner passes if its table distance, in single precision with room
+    for its rounding, is within the radius plus its own coding error, which the true distance cannot undercut; what passes
+    is compared exactly in double precision. So no link is lost but by rounding. A list with more than `most` vectors
+    is dealt into parts, and all visitors see every part. A task sends counts and one link per vector and part, never
+    the pairs.
+
+    Vectors that are null, empty, zero or hold null or non-finite components and those with a null label link with nothing:
+    they are their own component; vectors link within one length only. A null id is counted in its partners' links but is
+    no candidate for the smallest id. Repeated rows are each returned; other columns are left aside; an empty table gives
+    an empty result.
     """
     spark = table.sparkSession
     rows = table.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
@@ -101,40 +122,40 @@ def near_vectors(table: DataFrame, share: float = 0.98, train_rows: int = 20_000
     sample = distinct.where(F.pmod(F.xxhash64("vec", F.lit(9)), F.lit(1 << 30)) < F.lit(int(min(1.0, train_rows / number) * (1 << 30)))).select("vec").toPandas()
     if not len(sample):
         sample = distinct.select("vec").limit(train_rows).toPandas()
-    width = sample["vec"].map(len).mode()[0]
-    x, _ = _unit([v for v in sample["vec"] if len(v) == width])
-    lists = max(1, min(sizes["most"] // per_list, train_rows // 40))
-    book = spark.sparkContext.broadcast(Codebook(x, lists, parts))  # size bound by train_rows and the width
+    lists = max(1, min(sizes["most"] // per_list if per_list else int(sizes["most"] ** 0.5), train_rows // 40))
+    widths = sample["vec"].map(len)
+    shelf = {int(w): Codebook(_unit(sample["vec"][widths == w])[0], max(1, min(lists, int((widths == w).sum()) // 8)), parts) for w in widths.value_counts().index[:books]}
+    shelf = spark.sparkContext.broadcast(shelf)  # size bound by train_rows, the widths and `books`
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f = f[f["vec"].map(len) == width]
-            if not len(f):
-                continue
-            x, _ = _unit(f["vec"])
-            home, codes, error = book.value.encode(x)
-            gap = np.sqrt(np.maximum(0, 2 + 0 * home[:, None] - 2 * x @ book.value.coarse.T + ((book.value.coarse ** 2).sum(1) - 1)[None, :]))
-            own = gap[np.arange(len(x)), home]
-            visits = [np.flatnonzero(g <= o + 2 * radius).tolist() for g, o in zip(gap, own)]
-            yield pd.DataFrame({"node": f["node"], "label": f["label"], "copies": f["copies"], "home": home, "error": error, "codes": [c.tobytes() for c in codes],
-                                "unit": [v.tobytes() for v in x], "visits": visits, "away": own})
+            for width, f in f.groupby(f["vec"].map(len)):
+                x, _ = _unit(f["vec"])
+                book = shelf.value.get(int(width))
+                if book is None:
+                    home, codes, error, visits = np.zeros(len(x), int), np.zeros((len(x), 0), np.uint8), np.zeros(len(x)), [[0]] * len(x)
+                else:
+                    home, codes, error = book.encode(x)
+                    visits = [v for at in range(0, len(x), 1_024) for v in book.visits(x[at:at + 1_024], radius)]
+                yield pd.DataFrame({"node": f["node"], "label": f["label"], "width": int(width), "copies": f["copies"], "home": home, "error": error,
+                                    "codes": [c.tobytes() for c in codes], "unit": [v.tobytes() for v in x], "visits": visits})
 
     indexed = kept(distinct.select("node", "label", "copies", "vec").mapInPandas(
-        index, f"node bigint, label {rows.schema['label'].dataType.simpleString()}, copies bigint, home int, error double, codes binary, unit binary, visits array<int>, away double"), "indexed")
-    sizes = indexed.groupBy("label", "home").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    items = indexed.join(sizes, ["label", "home"]).select(
-        "label", F.col("home").alias("list"), F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "node", "copies", "error", "codes", "unit")
-    visitors = (indexed.select("label", "node", "copies", "unit", F.explode("visits").alias("list"))
-                .join(sizes.withColumnRenamed("home", "list"), ["label", "list"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-                .select("label", "list", "part", F.lit(1).alias("role"), "node", "copies", F.lit(0.0).alias("error"), F.lit(None).cast("binary").alias("codes"), "unit"))
+        index, f"node bigint, label {rows.schema['label'].dataType.simpleString()}, width int, copies bigint, home int, error double, codes binary, unit binary, visits array<int>"), "indexed")
+    sizes = indexed.groupBy("label", "width", "home").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    items = indexed.join(sizes, ["label", "width", "home"]).select(
+        "label", "width", F.col("home").alias("list"), F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "node", "copies", "error", "codes", "unit")
+    visitors = (indexed.select("label", "width", "node", "copies", "unit", F.explode("visits").alias("list"))
+                .join(sizes.withColumnRenamed("home", "list"), ["label", "width", "list"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+                .select("label", "width", "list", "part", F.lit(1).alias("role"), "node", "copies", F.lit(0.0).alias("error"), F.lit(None).cast("binary").alias("codes"), "unit"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
         state: dict = {}
 
-        def open_block(f: pd.DataFrame, home: int) -> None:
-            state.update(node=f["node"].to_numpy(), copies=f["copies"].to_numpy(), unit=np.frombuffer(b"".join(f["unit"]), np.float64).reshape(len(f), -1), home=home,
-                         codes=np.frombuffer(b"".join(f["codes"]), np.uint8).reshape(len(f), -1), reach=(radius + f["error"].to_numpy()) ** 2)
+        def open_block(f: pd.DataFrame, width: int, home: int) -> None:
+            state.update(book=shelf.value.get(width), node=f["node"].to_numpy(), copies=f["copies"].to_numpy(), unit=np.frombuffer(b"".join(f["unit"]), np.float64).reshape(len(f), -1), home=home,
+                         codes=np.frombuffer(b"".join(f["codes"]), np.uint8).reshape(len(f), -1), reach=((radius + f["error"].to_numpy()) ** 2 + 1e-5).astype(np.float32))
             state["label"], state["names"] = np.arange(len(f)), state["node"]
 
         def visit(f: pd.DataFrame) -> pd.DataFrame | None:
@@ -146,11 +167,13 @@ def near_vectors(table: DataFrame, share: float = 0.98, train_rows: int = 20_000
             own = np.array([place.get(n, len(state["node"]) + i) for i, n in enumerate(nodes.tolist())])
             for at in range(0, len(f), 256):
                 part = q[at:at + 256]
-                table = book.value.tables(part, state["home"])
-                distance = np.zeros((len(part), len(state["node"])))
-                for i, t in enumerate(table):
-                    distance += t[:, state["codes"][:, i]]
-                i, j = np.nonzero(distance <= state["reach"][None, :] + 1e-9)
+                if state["book"] is None:
+                    i, j = np.nonzero(part @ state["unit"].T >= share - 1e-9)
+                else:
+                    distance = np.zeros((len(part), len(state["node"])), np.float32)
+                    for i, t in enumerate(state["book"].tables(part, state["home"])):
+                        distance += t[:, state["codes"][:, i]]
+                    i, j = np.nonzero(distance <= state["reach"][None, :])
                 real = (np.einsum("ij,ij->i", part[i], state["unit"][j]) >= share) & (nodes[at + i] != state["node"][j])
                 i, j = i[real], j[real]
                 np.add.at(links, at + i, state["copies"][j])
@@ -162,7 +185,7 @@ def near_vectors(table: DataFrame, share: float = 0.98, train_rows: int = 20_000
                                  "links": np.concatenate([links[hit], np.zeros(len(to), np.int64)])})
 
         for f in frames:
-            for key, g in f.groupby(["label", "list", "part"], sort=False):
+            for key, g in f.groupby(["label", "width", "list", "part"], sort=False):
                 if key != now:
                     now, held = key, []
                     state.clear()
@@ -172,11 +195,11 @@ def near_vectors(table: DataFrame, share: float = 0.98, train_rows: int = 20_000
                 guests = g[g["role"] == 1]
                 if len(guests):
                     if not state and held:  # items come first
-                        open_block(pd.concat(held), int(key[1]))
+                        open_block(pd.concat(held), int(key[1]), int(key[2]))
                     if state:
                         yield visit(guests)
 
-    found = kept(items.unionByName(visitors).repartition("label", "list", "part").sortWithinPartitions("label", "list", "part", "role")
+    found = kept(items.unionByName(visitors).repartition("label", "width", "list", "part").sortWithinPartitions("label", "width", "list", "part", "role")
                  .mapInPandas(run, "node bigint, other bigint, links bigint"), "found")
     counted = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     grouped = components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
