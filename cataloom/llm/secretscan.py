@@ -55,16 +55,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]], encoding, most: float) -> list[tuple[int, int, int]]:
-    """Runs with letters and digits that cost a token per `most` characters or fewer, outside base spans and known forms."""
+def random_spans(text: str, base: list[tuple[int, int, int]], encoding, most: float, one_case: float) -> list[tuple[int, int, int]]:
+    """Runs with letters that cost a token per `most` characters or fewer (per `one_case`, if all letters but the first are
+    of one case and no digit stands among them), outside base spans and known forms."""
     out = []
     for m in _RUN.finditer(text):
         run = m[0]
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or known_form(run):
+        if not any(c.isalpha() for c in run) or known_form(run):
             continue
         if any(s < m.end() and m.start() < e for s, _, e in base):
             continue
-        if len(run) <= most * len(encoding.encode_ordinary(run)):
+        rest = run[1:]
+        varied = any(c.isdigit() for c in run) or (rest != rest.lower() and rest != rest.upper())
+        if len(run) <= (most if varied else one_case) * len(encoding.encode_ordinary(run)):
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -73,12 +76,12 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan_secrets(docs: DataFrame, path: str | None = None, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, path: str | None = None, most: float = 2.0, one_case: float = 1.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Secrets of every whole text: (id, n_assign, n_access, n_hex, base_sha256, spans, n_random), one row per input row.
 
-    Base matches are always reported; a run of 20 or more of `A-Za-z0-9+/_=-` with letters and digits is added as
-    `random` if a token of the vocabulary covers `most` characters or fewer on average, unless it is a digest, a
-    UUID or an identifier, or overlaps a base match. Spans are code points, end exclusive. A null or empty text has
+    Base matches are always reported; a run of 20 or more of `A-Za-z0-9+/_=-` with a letter is added as `random` if a token of
+    the vocabulary covers `most` characters or fewer on average, unless it is a digest, a UUID or an identifier, or overlaps a base
+    match. Runs without digits whose letters after the first are all of one case, as in long words, need `one_case`. Spans are code points, end exclusive. A null or empty text has
     no spans (empty string; the digest is that of the empty string); null ids stay null, repeated rows are scanned
     each, other columns are left aside, an empty table gives an empty result. One narrow pass, no shuffle.
     """
@@ -91,7 +94,7 @@ def scan_secrets(docs: DataFrame, path: str | None = None, most: float = 2.0, id
         for text in texts:
             text = text or ""
             base = base_spans(text)
-            added = random_spans(text, base, encoding, most)
+            added = random_spans(text, base, encoding, most, one_case)
             kinds = [k for _, k, _ in base]
             for column, value in zip(out[1:], (kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(),
                                                joined(sorted(base + added)), len(added))):
