@@ -53,6 +53,16 @@ def joined_hashes(text: Column, doublings: int) -> Column:
     return F.zip_with(*pairs, lambda t, p: F.when(t == p, F.array(t)).otherwise(F.array(t, p)))
 
 
+def windows_with_slots(text: Column, doublings: int) -> Column:
+    """For each window of a text its place (at), `hashes` as in `joined_hashes`, and the words that its placeholders stand for."""
+    width = 1 << doublings
+
+    def spread(pairs: Column) -> Column:
+        return F.transform(joined_hashes(text, doublings), lambda h, i: F.struct(i.alias("at"), h.alias("hashes"), F.transform(
+            F.filter(F.slice(pairs, i + 1, width), lambda x: x["t"].isin(NAME, NUMBER, UNIT)), lambda x: x["p"]).alias("slots")))
+    return let(F.arrays_zip(words(template(text)).alias("t"), words(F.lower(text)).alias("p")), spread)
+
+
 def benchmark_windows(benchmark: DataFrame, doublings: int, id_col: str, text_col: str, literal: bool = False) -> DataFrame:
     """(hash, item, item_at, windows, typed, plain, by_template, item_slots): windows of which at least half of the tokens are words, by
     template, `typed` of them in an item; and the literal tokens of the others (`literal`: of all). `plain` tells that a hash
@@ -87,21 +97,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doublings: int = 3, leas
     White space of any kind and length counts as one space.
     `share` is the part of the item's windows found; `reparameterised` tells whether a slot value differs.
     Benchmark windows are sent to all tasks if they are counted to be `broadcast_rows` or fewer (about 100 bytes each);
-    more are joined by shuffle. Windows are made and joined inside one stage there: only matches are shuffled.
+    more are joined by shuffle, and then each window of a document is a row with its place, hash and slot values, not the text.
+    With a broadcast, windows are made and joined inside one stage: only matches are shuffled.
     Null and empty texts, items of fewer tokens than a window, null ids on either side: texts without windows match
     nothing, null ids are carried along as they are. Repeated rows are reported each, repeated items too. Other columns are left
     aside; empty tables give an empty result.
     """
     width = 1 << doublings
     wanted = kept(benchmark_windows(benchmark, doublings, item_col, item_text, literal), "benchmark_windows")
-    if wanted.count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
+    small = wanted.count() <= broadcast_rows
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), spaced(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    # outer: an inner explode would first test the array's size, and so make it twice
-    found = rows.select("id", "row", "text", F.posexplode_outer(joined_hashes(F.col("text"), doublings)).alias("at", "hashes")).select("id", "row", "text", "at", F.explode("hashes").alias("hash")).join(wanted, "hash")
-    slots = F.when(F.size("item_slots") > 0, F.slice(words(F.lower("text")), F.col("at") + 1, width))
-    marked = F.when(F.size("item_slots") > 0, F.slice(words(template(F.col("text"))), F.col("at") + 1, width))
-    doc_slots = F.transform(F.filter(F.arrays_zip(marked.alias("t"), slots.alias("p")), lambda x: x["t"].isin(NAME, NUMBER, UNIT)), lambda x: x["p"])
+    if small:
+        # outer: an inner explode would first test the array's size, and so make it twice
+        found = rows.select("id", "row", "text", F.posexplode_outer(joined_hashes(F.col("text"), doublings)).alias("at", "hashes")).select(
+            "id", "row", "text", "at", F.explode("hashes").alias("hash")).join(F.broadcast(wanted), "hash")
+        slots = F.when(F.size("item_slots") > 0, F.slice(words(F.lower("text")), F.col("at") + 1, width))
+        marked = F.when(F.size("item_slots") > 0, F.slice(words(template(F.col("text"))), F.col("at") + 1, width))
+        doc_slots = F.transform(F.filter(F.arrays_zip(marked.alias("t"), slots.alias("p")), lambda x: x["t"].isin(NAME, NUMBER, UNIT)), lambda x: x["p"])
+    else:  # windows are shuffled: each takes its own slot values along, never the text
+        found = rows.select("id", "row", F.explode_outer(windows_with_slots(F.col("text"), doublings)).alias("w")).select(
+            "id", "row", "w.at", "w.slots", F.explode("w.hashes").alias("hash")).join(wanted, "hash")
+        doc_slots = F.when(F.size("item_slots") > 0, F.col("slots"))
     pairs = F.coalesce(F.arrays_zip(F.col("item_slots").alias("b"), doc_slots.alias("d")), F.array().cast("array<struct<b:string,d:string>>"))
     group = ["id", "row", "item", "windows", "typed"]
     aligned = (found.select(*group, (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "plain", "by_template", pairs.alias("pairs"))

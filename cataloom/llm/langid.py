@@ -14,7 +14,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches
@@ -89,18 +89,24 @@ def fold(column) -> F.Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(docs: DataFrame, sample_rows: int = 3_000, buckets: int = 2_048, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Classifiers from labelled rows outside the held-out fold. At most about `sample_rows` rows are used, dealt evenly
-    over the languages by a hash of text; the sample's features, and nothing that grows with the table, reach the driver."""
+def train(docs: DataFrame, sample_rows: int = 3_000, buckets: int = 2_048, most_languages: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
+    """Classifiers from labelled rows outside the held-out fold. At most `sample_rows` different texts are used (one of each
+    language at least), dealt evenly over the languages by a hash of text, so that a text in any share of all rows
+    counts once; the `most_languages` most frequent labels are learned. The sample's features, and nothing that grows with
+    the table, reach the driver."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         (fold(F.col(id_col)) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(lang_col) != ""))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in found.orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()}
     languages = sorted(counts)
     if not languages:
         return {"languages": [], "weights": None, "codes": None, "buckets": buckets}
     each = max(1, sample_rows // len(languages))
-    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, each / counts[k]))])
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, 1.5 * each / max(counts[k], 1)))])
+    order = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    picked = rows.where(F.col("lang").isin(languages)).where(order / float(1 << 30) < share[F.col("lang")]).withColumn("order", order)
+    picked = picked.dropDuplicates(["lang", "text"])  # copies leave one row per task before they are shuffled
+    picked = picked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))).where(F.col("place") <= each)
 
     def features(frames):
         for f in frames:
