@@ -155,8 +155,8 @@ def test_pipeline(spark, corpus):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
-    assert set(ORACLES) == {"op1_warc_index"} and corpus_pipeline.ORACLE_SQL is None
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
+    assert set(ORACLES) == {"op1_warc_index", "op13_collocations"} and corpus_pipeline.ORACLE_SQL is None
 
 
 HEAVY = ["Compute 3 * 4 + 5 * 6 - 7 * 8 and give the result.", "A train goes 60 km in 2 h, then 90 km in 3 h, then 120 km in 5 h. Find its speed.",
