@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm.common import kept
-from cataloom.llm.copies import near_copies
+from cataloom.llm.common import forget_since, kept, made_so_far
+from cataloom.llm.copies import one_of_each
 from cataloom.llm.decontaminate import contaminated
 from cataloom.llm.langid import keep_identified, train
 from cataloom.llm.lines import dedup_lines
@@ -26,14 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) one row stays: the one with the
-    smallest id. Rows are told by their place, so null and repeated ids are rows like any other; null ids come last."""
-    rows = kept(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_copies(rows.select("__row", "text"), id_col="__row").join(rows.select("__row", "doc_id"), "__row")
-    found = kept(found.select("component", F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "node", "__row").alias("place")), "copies")
-    stays = found.groupBy("component").agg(F.min("place").alias("place")).select("place.__row")
-    gone = kept(found.select("place.__row").join(stays, "__row", "left_anti"), "gone")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the row with the smallest id stays."""
+    return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +48,10 @@ ORACLE_SQL = None  # hashes, classifiers and token ids are beyond SQL; tests com
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each stored before the next one reads it."""
+    """All stages over the documents table, each stored before the next one reads it; what a stage needed on its way is removed."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        begun = made_so_far()
         docs = kept(stage(spark, docs, sf_dir), name)
+        forget_since(spark, begun, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
