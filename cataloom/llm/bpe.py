@@ -306,13 +306,13 @@ class ByteBpe:
             done.extend(self._batch(batch, ids))
         return done, plan
 
-    def encode(self, texts: list[str | None], at_once: int = 2_500_000) -> list[bytes]:
+    def encode(self, texts: list[str | None], at_once: int = 1_000_000) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers; a null text is an empty one. About `at_once`
         characters are worked on together; a longer text is one batch."""
         done, plan = self._run(texts, True, at_once)
         return [done[s[0]] if len(s) == 1 else b"".join(done[x] if isinstance(x, int) else x for x in s) for s in plan]
 
-    def count(self, texts: list[str | None], at_once: int = 2_500_000) -> list[int]:
+    def count(self, texts: list[str | None], at_once: int = 1_000_000) -> list[int]:
         """Number of ids of each text."""
         done, plan = self._run(texts, False, at_once)
         return [int(sum(done[x] if isinstance(x, int) else 1 for x in s)) for s in plan]
