@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..functions.text import hash_long, hash_uniform
+from ..session import written
 from .joins import product_texts, relevance_pairs
 from .ranking import hash_order, shuffled_rank
 
@@ -49,9 +50,9 @@ def sample_negatives(labels: DataFrame, products: DataFrame, seed: int = 42) ->
 
     Negatives are numbered per query and positives draw a number, so no query is collected.
     """
-    known = labels.join(products.select("product_id"), "product_id", "left_semi")
-    negatives = shuffled_rank(known.filter(F.col("label") == "Irrelevant").select("query_id", "product_id"),
-                              ["query_id"], seed, ["query_id", "product_id"], "_i", "_n")
+    known = written(labels.join(products.select("product_id"), "product_id", "left_semi").select("query_id", "product_id", "label"), "known")
+    negatives = written(shuffled_rank(known.filter(F.col("label") == "Irrelevant").select("query_id", "product_id"),
+                                      ["query_id"], seed, ["query_id", "product_id"], "_i", "_n"), "negatives")
     sizes = negatives.groupBy("query_id").agg(F.max("_n").alias("_n"))
     positives = known.filter(F.col("label").isin("Exact", "Partial")).select("query_id", "product_id").join(sizes, "query_id")
     drawn = positives.withColumn("_i", F.pmod(hash_long(seed, "neg", F.concat_ws(
