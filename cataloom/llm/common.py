@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,24 @@ from pyspark.sql.types import StructType
 from ..session import fresh_path
 
 
+def release() -> None:
+    """Give memory that this Python worker no longer uses back to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def releasing(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task function `fn`, giving its memory back when the task ends."""
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+    return run
+
+
 _MADE: list[str] = []  # tables written by `kept` in this driver
 
 
@@ -54,7 +73,7 @@ def map_batches(df: DataFrame, fn: Callable[[list[list]], list[list]], columns:
                 values = fn([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, out.types)], schema=out)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(releasing(run), schema)
 
 
 def by_size(sizes: pa.Array, most: int) -> Iterator[tuple[int, int]]:

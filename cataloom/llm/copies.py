@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget_since, kept, made_so_far
+from .common import forget_since, kept, made_so_far, releasing
 from .graph import components
 from .lines import prefix_length
 from .simhash import near_links
@@ -84,7 +84,7 @@ def marked_texts(docs: DataFrame, words: int, share: float, id_col: str, text_co
                                                   pa.array(signs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "node", "size", "fp", "sign", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, node bigint, size bigint, fp bigint, sign array<bigint>, keys array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(releasing(run), f"`{id_col}` {kind}, node bigint, size bigint, fp bigint, sign array<bigint>, keys array<bigint>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
@@ -104,9 +104,9 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, share: float) -> Dat
                 ok.append(both >= share * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    packed = kept(texts.mapInArrow(pack, "node bigint, text binary"), "copy_texts")
+    packed = kept(texts.mapInArrow(releasing(pack), "node bigint, text binary"), "copy_texts")
     joined = pairs.join(packed.toDF("b", "b_text"), "b").join(packed.toDF("a", "a_text"), "a").select("a", "b", "a_text", "b_text")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return joined.mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def near_copies(docs: DataFrame, words: int = 5, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:

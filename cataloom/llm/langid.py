@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, releasing
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -114,7 +114,7 @@ def train(docs: DataFrame, sample_rows: int = 3_000, buckets: int = 2_048, most_
                    if has_letter(text) for part in snippets(text) if has_letter(part)]
             yield pd.DataFrame(out, columns=["lang", "x"])
 
-    sample = picked.select("lang", "text").mapInPandas(features, "lang string, x binary").toPandas()
+    sample = picked.select("lang", "text").mapInPandas(releasing(features), "lang string, x binary").toPandas()
     sample = sample.sort_values(["lang", "x"])  # the same weights whatever the order of arrival
     codes = codewords(len(languages))
     if not len(sample):
@@ -167,4 +167,4 @@ def keep_identified(docs: DataFrame, model: dict, text_col: str = "text") -> Dat
                 yield part.filter(pa.array([x != "und" and not u for x, u in zip(lang, unsure)], pa.bool_()))
 
     place = docs.columns.index(text_col)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

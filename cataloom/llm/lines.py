@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .anchors import mixed, range_hashes
-from .common import forget_since, kept, made_so_far
+from .common import forget_since, kept, made_so_far, releasing
 
 BUCKETS = 1 << 20  # of the rarity table, whatever the corpus: 4 MB
 _LAST = 2**63 - 1
@@ -37,7 +37,7 @@ def packed_texts(texts: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress(t.encode()) for t in b.column(2).to_pylist()], pa.binary())],
                                              names=["doc", "twin", "text"])
-    return texts.mapInArrow(run, "doc bigint, twin bigint, text binary")
+    return texts.mapInArrow(releasing(run), "doc bigint, twin bigint, text binary")
 
 
 def chunks(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -88,7 +88,7 @@ def rarity_table(docs: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes() for v in sums.values()], pa.binary())],
                                          names=["part", "data"])
 
-    rows = docs.select(text_col).mapInArrow(count, "part int, data binary").repartition("part").mapInArrow(add, "part int, data binary").collect()
+    rows = docs.select(text_col).mapInArrow(releasing(count), "part int, data binary").repartition("part").mapInArrow(releasing(add), "part int, data binary").collect()
     table = np.zeros((parts, width), np.uint32)
     for r in rows:  # 64 rows of 64 KB
         table[r["part"]] = np.frombuffer(r["data"], np.uint32)
@@ -193,7 +193,7 @@ def prefixes(texts: DataFrame, table: np.ndarray, share: float, buckets: int, fl
         if held:
             yield out()
 
-    return texts.mapInArrow(run, "bucket int, rows bigint, data binary")
+    return texts.mapInArrow(releasing(run), "bucket int, rows bigint, data binary")
 
 
 def may_match(r: dict, i: np.ndarray, j: np.ndarray, share: float) -> np.ndarray:
@@ -296,7 +296,7 @@ def candidates(packed: DataFrame, share: float, buckets: int, small: int = 512,
         if held:
             yield close()
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(releasing(run), ", ".join(f"{n} bigint" for n in names))
 
 
 def fetch_lines(places: DataFrame, texts: DataFrame) -> DataFrame:
@@ -313,7 +313,7 @@ def fetch_lines(places: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in out[:3]), pa.array(out[3], pa.binary())], names=["doc", "twin", "line", "words"])
 
     wanted = kept(places.groupBy("doc", "twin").agg(F.collect_set("line").alias("wanted")), "wanted")  # its size is known: few places are sent to the texts
-    return packed_texts(texts).join(wanted, ["doc", "twin"]).select("doc", "twin", "text", "wanted").dropDuplicates(["doc", "twin"]).mapInArrow(run, PLACE + ", words binary")
+    return packed_texts(texts).join(wanted, ["doc", "twin"]).select("doc", "twin", "text", "wanted").dropDuplicates(["doc", "twin"]).mapInArrow(releasing(run), PLACE + ", words binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
@@ -336,7 +336,7 @@ def verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
                 ok.append(both >= share * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:3]], names=["doc", "twin", "line"])
 
-    return joined.mapInArrow(run, PLACE).distinct()
+    return joined.mapInArrow(releasing(run), PLACE).distinct()
 
 
 def remaining(unsettled: DataFrame, texts: DataFrame, table: np.ndarray, share: float) -> DataFrame:
@@ -355,8 +355,8 @@ def remaining(unsettled: DataFrame, texts: DataFrame, table: np.ndarray, share:
 
     columns = ", ".join(f"{k} bigint" for k, _ in ROW)
     theirs = texts.join(unsettled.select("doc", "twin").distinct(), ["doc", "twin"], "left_semi")  # only the texts that hold an open line
-    ours = kept(theirs.mapInArrow(rows, columns).join(unsettled, ["doc", "twin", "line"], "left_semi"), "unsettled_rows")
-    everybody = texts.mapInArrow(rows, columns)
+    ours = kept(theirs.mapInArrow(releasing(rows), columns).join(unsettled, ["doc", "twin", "line"], "left_semi"), "unsettled_rows")
+    everybody = texts.mapInArrow(releasing(rows), columns)
     a, b = everybody.alias("a"), ours.alias("b")
     need = F.ceil(F.lit(share / (1 + share)) * (F.col("a.size") + F.col("b.size")) - 1e-9)
     before = F.struct("a.doc", "a.twin", "a.line") < F.struct("b.doc", "b.twin", "b.line")
@@ -420,9 +420,9 @@ def dedup_lines(docs: DataFrame, share: float = 0.8, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), part.column(2)],
                                                  names=["text", "n_lines", "n_removed", "__rest"])
 
-    packed = placed.mapInArrow(pack, StructType.fromDDL(PLACED).add("text", "binary").add(rest))
+    packed = placed.mapInArrow(releasing(pack), StructType.fromDDL(PLACED).add("text", "binary").add(rest))
     joined = packed.join(gone, ["doc", "twin"], "left").select("text", "gone", "__rest")
-    done = joined.mapInArrow(clean, StructType().add("text", "string").add("n_lines", "long").add("n_removed", "long").add(rest))
+    done = joined.mapInArrow(releasing(clean), StructType().add("text", "string").add("n_lines", "long").add("n_removed", "long").add(rest))
     void = F.col("__rest.__void")
     columns = [F.when(~void, F.col("text")).alias(c) if c == text_col else F.col("__rest")[c].alias(c) for c in docs.columns]
     return done.select(*columns, F.when(void, 0).otherwise(F.col("n_lines")).alias("n_lines"), "n_removed")

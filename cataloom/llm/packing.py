@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe
-from .common import kept, map_batches, rank_within
+from .common import kept, map_batches, rank_within, releasing
 from .tokens import vocabulary
 
 
@@ -162,6 +162,6 @@ def pack(docs: DataFrame, path: str | None = None, room: int = 2048, width: int
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, slot bigint"
-    placed = ranked.mapInPandas(place, schema)
+    placed = ranked.mapInPandas(releasing(place), schema)
     ahead = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).drop("slot")

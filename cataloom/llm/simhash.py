@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, map_batches
+from .common import kept, map_batches, releasing
 from .graph import components, join_labels
 
 _ALL = np.uint64(2**64 - 1)
@@ -152,7 +152,7 @@ def near_links(prints: DataFrame, radius: int = 3, most: int = 4_096) -> DataFra
         if rows:
             yield links(pd.concat(held, ignore_index=True))
 
-    return (dealt.repartition("key", "p1", "p2").sortWithinPartitions("key", "p1", "p2").mapInPandas(run, "a bigint, b bigint").distinct())
+    return (dealt.repartition("key", "p1", "p2").sortWithinPartitions("key", "p1", "p2").mapInPandas(releasing(run), "a bigint, b bigint").distinct())
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
