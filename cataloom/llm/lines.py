@@ -222,7 +222,7 @@ def _folded(r: dict, i: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def candidates(packed: DataFrame, share: float, buckets: int, small: int = 512, first: int = 16) -> DataFrame:
+def candidates(packed: DataFrame, share: float, buckets: int, small: int = 128, first: int = 16) -> DataFrame:
     """(b_*, a_*, more): lines settled before, with no a, and later lines with earlier lines that pass the filters. In a token group of more than `small` rows a
     line stops after its `first` earliest ones and is marked, for `remaining` to go on with it if none of them matches."""
     def pairs(r: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
