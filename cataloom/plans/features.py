@@ -263,8 +263,12 @@ RICH = with_views("v_products", "v_named") + f""", rich AS (
 
 
 def rich_products(t):
-    """Catalog with colour-carrying names, taxonomy text and depth."""
-    named = t.wide.v_named.select("product_id", "product_name")
+    """Catalog with colour-carrying names, taxonomy text and depth.
+
+    Both sides are as long as the catalog. Their files are small beside their rows, so the join is
+    told to sort and merge; by file size Spark would send all names through the driver.
+    """
+    named = t.wide.v_named.select("product_id", "product_name").hint("merge")
     path = F.col("taxonomy")
     return t.wide.v_products.drop("product_name").join(named, "product_id").withColumn(
         "taxonomy", fe.parse_hierarchy(F.col("category_hierarchy"))).withColumns({

@@ -155,6 +155,13 @@ def test_no_python_udf_and_no_cartesian(spark, name):
     assert "CartesianProduct" not in physical
 
 
+@pytest.mark.parametrize("name", ["sort_by_score", "attribute_words", "extract_attributes_v2", "image_query", "tiered_boost", "style_of"])
+def test_the_catalog_is_never_sent_through_the_driver(spark, name):
+    """Its columns compress so well that the file size of a small catalog would let Spark broadcast all names."""
+    load_all()
+    assert "Broadcast" not in plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")).split("== Physical Plan ==")[1]
+
+
 @pytest.mark.parametrize("name", ["bm25_search", "staged_search"])
 def test_documents_are_scored_where_they_lie(spark, name):
     """Blocks of documents meet blocks of query weights in a map over batches; no Python per row, no product of rows."""
