@@ -140,7 +140,7 @@ def coverage_by_class(df: DataFrame, targets: list[str] = lx.COVERAGE_TARGETS, n
     """Percent of products per class that have each target key, for the n largest classes."""
     feats = _features(df)
     picked = chosen_keys(feats.select("k").distinct(), targets, exact_first=False)
-    having = feats.join(picked, feats.k == picked.key).groupBy("product_class", "target").agg(F.count("*").alias("h"))
+    having = feats.join(F.broadcast(picked), feats.k == picked.key).groupBy("product_class", "target").agg(F.count("*").alias("h"))  # one row per target
     wide = having.groupBy("product_class").pivot("target", list(targets)).agg(F.first("h"))
     sizes = df.filter(F.col("product_class").isNotNull()).groupBy("product_class").agg(F.count("*").alias("n"))
     largest = sizes.orderBy(F.col("n").desc(), "product_class").limit(n)

@@ -1,5 +1,7 @@
 """Exactness under skew, and plan shapes that must hold on large tables."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -162,6 +164,13 @@ def test_the_catalog_is_never_sent_through_the_driver(spark, name):
     assert "Broadcast" not in plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")).split("== Physical Plan ==")[1]
 
 
+def test_chosen_keys_meet_the_features_where_they_lie(spark):
+    """The side that is broadcast holds the chosen keys, not the features of all products."""
+    load_all()
+    logical = plan_of(QUERIES["coverage_by_class"](spark, "/root/testdata/sf0.001")).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert re.search(r"Join Inner, \(k#\d+ = key#\d+\), rightHint=\(strategy=broadcast\)", logical)
+
+
 @pytest.mark.parametrize("name", ["bm25_search", "staged_search"])
 def test_documents_are_scored_where_they_lie(spark, name):
     """Blocks of documents meet blocks of query weights in a map over batches; no Python per row, no product of rows."""
