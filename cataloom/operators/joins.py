@@ -118,7 +118,7 @@ def keyword_join(docs: DataFrame, vocab: DataFrame, doc_key: str, text: str, gra
 def attach_attributes(hits: DataFrame, catalog: DataFrame, columns: Sequence[str] = tuple(lx.BOOST_WEIGHTS)) -> DataFrame:
     """Product attributes (p_*) per hit; products without attributes stay with nulls."""
     side = catalog.select("product_id", *[F.col(c).alias(f"p_{c}") for c in columns])
-    return hits.join(side, "product_id", "left")
+    return hits.join(side.hint("merge"), "product_id", "left")  # both as long as the catalog or longer
 
 
 def attach_descriptions(df: DataFrame, descriptions: DataFrame) -> DataFrame:

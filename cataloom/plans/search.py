@@ -183,7 +183,7 @@ def _first(t):
 
 def _hits(t):
     index, first = _first(t)
-    return index, first.join(catalog_queries(t), "query_id").join(corpus(t), "product_id")
+    return index, first.join(catalog_queries(t).hint("merge"), "query_id").join(corpus(t).hint("merge"), "product_id")
 
 
 @query("rerank", f"{_STAGE2} SELECT query_id, product_id, ce_score, ce_rank::INT AS ce_rank, rnk::INT AS rnk FROM rr")
@@ -256,7 +256,7 @@ SELECT query_id, rnk::INT AS rnk, max(product_id) FILTER (s = 'bm25') AS bm25, m
 def _(t):
     index, first = _first(t)
     first = written(first, "first-stage")
-    hits = first.join(catalog_queries(t), "query_id").join(corpus(t), "product_id")
+    hits = first.join(catalog_queries(t).hint("merge"), "query_id").join(corpus(t).hint("merge"), "product_id")
     ranked = written(se.rerank(hits, queries=catalog_queries(t), index=index), "reranked")
     boosted = se.attribute_boost(ranked, enriched(t), previous="ce_rank")
     return se.compare_approaches({"bm25": first, "vector": _vector_first(t), "reranked": ranked.withColumn("rnk", c("ce_rank")), "boosted": boosted.withColumn("rnk", c("final_rank"))})

@@ -179,6 +179,12 @@ def test_the_catalog_is_never_sent_through_the_driver(spark, name):
     assert "Broadcast" not in plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")).split("== Physical Plan ==")[1]
 
 
+def test_hits_meet_products_by_sort_and_merge(spark):
+    load_all()
+    logical = plan_of(QUERIES["staged_search_vector"](spark, "/root/testdata/sf0.001")).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert len(re.findall(r"Join LeftOuter, \(product_id#\d+L = product_id#\d+L\), rightHint=\(strategy=merge\)", logical)) == 2  # texts, attributes
+
+
 def test_chosen_keys_meet_the_features_where_they_lie(spark):
     """The side that is broadcast holds the chosen keys, not the features of all products."""
     load_all()
