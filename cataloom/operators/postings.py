@@ -8,7 +8,7 @@ most promising blocks to learn a score that its k-th answer reaches, and never o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import each, let, text_or_empty, words
@@ -23,8 +23,8 @@ def postings_index(corpus: DataFrame, doc: str, text: str, block_docs: int = 128
     """Stored `postings` (term, block, bound, parts) and the term statistics of `bm25_index`.
 
     A row of postings holds one term's documents of one block, at most `block_docs`, as (part, pos, doc) with the part
-    of the score that does not depend on the query; rows are written in order of term and block, so that a reader
-    skips the row groups of other terms. A frequent term is many rows, not a large one. Repeated ids are documents of
+    of the score that does not depend on the query; each file is written in order of term and block, so that a reader
+    skips the pages of other terms. A frequent term is many rows, not a large one. Repeated ids are documents of
     their own; null texts are empty documents.
     """
     sized = corpus.select(F.col(doc).alias("doc"), F.lower(text_or_empty(F.col(text))).alias("_text")).withColumn("_dl", F.size(words(F.col("_text"))))
@@ -36,8 +36,7 @@ def postings_index(corpus: DataFrame, doc: str, text: str, block_docs: int = 128
     part = F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_dl") / F.lit(mean_length)))
     lists = counted.select("term", "block", F.struct(part.alias("part"), "pos", "doc").alias("p")).groupBy("term", "block").agg(
         F.sort_array(F.collect_list("p"), asc=False).alias("parts"))  # at most block_docs entries
-    postings = written(lists.select("term", "block", F.col("parts")[0]["part"].alias("bound"), "parts").repartitionByRange(
-        "term", "block").sortWithinPartitions("term", "block"), "postings")
+    postings = written(lists.select("term", "block", F.col("parts")[0]["part"].alias("bound"), "parts").sortWithinPartitions("term", "block"), "postings")
     total = F.lit(docs.count())
     found = postings.groupBy("term").agg(F.sum(F.size("parts")).alias("_df"))
     terms = written(found.select("term", "_df", (F.ln(total - F.col("_df") + 0.5) - F.ln(F.col("_df") + 0.5)).alias("_raw")), "terms")
@@ -62,10 +61,19 @@ def _asked(postings: DataFrame, weights: DataFrame, most: int = 1_000) -> DataFr
 
 
 def _scored(blocks: DataFrame, weights: DataFrame, postings: DataFrame) -> DataFrame:
-    """Scores (_rep, pos, doc, score) of the documents of (_rep, block) pairs that hold a term of the query."""
-    lists = blocks.select("_rep", "block").join(weights, "_rep").join(postings.select("term", "block", "parts"), ["term", "block"])
-    opened = lists.select("_rep", "_w", F.explode("parts").alias("p")).select("_rep", "p.pos", "p.doc", (F.col("_w") * F.col("p.part")).alias("s"))
-    return opened.groupBy("_rep", "pos").agg(F.first("doc").alias("doc"), F.round(F.sum("s"), 6).alias("score"))
+    """Scores (_rep, block, pos, doc, score) of the documents of (_rep, block) pairs that hold a term of the query.
+
+    Asked terms and postings meet as rows dealt by block, where a document lies whole: a posting moves once, however many
+    queries ask for it, and the products of weights and postings are added up in the task that makes them.
+    """
+    kinds = {c: weights.schema[c].dataType for c in ("_rep", "_w")} | {"parts": postings.schema["parts"].dataType}
+    wanted = blocks.select("_rep", "block").join(weights, "_rep").withColumn("parts", F.lit(None).cast(kinds["parts"]))
+    held = postings.select("term", "block", "parts", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("_rep", "_w")])
+    dealt = wanted.unionByName(held).repartition("block")
+    before = Window.partitionBy("block", "term").orderBy(F.col("parts").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lists = dealt.withColumn("parts", F.first("parts", ignorenulls=True).over(before)).where(F.col("_rep").isNotNull())
+    opened = lists.select("_rep", "block", "_w", F.explode("parts").alias("p")).select("_rep", "block", "p.pos", "p.doc", (F.col("_w") * F.col("p.part")).alias("s"))
+    return opened.groupBy("_rep", "block", "pos").agg(F.first("doc").alias("doc"), F.round(F.sum("s"), 6).alias("score"))
 
 
 def block_plan(index: dict[str, DataFrame], weights: DataFrame, k: int, first_blocks: int = 8) -> DataFrame:

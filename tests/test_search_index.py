@@ -45,6 +45,20 @@ def test_postings_answer_as_the_full_scan_and_skip_blocks(spark):
     assert read < 0.8 * held
 
 
+def test_scores_are_added_up_where_the_postings_meet(spark):
+    index = po.postings_index(corpus(spark), "product_id", "text", block_docs=32)
+    _, _, weights = po.query_weights(index, asked(spark, ["the of oak", "w3 the", "red of"]), "query_id", "query", 0.25)
+    blocks = index["postings"].select("block").distinct().crossJoin(weights.select("_rep").distinct())
+    scores = po._scored(blocks, weights, index["postings"])
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)", plan)
+    assert dealt and not any("pos#" in d for d in dealt), plan  # no row of a document and a query is shuffled
+    plain = weights.join(index["postings"], "term").select("_rep", "_w", F.explode("parts").alias("p")).groupBy("_rep", "p.pos").agg(
+        F.first("p.doc").alias("doc"), F.round(F.sum(F.col("_w") * F.col("p.part")), 6).alias("score"))
+    rows = lambda df: sorted(map(tuple, df.select("_rep", "pos", "doc", "score").collect()))
+    assert rows(scores) == rows(plain)
+
+
 def test_a_frequent_term_is_many_bounded_rows_in_order_of_their_parts(spark):
     docs = spark.createDataFrame([(i, "the " * (1 + i % 50) + f"n{i}") for i in range(2_000)], "product_id long, text string")
     rows = po.postings_index(docs, "product_id", "text", block_docs=64)["postings"].where("term = 'the'").collect()
