@@ -7,19 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .anchors import mixed, range_hashes
-from .common import forget_since, kept, made_so_far, releasing
+from .common import by_size, forget_since, kept, made_so_far, releasing
 
 BUCKETS = 1 << 20  # of the rarity table, whatever the corpus: 4 MB
 _LAST = 2**63 - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 ROW = [("token", np.uint64), ("bits", np.uint64), ("doc", np.int64), ("twin", np.int64), ("line", np.uint32), ("size", np.uint32), ("at", np.uint32)]
+PACKED = [*ROW, ("whole", np.uint64)]
 PLACED = "doc bigint, twin bigint"
 PLACE = f"{PLACED}, line bigint"
 
@@ -35,23 +37,22 @@ def packed_texts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress(t.encode()) for t in b.column(2).to_pylist()], pa.binary())],
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress(t) for _, part in parts_of(b.column(2)) for t in part], pa.binary())],
                                              names=["doc", "twin", "text"])
     return texts.mapInArrow(releasing(run), "doc bigint, twin bigint, text binary")
 
 
+def parts_of(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of parts of a column with about `most` bytes; only one part at a time is held as Python objects."""
+    for at, rows in by_size(pc.binary_length(texts), most):
+        yield at, [t or b"" for t in texts.slice(at, rows).cast(pa.binary()).to_pylist()]
+
+
 def chunks(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """(doc, twin, texts) of a batch in parts of about `most` bytes."""
     doc, twin = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    texts = [t.encode() for t in batch.column(2).to_pylist()]
-    at = 0
-    while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and size < most:
-            size += len(texts[stop])
-            stop += 1
-        yield doc[at:stop], twin[at:stop], texts[at:stop]
-        at = stop
+    for at, texts in parts_of(batch.column(2), most):
+        yield doc[at:at + len(texts)], twin[at:at + len(texts)], texts
 
 
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,9 +73,8 @@ def rarity_table(docs: DataFrame, text_col: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            texts = [(t or "").encode() for t in b.column(0).to_pylist()]
-            for at in range(0, len(texts), 300):
-                token, _, _ = token_hashes(texts[at:at + 300])
+            for _, texts in parts_of(b.column(0)):
+                token, _, _ = token_hashes(texts)
                 total += np.bincount((token >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
         press = zstandard.ZstdCompressor(level=1)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([press.compress(total[i * width:(i + 1) * width].tobytes()) for i in range(parts)], pa.binary())],
@@ -147,7 +147,7 @@ def _pack(rows: dict[str, np.ndarray], buckets: int, removed: dict[str, np.ndarr
     blobs = []
     for a, b in zip(first, [*first[1:], len(bucket)]):
         bits = wide[ragged(rows["wide_at"][a:b], wide_words(rows["size"][a:b]))]
-        blobs.append(press.compress(b"".join(rows[k][a:b].astype(t).tobytes() for k, t in ROW) + bits.tobytes()))
+        blobs.append(press.compress(b"".join(rows[k][a:b].astype(t).tobytes() for k, t in PACKED) + bits.tobytes()))
     counts = np.diff([*first, len(bucket)]).tolist()
     if len(removed["doc"]):
         names, counts = [*names.tolist(), -1 - int(removed["doc"][0] % buckets)], [*counts, len(removed["doc"])]
@@ -181,7 +181,7 @@ def prefixes(texts: DataFrame, table: np.ndarray, share: float, buckets: int, fl
             n = prefix_length(lines["size"][stay], share)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             own = np.repeat(stay, n)
-            rows = {k: lines[k][own] for k in ("doc", "twin", "line", "size", "bits", "wide_at")} | {"token": token[begin[own] + at], "at": at, "wide": wide}
+            rows = {k: lines[k][own] for k in ("doc", "twin", "line", "size", "bits", "whole", "wide_at")} | {"token": token[begin[own] + at], "at": at, "wide": wide}
             return _pack(rows, buckets, removed)
 
         for b in batches:
@@ -223,8 +223,8 @@ def _folded(r: dict, i: np.ndarray, width: int) -> np.ndarray:
 
 
 def candidates(packed: DataFrame, share: float, buckets: int, small: int = 128, first: int = 16) -> DataFrame:
-    """(b_*, a_*, more): lines settled before, with no a, and later lines with earlier lines that pass the filters. In a token group of more than `small` rows a
-    line stops after its `first` earliest ones and is marked, for `remaining` to go on with it if none of them matches."""
+    """(b_*, a_*, more): lines settled before or by an equal set of another task, with no a, and later lines with earlier lines that pass the filters. Of equal
+    sets only the first is compared, so that a line in any share of all documents is one row of its groups. In a token group of more than `small` rows a line stops after its `first` earliest ones and is marked, for `remaining` to go on with it if none of them matches."""
     def pairs(r: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         n = len(r["token"])
         start = np.flatnonzero(np.concatenate([[True], r["token"][1:] != r["token"][:-1]]))
@@ -267,17 +267,35 @@ def candidates(packed: DataFrame, share: float, buckets: int, small: int = 128,
         now = None
 
         def close() -> pa.RecordBatch:
-            r = {k: np.concatenate([h[k] for h in held]) for k, _ in ROW}
+            r = {k: np.concatenate([h[k] for h in held]) for k, _ in PACKED}
             r["words"] = wide_words(r["size"])
             r["wide_at"] = np.cumsum(r["words"]) - r["words"]
-            order = np.lexsort((r["line"], r["twin"], r["doc"], r["token"]))
+            order = np.lexsort((r["line"], r["twin"], r["doc"], r["bits"], r["size"], r["whole"], r["token"]))
+            again, other = np.zeros(len(order), bool), np.zeros(len(order), bool)  # equal sets meet under each of their tokens
+            again[1:] = np.logical_and.reduce([r[k][order[1:]] == r[k][order[:-1]] for k in ("token", "whole", "size", "bits")])
+            other[1:] = np.logical_or.reduce([r[k][order[1:]] != r[k][order[:-1]] for k in ("doc", "twin", "line")])
+            equal = order[again & other & (r["at"][order] == 0)]
+            settled = [r[k][equal].astype(np.int64) for k in ("doc", "twin", "line")]
+            order = order[~again]
+            order = order[np.lexsort(tuple(r[k][order] for k in ("line", "twin", "doc", "token")))]
             r = {k: v[order] for k, v in r.items()} | {"wide": np.concatenate([h["wide"] for h in held])}
             parts = list(pairs(r))
             i, j, more = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
-            other = (r["doc"][i] != r["doc"][j]) | (r["twin"][i] != r["twin"][j]) | (r["line"][i] != r["line"][j])
-            i, j, more = i[other], j[other], more[other].astype(np.int64)
-            found = np.unique(np.column_stack([r[k][x].astype(np.int64) for x in (j, i) for k in ("doc", "twin", "line")] + [more]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(7)], names=names)
+            # rows of one line get one number, so that a pair is one number too
+            by_place = np.lexsort((r["line"], r["twin"], r["doc"]))
+            new = np.logical_or.reduce([r[k][by_place][1:] != r[k][by_place][:-1] for k in ("doc", "twin", "line")])
+            place = np.empty(len(by_place), np.int64)
+            place[by_place] = np.concatenate([[0], np.cumsum(new)])[:len(by_place)]
+            pair = place[j] * len(place) + place[i]
+            order = np.lexsort((-more.astype(np.int64), pair))  # marked ones first
+            order = order[place[i[order]] != place[j[order]]]
+            order = order[np.concatenate([[True], pair[order][1:] != pair[order][:-1]])[:len(order)]]
+            i, j, more = i[order], j[order], more[order].astype(np.int64)
+            gone = len(equal)
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(np.concatenate([s, r[k][j].astype(np.int64)])) for s, k in zip(settled, ("doc", "twin", "line"))),
+                 *(pa.concat_arrays([pa.nulls(gone, pa.int64()), pa.array(r[k][i].astype(np.int64))]) for k in ("doc", "twin", "line")),
+                 pa.array(np.concatenate([np.zeros(gone, np.int64), more]))], names=names)
 
         for b in batches:
             for number, rows, data in zip(*(c.to_pylist() for c in b.columns)):
@@ -289,7 +307,7 @@ def candidates(packed: DataFrame, share: float, buckets: int, small: int = 128,
                     yield close()
                     held.clear()
                 now, raw, at, part = number, zstandard.decompress(data), 0, {}
-                for k, t in ROW:
+                for k, t in PACKED:
                     part[k] = np.frombuffer(raw, t, rows, at)
                     at += rows * np.dtype(t).itemsize
                 held.append(part | {"wide": np.frombuffer(raw, np.uint64, offset=at)})
@@ -403,7 +421,7 @@ def dedup_lines(docs: DataFrame, share: float = 0.8, id_col: str = "doc_id", tex
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress(t.encode()) for t in b.column(2).to_pylist()], pa.binary()), b.column(3)],
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press.compress(t) for _, part in parts_of(b.column(2)) for t in part], pa.binary()), b.column(3)],
                                              names=["doc", "twin", "text", "__rest"])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -182,3 +182,26 @@ def test_long_lines(spark):
     want = expected_lines(docs)
     assert {r.doc_id: r.text for r in rows} == want
     assert 5 < sum(t == "" for t in want.values()) < 55
+
+
+def test_equal_lines_of_many_tasks_settle_without_a_comparison(spark):
+    rnd = random.Random(5)
+    shared = prose(rnd, 30)
+    words = shared.split(" ")
+    near = " ".join([*words[:-1], "other"])
+    rows = [(i, "\n".join([" ".join(reversed(words)) if i % 2 else shared, prose(rnd, 12), *([near] if i == 39 else [])])) for i in range(40)]
+    texts = line_module.placed_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(20), "doc_id", "text")
+    table = line_module.rarity_table(texts, "text")
+    found = line_module.candidates(line_module.prefixes(texts, table, 0.8, 4), 0.8, 4).collect()
+    place = {(r.b_doc, r.b_line) for r in found if r.a_doc is None}
+    assert place == {(i, 0) for i in range(1, 40)}
+    assert {(r.b_doc, r.b_line, r.a_doc, r.a_line) for r in found if r.a_doc is not None} == {(39, 2, 0, 0)}
+
+
+def test_texts_are_taken_apart_by_bytes():
+    import pyarrow as pa
+    texts = ["é" * 50_000, None, ""] * 30 + ["x" * 3_000_000, "y"]
+    parts = list(line_module.parts_of(pa.array(texts)))
+    assert [t for _, p in parts for t in p] == [(t or "").encode() for t in texts]
+    assert [at for at, _ in parts] == [sum(len(p) for _, p in parts[:i]) for i in range(len(parts))]
+    assert all(sum(map(len, p)) <= 1_000_000 or len(p) == 1 for _, p in parts)
