@@ -9,6 +9,8 @@ _VALUE = np.random.default_rng(3).integers(0, 2**64, 256, np.uint64, endpoint=Fa
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 2**64))
+KEPT_POWERS = 2_000_000  # 32 MB
+_POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def kmer_hashes(data: np.ndarray) -> np.ndarray:
@@ -56,13 +58,24 @@ def anchor_positions(data: np.ndarray, begin: np.ndarray, size: np.ndarray, leng
     return at, h[at]
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base and of its inverse; those up to two million are kept for the next call."""
+    global _POWERS
+    if n < len(_POWERS[0]):
+        return _POWERS[0][:n + 1], _POWERS[1][:n + 1]
+    made = tuple(np.full(max(n + 1, min(2 * n, KEPT_POWERS)), x, np.uint64) for x in (_BASE, _INVERSE))
+    for p in made:
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+    if len(made[0]) <= KEPT_POWERS:
+        _POWERS = made
+    return made[0][:n + 1], made[1][:n + 1]
+
+
 def range_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of data[begin[i] : end[i]], the same for equal bytes wherever they lie."""
     n = len(data)
-    power, inverse = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
-    power[0] = inverse[0] = 1
-    np.multiply.accumulate(power, out=power)
-    np.multiply.accumulate(inverse, out=inverse)
+    power, inverse = _powers(n)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * power[:-1], out=total[1:])
     return mixed((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))

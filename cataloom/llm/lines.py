@@ -26,10 +26,18 @@ PLACED = "doc bigint, twin bigint"
 PLACE = f"{PLACED}, line bigint"
 
 
-def placed_texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """(doc, twin, text): the place of a row is its id (null: last), then a hash of its text; equal rows are one document."""
+def placed_texts(docs: DataFrame, id_col: str, text_col: str, *more: str, twins: bool = True) -> DataFrame:
+    """(doc, twin, text): the place of a row is its id (null: last), then a hash of its text; equal rows are one document.
+    Without `twins` the id alone is the place, for tables in which no id has two texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"), *more)
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"),
+                       (F.xxhash64(text) if twins else F.lit(0).cast("bigint")).alias("twin"), text.alias("text"), *more)
+
+
+def has_twins(docs: DataFrame, id_col: str, text_col: str) -> bool:
+    """Whether an id has two different texts."""
+    texts = placed_texts(docs, id_col, text_col).groupBy("doc").agg(F.min("twin").alias("first"), F.max("twin").alias("last"))
+    return not texts.where("first < last").isEmpty()
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
@@ -413,9 +421,10 @@ def dedup_lines(docs: DataFrame, share: float = 0.8, id_col: str = "doc_id", tex
     all others; rows of equal id and different text are ordered by a hash of the text; rows that are equal count as one
     document, and each is returned. Other columns are carried along; an empty table gives an empty result.
     """
-    gone = repeated_lines(placed_texts(docs, id_col, text_col), share).groupBy("doc", "twin").agg(F.collect_list("line").alias("gone"))
+    twins = has_twins(docs, id_col, text_col)  # if not, the hash of the text is a column of zeros wherever places are moved
+    gone = repeated_lines(placed_texts(docs, id_col, text_col, twins=twins), share).groupBy("doc", "twin").agg(F.collect_list("line").alias("gone"))
     others = [c for c in docs.columns if c != text_col]
-    placed = placed_texts(docs.withColumn("__rest", F.struct(*others, F.col(text_col).isNull().alias("__void"))), id_col, text_col, "__rest")
+    placed = placed_texts(docs.withColumn("__rest", F.struct(*others, F.col(text_col).isNull().alias("__void"))), id_col, text_col, "__rest", twins=twins)
     rest = placed.schema["__rest"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -205,3 +205,23 @@ def test_texts_are_taken_apart_by_bytes():
     assert [t for _, p in parts for t in p] == [(t or "").encode() for t in texts]
     assert [at for at, _ in parts] == [sum(len(p) for _, p in parts[:i]) for i in range(len(parts))]
     assert all(sum(map(len, p)) <= 1_000_000 or len(p) == 1 for _, p in parts)
+
+
+def test_hashes_of_texts_are_carried_only_for_ids_with_two_texts(spark):
+    one = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, ""), (2, None), (None, "c")], "doc_id long, text string")
+    two = one.union(spark.createDataFrame([(None, "d")], one.schema))
+    assert [line_module.has_twins(d, "doc_id", "text") for d in (one, two)] == [False, True]
+    assert {r.twin for r in line_module.placed_texts(one, "doc_id", "text", twins=False).collect()} == {0}
+    assert sorted((r.text or "", r.n_removed) for r in dedup_lines(two.union(two)).collect()) == sorted(
+        (r.text or "", r.n_removed) for r in dedup_lines(two).collect() for _ in range(2))
+
+
+def test_kept_powers_do_not_change_hashes():
+    from cataloom.llm import anchors
+    data = np.frombuffer(b"some words and some other words " * 200, np.uint8)
+    at = np.arange(0, 6_000, 7)
+    whole = anchors.range_hashes(data, at, at + 5)
+    for n in (9, 5_000, 12, 6_400):
+        some = at[at + 5 <= n]
+        assert (anchors.range_hashes(data[:n], some, some + 5) == whole[:len(some)]).all()
+    assert len(anchors._POWERS[0]) <= anchors.KEPT_POWERS
