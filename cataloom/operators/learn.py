@@ -57,9 +57,9 @@ def word_places(text: Column, dim: int) -> Column:
 
 def text_features(df: DataFrame, text: str, dim: int = 1024) -> TextFeatures:
     """Weights of the `dim` places, ln((texts + 1) / (texts with it + 1)), in one pass; null texts are left out."""
-    texts = df.where(F.col(text).isNotNull())
-    marked = texts.select(F.concat(F.array(F.lit(-1)), F.transform(word_places(F.col(text), dim), lambda e: e["at"])).alias("_at"))
-    seen = dict(each(marked, F.col("_at"), "at").groupBy("at").count().collect())  # dim + 1 rows
+    texts = df.where(F.col(text).isNotNull()).groupBy(text).agg(F.count("*").alias("_n")).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    marked = texts.select("_n", F.concat(F.array(F.lit(-1)), F.transform(word_places(F.col(text), dim), lambda e: e["at"])).alias("_at"))
+    seen = dict(each(marked, F.col("_at"), "at", "_n").groupBy("at").agg(F.sum("_n")).collect())  # dim + 1 rows
     total = seen.pop(-1, 0)
     return TextFeatures(text, np.log((total + 1) / (np.array([seen.get(i, 0) for i in range(dim)]) + 1)))
 
@@ -80,6 +80,11 @@ def _parts(batch: pa.RecordBatch, at: int, x: int, wide: int) -> Iterator[tuple[
         row = end
 
 
+def _numbers(batch: pa.RecordBatch, rows: slice) -> np.ndarray:
+    """How many equal rows each row stands for: the last column."""
+    return batch.column(batch.num_columns - 1).slice(rows.start, rows.stop - rows.start).to_numpy(zero_copy_only=False).astype(np.float64)
+
+
 def _margins(rows: int, owner: np.ndarray, place: np.ndarray, value: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Products of sparse rows and weights (places + 1, labels), the last row being added to all."""
     out = np.repeat(weights[-1:], rows, axis=0)
@@ -137,12 +142,13 @@ def _moments(rows: DataFrame, heads: int, dim: int, parts: int) -> tuple[np.ndar
         sums = np.zeros((heads, 2 * dim + 1))
         for batch in batches:
             for rows_, owner, place, value in _parts(batch, 0, 1, heads):
+                n = _numbers(batch, rows_)
                 for h in range(heads):
                     good = batch.column(2 + h).slice(rows_.start, rows_.stop - rows_.start).to_numpy(zero_copy_only=False) >= 0
                     in_ = good[owner]
-                    sums[h, :dim] += np.bincount(place[in_], value[in_], dim)
-                    sums[h, dim:-1] += np.bincount(place[in_], value[in_] ** 2, dim)
-                    sums[h, -1] += good.sum()
+                    sums[h, :dim] += np.bincount(place[in_], (n[owner] * value)[in_], dim)
+                    sums[h, dim:-1] += np.bincount(place[in_], (n[owner] * value ** 2)[in_], dim)
+                    sums[h, -1] += n[good].sum()
         for h in range(heads):
             yield _emit(h, sums[h:h + 1])
     n, deviation = np.zeros(heads), np.zeros((heads, dim))
@@ -166,15 +172,17 @@ def _losses(rows: DataFrame, weights: list[np.ndarray], parts: int) -> tuple[np.
         for batch in batches:
             for rows_, owner, place, value in _parts(batch, 0, 1, wide.shape[1]):
                 count = rows_.stop - rows_.start
+                n = _numbers(batch, rows_)
                 margins = _margins(count, owner, place, value, wide)
                 for h, (a, b) in enumerate(zip(edge, edge[1:])):
                     label = batch.column(2 + h).slice(rows_.start, count).to_numpy(zero_copy_only=False)
                     good = np.flatnonzero(label >= 0)
                     p = _softmax(margins[:, a:b])
-                    loss[h] -= np.log(np.maximum(p[good, label[good]], 1e-300)).sum()
+                    loss[h] -= (n[good] * np.log(np.maximum(p[good, label[good]], 1e-300))).sum()
                     p[good, label[good]] -= 1
                     p[label < 0] = 0
                     margins[:, a:b] = p
+                margins *= n[:, None]
                 _gathered(margins, owner, place, value, gradient)
                 gradient[-1] += margins.sum(axis=0)
         for h, (a, b) in enumerate(zip(edge, edge[1:])):
@@ -239,7 +247,8 @@ class Head:
 
 def fit_heads(rows: DataFrame, labels: dict[str, Column], dim: int, iterations: int = 20, penalty: float = 0.01,
               inputs: tuple[str, ...] = ()) -> dict[str, Head]:
-    """All heads at once on sparse rows (_at, _x); a head learns from the rows on which its label is not null.
+    """All heads at once on sparse rows (_at, _x), of which each counts `_n` times if there is such a column; a head
+    learns from the rows on which its label is not null.
 
     Each minimises its mean log loss plus penalty / 2 x the squared weights of features scaled to unit deviation, as a
     separate multinomial regression would. `iterations` bounds the rounds, of which each is one pass over the rows for
@@ -254,7 +263,8 @@ def fit_heads(rows: DataFrame, labels: dict[str, Column], dim: int, iterations:
     known = {n: sorted(v) for n, v in known.items()}
     index = [F.coalesce(F.array_position(F.lit(known[n]).cast("array<string>"), labels[n].cast("string")) - 1, F.lit(-1)).cast("int").alias(f"_y{i}") if known[n]
              else F.lit(-1).alias(f"_y{i}") for i, n in enumerate(names)]
-    stored = written(rows.select("_at", "_x", *index), "sparse")
+    number = F.col("_n") if "_n" in rows.columns else F.lit(1)
+    stored = written(rows.select("_at", "_x", *index, number.cast("long").alias("_n")), "sparse")
     parts = stored.rdd.getNumPartitions()
     n, deviation = _moments(stored, len(names), dim, parts)
     scale = np.where(deviation > 0, 1 / np.where(deviation > 0, deviation, 1), 0.0)
@@ -281,6 +291,14 @@ class TextModels:
     heads: dict[str, Head] = field(default_factory=dict)
 
 
+def _distinct(df: DataFrame, **columns: Column) -> DataFrame:
+    """The distinct rows of some columns with their numbers (_n), stored in as many files as there are cores at least: rows of
+    a text that many products share are learned from once, and few bytes of many rows are not left to one task."""
+    named = [c.alias(name) for name, c in columns.items()]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return written(df.select(*named).groupBy(*columns).agg(F.count("*").alias("_n")).repartition(cores), "distinct")
+
+
 def _sparse(df: DataFrame, features: TextFeatures) -> DataFrame:
     return df.withColumns(dict(zip(("_at", "_x"), features.columns())))
 
@@ -289,22 +307,25 @@ def train_attribute_models(df: DataFrame, attributes: Sequence[str], text: str =
                            iterations: int = 20, features: TextFeatures | None = None) -> TextModels:
     """One classifier per attribute; rows without that label are left out of its training."""
     fitted = features or text_features(df, text, dim)
-    return TextModels(fitted, fit_heads(_sparse(df, fitted), {a: F.col(a) for a in attributes}, fitted.dim, iterations))
+    rows = _distinct(df, **{fitted.text: F.col(fitted.text)}, **{f"_{i}": F.col(a) for i, a in enumerate(attributes)})
+    return TextModels(fitted, fit_heads(_sparse(rows, fitted), {a: F.col(f"_{i}") for i, a in enumerate(attributes)}, fitted.dim, iterations))
 
 
 def train_taxonomy_models(df: DataFrame, levels: int, path: str = "taxonomy", text: str = "text_input", dim: int = 1024,
                           iterations: int = 20, features: TextFeatures | None = None) -> TextModels:
     """One classifier per taxonomy level; products with fewer levels are left out there."""
     fitted = features or text_features(df, text, dim)
-    return TextModels(fitted, fit_heads(_sparse(df, fitted), {f"level_{i + 1}": F.get(path, F.lit(i)) for i in range(levels)}, fitted.dim, iterations))
+    rows = _distinct(df, **{fitted.text: F.col(fitted.text)}, **{f"level_{i + 1}": F.get(path, F.lit(i)) for i in range(levels)})
+    return TextModels(fitted, fit_heads(_sparse(rows, fitted), {f"level_{i + 1}": F.col(f"level_{i + 1}") for i in range(levels)}, fitted.dim, iterations))
 
 
 def train_class_model(df: DataFrame, levels: TextModels, cls: str = "product_class", iterations: int = 20) -> TextModels:
     """Class model that sees the text features and the probabilities of every level."""
     names = tuple(levels.heads)
-    probabilities = _apply(_sparse(df, levels.features), levels, [cls], True)
+    rows = _distinct(df, **{levels.features.text: F.col(levels.features.text)}, _class=F.col(cls))
+    probabilities = _apply(_sparse(rows, levels.features), levels, ["_class", "_n"], True)
     wide = levels.features.dim + sum(len(levels.heads[n].labels) for n in names)
-    return TextModels(levels.features, {**levels.heads, **fit_heads(probabilities, {"product_class": F.col(cls)}, wide, iterations, inputs=names)})
+    return TextModels(levels.features, {**levels.heads, **fit_heads(probabilities, {"product_class": F.col("_class")}, wide, iterations, inputs=names)})
 
 
 # --- prediction ------------------------------------------------------------------------------------------------------

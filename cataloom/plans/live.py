@@ -255,7 +255,7 @@ _DECIDED = f"{with_views('v_decided')}, held AS (SELECT * FROM v_decided WHERE h
 
 def decided(t):
     """Training rows with their path, and the held-out rows."""
-    rows = written(t.v_decided.withColumn("taxonomy", F.array("level_1", "level_2")), "decided")
+    rows = written(t.wide.v_decided.withColumn("taxonomy", F.array("level_1", "level_2")), "decided")
     return rows.filter(~c("held_out")), rows.filter("held_out")
 
 

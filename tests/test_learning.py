@@ -89,3 +89,21 @@ def test_class_model_uses_the_levels(spark):
 def test_word_places(values, text, places):
     found = values(lambda c: le.word_places(c, 1_000_003), [text])[0]
     assert len(found) == places and sum(e.n for e in found) == len([w for w in (text or "").replace(",", " ").split()])
+
+
+def test_equal_rows_are_learned_from_once_over_all_cores(spark, monkeypatch):
+    """Copies of rows weigh as much as before, but the passes read distinct rows, in more than one task."""
+    texts = [("oak chair", "modern"), ("steel lamp", "rustic"), ("velvet sofa", "glam"), ("oak sofa", None), ("steel chair", "modern"), (None, "glam")]
+    rows = [(t, s, i % 3) for i, (t, s) in enumerate(texts) for _ in range(1 + 7 * i)]
+    df = spark.createDataFrame(rows, "text_input string, style string, product_class int").coalesce(1).withColumn("product_class", F.concat(F.lit("c"), "product_class"))
+    features = le.text_features(df, "text_input", 32)
+    plain = le.fit_heads(le._sparse(df, features), {"style": F.col("style")}, 32, 5)["style"]
+    seen = []
+    losses = le._losses
+    monkeypatch.setattr(le, "_losses", lambda r, w, parts: seen.append((r.count(), r.rdd.getNumPartitions())) or losses(r, w, parts))
+    models = le.train_attribute_models(df, ["style"], dim=32, iterations=5, features=features)
+    assert models.heads["style"].labels == plain.labels and np.allclose(models.heads["style"].weights, plain.weights, atol=1e-9)
+    assert {n for n, _ in seen} == {len(texts)} and min(p for _, p in seen) > 1
+    seen.clear()
+    le.train_class_model(df, models, iterations=2)
+    assert {n for n, _ in seen} == {len(texts)}
