@@ -62,6 +62,18 @@ def forget_since(spark: SparkSession, mark: int, *spare: DataFrame) -> None:
     _MADE[mark:] = [p for p in _MADE[mark:] if p in held]
 
 
+MARKS = 1 << 24  # bits, whatever the table
+
+
+def marked_rows(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows of `df` whose keys may be in the stored table `wanted`, by a bitmap of fixed size that is sent to them (at
+    most 2**18 words): all that are in it and few others while it is small beside the bitmap. For a join that follows."""
+    mark = F.pmod(F.xxhash64(*keys), F.lit(MARKS))
+    words = wanted.select(mark.alias("__mark")).groupBy(F.expr("shiftright(__mark, 6)").alias("__word")).agg(F.expr("bit_or(shiftleft(1L, int(__mark % 64)))").alias("__bits"))
+    marked = df.withColumn("__mark", mark).join(F.broadcast(words), F.expr("shiftright(__mark, 6) = __word"))
+    return marked.where("bit_get(__bits, int(__mark % 64)) = 1").select(*df.columns)
+
+
 def map_batches(df: DataFrame, fn: Callable[[list[list]], list[list]], columns: list[str], schema: str, rows: int = 2_000) -> DataFrame:
     """Apply `fn` to lists of column values, at most `rows` rows at a time; it returns the output columns as lists."""
     out = to_arrow_schema(StructType.fromDDL(schema))

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget_since, kept, made_so_far, releasing
+from .common import forget_since, kept, made_so_far, marked_rows, releasing
 from .graph import components
 from .lines import prefix_length
 from .simhash import near_links
@@ -142,8 +142,8 @@ def near_copies(docs: DataFrame, words: int = 5, share: float = 0.8, id_col: str
         return (small >= share * large - 1e-9) & (apart <= small + large - 2 * need)
 
     def links(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node")
-        return kept(similar(pairs, docs.join(wanted, id_col).select("node", text_col), words, share), "links")
+        wanted = kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node"), "wanted")
+        return kept(similar(pairs, marked_rows(docs, wanted, id_col).join(wanted, id_col).select("node", text_col), words, share), "links")
 
     stars = keyed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     stars = stars.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()

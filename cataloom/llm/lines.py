@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .anchors import mixed, range_hashes
-from .common import by_size, forget_since, kept, made_so_far, releasing
+from .anchors import mixed
+from .common import by_size, forget_since, kept, made_so_far, marked_rows, releasing
 
 BUCKETS = 1 << 20  # of the rarity table, whatever the corpus: 4 MB
 _LAST = 2**63 - 1
@@ -35,8 +35,12 @@ def placed_texts(docs: DataFrame, id_col: str, text_col: str, *more: str, twins:
 
 
 def has_twins(docs: DataFrame, id_col: str, text_col: str) -> bool:
-    """Whether an id has two different texts."""
-    texts = placed_texts(docs, id_col, text_col).groupBy("doc").agg(F.min("twin").alias("first"), F.max("twin").alias("last"))
+    """Whether an id has two different texts; only texts of repeated ids are read."""
+    place = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc")
+    repeated = kept(docs.select(place).groupBy("doc").count().where("count > 1").select("doc"), "repeated_ids")
+    if repeated.isEmpty():
+        return False
+    texts = placed_texts(docs, id_col, text_col).join(repeated, "doc", "left_semi").groupBy("doc").agg(F.min("twin").alias("first"), F.max("twin").alias("last"))
     return not texts.where("first < last").isEmpty()
 
 
@@ -63,6 +67,22 @@ def chunks(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[np.nd
         yield doc[at:at + len(texts)], twin[at:at + len(texts)], texts
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of data[begin[i] : end[i]], eight bytes at a time; the same for equal bytes wherever they lie."""
+    words = np.ndarray(len(data) + 1, np.uint64, np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from each place on
+    left = end - begin
+    h = mixed(left.astype(np.uint64))
+    rest, at = np.arange(len(begin)), 0
+    while len(rest):
+        h[rest] = mixed(h[rest] ^ (words[begin[rest] + at] & _MASKS[np.minimum(left[rest] - at, 8)]))
+        at += 8
+        rest = rest[left[rest] > at]
+    return mixed(h)
+
+
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and line of every token of the texts, lines numbered through; and the number of lines of each text."""
     lines = np.array([t.count(b"\n") + 1 for t in texts])
@@ -71,7 +91,7 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     breaks = np.flatnonzero(data == 10)
-    return mixed(range_hashes(data, begin, end)), np.searchsorted(breaks, begin), lines
+    return word_hashes(data, begin, end), np.searchsorted(breaks, begin), lines
 
 
 def rarity_table(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -116,10 +136,32 @@ def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
-def line_sets(texts: list[bytes], table: np.ndarray) -> dict[str, np.ndarray]:
-    """Token sets of the lines that have tokens, rarest token first."""
+def in_runs(v: np.ndarray) -> np.ndarray:
+    """Which of the sorted values occur more than once."""
+    same = np.concatenate([[False], v[1:] == v[:-1], [False]])
+    return same[1:len(v) + 1] | same[:len(v)]
+
+
+def rarest_first(token: np.ndarray, rarity: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Order by line, rarity and token; tokens are compared only among the equally rare ones of a line."""
+    key = (line.astype(np.uint64) << np.uint64(32)) | rarity.astype(np.uint64)
+    order = np.argsort(key)
+    tied = np.flatnonzero(in_runs(key[order]))
+    rows = order[tied]
+    order[tied] = rows[np.lexsort((token[rows], key[rows]))]
+    return order
+
+
+def line_sets(texts: list[bytes], table: np.ndarray, asked: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Token sets of the lines that have tokens, rarest token first; with `asked`, of the lines that hold a token whose
+    bucket of the rarity table is marked there."""
     token, line, lines = token_hashes(texts)
-    order = np.lexsort((token, table[(token >> np.uint64(44)).astype(np.int64)], line))
+    bucket = (token >> np.uint64(44)).astype(np.int64)
+    if asked is not None:
+        held = np.zeros(int(lines.sum()), bool)
+        held[line[asked[bucket]]] = True
+        token, bucket, line = token[held[line]], bucket[held[line]], line[held[line]]
+    order = rarest_first(token, table[bucket], line)
     token, line = token[order], line[order]
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
@@ -148,7 +190,8 @@ def _pack(rows: dict[str, np.ndarray], buckets: int, removed: dict[str, np.ndarr
     """Column blobs by bucket of the token; lines that are settled already come along in buckets below 0."""
     press = zstandard.ZstdCompressor(level=1)
     bucket = (rows["token"] >> np.uint64(20)) % np.uint64(buckets)
-    order = np.lexsort((rows["token"], bucket))
+    order = np.argsort(rows["token"])
+    order = order[np.argsort(bucket[order].astype(np.uint16 if buckets <= 1 << 16 else np.uint64), kind="stable")]
     wide = rows.pop("wide")
     rows, bucket = {k: v[order] for k, v in rows.items()}, bucket[order].astype(np.int64)
     names, first = np.unique(bucket, return_index=True)
@@ -278,21 +321,28 @@ def candidates(packed: DataFrame, share: float, buckets: int, small: int = 128,
             r = {k: np.concatenate([h[k] for h in held]) for k, _ in PACKED}
             r["words"] = wide_words(r["size"])
             r["wide_at"] = np.cumsum(r["words"]) - r["words"]
-            order = np.lexsort((r["line"], r["twin"], r["doc"], r["bits"], r["size"], r["whole"], r["token"]))
+            key = mixed(r["token"]) + r["whole"]  # equal sets have equal keys under a token; rows of other keys need no comparison
+            order = np.argsort(key)
+            alone = in_runs(key[order])
+            alone, order = order[~alone], order[alone]
+            order = order[np.lexsort(tuple(r[k][order] for k in ("line", "twin", "doc", "bits", "size", "whole", "token")))]
             again, other = np.zeros(len(order), bool), np.zeros(len(order), bool)  # equal sets meet under each of their tokens
             again[1:] = np.logical_and.reduce([r[k][order[1:]] == r[k][order[:-1]] for k in ("token", "whole", "size", "bits")])
             other[1:] = np.logical_or.reduce([r[k][order[1:]] != r[k][order[:-1]] for k in ("doc", "twin", "line")])
             equal = order[again & other & (r["at"][order] == 0)]
             settled = [r[k][equal].astype(np.int64) for k in ("doc", "twin", "line")]
-            order = order[~again]
+            order = np.concatenate([alone, order[~again]])
+            order = order[np.argsort(r["token"][order])]
+            order = order[in_runs(r["token"][order])]  # a token of one line makes no pair
             order = order[np.lexsort(tuple(r[k][order] for k in ("line", "twin", "doc", "token")))]
             r = {k: v[order] for k, v in r.items()} | {"wide": np.concatenate([h["wide"] for h in held])}
             parts = list(pairs(r))
             i, j, more = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
             # rows of one line get one number, so that a pair is one number too
-            by_place = np.lexsort((r["line"], r["twin"], r["doc"]))
+            by_place = np.unique(np.concatenate([i, j]))
+            by_place = by_place[np.lexsort(tuple(r[k][by_place] for k in ("line", "twin", "doc")))]
             new = np.logical_or.reduce([r[k][by_place][1:] != r[k][by_place][:-1] for k in ("doc", "twin", "line")])
-            place = np.empty(len(by_place), np.int64)
+            place = np.zeros(len(r["token"]), np.int64)
             place[by_place] = np.concatenate([[0], np.cumsum(new)])[:len(by_place)]
             pair = place[j] * len(place) + place[i]
             order = np.lexsort((-more.astype(np.int64), pair))  # marked ones first
@@ -339,7 +389,7 @@ def fetch_lines(places: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in out[:3]), pa.array(out[3], pa.binary())], names=["doc", "twin", "line", "words"])
 
     wanted = kept(places.groupBy("doc", "twin").agg(F.collect_set("line").alias("wanted")), "wanted")  # its size is known: few places are sent to the texts
-    return packed_texts(texts).join(wanted, ["doc", "twin"]).select("doc", "twin", "text", "wanted").dropDuplicates(["doc", "twin"]).mapInArrow(releasing(run), PLACE + ", words binary")
+    return packed_texts(marked_rows(texts, wanted, "doc", "twin")).join(wanted, ["doc", "twin"]).select("doc", "twin", "text", "wanted").dropDuplicates(["doc", "twin"]).mapInArrow(releasing(run), PLACE + ", words binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
@@ -366,23 +416,34 @@ def verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
 
 
 def remaining(unsettled: DataFrame, texts: DataFrame, table: np.ndarray, share: float) -> DataFrame:
-    """All candidates of lines whose first ones did not match: their prefix rows are joined with everybody's."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, twin, part in chunks(b):
-                s = line_sets(part, table)
-                n = prefix_length(s["size"], share)
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                own = np.repeat(np.arange(len(n)), n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(v).view(np.int64) if v.dtype == np.uint64 else np.asarray(v, np.int64))
-                     for v in (s["token"][s["start"][own] + at], s["bits"][own], doc[s["text"][own]], twin[s["text"][own]], s["line"][own], s["size"][own], at)],
-                    names=[k for k, _ in ROW])
+    """All candidates of lines whose first ones did not match: their prefix rows are joined with everybody's who holds a
+    token in the same bucket of the rarity table as one of theirs."""
+    def rows(asked: np.ndarray | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for doc, twin, part in chunks(b):
+                    s = line_sets(part, table, asked)
+                    n = prefix_length(s["size"], share)
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    own = np.repeat(np.arange(len(n)), n)
+                    token = s["token"][s["start"][own] + at]
+                    bucket = (token >> np.uint64(44)).astype(np.int64)
+                    use = np.arange(len(own)) if asked is None else np.flatnonzero(asked[bucket])
+                    own, at, token = own[use], at[use], token[use]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.ascontiguousarray(v).view(np.int64) if v.dtype == np.uint64 else np.asarray(v, np.int64))
+                         for v in (token, s["bits"][own], doc[s["text"][own]], twin[s["text"][own]], s["line"][own], s["size"][own], at)],
+                        names=[k for k, _ in ROW])
+        return releasing(run)
 
     columns = ", ".join(f"{k} bigint" for k, _ in ROW)
     theirs = texts.join(unsettled.select("doc", "twin").distinct(), ["doc", "twin"], "left_semi")  # only the texts that hold an open line
-    ours = kept(theirs.mapInArrow(releasing(rows), columns).join(unsettled, ["doc", "twin", "line"], "left_semi"), "unsettled_rows")
-    everybody = texts.mapInArrow(releasing(rows), columns)
+    ours = kept(theirs.mapInArrow(rows(None), columns).join(unsettled, ["doc", "twin", "line"], "left_semi"), "unsettled_rows")
+    asked = np.zeros(BUCKETS, bool)
+    words = ours.selectExpr("shiftrightunsigned(token, 44) AS at").groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("bits"))
+    for r in words.collect():  # BUCKETS / 64 rows at most
+        asked[r["word"] * 64:r["word"] * 64 + 64] = np.unpackbits(np.array([r["bits"]], "<i8").view(np.uint8), bitorder="little").astype(bool)
+    everybody = texts.mapInArrow(rows(asked), columns)
     a, b = everybody.alias("a"), ours.alias("b")
     need = F.ceil(F.lit(share / (1 + share)) * (F.col("a.size") + F.col("b.size")) - 1e-9)
     before = F.struct("a.doc", "a.twin", "a.line") < F.struct("b.doc", "b.twin", "b.line")

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 from cataloom.llm import lines as line_module
 from cataloom.llm.embeddings import near_vectors
@@ -225,3 +226,47 @@ def test_kept_powers_do_not_change_hashes():
         some = at[at + 5 <= n]
         assert (anchors.range_hashes(data[:n], some, some + 5) == whole[:len(some)]).all()
     assert len(anchors._POWERS[0]) <= anchors.KEPT_POWERS
+
+
+def test_only_texts_with_asked_lines_are_moved(spark, monkeypatch):
+    """12 lines of 3,000 texts are asked for: no other text is packed for the join that fetches them."""
+    texts = spark.range(3000).selectExpr("id AS doc", "id % 2 AS twin", "concat('text ', id, '\\nline ', id) AS text")
+    places = spark.range(0, 3000, 250).selectExpr("id AS doc", "id % 2 AS twin", "1L AS line")
+    moved = []
+    inner = line_module.packed_texts
+    monkeypatch.setattr(line_module, "packed_texts", lambda t: (moved.append(t.count()), inner(t))[1])
+    found = line_module.fetch_lines(places, texts).collect()
+    assert {(r.doc, zstandard.decompress(r.words)) for r in found} == {(i, f"line {i}".encode()) for i in range(0, 3000, 250)}
+    assert moved == [12]
+
+
+def test_second_pass_takes_only_lines_with_asked_tokens():
+    """Of the lines of some texts only those with a token of a marked bucket become sets, with the order they have among all."""
+    texts = [b"alpha beta gamma\ndelta epsilon", b"", b"beta zeta\n\neta theta beta longer-than-eight-bytes"]
+    table = np.arange(line_module.BUCKETS, dtype=np.uint32)
+    whole = line_module.line_sets(texts, table)
+    token = line_module.token_hashes([b"beta"])[0]
+    asked = np.zeros(line_module.BUCKETS, bool)
+    asked[(token >> np.uint64(44)).astype(np.int64)] = True
+    some = line_module.line_sets(texts, table, asked)
+    keep = [i for i in range(len(whole["size"])) if token[0] in whole["token"][whole["start"][i]:whole["start"][i] + whole["size"][i]]]
+    assert len(whole["size"]) == 4 and len(keep) == 3
+    for k in ("size", "text", "line", "bits", "whole"):
+        assert some[k].tolist() == whole[k][keep].tolist()
+    assert some["token"].tolist() == [int(t) for i in keep for t in whole["token"][whole["start"][i]:whole["start"][i] + whole["size"][i]]]
+
+
+def test_word_hashes_follow_the_bytes():
+    words = [b"", b"a", b"a\0", b"12345678", b"123456789", b"12345678\0", b"x" * 40, b"x" * 41]
+    data = np.frombuffer(b"..".join(words) + b"." + b"".join(words), np.uint8)
+    size = np.array([len(w) for w in words])
+    first = np.concatenate([[0], np.cumsum(size + 2)[:-1]])
+    again = int((size + 2).sum()) - 2 + 1 + np.concatenate([[0], np.cumsum(size)[:-1]])
+    one, two = (line_module.word_hashes(data, at, at + size) for at in (first, again))
+    assert (one == two).all() and len(set(one.tolist())) == len(words)
+
+
+def test_texts_are_not_read_to_tell_ids_apart(spark, monkeypatch):
+    """Where no id occurs twice, no text is hashed to see whether an id has two."""
+    monkeypatch.setattr(line_module, "placed_texts", lambda *a, **k: pytest.fail("texts were read"))
+    assert not line_module.has_twins(spark.createDataFrame([(1, "a"), (2, "a"), (None, "b")], "doc_id int, text string"), "doc_id", "text")
