@@ -124,7 +124,8 @@ def encode_labels(df: DataFrame, vocab: DataFrame, attributes: Sequence[str], pa
     items = [F.struct(F.lit(a).alias("kind"), F.col(a).cast("string").alias("value")) for a in attributes]
     items += [F.struct(F.lit(f"level_{i + 1}").alias("kind"), F.get(path, F.lit(i)).alias("value")) for i in range(levels)]
     long = df.select(key, F.explode(F.array(*items)).alias("e")).select(key, "e.*")
-    hit = long.join(vocab.select("kind", "value", F.col("idx").alias("_idx")), ["kind", "value"], "left")
+    kinds = [*attributes, *(f"level_{i + 1}" for i in range(levels))]  # classes and paths, which grow with the catalog, stay where they are
+    hit = long.join(vocab.filter(F.col("kind").isin(kinds)).select("kind", "value", F.col("idx").alias("_idx")), ["kind", "value"], "left")
     return hit.select(key, "kind", F.when(F.col("value").isNull(), missing).otherwise(
         F.coalesce(F.col("_idx"), F.lit(0))).cast("int").alias("idx"))
 

@@ -13,6 +13,7 @@ from cataloom.operators import joins as jo
 from cataloom.operators import ranking as rk
 from cataloom.operators import sampling as sa
 from cataloom.operators import search as se
+from cataloom.operators import taxonomy as ta
 from cataloom.plans import load_all
 from cataloom.plans.registry import QUERIES
 
@@ -312,3 +313,15 @@ def test_vocabulary_of_one_shared_prefix(spark):
     assert one == many
     paths = [r for r in one if r[0] == "level_2"]
     assert [r[3] for r in paths] == list(range(1, 91)) and sum(r[2] for r in paths) == 500
+
+
+def test_encoding_sends_only_the_kinds_it_asks_for(spark):
+    """Classes and paths of the vocabulary, one for nearly every product here, are no part of the join that encodes."""
+    df = spark.range(3000).selectExpr("id AS product_id", "IF(id % 2 = 0, 'modern', 'rare') AS style", "array('Furniture', concat('path ', id)) AS taxonomy")
+    vocab = spark.createDataFrame([("style", "modern", 3), ("level_1", "Furniture", 1), *(("product_class", f"class {i}", i) for i in range(3000)),
+                                   *(("path", f"Furniture / path {i}", i) for i in range(3000))], "kind string, value string, idx int")
+    out = ta.encode_labels(df, vocab, ["style"], levels=2)
+    got = {(r.kind, r.idx): r.n for r in out.groupBy("kind", "idx").agg(F.count("*").alias("n")).collect()}
+    assert got == {("style", 3): 1500, ("style", 0): 1500, ("level_1", 1): 3000, ("level_2", 0): 3000}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"kind#\d+ IN \(style,level_1,level_2\)", plan)
