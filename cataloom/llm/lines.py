@@ -54,13 +54,14 @@ def packed_texts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(releasing(run), "doc bigint, twin bigint, text binary")
 
 
-def parts_of(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def parts_of(texts: pa.Array, most: int = 300_000) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) of parts of a column with about `most` bytes; only one part at a time is held as Python objects."""
+    np.empty(8 << 20, np.uint8)  # freed at once: from then on the allocator keeps up to twice as much for the next part, instead of giving each array back
     for at, rows in by_size(pc.binary_length(texts), most):
         yield at, [t or b"" for t in texts.slice(at, rows).cast(pa.binary()).to_pylist()]
 
 
-def chunks(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+def chunks(batch: pa.RecordBatch, most: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """(doc, twin, texts) of a batch in parts of about `most` bytes."""
     doc, twin = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
     for at, texts in parts_of(batch.column(2), most):
@@ -74,8 +75,8 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     """Hash of data[begin[i] : end[i]], eight bytes at a time; the same for equal bytes wherever they lie."""
     words = np.ndarray(len(data) + 1, np.uint64, np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from each place on
     left = end - begin
-    h = mixed(left.astype(np.uint64))
-    rest, at = np.arange(len(begin)), 0
+    h = mixed(mixed(left.astype(np.uint64)) ^ (words[begin] & _MASKS[np.minimum(left, 8)]))
+    rest, at = np.flatnonzero(left > 8), 8
     while len(rest):
         h[rest] = mixed(h[rest] ^ (words[begin[rest] + at] & _MASKS[np.minimum(left[rest] - at, 8)]))
         at += 8
@@ -87,11 +88,12 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Hash and line of every token of the texts, lines numbered through; and the number of lines of each text."""
     lines = np.array([t.count(b"\n") + 1 for t in texts])
     data = np.frombuffer(b"\n".join(texts), np.uint8)
-    space = _SPACE[data]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    breaks = np.flatnonzero(data == 10)
-    return word_hashes(data, begin, end), np.searchsorted(breaks, begin), lines
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1])  # a token begins and ends by turns
+    begin, end = edge[::2], edge[1::2]
+    before = np.searchsorted(begin, np.flatnonzero(data == 10))  # tokens before each line feed
+    return word_hashes(data, begin, end), np.repeat(np.arange(len(before) + 1), np.diff(before, prepend=0, append=len(begin))), lines
 
 
 def rarity_table(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -99,11 +101,14 @@ def rarity_table(docs: DataFrame, text_col: str) -> np.ndarray:
     parts, width = 64, BUCKETS // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total, seen = np.zeros(BUCKETS, np.int64), []
         for b in batches:
             for _, texts in parts_of(b.column(0)):
-                token, _, _ = token_hashes(texts)
-                total += np.bincount((token >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
+                seen.append((token_hashes(texts)[0] >> np.uint64(44)).astype(np.int32))
+                if sum(map(len, seen)) >= BUCKETS:
+                    total += np.bincount(np.concatenate(seen), minlength=BUCKETS)
+                    seen.clear()
+        total += np.bincount(np.concatenate([np.zeros(0, np.int32), *seen]), minlength=BUCKETS)
         press = zstandard.ZstdCompressor(level=1)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([press.compress(total[i * width:(i + 1) * width].tobytes()) for i in range(parts)], pa.binary())],
                                          names=["part", "data"])
@@ -143,12 +148,24 @@ def in_runs(v: np.ndarray) -> np.ndarray:
 
 
 def rarest_first(token: np.ndarray, rarity: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Order by line, rarity and token; tokens are compared only among the equally rare ones of a line."""
-    key = (line.astype(np.uint64) << np.uint64(32)) | rarity.astype(np.uint64)
-    order = np.argsort(key)
-    tied = np.flatnonzero(in_runs(key[order]))
-    rows = order[tied]
-    order[tied] = rows[np.lexsort((token[rows], key[rows]))]
+    """Order by line, rarity (to seven binary digits), the last 44 bits of the token and the token; lines are sorted. One
+    number holds the line, the rarity, as much of the token as there is room for, and the place; what there is no room for
+    is compared only where tokens agree in the rest."""
+    if not len(line):
+        return np.zeros(0, np.int64)
+    rarity, last = rarity.astype(np.float32).view(np.uint32) >> np.uint32(16), token << np.uint64(20)
+    places = np.uint64(len(line).bit_length())
+    room = 48 - int(line[-1]).bit_length() - int(places)
+    if room < 1:
+        return np.lexsort((token, last, rarity, line))
+    key = ((line.astype(np.uint64) << np.uint64(16)) | rarity) << np.uint64(room) | last >> np.uint64(64 - room)
+    key = np.sort(key << places | np.arange(len(key), dtype=np.uint64))
+    order = (key & ((np.uint64(1) << places) - np.uint64(1))).astype(np.int64)
+    key, tokens = key >> places, token[order]
+    if ((key[1:] == key[:-1]) & (tokens[1:] != tokens[:-1])).any():
+        tied = np.flatnonzero(in_runs(key))
+        rows = order[tied]
+        order[tied] = rows[np.lexsort((token[rows], last[rows], key[tied]))]
     return order
 
 
@@ -173,10 +190,10 @@ def line_sets(texts: list[bytes], table: np.ndarray, asked: np.ndarray | None =
     at = line[start]
     words = wide_words(size)
     wide = np.zeros(words.sum(), np.uint64)
-    own = np.repeat(words, size)
-    long = own > 0
-    place = np.repeat(np.cumsum(words) - words, size)[long] + ((token[long] >> np.uint64(6)) & (own[long] - 1).astype(np.uint64)).astype(np.int64)
-    np.bitwise_xor.at(wide, place, np.uint64(1) << (token[long] & np.uint64(63)))
+    long = np.flatnonzero(words)
+    of_long = token[ragged(start[long], size[long])]
+    place = np.repeat((np.cumsum(words) - words)[long], size[long]) + ((of_long >> np.uint64(6)) & np.repeat((words[long] - 1).astype(np.uint64), size[long])).astype(np.int64)
+    np.bitwise_xor.at(wide, place, np.uint64(1) << (of_long & np.uint64(63)))
     return {"wide": wide, "token": token, "start": start, "size": size, "text": text[at], "line": number[at],
             "bits": np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), start) if len(start) else np.zeros(0, np.uint64),
             "whole": np.add.reduceat(mixed(token), start) if len(start) else np.zeros(0, np.uint64)}
@@ -187,18 +204,22 @@ def prefix_length(size: np.ndarray, share: float) -> np.ndarray:
 
 
 def _pack(rows: dict[str, np.ndarray], buckets: int, removed: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """Column blobs by bucket of the token; lines that are settled already come along in buckets below 0."""
+    """Column blobs by bucket of the token, from columns of lines and the line (`own`), token and place (`at`) of each row;
+    lines that are settled already come along in buckets below 0."""
     press = zstandard.ZstdCompressor(level=1)
-    bucket = (rows["token"] >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(rows["token"])
-    order = order[np.argsort(bucket[order].astype(np.uint16 if buckets <= 1 << 16 else np.uint64), kind="stable")]
-    wide = rows.pop("wide")
-    rows, bucket = {k: v[order] for k, v in rows.items()}, bucket[order].astype(np.int64)
-    names, first = np.unique(bucket, return_index=True)
-    blobs = []
+    bucket = ((rows["token"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    places = np.uint64(len(bucket).bit_length())
+    order = np.sort(rows["token"] >> places << places | np.arange(len(bucket), dtype=np.uint64))  # by all of the token that leaves room for the place
+    order = (order & ((np.uint64(1) << places) - np.uint64(1))).astype(np.int64)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    bucket = bucket[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    names, blobs = bucket[first], []
     for a, b in zip(first, [*first[1:], len(bucket)]):
-        bits = wide[ragged(rows["wide_at"][a:b], wide_words(rows["size"][a:b]))]
-        blobs.append(press.compress(b"".join(rows[k][a:b].astype(t).tobytes() for k, t in PACKED) + bits.tobytes()))
+        use = order[a:b]
+        own = rows["own"][use]
+        bits = rows["wide"][ragged(rows["wide_at"][own], wide_words(rows["size"][own]))]
+        blobs.append(press.compress(b"".join([*((rows[k][use] if k in ("token", "at") else rows[k][own]).astype(t, copy=False).tobytes() for k, t in PACKED), bits.tobytes()])))
     counts = np.diff([*first, len(bucket)]).tolist()
     if len(removed["doc"]):
         names, counts = [*names.tolist(), -1 - int(removed["doc"][0] % buckets)], [*counts, len(removed["doc"])]
@@ -206,19 +227,19 @@ def _pack(rows: dict[str, np.ndarray], buckets: int, removed: dict[str, np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "rows", "data"])
 
 
-def prefixes(texts: DataFrame, table: np.ndarray, share: float, buckets: int, flush: int = 120_000) -> DataFrame:
-    """Packed prefix rows of all lines. Lines with the same set as an earlier line of the task settle there, so that a
-    line in any share of all documents leaves one set per task."""
+def prefixes(texts: DataFrame, table: np.ndarray, share: float, buckets: int, flush: int = 120_000, flush_rows: int = 400_000) -> DataFrame:
+    """Packed prefix rows of all lines. Lines with the same set as an earlier one settle there, so that a line in any share
+    of all documents leaves one set per `flush` lines or `flush_rows` prefix rows of a task; no more is held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            lines = {k: np.concatenate([h[k] for h in held]) for k in ("doc", "twin", "line", "size", "bits", "whole")}
-            token, wide = (np.concatenate([h[k] for h in held]) for k in ("token", "wide"))
+            lines = {k: np.concatenate([h[k] for h in held]) for k in ("doc", "twin", "line", "size", "bits", "whole", "token", "wide")}
+            held.clear()
             words = wide_words(lines["size"])
             lines["wide_at"] = np.cumsum(words) - words
-            held.clear()
-            begin = np.cumsum(lines["size"]) - lines["size"]
+            rows = prefix_length(lines["size"], share)
+            begin = np.cumsum(rows) - rows
             order = np.lexsort((lines["line"], lines["twin"], lines["doc"], lines["size"], lines["bits"], lines["whole"]))
             again, other = np.zeros(len(order), bool), np.zeros(len(order), bool)
             for k in ("whole", "bits", "size"):
@@ -229,17 +250,15 @@ def prefixes(texts: DataFrame, table: np.ndarray, share: float, buckets: int, fl
                 other[1:] |= v[1:] != v[:-1]
             removed = {k: lines[k][order[again & other]] for k in ("doc", "twin", "line")}
             stay = np.sort(order[~again])
-            n = prefix_length(lines["size"][stay], share)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            own = np.repeat(stay, n)
-            rows = {k: lines[k][own] for k in ("doc", "twin", "line", "size", "bits", "whole", "wide_at")} | {"token": token[begin[own] + at], "at": at, "wide": wide}
-            return _pack(rows, buckets, removed)
+            n = rows[stay]
+            return _pack(lines | {"own": np.repeat(stay, n), "token": lines["token"][ragged(begin[stay], n)], "at": ragged(np.zeros(len(n), np.int64), n)}, buckets, removed)
 
         for b in batches:
             for doc, twin, part in chunks(b):
                 s = line_sets(part, table)
-                held.append({"doc": doc[s["text"]], "twin": twin[s["text"]], **{k: s[k] for k in ("line", "size", "bits", "whole", "token", "wide")}})
-                if sum(len(h["doc"]) for h in held) >= flush:
+                held.append({"doc": doc[s["text"]], "twin": twin[s["text"]], "token": s["token"][ragged(s["start"], prefix_length(s["size"], share))],
+                             **{k: s[k] for k in ("line", "size", "bits", "whole", "wide")}})
+                if sum(len(h["doc"]) for h in held) >= flush or sum(len(h["token"]) for h in held) >= flush_rows:
                     yield out()
         if held:
             yield out()

@@ -270,3 +270,39 @@ def test_texts_are_not_read_to_tell_ids_apart(spark, monkeypatch):
     """Where no id occurs twice, no text is hashed to see whether an id has two."""
     monkeypatch.setattr(line_module, "placed_texts", lambda *a, **k: pytest.fail("texts were read"))
     assert not line_module.has_twins(spark.createDataFrame([(1, "a"), (2, "a"), (None, "b")], "doc_id int, text string"), "doc_id", "text")
+
+
+def test_prefix_tasks_hold_prefixes_and_not_whole_sets():
+    """300 lines of 5,000 words: a task packs as soon as it holds `flush_rows` prefix rows, and holds no more than these."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Tasks:
+        def mapInArrow(self, fn, schema):
+            return fn
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(5_000)) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([0] * 300), pa.array(texts)], names=["doc", "twin", "text"])
+    table = np.ones(line_module.BUCKETS, np.uint32)
+    task = line_module.prefixes(Tasks(), table, 0.8, 64, flush_rows=100_000)
+    tracemalloc.start()
+    sizes = [sum(n for b, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist()) if b >= 0) for out in task(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 300 * 1001 and max(sizes) < 200_000
+    assert peak < 100e6  # 239 MB when the sets were held whole
+
+
+def test_tokens_of_a_line_stand_in_one_order_everywhere():
+    """Rarity, then the token, whatever else the part holds and however little room its lines leave."""
+    rnd = np.random.default_rng(4)
+    words = rnd.integers(0, 2**64, 400, np.uint64, endpoint=False)
+    words[:200] = (words[:200] & np.uint64(0xFFFFFFFF)) | np.uint64(3 << 44)
+    for n, lines in ((0, 1), (1, 1), (3_000, 40), (3_000, 2**45)):
+        token, line = words[rnd.integers(0, 400, n)], np.sort(rnd.integers(0, lines, n))
+        rarity = (token >> np.uint64(44)).astype(np.uint32) % np.uint32(9)
+        order = line_module.rarest_first(token, rarity, line)
+        want = np.lexsort((token, token << np.uint64(20), rarity, line))
+        assert sorted(order.tolist()) == list(range(n))
+        assert (token[order] == token[want]).all() and (line[order] == line[want]).all()
