@@ -98,6 +98,17 @@ def valid_classes(paths: DataFrame, lookup: DataFrame, path: str = "taxonomy") -
         "path", "product_class").distinct()
 
 
+def vocab_values(df: DataFrame, attributes: Sequence[str], path: str = "taxonomy", cls: str = "product_class") -> DataFrame:
+    """(kind, value, n): distinct values per attribute, level and class."""
+    parts = F.array(*[F.struct(F.lit(a).alias("kind"), F.col(a).cast("string").alias("value")) for a in attributes],
+                    F.struct(F.lit("product_class").alias("kind"), F.col(cls).alias("value")),
+                    F.struct(F.lit("path").alias("kind"), F.nullif(F.array_join(path, " / "), F.lit("")).alias("value")))
+    levels = F.transform(F.col(path), lambda v, i: F.struct(
+        F.concat(F.lit("level_"), (i + 1).cast("string")).alias("kind"), v.alias("value")))
+    return df.select(F.explode(F.concat(parts, levels)).alias("e")).select("e.*").filter(
+        F.col("value").isNotNull()).groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
 def build_vocab(df: DataFrame, attributes: Sequence[str], path: str = "taxonomy", cls: str = "product_class",
                 bucket_rows: int = 50_000) -> DataFrame:
     """(kind, value, n, idx): sorted distinct values per attribute, level and class; idx from 1.
@@ -105,14 +116,7 @@ def build_vocab(df: DataFrame, attributes: Sequence[str], path: str = "taxonomy"
     The index is counted inside ranges of (kind, value) of about `bucket_rows` values, which
     Spark draws from the values themselves, so a prefix that all of them share does not matter.
     """
-    parts = F.array(*[F.struct(F.lit(a).alias("kind"), F.col(a).cast("string").alias("value")) for a in attributes],
-                    F.struct(F.lit("product_class").alias("kind"), F.col(cls).alias("value")),
-                    F.struct(F.lit("path").alias("kind"), F.nullif(F.array_join(path, " / "), F.lit("")).alias("value")))
-    levels = F.transform(F.col(path), lambda v, i: F.struct(
-        F.concat(F.lit("level_"), (i + 1).cast("string")).alias("kind"), v.alias("value")))
-    values = df.select(F.explode(F.concat(parts, levels)).alias("e")).select("e.*").filter(
-        F.col("value").isNotNull()).groupBy("kind", "value").agg(F.count("*").alias("n"))
-    values = written(values, "values")
+    values = written(vocab_values(df, attributes, path, cls), "values")
     ranges = max(1, -(-values.count() // bucket_rows))
     ranged = written(values.repartitionByRange(ranges, "kind", "value").withColumn("_range", F.spark_partition_id()), "ranges")
     return bucketed_rank(ranged, ["kind"], [F.col("value")], F.col("_range"), "idx").drop("_range")
@@ -131,7 +135,7 @@ def encode_labels(df: DataFrame, vocab: DataFrame, attributes: Sequence[str], pa
 
 
 def vocab_drift(vocab: DataFrame, defaults: dict[str, list[str]]) -> DataFrame:
-    """Values in only one of the built-in and the data vocabulary per attribute."""
+    """Values in only one of the built-in and the data vocabulary (kind, value) per attribute."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("values")) for k, v in defaults.items()])
     built_in = vocab.sparkSession.range(1).select(F.explode(kinds).alias("e")).select(
         "e.kind", F.explode("e.values").alias("value"))

@@ -482,7 +482,8 @@ def _(t):
  v AS (SELECT kind, value FROM vocab WHERE kind IN ('style', 'primary_color'))
 SELECT *, 'default' AS only_in FROM (SELECT * FROM d EXCEPT ALL SELECT * FROM v) UNION ALL SELECT *, 'data' FROM (SELECT * FROM v EXCEPT ALL SELECT * FROM d)""")
 def _(t):
-    return ta.vocab_drift(written(vocab(t), "vocab"), {"style": list(lx.STYLE_GROUPS), "primary_color": list(lx.COLOR_FAMILIES)})
+    # the values decide, their numbers are not needed; stored, since both directions read them
+    return ta.vocab_drift(written(ta.vocab_values(extracted(t), lx.SCHEMA2), "vocab"), {"style": list(lx.STYLE_GROUPS), "primary_color": list(lx.COLOR_FAMILIES)})
 
 
 # --- sampling -----------------------------------------------------------------------------------------

@@ -325,3 +325,14 @@ def test_encoding_sends_only_the_kinds_it_asks_for(spark):
     assert got == {("style", 3): 1500, ("style", 0): 1500, ("level_1", 1): 3000, ("level_2", 0): 3000}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"kind#\d+ IN \(style,level_1,level_2\)", plan)
+
+
+def test_vocab_drift_numbers_no_values(spark, monkeypatch):
+    """Which values occur is all it asks: nothing is ranked, so no table of ranges is sent to every task."""
+    from cataloom.operators import taxonomy
+    from cataloom.plans import load_all
+    from cataloom.plans.registry import QUERIES
+    load_all()
+    monkeypatch.setattr(taxonomy, "bucketed_rank", lambda *a, **k: pytest.fail("values are numbered"))
+    rows = QUERIES["vocab_drift"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.kind for r in rows} <= {"style", "primary_color"} and {r.only_in for r in rows} <= {"default", "data"} and rows
